@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, line_dedup, quality_rules
+from . import bpe, license_scan, line_dedup, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_bpe": bpe.op3_bpe,
+        "op5_packing": packing.op5_packing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
     }
