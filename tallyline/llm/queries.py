@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, line_dedup, packing, quality_rules
+from . import bpe, license_scan, line_dedup, packing, quality_crf, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_bpe": bpe.op3_bpe,
+        "op4_quality": quality_crf.op4_quality,
         "op5_packing": packing.op5_packing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
