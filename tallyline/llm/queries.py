@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, license_scan, line_dedup, packing, quality_crf, quality_rules, toxicity
+from . import bpe, embedding_dedup, license_scan, line_dedup, packing, pii, quality_crf, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op4_quality": quality_crf.op4_quality,
         "op5_packing": packing.op5_packing,
+        "op7_pii": pii.op7_pii,
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
