@@ -1,4 +1,58 @@
-STAGES = []
+"""The corpus pipeline: quality, line dedup, near duplicates, personal data, packing. Each stage reads what the last one wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyline.llm.common import documents, labels, table
+from tallyline.llm.jaccard_join import jaccard_join
+from tallyline.llm.line_dedup import dedup_lines
+from tallyline.llm.packing import pack_documents
+from tallyline.llm.pii import find_pii
+from tallyline.llm.quality_crf import score_quality
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """The columns of documents, with the length of the text as it is now."""
+    return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return _documents(score_quality(docs, labels(spark, sf_dir), keep=("text", "lang", "source")).where("predicted = 1"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source go; documents stay."""
+    return _documents(dedup_lines(docs, keep=("lang", "source")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of the smallest id."""
+    first = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return _documents(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans give way to the name of their kind."""
+    return _documents(find_pii(docs, keep=("lang", "source")).withColumnRenamed("redacted", "text"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("personal data", personal_data), ("packing", packing)]
+
+#: Trained stages can't be expressed in SQL; the tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

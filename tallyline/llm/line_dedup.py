@@ -34,14 +34,14 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return seen.where(F.col("n_pages") >= min_pages).join(total, "host").where(F.col("n_pages") > ratio * F.col("n_host")).select("host", "key")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row for each input row: doc_id, n_lines, n_dropped, text without the boilerplate lines of its host.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: doc_id, n_lines, n_dropped, text without the boilerplate lines of its host, and the columns in `keep`.
 
     Null or empty text: no lines, text stays as it is. Null host: no line drops. Blank lines never drop. Rows that repeat
     count as pages of their own. Built-in functions only; pages never shuffle by host unless the boilerplate outgrows
     BROADCAST_LINES, and then the host's pages are salted.
     """
-    pages = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[host_col].alias("host"))
+    pages = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[host_col].alias("host"), *[docs[c].alias(f"keep_{c}") for c in keep])
     bad = table(boilerplate(pages, ratio, min_pages), "boilerplate")
     sets = bad.groupBy("host").agg(F.collect_set("key").alias("bad"))
     if bad.count() <= BROADCAST_LINES:
@@ -56,6 +56,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.length("text") > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"),
         F.when(F.length("text") > 0, F.size(lines) - F.size("kept")).otherwise(0).cast("long").alias("n_dropped"),
         F.array_join("kept", "\n").alias("text"),
+        *[F.col(f"keep_{c}").alias(c) for c in keep],
     )
 
 

@@ -182,13 +182,14 @@ def fit(docs: DataFrame, marks: DataFrame, label: str = "quality", folds: int =
     return Model([(r["label"], np.frombuffer(r["x"], np.float32).reshape(-1, N), np.frombuffer(r["n"])) for r in rows], (shares.get(1, 0) + 1) / (sum(shares.values()) + 2))
 
 
-def score_quality(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, lines: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted, and with `lines` also good (P(good) of each line); a row for each input row.
+def score_quality(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, lines: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, with `lines` also good (P(good) of each line), and the columns in `keep`; a row for each input row.
 
     Null and empty texts have the quality 0, calibrated like the others. With no labelled rows, or one class only, the
     score follows that class or is that of an even chance. Repeated rows get equal scores.
     """
-    rows = take(docs, id_col, text_col)
+    rows = take(docs, id_col, text_col, *[c for c in keep if c not in ("doc_id", "text")])
+    passed = rows.select(*keep).schema
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, marks, label, folds, held_out))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -199,10 +200,11 @@ def score_quality(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", tex
             out["score"] += model.value.score(part).tolist()
             if lines:
                 out["good"] += [p.tolist() for p in model.value.marginals(part)]
-        return {"doc_id": batch.column("doc_id")} | out
+        return {c: batch.column(c) for c in (*keep, "doc_id")} | out
 
-    scored = each_batch(rows, run, "doc_id long, score double" + ", good array<double>" * lines)
-    return scored.select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["good"] * lines)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in passed if f.name != "doc_id")
+    scored = each_batch(rows, run, "doc_id long, score double" + ", good array<double>" * lines + more)
+    return scored.select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["good"] * lines, *[c for c in keep if c != "doc_id"])
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

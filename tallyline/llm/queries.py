@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, license_scan, line_dedup, packing, pii, quality_crf, quality_rules, toxicity
+from . import bpe, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, quality_crf, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op4_quality": quality_crf.op4_quality,
         "op5_packing": packing.op5_packing,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_pii": pii.op7_pii,
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op8_embedding_dedup": embedding_dedup.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL, "op8_embedding_dedup": embedding_dedup.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
