@@ -15,3 +15,19 @@ def group_table(members: DataFrame, entity: str, structure: str, variant: str, p
     total = g.agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "structure"))
     return g.crossJoin(F.broadcast(total)).select(F.concat(F.lit(prefix), rank.cast("string")).alias("format_id"), "structure", "n", rounded(F.col("n") / F.col("total")).alias("share"), "variants", "members")
+
+
+def listing(rows: DataFrame, equal: dict, where: str, sort: str, modes: dict, limit: int) -> DataFrame:
+    """Rows with given values and a condition, in one of several named orders, up to a limit."""
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == value)
+    return rows.where(where).orderBy(*modes[sort]).limit(limit)
+
+
+def named_set(parts: list[DataFrame], without: DataFrame, key: str, limit: int) -> DataFrame:
+    """Keys of several sets in their order, each once, less those of another set, up to a limit; p is the first set that has the key."""
+    both = None
+    for p, part in enumerate(parts):
+        part = part.select(key, F.lit(p).alias("p"))
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy(key).agg(F.min("p").alias("p")).join(without.select(key), key, "left_anti").orderBy("p", key).limit(limit)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates
+from . import aggregates, windows
 
-MODULES = [aggregates]
+MODULES = [aggregates, windows]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
