@@ -67,3 +67,35 @@ def points_in(points: DataFrame, spans: DataFrame, entity: str, width: float, ma
     p = points.select(entity, F.col("t").alias("p_t"), F.col("id").alias("p_id")).withColumn("bucket", bucket(F.col("p_t"), width))
     s = spans.select(entity, F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("id").alias("s_id")).withColumn("bucket", F.explode(F.sequence(bucket(F.col("s_start"), width), bucket(F.col("s_end"), width))))
     return p.join(s, [entity, "bucket"]).where((F.col("p_t") > F.col("s_start") + margin) & (F.col("p_t") < F.col("s_end") - margin)).drop("bucket")
+
+
+def rectangle_coverage(overlays: DataFrame, ops: DataFrame, entity: str, width: float = 24.0) -> DataFrame:
+    """(id, covered, share): is each overlay's rectangle covered by active rectangles over its whole span, and the share of its span times area.
+
+    Both: entity, id, start, end, x, y, w, h. The span is cut where an op starts or ends, the rectangle where an op's edges lie;
+    a piece of area is covered if one op that is active then holds it. Work per overlay follows the ops that touch it.
+    """
+    from pyspark.sql.functions import array_distinct, array_sort, flatten, transform
+
+    touch = (F.col("a_x") < F.col("b_x") + F.col("b_w")) & (F.col("b_x") < F.col("a_x") + F.col("a_w")) & (F.col("a_y") < F.col("b_y") + F.col("b_h")) & (F.col("b_y") < F.col("a_y") + F.col("a_h"))
+    hits = overlaps(overlays, ops, entity, width, touch)
+    clip = lambda v, low, high: F.least(F.greatest(v, low), high)
+    x2, y2 = F.col("a_x") + F.col("a_w"), F.col("a_y") + F.col("a_h")
+    op = F.struct(
+        clip(F.col("b_start"), F.col("a_start"), F.col("a_end")).alias("t1"), clip(F.col("b_end"), F.col("a_start"), F.col("a_end")).alias("t2"),
+        clip(F.col("b_x"), F.col("a_x"), x2).alias("x1"), clip(F.col("b_x") + F.col("b_w"), F.col("a_x"), x2).alias("x2"),
+        clip(F.col("b_y"), F.col("a_y"), y2).alias("y1"), clip(F.col("b_y") + F.col("b_h"), F.col("a_y"), y2).alias("y2"),
+    )
+    own = ["a_id", "a_start", "a_end", "a_x", "a_y", "a_w", "a_h"]
+    g = hits.groupBy(*own).agg(F.collect_list(op).alias("ops"))
+    edges = lambda a, b: array_sort(array_distinct(flatten(F.array(transform("ops", lambda o: o[a]), transform("ops", lambda o: o[b])))))
+    cells = lambda e: F.filter(F.zip_with(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda c: c["p"] < c["q"])
+    ts, xs, ys = cells(edges("t1", "t2")), cells(edges("x1", "x2")), cells(edges("y1", "y2"))
+    held = lambda t, x, y: F.exists("ops", lambda o: (o["t1"] <= t["p"]) & (o["t2"] >= t["q"]) & (o["x1"] <= x["p"]) & (o["x2"] >= x["q"]) & (o["y1"] <= y["p"]) & (o["y2"] >= y["q"]))
+    # one row for each slice of time, then sums over its cells
+    slices = g.withColumn("ts", ts).withColumn("xs", xs).withColumn("ys", ys).withColumn("t", F.explode("ts"))
+    area = F.aggregate(F.col("xs"), F.lit(0.0), lambda acc, x: acc + F.aggregate(F.col("ys"), F.lit(0.0), lambda s, y: s + F.when(held(F.col("t"), x, y), (x["q"] - x["p"]) * (y["q"] - y["p"])).otherwise(0.0)))
+    volume = slices.groupBy("a_id").agg(F.sum((F.col("t.q") - F.col("t.p")) * area).alias("v"))
+    j = overlays.join(volume, overlays["id"] == volume["a_id"], "left")
+    share = F.coalesce("v", F.lit(0.0)) / ((F.col("end") - F.col("start")) * F.col("w") * F.col("h"))
+    return j.select("id", (share >= 1 - 1e-9).alias("covered"), F.round(share, 6).alias("share"))

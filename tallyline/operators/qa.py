@@ -39,7 +39,7 @@ def grid_cells(rows: DataFrame, entity: str, cell: float, start: str, end: str,
 
 def grid_compare(left: DataFrame, right: DataFrame, entity: str, n_cells: DataFrame, blind: DataFrame | None = None) -> DataFrame:
     """(entity, cell, verdict) for cells 0 to n - 1 of each entity: same, different, or unmeasured where a side is blind."""
-    spine = n_cells.where("n > 0").select(entity, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).cast("long").alias("cell"))
+    spine = n_cells.where("n > 0").select(entity, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("cell"))
     both = spine.join(left.withColumnRenamed("labels", "a"), [entity, "cell"], "left").join(right.withColumnRenamed("labels", "b"), [entity, "cell"], "left")
     if blind is not None:
         both = both.join(blind.select(entity, "cell").distinct().withColumn("blind", F.lit(True)), [entity, "cell"], "left")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, windows
+from . import aggregates, joins, scalars, windows
 
-MODULES = [aggregates, windows]
+MODULES = [aggregates, windows, joins, scalars]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
