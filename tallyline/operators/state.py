@@ -71,7 +71,7 @@ def guarded(rows: DataFrame, status: str, wanted: str, allowed: DataFrame, more:
     """Status changes that the table of allowed ones (from, to) has and no further rule forbids; others keep their status, with the reason."""
     j = rows.join(F.broadcast(allowed.select(F.col("from").alias(status), F.col("to").alias(wanted), F.lit(True).alias("listed"))), [status, wanted], "left")
     reason = reduce(lambda acc, r: acc.when(r[0], r[1]), more, F.when(F.col("listed").isNull(), F.concat(F.col(status), F.lit(" to "), F.col(wanted), F.lit(" is not allowed"))))
-    return j.drop("listed").withColumn("reason", reason).withColumn("after", F.when(F.col("reason").isNull(), F.col(wanted)).otherwise(F.col(status)))
+    return j.withColumn("reason", reason).drop("listed").withColumn("after", F.when(F.col("reason").isNull(), F.col(wanted)).otherwise(F.col(status)))
 
 
 def link_pairs(links: DataFrame, a: str, b: str, excluded: DataFrame, key: str) -> DataFrame:
