@@ -121,6 +121,6 @@ def normal_handle(name: Column) -> Column:
 
 def recency(published_at: Column, checked_at: Column, days: float = 30.0) -> tuple[Column, Column, Column]:
     """(age in days, label, score): the score falls to 0 at three times `days`; a date in the future has age 0; none is unknown."""
-    age = F.greatest((F.unix_micros(checked_at) - F.unix_micros(published_at)) / 86.4e9, F.lit(0.0))
+    age = F.when(published_at.isNotNull(), F.greatest((F.unix_micros(checked_at) - F.unix_micros(published_at)) / 86.4e9, F.lit(0.0)))
     label = F.when(age.isNull(), "unknown").when(age <= days, "recent").otherwise("old")
-    return age, label, F.greatest(F.lit(0.0), 1 - age / (3 * days)) + age * 0
+    return age, label, F.when(age.isNotNull(), F.greatest(F.lit(0.0), 1 - age / (3 * days)))

@@ -18,7 +18,8 @@ def color_mode(rows: DataFrame, group: str, color: str, pos: str, radius: float
     first cluster whose first colour is within the radius. Of equal clusters the one seen first wins. Unreadable colours are left out.
     """
     r, g, b = rgb(F.col(color))
-    counted = rows.select(F.col(group), r.alias("r"), g.alias("g"), b.alias("b"), F.col(pos).alias("pos")).where("r IS NOT NULL").groupBy(group, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    named = rows.select(F.col(group).alias("grp"), r.alias("r"), g.alias("g"), b.alias("b"), F.col(pos).alias("pos")).where("r IS NOT NULL")
+    counted = named.groupBy("grp", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
@@ -35,7 +36,7 @@ def color_mode(rows: DataFrame, group: str, color: str, pos: str, radius: float
         sizes = [sum(m[3] for m in ms) for ms in members]
         best = members[sizes.index(max(sizes))]
         channel = lambda c: int(pd.Series([m[c] for m in best]).repeat([m[3] for m in best]).median())
-        return pd.DataFrame([(pdf[group].iloc[0], "#%02X%02X%02X" % (channel(0), channel(1), channel(2)), max(sizes), max(sizes) / sum(sizes))], columns=[group, "color", "n", "share"])
+        return pd.DataFrame([(pdf["grp"].iloc[0], "#%02X%02X%02X" % (channel(0), channel(1), channel(2)), max(sizes), max(sizes) / sum(sizes))], columns=["grp", "color", "n", "share"])
 
     kind = dict(rows.dtypes)[group]
-    return counted.groupBy(group).applyInPandas(cluster, f"`{group}` {kind}, color string, n long, share double")
+    return counted.groupBy("grp").applyInPandas(cluster, f"grp {kind}, color string, n long, share double").withColumnRenamed("grp", group)

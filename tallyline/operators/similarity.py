@@ -66,7 +66,7 @@ def fuzzy_names(names: DataFrame, listed: DataFrame, name: str, ref_name: str, r
     Names meet if they share a rare n-gram of characters: grams that more than a hundredth of the list has are no key.
     """
     alnum = lambda c: F.regexp_replace(F.lower(c), r"[^0-9\p{L}]", "")
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - grams + 1, F.lit(1))), lambda i: F.concat(F.substr(c, i, F.lit(grams)), F.lit("@"), (F.length(c) - i).cast("string"))))
+    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - grams + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(grams))))
     a = names.withColumn("na", alnum(F.col(name)))
     b = listed.withColumn("nb", alnum(F.col(ref_name)))
     keys = b.select("ref", "nb", F.explode(gram(F.col("nb"))).alias("g"))

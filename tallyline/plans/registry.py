@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, joins, scalars, similarity, state, windows
+from . import aggregates, joins, scalars, similarity, sources, state, windows
 
-MODULES = [aggregates, windows, joins, scalars, state, similarity]
+MODULES = [sources, aggregates, windows, joins, scalars, state, similarity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -122,10 +122,8 @@ def checked():
 SELECT o_orderkey, round(age, 6) AS age_days, CASE WHEN age IS NULL THEN 'unknown' WHEN age <= 30 THEN 'recent' ELSE 'old' END AS label, round(CASE WHEN age IS NOT NULL THEN greatest(0, 1 - age / 90) END, 6) AS score FROM o""")
 def x1(spark, d):
     at = F.when(F.col("o_orderkey") % 9 != 0, timestamp("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 3).cast("int")))
-    _, label, score = X.recency(at, checked())
-    age = F.when(at.isNotNull(), F.greatest((F.unix_micros(checked()) - F.unix_micros(at)) / 86.4e9, F.lit(0.0)))
-    label = F.when(at.isNull(), "unknown").otherwise(label)
-    return read(spark, d, "orders").select("o_orderkey", S.rounded(age).alias("age_days"), label.alias("label"), S.rounded(F.when(at.isNotNull(), score)).alias("score"))
+    age, label, score = X.recency(at, checked())
+    return read(spark, d, "orders").select("o_orderkey", S.rounded(age).alias("age_days"), label.alias("label"), S.rounded(score).alias("score"))
 
 
 X2 = f"""x AS (SELECT o_orderkey, date_diff('day', o_orderdate, {CHECKED}) <= 400 AS recent, CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS ans, CASE WHEN o_orderkey % 5 = 0 THEN 'someone' END AS rep, CASE WHEN o_orderkey % 7 = 0 THEN 'https://o' END AS ou,
