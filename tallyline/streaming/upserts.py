@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from ..sources.files import scratch
 
 
+def _lift(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """Each known field with its own position, so that batches may arrive in any order."""
+    fields = [c for c in rows.columns if c not in (key, pos)]
+    return rows.select(key, pos, *[F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("at"), F.col(c).alias("v"))).alias(c) for c in fields])
+
+
+def _fold(lifted: DataFrame, key: str) -> DataFrame:
+    return lifted.groupBy(key).agg(*[F.max(c).alias(c) for c in lifted.columns if c != key])
+
+
+def _plain(state: DataFrame, key: str, pos: str) -> DataFrame:
+    return state.select(key, pos, *[F.col(f"{c}.v").alias(c) for c in state.columns if c not in (key, pos)])
+
+
 def latest_by_key(rows: DataFrame, key: str, pos: str) -> DataFrame:
     """The last row of each key by pos; a null field takes the last value known before it."""
-    cols = [c for c in rows.columns if c not in (key, pos)]
-    out = rows.groupBy(key).agg(F.max(pos).alias("last"), *[F.max(F.when(F.col(c).isNotNull(), F.struct(pos, c))).alias(c) for c in cols])
-    return out.select(key, F.col("last").alias(pos), *[F.col(f"{c}.{c}").alias(c) for c in cols])
+    return _plain(_fold(_lift(rows, key, pos), key), key, pos)
 
 
 def stream_upserts(spark: SparkSession, path: str, schema: str, key: str, pos: str, files_per_batch: int = 1, state: str | None = None) -> DataFrame:
@@ -27,8 +39,9 @@ def stream_upserts(spark: SparkSession, path: str, schema: str, key: str, pos: s
     def fold(batch: DataFrame, batch_id: int) -> None:
         target = f"{root}/batch={batch_id}"
         before = [v for v in last if v != target]
-        rows = batch if not before else batch.unionByName(spark.read.schema(batch.schema).parquet(before[-1]))
-        latest_by_key(rows, key, pos).select(*batch.columns).write.mode("overwrite").parquet(target)
+        lifted = _lift(batch, key, pos)
+        rows = lifted if not before else lifted.unionByName(spark.read.schema(lifted.schema).parquet(before[-1]))
+        _fold(rows, key).write.mode("overwrite").parquet(target)
         last[:] = [*before, target]
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
@@ -36,4 +49,4 @@ def stream_upserts(spark: SparkSession, path: str, schema: str, key: str, pos: s
     run.awaitTermination()
     if not last:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(last[-1])
+    return _plain(spark.read.parquet(last[-1]), key, pos)
