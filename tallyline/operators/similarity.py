@@ -104,11 +104,33 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def threshold_graph(vectors: DataFrame, id_: str, by: str, x: str, least: float) -> DataFrame:
-    """(a, b, sim): pairs of equal `by` with a cosine of at least `least`."""
-    a = vectors.select(F.col(id_).alias("a"), by, F.col(x).alias("xa"))
-    b = vectors.select(F.col(id_).alias("b"), by, F.col(x).alias("xb"))
-    return a.join(b, by).where("a < b").withColumn("sim", cosine(F.col("xa"), F.col("xb"))).where(F.col("sim") >= least).select("a", "b", "sim")
+def threshold_graph(vectors: DataFrame, id_: str, by: str, x: str, least: float, block: int = 512) -> DataFrame:
+    """(a, b, sim): pairs of equal `by` with a cosine of at least `least`, a < b. Ids are distinct whole numbers, vectors of a group equally long.
+
+    A group is dealt into blocks of about `block` vectors; rows that meet are blocks, and a pair of vectors leaves a task only if it links.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    size = vectors.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = vectors.select(F.col(id_).cast("long").alias("i"), by, F.col(x).cast("array<double>").alias("x")).join(size, by).withColumn("p", F.pmod(F.xxhash64("i"), F.col("blocks")))
+    packed = dealt.groupBy(by, "p").agg(F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
+    other = packed.select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
+
+    def compare(batches):
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, xs, others, ys = (batch.column(c)[k].as_py() for c in ("i", "x", "j", "y"))
+                sim = unit(np.array(xs)) @ unit(np.array(ys)).T
+                r, c = np.nonzero(sim >= least)
+                a, b, s = np.array(ids)[r], np.array(others)[c], sim[r, c]
+                # within one block each pair comes twice
+                keep = a < b if batch.column("p")[k] == batch.column("q")[k] else a != b
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], names=["a", "b", "sim"])
+
+    return packed.join(other, by).where("p <= q").select("p", "q", "i", "x", "j", "y").mapInArrow(compare, "a long, b long, sim double")
 
 
 def average_linkage(vectors: DataFrame, pairs: DataFrame, id_: str, x: str, least: float) -> DataFrame:
