@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from .common import ship, table
+from .common import map_batches, table
 from .components import components
 
 THRESHOLD = 0.93
@@ -23,18 +18,6 @@ SAMPLE = 20_000
 SLACK = 1e-9
 
 
-def _map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow over all batches of a partition; fn yields dicts of columns."""
-    ship(df.sparkSession)
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def axes(classes: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Rows of an orthogonal matrix, by falling variance of a bounded sample of unit vectors: fixed vectors' moments summed in tasks."""
     some = classes.orderBy("hash", "vec_id").limit(sample).select("v")
@@ -46,7 +29,7 @@ def axes(classes: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 yield {"m": [(v.T @ v).tobytes()]}
 
-    parts = [np.frombuffer(r["m"]) for r in _map(some, moments, "m binary").collect()]
+    parts = [np.frombuffer(r["m"]) for r in map_batches(some, moments, "m binary").collect()]
     if not parts:
         return np.eye(1)
     total = np.sum(parts, 0)
@@ -131,7 +114,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 out.append(basis.value @ u if len(u) == basis.value.shape[1] else u)
             yield {"label": b.column("label"), "vec_id": b.column("vec_id"), "n": b.column("n"), "dims": [len(v) for v in vs], "lead": [u[0] for u in out], "u": out, "v": b.column("v")}
 
-    rotated = _map(classes.select("label", "vec_id", "n", "v"), rotate, "label string, vec_id long, n long, dims int, lead double, u array<double>, v array<double>")
+    rotated = map_batches(classes.select("label", "vec_id", "n", "v"), rotate, "label string, vec_id long, n long, dims int, lead double, u array<double>, v array<double>")
     ranged = rotated.repartitionByRange("label", "dims", "lead", "vec_id").sortWithinPartitions("label", "dims", "lead", "vec_id")
 
     def tiles(batches):
@@ -150,7 +133,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if held:
             yield close()
 
-    cut = table(_map(ranged, tiles, "tile string, label string, dims int, low double, high double, ids array<long>, n array<long>, u binary, v binary"), "tiles")
+    cut = table(map_batches(ranged, tiles, "tile string, label string, dims int, low double, high double, ids array<long>, n array<long>, u binary, v binary"), "tiles")
     # bands as wide as the reach: a pair of tiles that can link shares a band, or has neighbouring ones
     heads = cut.select("tile", "label", "dims", "low", "high")
     band = lambda x: F.floor(x / reach).cast("int")
@@ -183,7 +166,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     n_pairs = F.xxhash64("tile", "tile_b")
     compared = met.join(a, "tile").join(b, "tile_b").repartition(n_pairs)
-    found = table(_map(compared, links, "vec_id long, links long, other long"), "links")
+    found = table(map_batches(compared, links, "vec_id long, links long, other long"), "links")
     linked = found.where("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("links"))
     comp = components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     per_class = classes.join(linked, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")

@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from .common import documents, ship, table, take
+from .common import documents, map_batches, table, take
 from .components import components
 
 WORDS = 5
@@ -22,6 +18,8 @@ PERCENT = 80
 #: Counters of the frequency sketch; their number is all that reaches the driver and the tasks (4 MB), whatever the corpus.
 SKETCH = 1 << 20
 RANGES = 64
+#: A shingle of more documents than this has its posting list split over tasks, by a hash of the document.
+HOT = 50_000
 #: Rounds in which a posting list is compared with so many of its members, before the pairs that are left.
 LEADERS = (1, 8, 32)
 
@@ -62,17 +60,6 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return s[keep]
 
 
-def _map(df: DataFrame, fn, schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def summaries(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """For each row doc_id, n (set size) and digest (of the set; null if empty); besides, rows with a range of the frequency sketch of what a task read."""
 
@@ -90,7 +77,7 @@ def summaries(docs: DataFrame, words: int = WORDS) -> DataFrame:
         if parts:
             yield {"doc_id": [None] * len(parts), "n": [None] * len(parts), "digest": [None] * len(parts), "part": [p[0] for p in parts], "counts": [p[1] for p in parts]}
 
-    return _map(docs, run, "doc_id long, n long, digest binary, part int, counts binary")
+    return map_batches(docs, run, "doc_id long, n long, digest binary, part int, counts binary")
 
 
 def sketch(parts: DataFrame) -> np.ndarray:
@@ -107,7 +94,7 @@ def sketch(parts: DataFrame) -> np.ndarray:
 
     out = np.zeros(SKETCH, np.uint32)
     size = SKETCH // RANGES
-    for r in _map(parts.repartition(min(RANGES, 16), "part"), add, "part int, counts binary").collect():
+    for r in map_batches(parts.repartition(min(RANGES, 16), "part"), add, "part int, counts binary").collect():
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], np.uint32)
     return out
 
@@ -118,24 +105,26 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def prefixes(docs: DataFrame, frequency: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, keys: each set's prefix, by rising frequency, ties by hash, so in one order for all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+    """doc_id, n, keys, parts: each set's prefix, by rising frequency, ties by hash, so in one order for all documents; parts says over how many tasks to split each key, null if over one."""
+    shared, hot = docs.sparkSession.sparkContext.broadcast(frequency), HOT
 
     def run(batches):
         f = shared.value
         for b in batches:
-            ids, ns, keys = [], [], []
+            ids, ns, keys, parts = [], [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(text, words)
                 if len(s):
-                    order = np.argsort(f[(s & np.uint64(SKETCH - 1)).astype(np.intp)], kind="stable")
+                    often = f[(s & np.uint64(SKETCH - 1)).astype(np.intp)]
+                    order = np.argsort(often, kind="stable")[: prefix_length(len(s), percent)]
                     ids.append(doc)
                     ns.append(len(s))
-                    keys.append(s[order[: prefix_length(len(s), percent)]].view(np.int64))
+                    keys.append(s[order].view(np.int64))
+                    parts.append((1 + often[order] // hot).astype(np.int32) if often[order[-1]] >= hot else None)
             if ids:
-                yield {"doc_id": ids, "n": ns, "keys": keys}
+                yield {"doc_id": ids, "n": ns, "keys": keys, "parts": parts}
 
-    return _map(docs, run, "doc_id long, n long, keys array<long>")
+    return map_batches(docs, run, "doc_id long, n long, keys array<long>, parts array<int>")
 
 
 def _may_link(n1, p1, n2, p2, percent: int = PERCENT):
@@ -176,7 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             if out:
                 yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
 
-    return _map(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), run, "a long, b long")
+    return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -195,10 +184,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
     keys = prefixes(rows, frequency, words, percent).join(reps, "doc_id", "left_semi")
-    postings = keys.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
-    w = Window.partitionBy("key").orderBy("n", "doc_id")
+    postings = keys.select("doc_id", "n", "parts", F.posexplode("keys").alias("pos", "key"))
+    split = F.coalesce(F.try_element_at("parts", F.col("pos") + 1), F.lit(1))
+    postings = postings.select("doc_id", "n", "pos", "key", F.when(split > 1, F.pmod(F.xxhash64("doc_id"), split)).cast("int").alias("part"))
+    # lists of one document hold no pair; those that are split have more
+    w = Window.partitionBy("key", "part").orderBy("n", "doc_id")
     listed = postings.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("doc_id").over(w))
-    shared = table(listed.where("rank > 1 OR next IS NOT NULL").drop("rank", "next"), "postings")
+    shared = table(listed.where("rank > 1 OR next IS NOT NULL OR part IS NOT NULL").drop("rank", "next", "part"), "postings")
     involved = shared.select("doc_id").distinct()
     texts = table(rows.join(involved, "doc_id", "left_semi"), "texts")
 

@@ -187,8 +187,9 @@ def test_jaccard_join_equals_brute_force(spark):
 
 
 def test_the_last_round_of_pairs(spark, monkeypatch):
-    """With no rounds of leaders but one, the pairs that are left decide."""
+    """With no rounds of leaders but one, the pairs that are left decide; frequent shingles have split lists."""
     monkeypatch.setattr(jaccard_join, "LEADERS", (1,))
+    monkeypatch.setattr(jaccard_join, "HOT", 5)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     cases = []
