@@ -317,7 +317,10 @@ def made_examples(n: int, seed: int = 3) -> list[tuple[str, list[tuple[str, int,
 
 def fit(docs: DataFrame, texts: int = TEXTS, made: int = MADE, epochs: int = EPOCHS) -> Network:
     """Trained on windows of a bounded sample of (doc_id, text), labelled by the base patterns, and on made examples."""
-    sample = docs.where((F.length("text") <= MAX_CHARS) & F.col("text").rlike("[0-9@]")).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts).collect()
+    usable = docs.where((F.length("text") <= MAX_CHARS) & F.col("text").rlike("[0-9@]"))
+    # ids are chosen first: what tasks send to be sorted holds no texts
+    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts)
+    sample = usable.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "text").limit(2 * texts).collect()
     found = made_examples(made)
     rng = np.random.default_rng(2)
     for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"])):
