@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from .common import documents, each_batch, take
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Pre-tokens that a Python worker remembers; it starts anew beyond them. Longer ones than CACHED_CHARS are not kept.
-CACHE = 400_000
+#: Pre-tokens in a generation of what a Python worker remembers; it has two. Longer ones than CACHED_CHARS are not kept.
+CACHE = 300_000
 CACHED_CHARS = 40
 
 #: White space of the Unicode property.
@@ -91,7 +91,7 @@ class PrefixEncoder:
 
     def encode(self, word: str) -> list[int]:
         """Ids of a pre-token, by the last token of every prefix."""
-        text = word if word.isascii() and word.isprintable() else "".join(map(self.byte_chars.__getitem__, word.encode("utf-8", "replace")))
+        text = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(self.byte_chars.__getitem__, word.encode("utf-8", "replace")))
         n = len(text)
         if self.suffix:
             text += END
@@ -126,16 +126,20 @@ class PrefixEncoder:
 
 
 class _Known(dict):
-    """pre-token: what make() gives for it; starts anew when it is full."""
+    """pre-token: what make() gives for it. Full, it becomes the old generation, from which words that come again move on."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.old: dict = {}
 
-    def __missing__(self, word: str) -> str:
-        found = self.make(word)
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
