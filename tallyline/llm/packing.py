@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WHITE, _Known
+from .bpe import WHITE, _Known, byte_alphabet
 from .common import documents, each_batch, table, take
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,15 +37,25 @@ _LATIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0
 
 
 class Encoder:
-    """Ids of a text as unsigned 32-bit little-endian bytes; pre-tokens that come again are looked up."""
+    """Ids of a text as unsigned 32-bit little-endian bytes; pre-tokens that come again are looked up.
+
+    Where the vocabulary's ids follow its merges, a rank encoder over the same vocabulary gives the same ids with less
+    work for each new pre-token; else the tokenizer itself encodes it.
+    """
 
     def __init__(self, spec: str):
-        self.tokenizer = tokenizers.Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokenizer = tokenizers.Tokenizer.from_str(spec)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known = _Known(lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        model = json.loads(spec)["model"]
+        ids_of = lambda w: tokenizer.encode(w, add_special_tokens=False).ids
+        if not model.get("end_of_word_suffix") and all(model["vocab"][a + b] == 256 + k for k, (a, b) in enumerate(model["merges"])):
+            bytes_of = {c: b for b, c in enumerate(byte_alphabet())}
+            ranks = {bytes(map(bytes_of.__getitem__, s)): i for s, i in model["vocab"].items()}
+            ids_of = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known = _Known(lambda w: array("I", ids_of(w)).tobytes())
 
     def plain(self, text: str) -> bytes:
         try:
@@ -216,8 +229,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataF
                 out.append((assign, *fitness(sizes, best, capacity)))
             return {"block": batch.column("block"), "island": batch.column("island"), "sizes": batch.column("sizes"), "assign": [x[0] for x in out], "bins": [x[1] for x in out], "fit": [x[2] for x in out]}
 
-        # as many tasks as islands: a row is a whole optimisation
-        spread = state.repartition(max(1, min(n_blocks * ISLANDS, 4096)), "block", "island")
+        # a row is a whole optimisation, so a few of them make a task
+        spread = state.repartition(max(1, n_blocks), "block", "island")
         state = table(each_batch(spread, run, "block long, island int, sizes array<long>, assign array<int>, bins int, fit double"), "islands")
         moved = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("assign").alias("guest"))
         best = state.groupBy("block").agg(F.max_by("assign", F.struct("bins", "fit", "island")).alias("assign"))
