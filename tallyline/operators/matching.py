@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import bucket
-from .similarity import components, cosine
+from .similarity import blocks, components, cosine
 from .stats import rounded
 
 
@@ -31,25 +30,35 @@ def total_order(rows: DataFrame, entity: str, pos: str, item: str) -> DataFrame:
 
 
 def shifted_similarity(left: DataFrame, right: DataFrame, id_: str, by: str, x: str, bands: int, shifts: int, least: float) -> DataFrame:
-    """(a, b, sim): the largest mean of per-band cosines over shifts in time, for pairs of equal `by`. A vector is bands of equal length."""
-    import numpy as np
+    """(a, b, sim): the largest mean of per-band cosines over shifts in time, for pairs of equal `by`. A vector is bands of equal length.
 
-    a = left.select(F.col(id_).alias("a"), by, F.col(x).alias("xa"))
-    b = right.select(F.col(id_).alias("b"), by, F.col(x).alias("xb"))
-
-    @F.pandas_udf("double")
-    def best(p: pd.Series, q: pd.Series) -> pd.Series:
-        u = np.stack(p.to_numpy()).astype(float).reshape(len(p), bands, -1)
-        v = np.stack(q.to_numpy()).astype(float).reshape(len(q), bands, -1)
-        n = u.shape[2]
-        out = np.full(len(p), -1.0)
-        for s in range(-shifts, shifts + 1):
-            c, e = u[:, :, max(0, s) : n + min(0, s)], v[:, :, max(0, -s) : n + min(0, -s)]
-            norm = np.linalg.norm(c, axis=2) * np.linalg.norm(e, axis=2)
-            out = np.maximum(out, ((c * e).sum(2) / np.maximum(norm, 1e-12)).mean(1))
-        return pd.Series(out)
-
-    return a.join(b, by).where("a <> b").withColumn("sim", best("xa", "xb")).where(F.col("sim") >= least).select("a", "b", rounded("sim").alias("sim"))
+    Ids are distinct whole numbers. Blocks of vectors meet, as in `threshold_graph`; only pairs of at least `least` leave a task.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(m, low: int, high: int):
+        """Each band of a stretch of time as a unit vector, side by side."""
+        c = m[:, :, low:high]
+        return (c / np.maximum(np.linalg.norm(c, axis=2, keepdims=True), 1e-12)).reshape(len(m), -1)
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, xs, others, ys = (batch.column(c)[k].as_py() for c in ("i", "x", "j", "y"))
+                u, v = np.array(xs, float).reshape(len(ids), bands, -1), np.array(ys, float).reshape(len(others), bands, -1)
+                n = u.shape[2]
+                best = np.full((len(ids), len(others)), -1.0)
+                for s in range(-shifts, shifts + 1):
+                    np.maximum(best, unit(u, max(0, s), n + min(0, s)) @ unit(v, max(0, -s), n + min(0, -s)).T / bands, out=best)
+                r, c = np.nonzero(best >= least)
+                a, b, sim = np.array(ids)[r], np.array(others)[c], best[r, c]
+                if (keep := a != b).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(sim[keep])], names=["a", "b", "sim"])
+
+    b = blocks(right, id_, by, x).select(by, F.col("i").alias("j"), F.col("x").alias("y"))
+    met = blocks(left, id_, by, x).join(b, by).select("i", "x", "j", "y")
+    return met.mapInArrow(compare, "a long, b long, sim double").select("a", "b", rounded("sim").alias("sim"))
 
 
 def place_groups(boxes: DataFrame, entity: str, id_: str, iou: float, least: int, share: float, cell: float = 40.0) -> DataFrame:

@@ -104,6 +104,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def blocks(vectors: DataFrame, id_: str, by: str, x: str, block: int = 512) -> DataFrame:
+    """(by, p, i, x): the vectors of each group dealt into blocks of about `block`, as arrays of ids and vectors."""
+    size = vectors.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = vectors.select(F.col(id_).cast("long").alias("i"), by, F.col(x).cast("array<double>").alias("x")).join(size, by).withColumn("p", F.pmod(F.xxhash64("i"), F.col("blocks")))
+    return dealt.groupBy(by, "p").agg(F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
+
+
 def threshold_graph(vectors: DataFrame, id_: str, by: str, x: str, least: float, block: int = 512) -> DataFrame:
     """(a, b, sim): pairs of equal `by` with a cosine of at least `least`, a < b. Ids are distinct whole numbers, vectors of a group equally long.
 
@@ -112,9 +119,7 @@ def threshold_graph(vectors: DataFrame, id_: str, by: str, x: str, least: float,
     import numpy as np
     import pyarrow as pa
 
-    size = vectors.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = vectors.select(F.col(id_).cast("long").alias("i"), by, F.col(x).cast("array<double>").alias("x")).join(size, by).withColumn("p", F.pmod(F.xxhash64("i"), F.col("blocks")))
-    packed = dealt.groupBy(by, "p").agg(F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
+    packed = blocks(vectors, id_, by, x, block)
     other = packed.select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
 
     def compare(batches):

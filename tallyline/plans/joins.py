@@ -142,21 +142,39 @@ k AS (SELECT ref + 1000000 * (f + 1) AS cand, xor(h, list_reduce(list_transform(
 
 @query("j12_hamming", f"""WITH {HASH} SELECT cand, ref, bit_count(xor(k.h, r.h))::INT AS distance FROM k JOIN r ON bit_count(xor(k.h, r.h)) <= 10""")
 def j12(spark, d):
-    v = read(spark, d, "embeddings").select("vec_id", M.sign_bits(F.col("embedding")).alias("h"))
-    refs = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("ref"), "h")
+    return near_hashes(read(spark, d, "embeddings").where("vec_id % 10 = 0"), 1000000)
+
+
+# all vectors: too many pairs of hashes for SQL; candidates are numbered beyond all ids
+@query("j12_hamming_whole", None)
+def j12_whole(spark, d):
+    return near_hashes(read(spark, d, "embeddings"), 10**12)
+
+
+def near_hashes(vectors, gap: int):
+    refs = vectors.select(F.col("vec_id").cast("long").alias("ref"), M.sign_bits(F.col("embedding")).alias("h"))
     f = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("f")
     planted = refs.select("ref", "h", f)
     bits = F.transform(F.sequence(F.lit(0), (F.col("ref") + F.col("f") * 3) % 15), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), ((i * 11 + F.col("ref") + F.col("f")) % 64).cast("int")))
     flipped = F.col("h").bitwiseXOR(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
-    cands = planted.select((F.col("ref") + 1000000 * (F.col("f") + 1)).alias("cand"), flipped.alias("h"))
+    cands = planted.select((F.col("ref") + F.lit(gap) * (F.col("f") + 1)).alias("cand"), flipped.alias("h"))
     return M.hamming_join(cands, refs, "cand", "ref", "h").select("cand", "ref", "distance")
 
 
 @query("j12_same_recording", f"""WITH {HASH}, m AS (SELECT cand % 1000000 AS item, ref, min(bit_count(xor(k.h, r.h))) AS dist, f FROM k JOIN r ON bit_count(xor(k.h, r.h)) <= 10 GROUP BY 1, 2, f),
 g AS (SELECT item, ref, count(*) AS matched, min(dist)::INT AS best FROM m GROUP BY 1, 2) SELECT r.ref AS item, arg_max(g.ref, {{'m': matched, 'b': -best, 'r': -g.ref}}) AS best_ref, coalesce(max(matched), 0) >= 3 AS same FROM r LEFT JOIN g ON g.item = r.ref GROUP BY 1""")
 def j12b(spark, d):
-    hits = j12(spark, d).select((F.col("cand") % 1000000).alias("item"), ((F.col("cand") / 1000000).cast("long") - 1).alias("f"), "ref", "distance")
-    items = read(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("item"))
+    return recordings(read(spark, d, "embeddings").where("vec_id % 10 = 0"), 1000000)
+
+
+@query("j12_same_recording_whole", None)
+def j12b_whole(spark, d):
+    return recordings(read(spark, d, "embeddings"), 10**12)
+
+
+def recordings(vectors, gap: int):
+    hits = near_hashes(vectors, gap).select((F.col("cand") % gap).alias("item"), (F.floor(F.col("cand") / gap) - 1).alias("f"), "ref", "distance")
+    items = vectors.select(F.col("vec_id").alias("item"))
     return M.same_recording(hits, items, "item", "f", "ref", "distance")
 
 
@@ -204,8 +222,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, lib) A
 string_agg(lib::VARCHAR, ',' ORDER BY p) FILTER (p BETWEEN 2 AND 4) AS others FROM r WHERE p <= 4 GROUP BY 1""".replace("c AS (SELECT label, list_transform(range(1, 65), lambda i: avg(embedding[i])) AS x FROM embeddings GROUP BY 1),\n", ""))
 def j17(spark, d):
     v = read(spark, d, "embeddings")
+    return closest(v, v.where("vec_id % 25 = 1"))
+
+
+# the same items against all vectors
+@query("j17_best_match_whole", None)
+def j17_whole(spark, d):
+    v = read(spark, d, "embeddings")
+    return closest(v, v)
+
+
+def closest(v, among):
     items = v.where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").alias("x"))
-    library = v.where("vec_id % 25 = 1").select(F.col("vec_id").alias("lib"), "label", F.col("embedding").alias("y"))
+    library = among.select(F.col("vec_id").alias("lib"), "label", F.col("embedding").alias("y"))
     return M.best_match(items, library, "vec_id", "lib", "label", 0.8)
 
 
@@ -276,7 +305,7 @@ def j23(spark, d):
 
 @query("j24_coverage", None)
 def j24(spark, d):
-    e = events(spark, d).where("video_id % 5 = 0").select("video_id", F.col("t").alias("start"), "end", F.col("event_id").alias("id"), (F.col("event_id") % 40).cast("double").alias("x"), (F.col("event_id") % 25).cast("double").alias("y"), (F.col("value") % 30 + 5).alias("w"), (F.col("value") % 20 + 5).alias("h"), "type")
+    e = events(spark, d).select("video_id", F.col("t").alias("start"), "end", F.col("event_id").alias("id"), (F.col("event_id") % 40).cast("double").alias("x"), (F.col("event_id") % 25).cast("double").alias("y"), (F.col("value") % 30 + 5).alias("w"), (F.col("value") % 20 + 5).alias("h"), "type")
     return I.rectangle_coverage(e.where("type = 'view'").drop("type"), e.where("type <> 'view'").drop("type"), "video_id")
 
 

@@ -45,8 +45,18 @@ def c1(spark, d):
 @query("c2_components", """WITH RECURSIVE l AS (SELECT DISTINCT c_custkey AS a, 1000000 + c_nationkey AS b FROM customer WHERE c_custkey % 40 = 0 AND c_nationkey % 5 < 3 UNION SELECT DISTINCT s_suppkey + 2000000, 1000000 + s_nationkey FROM supplier WHERE s_nationkey % 5 < 3),
 p AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS x, a AS y FROM p UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a) SELECT x AS node, min(y) AS component FROM r GROUP BY 1""")
 def c2(spark, d):
-    c = read(spark, d, "customer").where("c_custkey % 40 = 0 AND c_nationkey % 5 < 3").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") + 1000000).cast("long").alias("b"))
-    s = read(spark, d, "supplier").where("s_nationkey % 5 < 3").select((F.col("s_suppkey") + 2000000).alias("a"), (F.col("s_nationkey") + 1000000).cast("long").alias("b"))
+    return nation_components(read(spark, d, "customer").where("c_custkey % 40 = 0 AND c_nationkey % 5 < 3"), read(spark, d, "supplier").where("s_nationkey % 5 < 3"), 1000000)
+
+
+# whole tables, whose closure of pairs is too large for SQL; ids of nations and suppliers lie beyond those of all customers
+@query("c2_components_whole", None)
+def c2_whole(spark, d):
+    return nation_components(read(spark, d, "customer"), read(spark, d, "supplier"), 10**12)
+
+
+def nation_components(customers, suppliers, gap: int):
+    c = customers.select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey") + F.lit(gap)).cast("long").alias("b"))
+    s = suppliers.select((F.col("s_suppkey") + F.lit(2 * gap)).cast("long").alias("a"), (F.col("s_nationkey") + F.lit(gap)).cast("long").alias("b"))
     return M.components(c.unionByName(s).distinct())
 
 
@@ -86,7 +96,7 @@ def c5(spark, d):
 @query("c5_shifted_similarity", None)
 def c5s(spark, d):
     v = vectors(spark, d)
-    return H.shifted_similarity(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 = 1"), "vec_id", "label", "x", bands=8, shifts=3, least=0.3)
+    return H.shifted_similarity(v, v, "vec_id", "label", "x", bands=8, shifts=3, least=0.3).where("a < b")
 
 
 @query("c6_medoid", f"""WITH {E}, f AS (SELECT video_id, any_value(format_id) AS g, count(*)::DOUBLE AS n, avg(value) AS m, CASE WHEN video_id % 4 <> 0 THEN max(value) END AS x FROM e GROUP BY 1),
@@ -134,5 +144,14 @@ def m6(spark, d):
 p AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT event_id AS x, event_id AS y FROM a UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a), c AS (SELECT x AS event_id, min(y) AS track FROM r GROUP BY 1)
 SELECT track, count(*) AS n, round(min(t), 6) AS start, round(max("end"), 6) AS "end" FROM c JOIN a USING (event_id) GROUP BY 1""")
 def w15(spark, d):
-    e = events(spark, d).where("video_id % 10 = 0").select("video_id", "type", F.col("event_id").alias("id"), F.col("t").alias("start"), "end", "value")
+    return tracks(events(spark, d).where("video_id % 10 = 0"))
+
+
+@query("w15_chain_merge_whole", None)
+def w15_whole(spark, d):
+    return tracks(events(spark, d))
+
+
+def tracks(rows):
+    e = rows.select("video_id", "type", F.col("event_id").alias("id"), F.col("t").alias("start"), "end", "value")
     return H.chain_merge(e, ["video_id", "type"], gap=6.0, alike=F.abs(F.col("value") - F.col("b_value")) <= 15)
