@@ -60,26 +60,52 @@ def best_match(items: DataFrame, library: DataFrame, item: str, lib: str, by: st
     return r.groupBy(item).agg(F.when(top >= least, F.max(F.when(F.col("p") == 1, F.col(lib)))).alias("best"), rounded(top).alias("sim"), F.nullif(F.array_join(F.transform(rest, lambda s: s["l"]), ","), F.lit("")).alias("others"))
 
 
-def fuzzy_names(names: DataFrame, listed: DataFrame, name: str, ref_name: str, ratio: float = 0.8, grams: int = 3) -> DataFrame:
+def fuzzy_names(names: DataFrame, listed: DataFrame, name: str, ref_name: str, ratio: float = 0.8) -> DataFrame:
     """Pairs of names that are the same account: equal without punctuation, one within the other (4 characters or more), or of a sequence ratio of at least `ratio`.
 
-    Names meet if they share a rare n-gram of characters: grams that more than a hundredth of the list has are no key.
+    Every such pair is found. Equal names meet by name. Of names that hold one another the longer lists all its 4-grams and
+    the shorter its rarest. A ratio can't exceed what the names share as multisets of characters, so names meet by a prefix
+    of their numbered characters, rarest first, that is long enough for the ratio.
     """
     alnum = lambda c: F.regexp_replace(F.lower(c), r"[^0-9\p{L}]", "")
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - grams + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(grams))))
-    a = names.withColumn("na", alnum(F.col(name)))
-    b = listed.withColumn("nb", alnum(F.col(ref_name)))
-    keys = b.select("ref", "nb", F.explode(gram(F.col("nb"))).alias("g"))
-    common = keys.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > F.greatest(F.lit(10), F.lit(listed.count() // 100)))
-    met = a.select("id", "na", F.explode(gram(F.col("na"))).alias("g")).join(keys.join(common, "g", "left_anti"), "g").select("id", "ref", "na", "nb").distinct()
+    a = names.select("id", alnum(F.col(name)).alias("na")).where("na IS NOT NULL").distinct()
+    b = listed.select("ref", alnum(F.col(ref_name)).alias("nb")).where("nb IS NOT NULL").distinct()
+    x, y = a.select("na").distinct(), b.select("nb").distinct()
+
+    def within(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        grams = lambda df, c: df.where(F.length(c) >= 4).select(c, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substr(F.col(c), i, F.lit(4))))).alias("g"))
+        held = grams(long, t)
+        often = held.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+        rarest = grams(short, s).join(often, "g", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "g")).alias("r")).select(s, F.col("r.g").alias("g"))
+        return rarest.join(held, "g").where(F.contains(t, F.col(s))).select("na", "nb")
+
+    char = lambda c, i: F.substr(F.col(c), i, F.lit(1))
+    nth = lambda c, i: F.size(F.filter(F.sequence(F.lit(1), i), lambda j: char(c, j) == char(c, i)))
+    numbered = lambda df, c: df.where(F.length(c) > 0).select(c, F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(char(c, i), nth(c, i).cast("string")))).alias("t"))
+    tx, ty = numbered(x, "na"), numbered(y, "nb")
+    often = tx.select("t").unionByName(ty.select("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"))
+
+    def prefix(tokens: DataFrame, c: str, name: str) -> DataFrame:
+        ranked = tokens.join(often, "t").groupBy(c).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda r: r["t"]).alias(name))
+        least = F.ceil(F.length(c) * ratio / (2 - ratio) - 1e-9)
+        return ranked.withColumn(f"{name}_p", F.slice(name, 1, (F.length(c) - least + 1).cast("int"))).withColumn("t", F.explode(f"{name}_p"))
+
+    total = F.length("na") + F.length("nb")
+    # a pair counts at the first character that both prefixes hold
+    first = F.element_at(F.array_intersect("ta_p", "tb_p"), 1) == F.col("t")
+    near = prefix(tx, "na", "ta").join(prefix(ty, "nb", "tb"), "t").where(first & (2 * F.least(F.length("na"), F.length("nb")) >= ratio * total - 1e-9))
+    near = near.where(2 * F.size(F.array_intersect("ta", "tb")) >= ratio * total - 1e-9).select("na", "nb")
+    met = x.join(y, x["na"] == y["nb"]).unionByName(within(x, "na", y, "nb")).unionByName(within(y, "nb", x, "na")).unionByName(near).distinct()
+    # many pairs are few bytes: without a number they would meet in one task
+    met = met.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "na", "nb")
 
     @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
+    def alike(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, v, w).ratio() for v, w in zip(p, q, strict=True)], dtype=float)
 
     inside = (F.least(F.length("na"), F.length("nb")) >= 4) & (F.contains("na", F.col("nb")) | F.contains("nb", F.col("na")))
-    scored = met.withColumn("ratio", alike("na", "nb"))
-    return scored.where((F.col("na") == F.col("nb")) | inside | (F.col("ratio") >= ratio)).select("id", "ref", rounded("ratio").alias("ratio"))
+    scored = met.withColumn("ratio", alike("na", "nb")).where((F.col("na") == F.col("nb")) | inside | (F.col("ratio") >= ratio))
+    return a.join(scored, "na").join(b, "nb").select("id", "ref", rounded("ratio").alias("ratio"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

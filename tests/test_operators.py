@@ -214,3 +214,20 @@ def test_stream_equals_batch(spark, tmp_path):
     df.repartition(5).write.json(str(tmp_path / "in"))
     got = stream_upserts(spark, str(tmp_path / "in"), "k long, pos long, v double", "k", "pos", state=str(tmp_path / "state"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, latest_by_key(df, "k", "pos").collect()))
+
+
+def test_fuzzy_names_equal_brute_force(spark):
+    """Also where all names share their grams, and where alike names share no gram of three."""
+    rng = random.Random(4)
+    names = [f"Customer#{i:09d}" for i in range(1, 40)] + ["abcde", "ab", "", "ring of fire", "xyzw"] + ["".join(rng.choice("abc-") for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    refs = [f"Customer {i:07d}" for i in range(30)] + ["abXde", "AB", "--", "firering of fire2", "yzw"] + ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    bare = lambda s: "".join(c for c in s.lower() if c.isalnum())
+    want = {}
+    for i, n in enumerate(names):
+        for k, m in enumerate(refs):
+            p, q = bare(n), bare(m)
+            r = difflib.SequenceMatcher(None, p, q).ratio()
+            if p == q or min(len(p), len(q)) >= 4 and (p in q or q in p) or r >= 0.8:
+                want[i, k] = round(r, 6)
+    got = similarity.fuzzy_names(table(spark, list(enumerate(names)), "id int, name string"), table(spark, list(enumerate(refs)), "ref int, r string"), "name", "r").collect()
+    assert len(got) == len(want) and {(r["id"], r["ref"]): r["ratio"] for r in got} == want
