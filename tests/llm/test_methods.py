@@ -349,6 +349,33 @@ def test_license_base_equals_brute_force():
         assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
 
 
+def test_matches_are_maximal_in_each_template():
+    """A template that another one goes on from counts where the text goes on with the other's words."""
+    scanner = license_scan.Scanner()
+    for t in ('Licensed under the Apache License, Version 2.0 (the "License"); see LICENSE for details', "Licensed under the Apache License, Version 2.0.\nThe author of this text"):
+        r = scanner.scan(t)
+        assert r["labels"] == "apache" and r["score"] == 1.0
+    rng = random.Random(6)
+    split = [license_scan.words(t) for _, t in license_scan.TEMPLATES]
+    for _ in range(60):
+        ws = []
+        while len(ws) < 60:
+            s = rng.choice(split)
+            i = rng.randrange(len(s))
+            ws += s[i : i + rng.randint(1, 14)] + [b"zzz"] * (rng.random() < 0.2)
+        want = set()
+        for k, s in enumerate(split):
+            for i in range(1, len(ws) + 1):
+                for j in range(1, len(s) + 1):
+                    n = 0
+                    while n < min(i, j) and ws[i - 1 - n] == s[j - 1 - n]:
+                        n += 1
+                    if n >= min(license_scan.MIN_MATCH, len(s)) and not (i < len(ws) and j < len(s) and ws[i] == s[j]):
+                        want.add((k, i - n, j - n, n))
+        got = scanner.matches(scanner.encode(ws))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_chains_bridge_small_changes():
     r = license_scan.Scanner().scan("Intro words. Licensed under the Apache License, hm Version 2.0! And so on.")
     assert r["labels"] == "apache" and r["base_labels"] == "" and r["score"] >= 0.75
