@@ -29,7 +29,16 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SEED = re.compile(r"[0-9@]+")
+_AT = r"[ ]?[(\[{<][ ]?[aA][tT][ ]?[)\]}>][ ]?"
+_DOT = r"[ ]?[(\[{<][ ]?[dD][oO][tT][ ]?[)\]}>][ ]?|[ ][dD][oO][tT][ ]"
+#: "at" in brackets, or between blanks if a spelled dot follows the next word.
+_SPELLED_AT = re.compile(rf"{_AT}|[ ][aA][tT][ ](?=[A-Za-z0-9-]{{1,63}}(?:{_DOT})[A-Za-z0-9])")
+_SPELLED_DOT = re.compile(_DOT)
+_SEED = re.compile(rf"[0-9@]+|{_SPELLED_AT.pattern}")
+#: What goes on with an address: an unbroken run, and in a domain also spelled dots.
+_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*")
+_AT_SIGN = re.compile(rf"[ ]?[(\[{{<]?[ ]?@[ ]?[)\]}}>]?[ ]?|{_SPELLED_AT.pattern}")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -53,6 +62,7 @@ def plausible(kind: str, text: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
+    text = _SPELLED_DOT.sub(".", _SPELLED_AT.sub("@", text))
     return text.count("@") == 1 and "." in text.split("@")[1]
 
 
@@ -83,10 +93,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @. Every kind has one of them, so no span lies elsewhere; all of the text is searched."""
+    """Stretches around digits, @ and spelled ats, up to the ends of the runs of address characters that they would cut. Every kind has a seed, so no span lies elsewhere; all of the text is searched."""
     out: list[list[int]] = []
     for m in _SEED.finditer(text):
+        low = out[-1][1] if out else 0
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        while a > low and text[a - 1] in _LOCAL:
+            a -= 1
+        if b > low:
+            after = _HOST.match(text, m.end() + len(text[m.end() : m.end() + 2]) - len(text[m.end() : m.end() + 2].lstrip(" )]}>")))
+            b = max(b, after.end()) if after else b
+            after = _RUN.match(text, b)
+            b = after.end() if after else b
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -342,6 +360,33 @@ def fit(docs: DataFrame, texts: int = TEXTS, made: int = MADE, epochs: int = EPO
     return net
 
 
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """An address's span with its whole local part and domain, and nothing else."""
+    at = _AT_SIGN.search(text, a, min(len(text), b + MARGIN))
+    if not at or at.start() > b:
+        return a, b
+    start = at.start()
+    while start > 0 and text[start - 1] in _LOCAL:
+        start -= 1
+    host = _HOST.match(text, at.end())
+    return (start, host.end()) if host and start < at.start() else (a, b)
+
+
+def as_signs(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with spelled ats and, after them, dots as signs, and where each of its characters starts and ends in the text."""
+    found = []
+    for at in _SPELLED_AT.finditer(text):
+        host = _HOST.match(text, at.end())
+        found += [(*at.span(), "@")] + ([(*m.span(), ".") for m in _SPELLED_DOT.finditer(text, at.end(), host.end())] if host else [])
+    out, starts, ends, low = [], [], [], 0
+    for a, b, sign in [*found, (len(text), len(text), "")]:
+        out += [text[low:a], sign]
+        starts += [*range(low, a), *([a] if sign else [])]
+        ends += [*range(low + 1, a + 1), *([b] if sign else [])]
+        low = b
+    return "".join(out), starts, ends
+
+
 def find_spans(texts: list[str], net: Network | None) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; a span of the network stays if it is plausible and overlaps no base span."""
     based = [base_spans(t) for t in texts]
@@ -349,11 +394,16 @@ def find_spans(texts: list[str], net: Network | None) -> list[tuple[list, list]]
     added: dict[int, list] = {}
     for k in range(0, len(where), 4096):
         part = where[k : k + 4096]
-        for (i, a, b), scores in zip(part, net.region_scores([codes(texts[i][a:b]) for i, a, b in part]), strict=True):
+        read = [as_signs(texts[i][a:b]) for i, a, b in part]
+        for (i, a, b), (_, starts, ends), scores in zip(part, read, net.region_scores([codes(t) for t, _, _ in read]), strict=True):
             taken = [(x, y) for _, x, y in based[i] if x < b and y > a]
             for kind, x, y, margin in net.decode(scores):
-                if margin >= MARGIN_SCORE and all(a + y <= p or a + x >= q for p, q in taken) and plausible(kind, texts[i][a + x : a + y]):
-                    added.setdefault(i, []).append((kind, a + x, a + y))
+                x, y = a + starts[x], a + ends[y - 1]
+                if kind == "email":
+                    x, y = whole_address(texts[i], x, y)
+                if margin >= MARGIN_SCORE and all(y <= p or x >= q for p, q in taken) and plausible(kind, texts[i][x:y]):
+                    added.setdefault(i, []).append((kind, x, y))
+                    taken.append((x, y))
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     return [(b, sorted([*b, *added.get(i, [])], key=order)) for i, b in enumerate(based)]
 

@@ -272,6 +272,23 @@ def test_network_finds_other_spellings(net):
     assert found >= 0.9 * (found + missed) and wrong <= 0.02 * found
 
 
+def test_long_and_spelled_addresses_are_whole(net):
+    cases = [
+        "jane.doe (@) chemistry.university.edu",
+        "jane.doe (@) departmentofchemistry.university.edu",
+        "bartholomew.featherstonehaugh-smith [@] example.com",
+        "jane.doe (at) host dot org",
+        "jane.doe [at] departmentofchemistry [dot] university [dot] edu",
+    ]
+    for c in cases:
+        text = f"please write to {c}, thanks"
+        a = text.index(c)
+        assert any(x <= a and y >= a + len(c) for x, y in pii.regions(text)), c
+        assert pii.find_spans([text], net)[0][1] == [("email", a, a + len(c))], c
+    # linear in the text, also in one long run
+    assert pii.regions("a1" * 50_000) == [(0, 100_000)]
+
+
 def test_windows_are_reconciled(net):
     """Spans that lie across window edges of a long region are whole, and base spans stay as they are."""
     text = "ask " + " ".join(f"und erer (017) 555-77{k:02d} ouen the {k}.{k}.{k}.{k} tion" for k in range(10, 40))
