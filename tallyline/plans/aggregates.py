@@ -227,8 +227,15 @@ def a22(spark, d):
 SELECT host, count(DISTINCT page_id) AS n_entities, count(*) AS n_mentions, bool_or(safe) AS verified, array_to_string(list_sort(list(page_id))[1:20], ',') AS evidence FROM a GROUP BY 1""")
 def a23(spark, d):
     a = read(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.col("url").startswith("https").alias("safe"))
-    proof = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list("page_id")), 1, 20), lambda x: x.cast("string")), ",")
-    return a.groupBy("host").agg(F.count_distinct("page_id").alias("n_entities"), F.count(F.lit(1)).alias("n_mentions"), F.bool_or("safe").alias("verified"), proof.alias("evidence"))
+    g = a.groupBy("host").agg(F.count_distinct("page_id").alias("n_entities"), F.count(F.lit(1)).alias("n_mentions"), F.bool_or("safe").alias("verified"))
+    proof = first_ids(a, "host", "page_id", 20, "evidence")
+    return g.join(proof, g["host"].eqNullSafe(proof["host"]), "left").select(g["host"], "n_entities", "n_mentions", "verified", F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
+def first_ids(rows, by: str, id_: str, limit: int, name: str):
+    """(by, name): the smallest ids of each group, in order; no more than `limit` of a group are gathered."""
+    few = rows.where(F.col(id_).isNotNull()).select(by, id_).withColumn("p", F.row_number().over(Window.partitionBy(by).orderBy(id_))).where(F.col("p") <= limit)
+    return few.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(id_)), lambda x: x.cast("string")), ",").alias(name))
 
 
 @query("a24_top_words", r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations),
@@ -249,8 +256,8 @@ def a25(spark, d):
     got = o.groupBy("o_custkey", F.col("o_orderpriority").alias("channel")).agg(F.count(F.lit(1)).alias("k"))
     kinds = spark.createDataFrame([(c,) for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")], "channel string")
     x = S.with_zeros(got, o, kinds, "o_custkey", "channel", "k")
-    missing = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("k") == 0, F.col("o_custkey")))), 1, 50), lambda v: v.cast("string")), ",")
-    return x.groupBy("channel").agg(F.count(F.lit(1)).alias("n_targets"), F.count(F.when(F.col("k") > 0, 1)).alias("n_covered"), F.when(F.count(F.when(F.col("k") == 0, 1)) > 0, missing).alias("missing"))
+    g = x.groupBy("channel").agg(F.count(F.lit(1)).alias("n_targets"), F.count(F.when(F.col("k") > 0, 1)).alias("n_covered"))
+    return g.join(first_ids(x.where("k = 0"), "channel", "o_custkey", 50, "missing"), "channel", "left")
 
 
 @query("a26_step_coverage", """WITH t AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderkey % 3 = 0 AS snap, o_orderpriority FROM orders WHERE o_totalprice >= 450000)
