@@ -73,7 +73,7 @@ def rectangle_coverage(overlays: DataFrame, ops: DataFrame, entity: str, width:
     """(id, covered, share): is each overlay's rectangle covered by active rectangles over its whole span, and the share of its span times area.
 
     Both: entity, id, start, end, x, y, w, h. The span is cut where an op starts or ends, the rectangle where an op's edges lie;
-    a piece of area is covered if one op that is active then holds it. Work per overlay follows the ops that touch it.
+    a piece of area is covered if one op that is active then holds it. Both are null for an overlay without span or area. Work per overlay follows the ops that touch it.
     """
     from pyspark.sql.functions import array_distinct, array_sort, flatten, transform
 
@@ -97,5 +97,5 @@ def rectangle_coverage(overlays: DataFrame, ops: DataFrame, entity: str, width:
     area = F.aggregate(F.col("xs"), F.lit(0.0), lambda acc, x: acc + F.aggregate(F.col("ys"), F.lit(0.0), lambda s, y: s + F.when(held(F.col("t"), x, y), (x["q"] - x["p"]) * (y["q"] - y["p"])).otherwise(0.0)))
     volume = slices.groupBy("a_id").agg(F.sum((F.col("t.q") - F.col("t.p")) * area).alias("v"))
     j = overlays.join(volume, overlays["id"] == volume["a_id"], "left")
-    share = F.coalesce("v", F.lit(0.0)) / ((F.col("end") - F.col("start")) * F.col("w") * F.col("h"))
+    share = F.coalesce("v", F.lit(0.0)) / F.nullif((F.col("end") - F.col("start")) * F.col("w") * F.col("h"), F.lit(0.0))
     return j.select("id", (share >= 1 - 1e-9).alias("covered"), F.round(share, 6).alias("share"))

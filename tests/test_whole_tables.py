@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from tallyline.operators import intervals
 from tallyline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -39,6 +40,13 @@ def test_coverage_has_every_overlay(spark):
     assert set(got(spark, "j24_coverage").id) == set(e.event_id[e.event_type == "view"])
 
 
+def test_coverage_without_span(spark):
+    schema = "e int, id int, start double, end double, x double, y double, w double, h double"
+    overlays = spark.createDataFrame([(1, 1, 2.0, 2.0, 0.0, 0.0, 5.0, 5.0), (1, 2, 2.0, 4.0, 0.0, 0.0, 5.0, 5.0)], schema)
+    ops = spark.createDataFrame([(1, 3, 0.0, 3.0, 0.0, 0.0, 9.0, 9.0)], schema)
+    assert sorted(map(tuple, intervals.rectangle_coverage(overlays, ops, "e").collect())) == [(1, None, None), (2, False, 0.5)]
+
+
 def test_components_of_all_customers_and_suppliers(spark):
     c, s, gap = load("customer"), load("supplier"), 10**12
     first = {}
