@@ -20,8 +20,12 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); tests, which set none, get one of their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Only a local master, as in tests, may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/tallyline-{tag}-{uuid.uuid4().hex}"
 
 
@@ -92,6 +96,28 @@ def crc_mod(col: str, n: int) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def in_fold(col: str, n: int, fold: int) -> F.Column:
+    """Whether a row is in the fold; a row without an id is in none."""
+    return F.coalesce(crc_mod(col, n) == fold, F.lit(False))
+
+
+def labelled(docs: DataFrame, marks: DataFrame, label: str, folds: int, held_out: int, examples: int, usable: F.Column) -> tuple[DataFrame, float]:
+    """((doc_id, label, text) of up to `examples` documents of each class, outside the held-out fold; the share of class 1).
+
+    docs: (doc_id, text); marks: doc_id and a 0/1 label (others: none). Documents that are usable and labelled are found
+    first, then those of each class that come first by a hash of the id are taken, so unusable ones take no place. Of rows
+    that repeat an id the least usable text stands for it, and label 1 wins. The share is that of all labels outside the fold.
+    """
+    known = marks.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(~in_fold("doc_id", folds, held_out))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    here = table(known.join(docs.where(usable).select("doc_id"), "doc_id", "left_semi"), "labelled")
+    part = lambda v: here.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    chosen = table(part(0).unionByName(part(1)), "chosen")
+    one, n = known.agg(F.sum("label"), F.count(F.lit(1))).head()
+    texts = docs.where(usable).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return texts, ((one or 0) + 1) / (n + 2)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow over all batches of a partition: fn takes them and yields dicts of columns."""
     ship(df.sparkSession)

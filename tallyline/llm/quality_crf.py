@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, each_batch, labels, table, take
+from .common import documents, each_batch, in_fold, labelled, labels, take
 
 FOLDS, HELD_OUT = 3, 1
-#: Bounds of what the model is fitted on: labelled rows of each class, the first by a hash of the id, with texts of up to
-#: MAX_CHARS characters and MAX_LINES lines.
+#: Bounds of what the model is fitted on: labelled documents of each class, the first by a hash of the id, of those with texts
+#: of 1 to MAX_CHARS characters and up to MAX_LINES lines.
 EXAMPLES = 1500
 MAX_CHARS, MAX_LINES = 20_000, 400
 ITERATIONS = 150
@@ -74,8 +74,8 @@ class Chains:
         ascending = self.counts[::-1]
         self.active = [len(counts) - int(np.searchsorted(ascending, t, side="right")) for t in range(self.longest)]
 
-    def run(self, emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-        """(P(good) of each line, log of the partition functions' product, expected transitions). emit: score of good, bad has 0."""
+    def run(self, emit: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+        """(P(good) of each line, log of the partition functions' product, expected transitions, each by its line's weight). emit: score of good, bad has 0."""
         n = len(emit)
         e = np.column_stack([np.zeros(n), emit])
         alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
@@ -94,7 +94,7 @@ class Chains:
         at = np.flatnonzero(inner)
         if len(at):
             pair = alpha[at - 1][:, :, None] + trans + (e[at] + beta[at])[:, None, :]
-            moves = np.exp(pair - z[at][:, None, None]).sum(0)
+            moves = (np.exp(pair - z[at][:, None, None]) * (1.0 if weight is None else weight[at][:, None, None])).sum(0)
         return np.exp(both[:, 1] - z), float(z[self.starts].sum()), moves
 
 
@@ -121,12 +121,12 @@ class Model:
         inner = np.ones(len(x), bool)
         inner[np.concatenate(([0], np.cumsum(counts)))[:-1]] = False
         seen = np.zeros((2, 2))
-        np.add.at(seen, (line_y[inner].astype(int), line_y[inner].astype(int)), 1)
+        np.add.at(seen, (line_y[inner].astype(int), line_y[inner].astype(int)), line_w[inner])
         theta = np.zeros(len(self.weights) + 4)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, iterations + 1):
-            p, _, moves = chains.run(x @ theta[:-4], theta[-4:].reshape(2, 2))
-            g = np.concatenate([x.T @ (line_w * (p - line_y)), ((moves - seen) / max(1, inner.sum())).ravel()]) + LAMBDA * np.concatenate([theta[:-4], 20 * theta[-4:]])
+            p, _, moves = chains.run(x @ theta[:-4], theta[-4:].reshape(2, 2), line_w)
+            g = np.concatenate([x.T @ (line_w * (p - line_y)), (moves - seen).ravel()]) + LAMBDA * np.concatenate([theta[:-4], 20 * theta[-4:]])
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weights, self.trans = theta[:-4], theta[-4:].reshape(2, 2)
@@ -167,11 +167,8 @@ class Model:
 
 def fit(docs: DataFrame, marks: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, examples: int = EXAMPLES) -> Model:
     """docs: (doc_id, text); marks: doc_id and a 0/1 label (null: none). Features of at most 2 * examples texts reach the driver."""
-    known = marks.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(crc_mod("doc_id", folds) != held_out)
-    shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    part = lambda v: known.where(F.col("label") == v).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    chosen = table(part(0).unionByName(part(1)), "chosen")
-    sample = docs.where((F.length("text") <= MAX_CHARS) & (F.length("text") > 0) & (F.size(F.split("text", "\n")) <= MAX_LINES)).join(F.broadcast(chosen), "doc_id")
+    usable = F.length("text").between(1, MAX_CHARS) & (F.size(F.split("text", "\n")) <= MAX_LINES)
+    sample, prior = labelled(docs, marks, label, folds, held_out, examples, usable)
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = [line_features(t) for t in batch.column("text").to_pylist()]
@@ -179,14 +176,14 @@ def fit(docs: DataFrame, marks: DataFrame, label: str = "quality", folds: int =
 
     rows = each_batch(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, x binary, n binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    return Model([(r["label"], np.frombuffer(r["x"], np.float32).reshape(-1, N), np.frombuffer(r["n"])) for r in rows], (shares.get(1, 0) + 1) / (sum(shares.values()) + 2))
+    return Model([(r["label"], np.frombuffer(r["x"], np.float32).reshape(-1, N), np.frombuffer(r["n"])) for r in rows], prior)
 
 
 def score_quality(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, lines: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, with `lines` also good (P(good) of each line), and the columns in `keep`; a row for each input row.
 
     Null and empty texts have the quality 0, calibrated like the others. With no labelled rows, or one class only, the
-    score follows that class or is that of an even chance. Repeated rows get equal scores.
+    score follows that class or is that of an even chance. Repeated rows get equal scores; a row without an id is not held out.
     """
     rows = take(docs, id_col, text_col, *[c for c in keep if c not in ("doc_id", "text")])
     passed = rows.select(*keep).schema
@@ -204,7 +201,7 @@ def score_quality(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", tex
 
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in passed if f.name != "doc_id")
     scored = each_batch(rows, run, "doc_id long, score double" + ", good array<double>" * lines + more)
-    return scored.select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["good"] * lines, *[c for c in keep if c != "doc_id"])
+    return scored.select("doc_id", in_fold("doc_id", folds, held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["good"] * lines, *[c for c in keep if c != "doc_id"])
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -4,118 +4,172 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, each_batch, labels, table, take
+from .common import documents, each_batch, in_fold, labelled, labels, take
 
 FOLDS, HELD_OUT = 5, 0
-#: Bounds of what the classifier is fitted on: labelled rows of each class, the first by a hash of the id, with texts up to MAX_CHARS.
+#: Bounds of what the classifier is fitted on: labelled documents of each class, the first by a hash of the id, with texts of 1 to MAX_CHARS characters.
 EXAMPLES = 2000
 MAX_CHARS = 50_000
-#: Terms of the vectors: those in at least MIN_TERM examples that tell the classes apart most, by chi-square, above CHI_MIN.
-TERMS = 512
-MIN_TERM = 5
-CHI_MIN = 30.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 32
 #: Weight of the share of toxic rows among all labelled ones beside the neighbours' votes.
 PRIOR = 0.5
+#: Least factor of a term that both classes have equally often.
+LEAST = 0.05
+#: Terms in more than this share of the examples have their weights in a matrix, others in postings.
+OFTEN = 1 / 16
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-#: Besides a word, its beginnings of these lengths are terms, written with a circumflex: inflected and compound words share them.
-STEMS = (4, 5, 6, 7)
+def terms(text: str) -> Counter[str]:
+    """How often each term stands in a text: words of letters in lower case."""
+    return Counter(_WORD.findall(text.lower()))
 
 
-def terms(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in STEMS if len(word) >= n)]
-
-
-class _Found(dict):
-    """word: its terms that the vocabulary has; starts anew when it is full."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        got = tuple(t for t in terms(word) if t in self.vocabulary)
-        if len(word) < 64:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = got
-        return got
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + lengths[0] - 1, starts[1] .., one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks of BLOCK examples; for each term and block the largest weight.
+    """Unit vectors by term and block of examples. Postings are cut into cells by term and block, and each cell knows its
+    largest weight; the few terms that most examples have are columns of a matrix instead.
 
-    A query sums, for every block, its weights times the block's maxima: no example there can be nearer. Blocks are
-    scored in falling order of that bound until it is below the k-th best cosine, so the neighbours are exact.
+    The bound of a block is the largest product of its members over the matrix, plus the query's weights times the cells'
+    maxima: no example there can be nearer. Blocks are scored in falling order of that bound until it is below the k-th
+    best cosine, so the neighbours are exact.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t), default=-1), i))
-        self.ids = np.array(order, np.int64)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, often: float = OFTEN):
+        """vectors: (terms, weights) of each example."""
+        lead = [int(t[np.lexsort((t, -w))[0]]) if len(t) else -1 for t, w in vectors]
         self.block, self.n = block, len(vectors)
-        n_blocks = max(1, -(-self.n // block))
-        self.max = np.zeros((n_terms, n_blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(n_blocks)]
-        found: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n_blocks)]
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                self.max[t, place // block] = max(self.max[t, place // block], w)
-                found[place // block].setdefault(t, []).append((place % block, w))
-        for b, by in enumerate(found):
-            for t, xs in by.items():
-                self.postings[b][t] = np.array([x for x, _ in xs]), np.array([w for _, w in xs])
-
-    def nearest(self, query: dict[int, float], k: int, but: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a positive cosine; of equal ones the smaller number first. but: an example to leave out."""
-        if not query:
-            return []
-        ts = sorted(query)
-        bound = np.array([query[t] for t in ts]) @ self.max[ts]
+        self.n_blocks = max(1, -(-self.n // block))
+        ids = sorted(range(self.n), key=lambda i: (lead[i], i))
+        self.ids = np.array(ids + [-1] * (self.n_blocks * block - self.n), np.int64)
+        sizes = [len(vectors[i][0]) for i in ids]
+        join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
+        term, weight = (join([vectors[i][k] for i in ids], kind) for k, kind in ((0, np.int64), (1, np.float64)))
+        place = np.repeat(np.arange(self.n), sizes)
+        common = np.flatnonzero(np.bincount(term, minlength=n_terms) > often * self.n)
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[term] >= 0
+        self.matrix = np.zeros((len(common), len(self.ids)))
+        self.matrix[self.column[term[dense]], place[dense]] = weight[dense]
+        term, place, weight = term[~dense], place[~dense], weight[~dense]
+        order = np.argsort(term, kind="stable")  # within a term by place, so by block
+        term, self.place, self.weight = term[order], place[order].astype(np.int32), weight[order]
+        cell = term * self.n_blocks + self.place // block
+        self.starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.lengths = np.diff(np.append(self.starts, len(cell)))
+        self.cell_block = (self.place[self.starts] // block).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.weight, self.starts) if len(cell) else np.empty(0)
+        self.of_term = np.searchsorted(term[self.starts], np.arange(n_terms + 1))
+
+    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the matrix adds to the cosines: a row for each query, a column for each place."""
+        q = np.zeros((len(queries), len(self.matrix)))
+        for row, (ts, ws) in zip(q, queries, strict=True):
+            at = self.column[ts]
+            row[at[at >= 0]] = ws[at >= 0]
+        return q @ self.matrix
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, but: int = -1, product: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest to (terms, weights) with a positive cosine; of equal ones the smaller number first. but: an example to leave out."""
+        ts, ws = query
+        product = self.products([query])[0] if product is None else product
+        rare = self.column[ts] < 0
+        ts, ws = ts[rare], ws[rare]
+        lengths = self.of_term[ts + 1] - self.of_term[ts]
+        cells = _ranges(self.of_term[ts], lengths)
+        mine = np.repeat(ws, lengths)
+        block = self.cell_block[cells]
+        bound = product.reshape(-1, self.block).max(1) + np.bincount(block, self.cell_max[cells] * mine, self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         top: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(top) == k and bound[b] < -top[-1][0] - 1e-12:
+        at, step = 0, 4
+        while at < len(order):
+            some = order[at : at + step]
+            least = -top[-1][0] - 1e-12 if len(top) == k else 0.0
+            some = some[bound[some] >= least]
+            if not len(some):
                 break
-            sums = np.zeros(self.block)
-            for t in ts:
-                if (post := self.postings[b].get(t)) is not None:
-                    sums[post[0]] += query[t] * post[1]
-            top += [(-float(sums[x]), int(self.ids[b * self.block + x])) for x in np.flatnonzero(sums > 0) if self.ids[b * self.block + x] != but]
-            top = sorted(top)[:k]
+            wanted = np.zeros(self.n_blocks, bool)
+            wanted[some] = True
+            hit = wanted[block]
+            n = self.lengths[cells[hit]]
+            posts = _ranges(self.starts[cells[hit]], n)
+            sums = np.bincount(self.place[posts], self.weight[posts] * np.repeat(mine[hit], n), len(self.ids))
+            places = (some[:, None] * self.block + np.arange(self.block)).ravel()
+            sums = sums[places] + product[places]
+            good = (sums > 0) & (sums >= least)
+            places, sums = places[good], sums[good]
+            if len(sums) > 4 * k:  # all that tie with the k-th stay, and one more for the example to leave out
+                good = sums >= np.partition(sums, -k - 1)[-k - 1]
+                places, sums = places[good], sums[good]
+            top = sorted(top + [(-s, i) for s, i in zip(sums.tolist(), self.ids[places].tolist(), strict=True) if i != but])[:k]
+            at += step
+            step *= 2
         return [(-s, i) for s, i in top]
 
 
 class Model:
-    """The index, the idf of its terms and the calibration of votes."""
+    """The index over all terms of the examples, the terms' weights and the calibration of votes.
+
+    A term weighs (1 + log of its count) * idf * contrast; the contrast is the square root of its chi-square between the
+    classes, so that of the thousands of words that texts share by chance few decide which example is near.
+    """
 
-    def __init__(self, rows: list[tuple[int, int, dict[str, int]]], n_docs: int, df: dict[str, int], prior: float, k: int = NEIGHBOURS):
-        """rows: (doc_id, label, counts of vocabulary terms) of the examples."""
-        self.vocabulary = {t: i for i, t in enumerate(sorted(df))}
-        self.idf = {t: math.log((1 + n_docs) / (1 + n)) + 1 for t, n in df.items()}
+    def __init__(self, rows: list[tuple[int, int, dict[str, int]]], prior: float, k: int = NEIGHBOURS):
+        """rows: (doc_id, label, counts of terms) of the examples."""
         self.k, self.prior = k, prior
         self.doc_ids = [r[0] for r in rows]
         self.labels = [r[1] for r in rows]
+        n, n1 = len(rows), sum(self.labels)
+        n0 = n - n1
+        self.vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in r[2]}))}
+        a, b = np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary))
+        for _, label, counts in rows:
+            at = np.fromiter((self.vocabulary[t] for t in counts), np.int64, len(counts))
+            (a if label else b)[at] += 1
+        chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1.0, (a + b) * (n - a - b) * n1 * n0)
+        contrast = np.maximum(LEAST, np.sqrt(chi)) if n1 and n0 else 1.0
+        self.weights = (np.log((1 + n) / (1 + a + b)) + 1) * contrast
         vectors = [self.vector(r[2]) for r in rows]
-        self.index = BlockMaxIndex(vectors, max(1, len(self.vocabulary)))
+        self.index = BlockMaxIndex(vectors, len(self.vocabulary))
         # the classes are sampled apart: a vote counts as much as its class has rows among all labelled ones
-        n1 = sum(self.labels)
-        self.weight = {1: prior / max(1, n1), 0: (1 - prior) / max(1, len(rows) - n1)}
-        raw = [self.vote(self.index.nearest(v, k, but=i)) if v else prior for i, v in enumerate(vectors)]
-        self.slope, self.shift = self.calibrate(raw)
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        v = {self.vocabulary[t]: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.vocabulary}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
+        self.weight = {1: prior / max(1, n1), 0: (1 - prior) / max(1, n0)}
+        self.slope, self.shift = self.calibrate([self.vote(near) for near in self.nearest(vectors, range(n))])
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but=None, size: int = 64) -> list[list[tuple[float, int]]]:
+        """The neighbours of each vector; but: for each the example to leave out."""
+        out = []
+        for a in range(0, len(vectors), size):
+            part = vectors[a : a + size]
+            out += [self.index.nearest(v, self.k, -1 if but is None else but[a + j], p) for j, (v, p) in enumerate(zip(part, self.index.products(part), strict=True))]
+        return out
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of unit length, by rising term; terms that no example has are left out."""
+        at = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), float, len(counts))
+        n, at = n[at >= 0], at[at >= 0]
+        order = np.argsort(at)
+        ts = at[order]
+        ws = (1 + np.log(n[order])) * self.weights[ts]
+        return ts, ws / math.sqrt(float(ws @ ws)) if len(ws) else ws
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of the toxic votes, each weighted by 1 / (distance + 0.05) and its class; the prior has the weight PRIOR of a neighbour at distance 1."""
@@ -148,74 +202,44 @@ class Model:
         p = min(max(p, 1e-4), 1 - 1e-4)
         return math.log(p / (1 - p))
 
-    def score(self, words: list[str], memory: dict) -> tuple[float, list[int], list[float]]:
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        key = tuple(sorted(counts.items()))
-        if key not in memory:
-            if len(memory) > 50_000:
-                memory.clear()
-            near = self.index.nearest(self.vector(counts), self.k)
+    def score(self, counts: list[dict[str, int]]) -> list[tuple[float, list[int], list[float]]]:
+        """(calibrated score, ids of the three nearest examples, their cosines) of each text's terms."""
+        out = []
+        for near in self.nearest(list(map(self.vector, counts))):
             z = self.slope * self.logit(self.vote(near)) + self.shift
-            memory[key] = 1 / (1 + math.exp(-min(max(z, -30), 30))), [self.doc_ids[i] for _, i in near[:3]], [c for c, _ in near[:3]]
-        return memory[key]
+            out.append((1 / (1 + math.exp(-min(max(z, -30), 30))), [self.doc_ids[i] for _, i in near[:3]], [c for c, _ in near[:3]]))
+        return out
 
 
 def fit(docs: DataFrame, marks: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, examples: int = EXAMPLES) -> Model:
-    """Examples and terms come from labelled rows outside the held-out fold. docs: (doc_id, text); marks: doc_id and a 0/1 label (null: none).
+    """docs: (doc_id, text); marks: doc_id and a 0/1 label (null: none). Terms of at most 2 * examples texts reach the driver, all of each."""
+    sample, prior = labelled(docs, marks, label, folds, held_out, examples, F.length("text").between(1, MAX_CHARS))
 
-    Of the texts only counts of at most TERMS terms reach the driver, for at most 2 * examples rows.
-    """
-    known = marks.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(crc_mod("doc_id", folds) != held_out)
-    shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
-    chosen = None
-    for value in (0, 1):
-        part = known.where(F.col("label") == value).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1))
-    stem = lambda w: F.filter(F.array(w, *[F.when(F.length(w) >= n, F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]), lambda t: t.isNotNull())
-    words = F.flatten(F.transform(words, stem))
-    sample = table(docs.where(F.length("text") <= MAX_CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", words.alias("words")), "examples")
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    by = sample.select("label", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    a, b, c, d = F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b")
-    chi = (n1 + n0) * F.pow(a * d - b * c, 2) / F.greatest(F.lit(1.0), (a + b).cast("double") * (c + d) * n1 * n0)
-    picked = by.where(a + b >= MIN_TERM).select("term", (a + b).alias("df"), chi.alias("chi")).where(F.col("chi") >= CHI_MIN).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    df = {r["term"]: r["df"] for r in picked}
-    keep = F.array(*[F.lit(t) for t in df]) if df else F.array().cast("array<string>")
-    rows = sample.select("doc_id", "label", F.filter("words", lambda w: F.array_contains(keep, w)).alias("words")).collect()
-    counted = []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        got: dict[str, int] = {}
-        for w in r["words"]:
-            got[w] = got.get(w, 0) + 1
-        counted.append((r["doc_id"], r["label"], got))
-    return Model(counted, n1 + n0, df, prior)
+    def run(batch: pa.RecordBatch) -> dict:
+        counts = [terms(t) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
+
+    rows = each_batch(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, terms array<string>, counts array<int>").collect()
+    return Model([(r["doc_id"], r["label"], dict(zip(r["terms"], r["counts"], strict=True))) for r in sorted(rows, key=lambda r: r["doc_id"])], prior)
 
 
 def score_toxicity(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the three nearest examples), similarity (their cosines); a row for each input row.
 
-    The vectors hold only terms that tell the classes apart, so a text without any, null and empty ones among them, has no
-    neighbour and gets the calibrated prior. Repeated rows get equal scores; with no labelled rows all scores are 0.5 or less.
-    The model's size is bounded by EXAMPLES and TERMS; each text is read once, whole.
+    Every term of the examples is in the index, so a text that shares any with one of them has neighbours. A text without
+    such a term, null and empty ones among them, gets the calibrated prior and no evidence. Repeated rows get equal
+    scores; a row without an id is not held out; with no labelled rows all scores are 0.5 or less.
+    The model's size is bounded by EXAMPLES and MAX_CHARS; each text is read once, whole.
     """
     rows = take(docs, id_col, text_col)
-    model = fit(rows, marks, label, folds, held_out)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, marks, label, folds, held_out))
 
     def run(batch: pa.RecordBatch) -> dict:
-        m = shared.value
-        memory = m.__dict__.setdefault("_memory", {})
-        found = m.__dict__.setdefault("_found", _Found(m.vocabulary))
-        out = [m.score([t for x in map(found.__getitem__, _WORD.findall(text.lower())) for t in x], memory) for text in batch.column("text").to_pylist()]
+        out = shared.value.score(list(map(terms, batch.column("text").to_pylist())))
         return {"doc_id": batch.column("doc_id"), "score": [x[0] for x in out], "evidence": [x[1] for x in out], "similarity": [x[2] for x in out]}
 
     scored = each_batch(rows, run, "doc_id long, score double, evidence array<long>, similarity array<double>")
-    return scored.select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "similarity")
+    return scored.select("doc_id", in_fold("doc_id", folds, held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "similarity")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

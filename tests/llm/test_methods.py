@@ -28,18 +28,79 @@ def texts(n=None):
 # ---------------------------------------------------------------- toxicity
 
 
-def test_block_max_index_is_exact():
+def as_arrays(v):
+    ts = np.array(sorted(v), np.int64)
+    return ts, np.array([v[t] for t in ts.tolist()], float)
+
+
+@pytest.mark.parametrize("often", [0.0, 0.1, 1.0])
+def test_block_max_index_is_exact(often):
     rng = random.Random(1)
     vectors = []
     for _ in range(700):
         v = {t: rng.random() for t in rng.sample(range(40), rng.randint(0, 6))}
         norm = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({t: x / norm for t, x in v.items()} if norm else {})
-    index = toxicity.BlockMaxIndex(vectors, 40, block=32)
-    for q in vectors[:60]:
-        want = sorted(((sum(q[t] * v.get(t, 0) for t in q), -i) for i, v in enumerate(vectors)), reverse=True)[:10]
-        got = index.nearest(q, 10)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want if s > 0]
+    index = toxicity.BlockMaxIndex(list(map(as_arrays, vectors)), 40, block=32, often=often)
+    for n, q in enumerate(vectors[:60]):
+        want = sorted(((sum(q[t] * v.get(t, 0) for t in q), -i) for i, v in enumerate(vectors)), reverse=True)
+        got = index.nearest(as_arrays(q), 10)
+        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want[:10] if s > 0]
+        got = index.nearest(as_arrays(q), 10, but=n)
+        assert n not in [i for _, i in got] and [round(s, 9) for s, _ in got] == [round(s, 9) for s, i in want if i != -n][: len(got)]
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Weights, all cosines, votes, calibration and evidence, from the examples' texts by plain loops."""
+    docs, marks = common.documents(spark, SMALL), common.labels(spark, SMALL)
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    label = {r["doc_id"]: r["toxic"] for r in marks.collect() if r["toxic"] in (0, 1)}
+    known = {i: y for i, y in label.items() if zlib.crc32(str(i).encode()) % 5}
+    examples = {i: collections.Counter(re.findall(r"[^\W\d_]+", text[i].lower())) for i in sorted(known) if 0 < len(text.get(i, "")) <= 50_000}
+    n, n1 = len(examples), sum(known[i] for i in examples)
+    prior = (sum(known.values()) + 1) / (len(known) + 2)
+    a, b = (collections.Counter(t for i, c in examples.items() if known[i] == y for t in c) for y in (1, 0))
+
+    def weight(t):
+        chi = n * (a[t] * (n - n1 - b[t]) - b[t] * (n1 - a[t])) ** 2 / max(1, (a[t] + b[t]) * (n - a[t] - b[t]) * n1 * (n - n1))
+        return (math.log((1 + n) / (1 + a[t] + b[t])) + 1) * max(0.05, math.sqrt(chi))
+
+    def vector(c):
+        v = {t: (1 + math.log(m)) * weight(t) for t, m in c.items() if a[t] + b[t]}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(c) for i, c in examples.items()}
+    mass = {1: prior / n1, 0: (1 - prior) / (n - n1)}
+
+    def near(v, but=None):
+        found = sorted((-sum(x * u.get(t, 0) for t, x in v.items()), i) for i, u in vectors.items() if i != but)
+        return [(-s, i) for s, i in found if s < 0][:15]
+
+    def logit(found):
+        base = (mass[0] + mass[1]) / 4
+        votes = [(mass[known[i]] / (math.sqrt(max(0, 2 - 2 * s)) + 0.05), known[i]) for s, i in found]
+        p = (base * prior + sum(w for w, y in votes if y)) / (base + sum(w for w, _ in votes))
+        return math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+
+    x, y = [logit(near(v, i)) for i, v in vectors.items()], [known[i] for i in vectors]
+    w = [mass[k] * n / sum(mass[j] for j in y) for k in y]
+    loss = lambda s, c: sum(m * (math.log1p(math.exp(-(s * u + c))) if k else math.log1p(math.exp(s * u + c))) for u, k, m in zip(x, y, w, strict=True)) + 0.05 * ((s - 1) ** 2 + c * c)
+    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, marks).collect()}
+    pairs = []
+    for i, t in text.items():
+        found = near(vector(collections.Counter(re.findall(r"[^\W\d_]+", t.lower()))))
+        assert np.allclose(rows[i]["similarity"], [s for s, _ in found[:3]])
+        if all(abs(p[0] - q[0]) > 1e-9 for p, q in zip(found, found[1:4])):
+            assert rows[i]["evidence"] == [k for _, k in found[:3]]
+        pairs.append((logit(found), math.log(rows[i]["score"] / (1 - rows[i]["score"]))))
+        assert rows[i]["predicted"] == (rows[i]["score"] >= 0.5) and rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    # one line through all (vote, score), at the least loss
+    (u0, z0), (u1, z1) = min(pairs), max(pairs)
+    slope = (z1 - z0) / (u1 - u0)
+    shift = z0 - slope * u0
+    assert all(abs(slope * u + shift - z) < 1e-6 for u, z in pairs)
+    assert all(loss(slope, shift) <= loss(slope + d, shift + e) + 1e-9 for d in (-1e-3, 0, 1e-3) for e in (-1e-3, 0, 1e-3))
 
 
 def accuracy(df, column):
