@@ -6,15 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, each_batch, table
+from .common import SPACES, documents, each_batch, table, with_bad_lines
 
 #: A line is removed if more documents of its host have it than MIN_DOCS and than SHARE of the host's documents.
 MIN_DOCS = 10
 SHARE = 0.05
 #: A document is depleted if fewer of its words are left than this share.
 LEFT = 0.5
-BROADCAST_LINES = 500_000
-SALTS = 32
 
 
 def _counts(text: str) -> tuple[int, int, int, int, int]:
@@ -71,22 +69,19 @@ def _keyed(text):
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left, kept; a row for each input row.
 
-    Null or empty text: zero counts, so base_failed. Null host: no line is removed. A document counts a line once;
-    repeated rows count as documents of their own. A document of which fewer than `left` of the words stay is depleted
-    and not kept.
+    Null or empty text: zero counts, so base_failed. Null host: no line is removed. The documents of a host are its distinct
+    ids, for a line and for the total; rows without an id are in neither, but lose the host's lines as well. A document of
+    which fewer than `left` of the words stay is depleted and not kept.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), docs[host_col].alias("host"))
-    keyed = rows.where("host IS NOT NULL").select("host", _keyed(F.col("text")).alias("lines"))
-    seen = keyed.select("host", F.explode(F.array_distinct(F.transform("lines", lambda r: r["key"]))).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    named = rows.where("host IS NOT NULL AND doc_id IS NOT NULL")
+    keys = F.array_distinct(F.transform(_keyed(F.col("text")), lambda r: r["key"]))
+    # dealt by host, line and id, and counted before lines meet: neither a large host nor a common line fills a task
+    seen = named.select("host", "doc_id", F.explode(keys).alias("key")).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    total = named.select("host", "doc_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     bad = table(seen.where(F.col("n") > min_docs).join(total, "host").where(F.col("n") > share * F.col("n_host")).select("host", "key"), "common-lines")
-    sets = bad.groupBy("host").agg(F.collect_set("key").alias("bad"))
-    if bad.count() <= BROADCAST_LINES:
-        joined = rows.join(F.broadcast(sets), "host", "left")
-    else:
-        salted = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", (F.rand(7) * SALTS).cast("int")).join(salted, ["host", "salt"], "left")
-    lost = F.when(F.col("bad").isNull(), 0).otherwise(F.aggregate(_keyed(F.col("text")), F.lit(0), lambda a, r: a + F.when(F.array_contains("bad", r["key"]), r["n"]).otherwise(0)))
+    joined, is_bad = with_bad_lines(rows, bad)
+    lost = F.when(F.col("bad").isNull(), 0).otherwise(F.aggregate(_keyed(F.col("text")), F.lit(0), lambda a, r: a + F.when(is_bad(r["key"]), r["n"]).otherwise(0)))
     counted = base_counts(joined.select("doc_id", "text", lost.cast("long").alias("n_lost")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     n_left = F.col("n_words") - F.col("n_lost")
@@ -113,7 +108,7 @@ l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)
 lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
 ln AS (SELECT *, regexp_replace(lower(array_to_string(ws, ' ')), '[0-9]+', '0', 'g') AS norm FROM lw WHERE len(ws) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY 1),
-hosts AS (SELECT source, count(*) AS n_host FROM d WHERE source IS NOT NULL GROUP BY 1),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS n_host FROM d WHERE source IS NOT NULL GROUP BY 1),
 bad AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM ln WHERE source IS NOT NULL GROUP BY 1, 2)
         JOIN hosts USING (source) WHERE n > {MIN_DOCS} AND n > {SHARE}::DOUBLE * n_host),
 lost AS (SELECT doc_id, sum(len(ws)) AS n FROM ln SEMI JOIN bad ON ln.source = bad.source AND ln.norm = bad.norm GROUP BY 1),
