@@ -1,8 +1,9 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
-For each prefix of a pre-token one vocabulary entry is the last token of its encoding. An automaton over the vocabulary
-gives the entries that are suffixes of the prefix; the one whose pair with the prefix before it is stable under the
-merges is stored, and following the stored tokens from the end gives the ids.
+For each prefix of a pre-token one vocabulary entry is the last token of its encoding. A suffix automaton of the
+vocabulary matches the longest end of the prefix that lies in some entry, and its suffix links give the entries that are
+ends of the prefix themselves; the one whose pair with the prefix before it is stable under the merges is stored, and
+following the stored tokens from the end gives the ids.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import json
 import re
 import unicodedata
 
-import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .automaton import SuffixAutomaton
 from .common import documents, each_batch, take
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -38,17 +40,44 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def _inner(token: str, suffix: str) -> str:
+    """A token in the automaton's alphabet: the vocabulary's mark of a word's end as one character."""
+    return token[: -len(suffix)] + END if suffix and token.endswith(suffix) else token
+
+
+def vocabulary_automaton(spec: str) -> dict[str, np.ndarray]:
+    """The suffix automaton of a tokenizers file's vocabulary as arrays, which travel to the tasks.
+
+    moves and to: state * 512 + character, and where it leads; link and length of each state; token: the id of the entry
+    that is the state's longest string, else -1 (an entry stands nowhere else, as it ends itself); up: the next state on the
+    suffix links, not counting itself, that has an entry, else 0.
+    """
+    model = json.loads(spec)["model"]
+    suffix = model.get("end_of_word_suffix") or ""
+    names = [(_inner(s, suffix), i) for s, i in model["vocab"].items()]
+    automaton = SuffixAutomaton(s for s, _ in names)
+    token = np.full(len(automaton.len), -1, np.int32)
+    for (_, i), passed in zip(names, automaton.prefixes, strict=True):
+        token[passed[-1]] = i
+    up = np.zeros(len(token), np.int32)
+    for s in sorted(range(1, len(token)), key=lambda s: automaton.len[s]):
+        p = automaton.link[s]
+        up[s] = p if p > 0 and token[p] >= 0 else up[p] if p > 0 else 0
+    moves = [(s << 9 | ord(c), t) for s, nxt in enumerate(automaton.next) for c, t in nxt.items()]
+    moves, to = np.array(moves, np.int64).T
+    return {"moves": moves, "to": to.astype(np.int32), "link": np.array(automaton.link, np.int32), "length": np.array(automaton.len, np.int32), "token": token, "up": up}
+
+
 class PrefixEncoder:
-    """Encodes one pre-token at a time with the vocabulary of a tokenizers file (its JSON text)."""
+    """Encodes one pre-token at a time with the vocabulary of a tokenizers file (its JSON text) and its automaton."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, automaton: dict[str, np.ndarray] | None = None):
         d = json.loads(spec)
         model = d["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
-        inner = lambda s: s[: -len(self.suffix)] + END if self.suffix and s.endswith(self.suffix) else s
         self.names = {i: s for s, i in model["vocab"].items()}
-        ids = {inner(s): i for s, i in model["vocab"].items()}
+        ids = {_inner(s, self.suffix): i for s, i in model["vocab"].items()}
         size = max(self.names) + 1
         self.length = [0] * size
         self.made = [-1] * size  # the rank of the merge that makes a token, -1 for one character
@@ -57,16 +86,23 @@ class PrefixEncoder:
         for s, i in ids.items():
             self.length[i] = len(s)
         for rank, (a, b) in enumerate(model["merges"]):
-            x, y, z = ids[inner(a)], ids[inner(b)], ids[inner(a) + inner(b)]
+            a, b = _inner(a, self.suffix), _inner(b, self.suffix)
+            x, y, z = ids[a], ids[b], ids[a + b]
             self.merge[x << 20 | y] = rank
             if self.made[z] < 0:
                 self.made[z], self.left[z], self.right[z] = rank, x, y
         atoms = {i for s, i in ids.items() if len(s.rstrip(END)) == 1}
-        self.automaton = ahocorasick.Automaton()
-        for s, i in ids.items():
-            if i in atoms or self.made[i] >= 0 and self.stable(self.left[i], self.right[i], self.made[i]):
-                self.automaton.add_word(s, i)
-        self.automaton.make_automaton()
+        usable = lambda i: i in atoms or self.made[i] >= 0 and self.stable(self.left[i], self.right[i], self.made[i])
+        a = automaton or vocabulary_automaton(spec)
+        self.moves = dict(zip(a["moves"].tolist(), a["to"].tolist(), strict=True))
+        self.link, self.deep = a["link"].tolist(), a["length"].tolist()
+        # entries that are the end of a state's match, longest first: of the whole match, and of what is shorter
+        token, up = a["token"].tolist(), a["up"].tolist()
+        self.shorter: list[tuple[int, ...]] = [()] * len(token)
+        self.matched: list[tuple[int, ...]] = [()] * len(token)
+        for s in np.argsort(a["length"], kind="stable").tolist():
+            self.shorter[s] = self.matched[up[s]] if s else ()
+            self.matched[s] = (token[s], *self.shorter[s]) if token[s] >= 0 and usable(token[s]) else self.shorter[s]
         self.byte_chars = byte_alphabet()
         self.pairs: dict[int, bool] = {}
 
@@ -97,10 +133,19 @@ class PrefixEncoder:
             text += END
             n += 1
         last = [-1] * (n + 1)
-        length, pairs = self.length, self.pairs
-        for end, token in self.automaton.iter(text):
+        length, pairs, moves, link, deep = self.length, self.pairs, self.moves, self.link, self.deep
+        state = size = end = 0
+        for c in map(ord, text):
             end += 1
-            if last[end] < 0:
+            to = moves.get(state << 9 | c)
+            while to is None and state:
+                state = link[state]
+                size = deep[state]
+                to = moves.get(state << 9 | c)
+            if to is None:
+                continue
+            state, size = to, size + 1
+            for token in self.matched[state] if size == deep[state] else self.shorter[state]:
                 start = end - length[token]
                 if start:
                     before = last[start]
@@ -115,6 +160,7 @@ class PrefixEncoder:
                     if not good:
                         continue
                 last[end] = token
+                break
         out = []
         while n:
             token = last[n]
@@ -163,11 +209,11 @@ def normal(text: str) -> str:
 _WORKER: dict[int, tuple] = {}
 
 
-def _worker(spec: str) -> tuple[PrefixEncoder, _Known, _Known, re.Pattern | None]:
+def _worker(spec: str, automaton: dict[str, np.ndarray] | None = None) -> tuple[PrefixEncoder, _Known, _Known, re.Pattern | None]:
     """Of this Python worker: the encoder, what it knows, and the pattern of special tokens."""
     key = hash(spec)
     if key not in _WORKER:
-        encoder = PrefixEncoder(spec)
+        encoder = PrefixEncoder(spec, automaton)
         special = re.compile("(" + "|".join(map(re.escape, encoder.special)) + ")") if encoder.special else None
         ids_of = _Known(lambda word: " ".join(map(str, encoder.encode(word))))
         names = {str(i): s for i, s in encoder.names.items()}
@@ -183,9 +229,9 @@ def _split(text: str) -> list[str]:
         return _SPLIT.findall(text)
 
 
-def encode_text(text: str, spec: str) -> tuple[int, str, str]:
+def encode_text(text: str, spec: str, automaton: dict[str, np.ndarray] | None = None) -> tuple[int, str, str]:
     """(number of ids, ids joined by spaces, decoded text) of a text; special tokens in it are found before it is normalised."""
-    encoder, ids_of, names_of, special = _worker(spec)
+    encoder, ids_of, names_of, special = _worker(spec, automaton)
     if special is None or not special.search(text):
         words = _split(normal(text))
         ids, names = " ".join(map(ids_of.__getitem__, words)), " ".join(map(names_of.__getitem__, words))
@@ -202,10 +248,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (its size is fixed) and travels with the task. Rows never meet, so ties and repeats need no rule.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        text = f.read()
+    spec, automaton = (docs.sparkSession.sparkContext.broadcast(x) for x in (text, vocabulary_automaton(text)))
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = [encode_text(t, spec.value) for t in batch.column("text").to_pylist()]
+        rows = [encode_text(t, spec.value, automaton.value) for t in batch.column("text").to_pylist()]
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         out = {"doc_id": batch.column("doc_id"), "n_tokens": [r[0] for r in rows], "ids_sha256": [sha(r[1]) for r in rows], "decoded_sha256": [sha(r[2]) for r in rows]}
         return out | ({"ids": [[int(x) for x in r[1].split()] for r in rows], "decoded": [r[2] for r in rows]} if whole else {})

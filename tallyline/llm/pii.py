@@ -1,9 +1,10 @@
-"""PII: base patterns, and a character BiLSTM with CRF transitions that adds spans of other spellings."""
+"""PII: base patterns, and a character BiLSTM with CRF transitions that reads whole texts and adds spans of other spellings."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -13,33 +14,33 @@ from pyspark.sql import functions as F
 from .common import documents, each_batch, take
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-
-#: Window of the network, and how far windows lie apart; characters on either side of a seed that its region has.
-WINDOW, STRIDE, MARGIN = 64, 32, 20
-HIDDEN = 16
-#: The network is trained on windows around seeds of at most so many texts, the first by a hash of the id, and on as many made ones.
-TEXTS, MAX_CHARS, MADE = 1500, 20_000, 1800
-EPOCHS, BATCH, RATE = 6, 48, 0.02
-#: A span is added only if the mean of its characters' margins over the best other tag is at least this.
-MARGIN_SCORE = 0.3
+#: What the network labels: the kinds, and secret tokens such as access keys, which no base pattern has.
+ALL_KINDS = (*KINDS, "secret")
+TAGS = ["O"] + [f"{p}-{k}" for k in ALL_KINDS for p in "BI"]
+
+#: Window of the network and how many characters neighbouring windows share.
+WINDOW, OVERLAP = 256, 32
+#: Windows that are run at once, and characters of the texts that are read together.
+AT_ONCE, CHARS_AT_ONCE = 1024, 400_000
+HIDDEN = 10
+#: The network is trained on windows of TRAIN_WINDOW characters: of at most TEXTS texts of up to MAX_CHARS characters, the first by
+#: a hash of the id, as many with a digit or @ as without, at most PER_TEXT windows of each; and of MADE made examples.
+TEXTS, MAX_CHARS, PER_TEXT, MADE, TRAIN_WINDOW = 600, 20_000, 3, 3000, 96
+EPOCHS, BATCH, RATE = 12, 96, 0.03
+#: A span is added only if the mean of its characters' margins over no span is at least this.
+MARGIN_SCORE = 1.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_AT = r"[ ]?[(\[{<][ ]?[aA][tT][ ]?[)\]}>][ ]?"
-_DOT = r"[ ]?[(\[{<][ ]?[dD][oO][tT][ ]?[)\]}>][ ]?|[ ][dD][oO][tT][ ]"
-#: "at" in brackets, or between blanks if a spelled dot follows the next word.
-_SPELLED_AT = re.compile(rf"{_AT}|[ ][aA][tT][ ](?=[A-Za-z0-9-]{{1,63}}(?:{_DOT})[A-Za-z0-9])")
-_SPELLED_DOT = re.compile(_DOT)
-_SEED = re.compile(rf"[0-9@]+|{_SPELLED_AT.pattern}")
-#: What goes on with an address: an unbroken run, and in a domain also spelled dots.
-_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
-_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*")
-_AT_SIGN = re.compile(rf"[ ]?[(\[{{<]?[ ]?@[ ]?[)\]}}>]?[ ]?|{_SPELLED_AT.pattern}")
+_SEED = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+#: Signs and words that stand for @ and the dot in written-out addresses.
+_AT_SIGN = re.compile(r"[ ]?[(\[{<]?[ ]?(?:@|\b[aA][tT]\b)[ ]?[)\]}>]?[ ]?")
+_DOT = r"[ ]?[(\[{<]?[ ]?\b[dD][oO][tT]\b[ ]?[)\]}>]?[ ]?"
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -52,18 +53,20 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def plausible(kind: str, text: str) -> bool:
-    """The exact check of a span: parts of an address, length and check digit of a card, digits of a phone number."""
-    digits = "".join(_DIGIT.findall(text))
+def holds(kind: str, text: str) -> bool:
+    """What makes a number one of its kind and characters don't show: a card's check digit, an address's parts up to 255, a phone's number of digits, an address's sign or word for it."""
+    plain = unicodedata.normalize("NFKC", text)
+    digits = "".join(_DIGIT.findall(plain))
     if kind == "ip":
-        parts = re.findall(r"[0-9]+", text)
+        parts = re.findall(r"[0-9]+", plain)
         return len(parts) == 4 and all(len(p) < 10 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
-    text = _SPELLED_DOT.sub(".", _SPELLED_AT.sub("@", text))
-    return text.count("@") == 1 and "." in text.split("@")[1]
+    if kind == "email":
+        return bool(_AT_SIGN.search(plain))
+    return True
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -88,50 +91,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     out = [("email", a, b) for a, b in _emails(text)]
     for kind, pattern in (("ip", _IP), ("card", _CARD), ("phone", _PHONE)):
-        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if plausible(kind, m.group())]
+        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if holds(kind, m.group())]
     return out
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits, @ and spelled ats, up to the ends of the runs of address characters that they would cut. Every kind has a seed, so no span lies elsewhere; all of the text is searched."""
-    out: list[list[int]] = []
-    for m in _SEED.finditer(text):
-        low = out[-1][1] if out else 0
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        while a > low and text[a - 1] in _LOCAL:
-            a -= 1
-        if b > low:
-            after = _HOST.match(text, m.end() + len(text[m.end() : m.end() + 2]) - len(text[m.end() : m.end() + 2].lstrip(" )]}>")))
-            b = max(b, after.end()) if after else b
-            after = _RUN.match(text, b)
-            b = after.end() if after else b
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+def _classes() -> np.ndarray:
+    """The network's class of each code point below U+10000: ASCII and its full-width forms by character, then other letters, signs and spaces."""
+    out = np.full(0x10000, 130, np.uint8)
+    for c in range(0x10000):
+        if c < 128:
+            out[c] = c
+        elif 0xFF01 <= c <= 0xFF5E:
+            out[c] = c - 0xFEE0
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            kind = unicodedata.category(chr(c))
+            out[c] = 128 if kind[0] in "LM" else 48 + unicodedata.digit(chr(c)) if kind == "Nd" else 131 if kind[0] == "Z" else 130
+    return out
+
+
+_CLASS = _classes()
+PAD, N_CLASSES = 129, 132
 
 
 def codes(text: str) -> np.ndarray:
-    """ASCII as it is, all other characters 128; 129 pads."""
-    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 128).astype(np.int16)
+    """Classes of a text's code points."""
+    return _CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0xFFFF)]
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), the activation in place of tanh; a gate is half of it and a half."""
+    return x / (1 + np.abs(x))
 
 
 class Network:
-    """Two LSTMs over characters, a linear layer and CRF transitions, all in numpy."""
+    """Two LSTMs over characters with soft gates, a linear layer and CRF transitions, all in numpy."""
 
     def __init__(self, seed: int = 11, hidden: int = HIDDEN):
         rng = np.random.default_rng(seed)
         k, h = len(TAGS), hidden
         self.h = h
-        self.p = {f"{n}{d}": rng.normal(0, s, shape).astype(np.float32) for d in "fb" for n, s, shape in (("x", 0.3, (130, 4 * h)), ("u", 1 / h**0.5, (h, 4 * h)))}
+        self.p = {f"{n}{d}": rng.normal(0, s, shape).astype(np.float32) for d in "fb" for n, s, shape in (("x", 0.5, (N_CLASSES, 4 * h)), ("u", 1.5 / h**0.5, (h, 4 * h)))}
         for d in "fb":
-            self.p[f"x{d}"][:, h : 2 * h] += 1  # forget little at first
-        self.p |= {"o": rng.normal(0, 0.3, (2 * h, k)).astype(np.float32), "c": np.zeros(k, np.float32), "t": rng.normal(0, 0.1, (k, k)).astype(np.float32)}
+            self.p[f"x{d}"][:, h : 2 * h] += 2  # forget little at first
+        self.p |= {"o": rng.normal(0, 0.5, (2 * h, k)).astype(np.float32), "c": np.zeros(k, np.float32), "t": rng.normal(0, 0.1, (k, k)).astype(np.float32)}
+        self.p["c"][0] = 1
         self.barred = np.zeros((k, k), np.float32)
         for i, a in enumerate(TAGS):
             for j, b in enumerate(TAGS):
@@ -139,68 +142,68 @@ class Network:
                     self.barred[i, j] = -1e4
         self.first = np.array([-1e4 if t[0] == "I" else 0 for t in TAGS], np.float32)
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool = False):
-        """x: (steps, batch) codes. Hidden states of each step, and what the backward pass needs."""
+    def _lstm(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+        """x: (steps, batch) classes. Hidden states of each step, and what the backward pass needs."""
         n, b, h = len(x), x.shape[1], self.h
         table, u = self.p[f"x{d}"], self.p[f"u{d}"]
-        out, state, cell, saved = np.empty((n, b, h), np.float32), np.zeros((b, h), np.float32), np.zeros((b, h), np.float32), []
+        out, state, cell, saved = np.empty((n, b, h), u.dtype), np.zeros((b, h), u.dtype), np.zeros((b, h), u.dtype), []
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            z = table[x[t]] + state @ u
-            gates = _sigmoid(z[:, : 3 * h])
-            i, f, o, g = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], np.tanh(z[:, 3 * h :])
-            before, cell = cell, f * cell + i * g
-            tc = np.tanh(cell)
-            if keep:
-                saved.append((t, state, before, i, f, o, g, tc))
-            state = o * tc
+            a = soft(table[x[t]] + state @ u)
+            gates = 0.5 + 0.5 * a[:, : 3 * h]
+            before, cell = cell, gates[:, h : 2 * h] * cell + gates[:, :h] * a[:, 3 * h :]
+            tc = soft(cell)
+            saved.append((t, state, before, a, gates, tc))
+            state = gates[:, 2 * h :] * tc
             out[t] = state
         return out, saved
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._lstm(x, "f")[0], self._lstm(x, "b")[0]], 2)
-        return both @ self.p["o"] + self.p["c"]
-
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log likelihood of tags y and its gradient; x, y: (steps, batch)."""
         n, b, h, k = len(x), x.shape[1], self.h, len(TAGS)
-        (hf, sf), (hb, sb) = self._lstm(x, "f", True), self._lstm(x, "b", True)
+        (hf, sf), (hb, sb) = self._lstm(x, "f"), self._lstm(x, "b")
         both = np.concatenate([hf, hb], 2)
         e = both @ self.p["o"] + self.p["c"]
         trans = self.p["t"] + self.barred
-        alpha, beta = np.empty((n, b, k), np.float32), np.zeros((n, b, k), np.float32)
-
-        def lse(v, axis):
-            m = v.max(axis, keepdims=True)
-            return np.squeeze(m, axis) + np.log(np.exp(v - m).sum(axis))
-
-        alpha[0] = e[0] + self.first
-        for t in range(1, n):
-            alpha[t] = e[t] + lse(alpha[t - 1][:, :, None] + trans, 1)
+        # sums of exponentials, scaled at each step
+        big = np.exp(trans)
+        top = e.max(2, keepdims=True)
+        ee = np.exp(e - top)
+        alpha, beta, scale = np.empty_like(ee), np.ones_like(ee), np.empty((n, b, 1), ee.dtype)
+        now = ee[0] * np.exp(self.first)
+        for t in range(n):
+            if t:
+                now = (alpha[t - 1] @ big) * ee[t]
+            scale[t] = now.sum(1, keepdims=True)
+            alpha[t] = now / scale[t]
         for t in range(n - 2, -1, -1):
-            beta[t] = lse(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
+            beta[t] = ((ee[t + 1] * beta[t + 1]) @ big.T) / scale[t + 1]
+        z = (np.log(scale) + top).sum(0)[:, 0]
         steps, cols = np.arange(n)[:, None], np.arange(b)
         gold = e[steps, cols, y].sum(0) + self.first[y[0]] + trans[y[:-1], y[1:]].sum(0)
-        de = np.exp(alpha + beta - z[:, None])
+        de = alpha * beta
         de[steps, cols, y] -= 1
         de /= b
-        dt = np.zeros((k, k), np.float32)
-        for t in range(1, n):
-            dt += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(0)
+        right = ee[1:] * beta[1:] / scale[1:]
+        dt = (alpha[:-1].reshape(-1, k).T @ right.reshape(-1, k)) * big
         np.add.at(dt, (y[:-1].ravel(), y[1:].ravel()), -1)
         grads = {"o": both.reshape(-1, 2 * h).T @ de.reshape(-1, k), "c": de.sum((0, 1)), "t": dt / b}
         dh = de @ self.p["o"].T
+        half = lambda a: 0.5 * (1 - np.abs(a)) ** 2
         for d, saved, part in (("f", sf, dh[:, :, :h]), ("b", sb, dh[:, :, h:])):
             u = self.p[f"u{d}"]
-            dx, du = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(u)
-            ds, dc = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
-            for t, state, before, i, f, o, g, tc in reversed(saved):
+            du = np.zeros_like(u)
+            ds, dc, dzs = np.zeros((b, h), u.dtype), np.zeros((b, h), u.dtype), np.empty((n, b, 4 * h), u.dtype)
+            for t, state, before, a, gates, tc in reversed(saved):
                 ds = ds + part[t]
-                dc = dc + ds * o * (1 - tc * tc)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-                np.add.at(dx, x[t], dz)
+                dc = dc + ds * gates[:, 2 * h :] * (1 - np.abs(tc)) ** 2
+                dz = np.concatenate([dc * a[:, 3 * h :], dc * before, ds * tc, dc * gates[:, :h] * 2], 1) * half(a)
+                dzs[t] = dz
                 du += state.T @ dz
-                ds, dc = dz @ u.T, dc * f
+                ds, dc = dz @ u.T, dc * gates[:, h : 2 * h]
+            dx = np.zeros_like(self.p[f"x{d}"])
+            order = np.argsort(x, axis=None, kind="stable")
+            first = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
+            dx[x.ravel()[order][first]] = np.add.reduceat(dzs.reshape(-1, 4 * h)[order], first)
             grads[f"x{d}"], grads[f"u{d}"] = dx, du
         return float((z - gold).mean()), grads
 
@@ -214,7 +217,7 @@ class Network:
             order, total = rng.permutation(len(x)), 0.0
             for i in range(0, len(order), BATCH):
                 at = order[i : i + BATCH]
-                loss, grads = self.gradient(x[at].T, y[at].T)
+                loss, grads = self.gradient(x[at].T.astype(np.int64), y[at].T)
                 total += loss * len(at)
                 step += 1
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
@@ -226,50 +229,133 @@ class Network:
             losses.append(total / max(1, len(x)))
         return losses
 
-    def region_scores(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """Emissions of each region: those of overlapping windows, weighted by the distance to the windows' edges."""
-        windows, where = [], []
-        for r, x in enumerate(parts):
-            for a in range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE):
-                w = np.full(WINDOW, 129, np.int16)
-                piece = x[a : a + WINDOW]
-                w[: len(piece)] = piece
-                windows.append(w)
-                where.append((r, a, len(piece)))
-        weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-        sums = [np.zeros((len(x), len(TAGS)), np.float32) for x in parts]
-        mass = [np.zeros((len(x), 1), np.float32) for x in parts]
-        for i in range(0, len(windows), 1024):
-            e = self.emissions(np.array(windows[i : i + 1024]).T)
-            for k, (r, a, n) in enumerate(where[i : i + 1024]):
-                sums[r][a : a + n] += e[:n, k] * weight[:n]
-                mass[r][a : a + n] += weight[:n]
-        return [s / m for s, m in zip(sums, mass, strict=True)]
-
-    def decode(self, scores: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(kind, start, end, margin) of the best path through a whole region."""
-        n, trans = len(scores), self.p["t"] + self.barred
-        back = np.empty((n, len(TAGS)), np.int8)
-        best = scores[0] + self.first
-        for t in range(1, n):
-            all_ = best[:, None] + trans
-            back[t] = all_.argmax(0)
-            best = all_.max(0) + scores[t]
-        path = [int(best.argmax())]
-        for t in range(n - 1, 0, -1):
-            path.append(int(back[t][path[-1]]))
-        path.reverse()
-        out, t = [], 0
-        while t < n:
-            if TAGS[path[t]][0] != "B":
-                t += 1
-                continue
-            kind, a = TAGS[path[t]][2:], t
-            t += 1
-            while t < n and TAGS[path[t]] == f"I-{kind}":
-                t += 1
-            own = scores[np.arange(a, t), path[a:t]]
-            out.append((kind, a, t, float((own - scores[a:t, 0]).mean())))
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """Hidden states (steps, hidden, batch) without what training needs; the batch lies along the rows."""
+        n, b, h = len(x), x.shape[1], self.h
+        table, u = np.ascontiguousarray(self.p[f"x{d}"].T), np.ascontiguousarray(self.p[f"u{d}"].T)
+        out = np.empty((n, h, b), np.float32)
+        state, cell, part = np.zeros((h, b), np.float32), np.zeros((h, b), np.float32), np.empty((h, b), np.float32)
+        z, size = np.empty((4 * h, b), np.float32), np.empty((4 * h, b), np.float32)
+        gates, forget, give, new = z[: 3 * h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
+        for t in range(n) if d == "f" else range(n - 1, -1, -1):
+            np.matmul(u, state, out=z)
+            z += table.take(x[t], axis=1, out=size, mode="clip")
+            np.abs(z, out=size)
+            size += 1
+            z /= size
+            gates *= 0.5
+            gates += 0.5
+            cell *= forget
+            np.multiply(z[:h], new, out=part)
+            cell += part
+            np.abs(cell, out=part)
+            part += 1
+            np.divide(cell, part, out=part)
+            state = np.multiply(give, part, out=out[t])
+        return out
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """(steps, batch, tags) of x: (steps, batch) classes."""
+        e = np.matmul(self._states(x, "f").transpose(0, 2, 1), self.p["o"][: self.h])
+        e += np.matmul(self._states(x, "b").transpose(0, 2, 1), self.p["o"][self.h :])
+        e += self.p["c"]
+        return e
+
+    def scores(self, parts: list[np.ndarray], window: int = WINDOW, overlap: int = OVERLAP) -> list[np.ndarray]:
+        """Emissions (characters, tags) of each text: those of overlapping windows, which give way to each other evenly where they overlap."""
+        at = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+        text = np.concatenate([*parts, np.full(window, PAD, np.uint8)]).astype(np.intp)
+        stride = window - overlap
+        cut: list[tuple[int, int, bool, bool]] = []  # start, size, whether it is a text's first and last
+        for a, x in zip(at[:-1].tolist(), parts, strict=True):
+            k = max(1, -(-(len(x) - overlap) // stride)) if len(x) else 0
+            cut += [(a + i * stride, min(window, len(x) - i * stride), i == 0, i == k - 1) for i in range(k)]
+        out = np.zeros((at[-1], len(TAGS)), np.float32)
+        rise = ((np.arange(1, overlap + 1, dtype=np.float32) - 0.5) / max(1, overlap))[:, None, None]
+        steps = np.arange(window)[:, None]
+        for i in range(0, len(cut), AT_ONCE):
+            part = cut[i : i + AT_ONCE]
+            starts, sizes, begins, ends = (np.array(c) for c in zip(*part, strict=True))
+            used = int(sizes.max())
+            x = text[starts + steps[:used]]
+            x[steps[:used] >= sizes] = PAD
+            e = self.emissions(x)
+            e[:overlap, ~begins] *= rise[:used]
+            e[stride:, ~ends] *= rise[::-1][: max(0, used - stride)]
+            for j, (a, n, _, _) in enumerate(part):
+                out[a : a + n] += e[:n, j]
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def bounds(self) -> list[tuple[float, float, float]]:
+        """For each kind the most that moves into a span, within it and out of it can gain over moves from O to O."""
+        trans, outer = self.p["t"] + self.barred, [0, *range(1, len(TAGS), 2)]
+        found = []
+        for b in range(1, len(TAGS), 2):
+            into = float((trans[:, b] - trans[:, 0]).max())
+            inner = float(max(trans[b, b + 1], trans[b + 1, b + 1]) - trans[0, 0])
+            away = float((trans[b : b + 2, outer] - trans[0, outer]).max())
+            found.append((max(0.0, into), inner, max(0.0, away)))
+        return found
+
+    def candidates(self, e: np.ndarray, bounds: list[tuple[float, float, float]]) -> np.ndarray:
+        """(kinds, characters): where the best path of a text may be in a span of the kind; elsewhere it is surely not.
+
+        A span from a to b gains over none: its emissions less those of O, its inner moves less those from O to O, and at
+        most the best way in and out of it. One that gains nothing can be left out of any path. A character counts if some
+        span of the kind over it may gain.
+        """
+        out = np.zeros((len(bounds), len(e)), bool)
+        outside = np.ascontiguousarray(e[:, 0])
+        for k, (into, inner, away) in enumerate(bounds):
+            grown = np.cumsum(e[:, 2 + 2 * k] - outside + np.float32(inner), dtype=np.float64)
+            left = np.maximum.accumulate(e[:, 1 + 2 * k] - outside + into - grown)
+            right = np.maximum.accumulate(grown[::-1])[::-1]
+            np.greater(left + right, -away - 1e-3, out=out[k])
+        return out
+
+    def decode(self, e: np.ndarray, bounds: list[tuple[float, float, float]] | None = None) -> list[tuple[str, int, int, float]]:
+        """(kind, start, end, margin) of the spans on the best path through a whole text; of equal paths the one with fewer characters in spans."""
+        n, out = len(e), []
+        if not n:
+            return out
+        may = self.candidates(e, bounds or self.bounds())
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], may.any(0).view(np.int8), [0]))))
+        trans = (self.p["t"] + self.barred).tolist() if len(edges) else []
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            kinds = np.flatnonzero(may[:, a:b].any(1)).tolist()
+            tags = [0, *[t for k in kinds for t in (1 + 2 * k, 2 + 2 * k)]]
+            # an inner tag follows its own kind only
+            before = {t: [0, *tags[1:]] if t == 0 or t % 2 else [t - 1, t] for t in tags}
+            best = {t: e[a, t] + (trans[0][t] if a else float(self.first[t])) for t in tags}
+            back: list[dict[int, int]] = []
+            for row in e[a + 1 : b].tolist():
+                now, came = {}, {}
+                for t in tags:
+                    top, who = -1e30, 0
+                    for u in before[t]:
+                        v = best[u] + trans[u][t]
+                        if v > top:
+                            top, who = v, u
+                    now[t], came[t] = top + row[t], who
+                best = now
+                back.append(came)
+            t = max(tags, key=lambda t: (best[t] + (trans[t][0] if b < n else 0.0), -t))
+            path = [t]
+            for came in reversed(back):
+                t = came[t]
+                path.append(t)
+            path.reverse()
+            i = 0
+            while i < b - a:
+                if path[i] % 2 == 0:
+                    i += 1
+                    continue
+                first, inner = i, path[i] + 1
+                i += 1
+                while i < b - a and path[i] == inner:
+                    i += 1
+                own = e[np.arange(a + first, a + i), path[first:i]]
+                out.append((ALL_KINDS[(inner - 2) // 2], a + first, a + i, float((own - e[a + first : a + i, 0]).mean())))
         return out
 
 
@@ -283,129 +369,154 @@ def tags_of(n: int, spans: list[tuple[str, int, int]], at: int = 0) -> np.ndarra
     return y
 
 
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ghp_|sk-|xox[a-z]-)[A-Za-z0-9_-]{16,64})(?![A-Za-z0-9_-])")
+
+
 def shaped(text: str) -> list[tuple[str, int, int]]:
-    """Base spans, and those that only fail a check that characters don't show (a card's check digit, an address's parts)."""
+    """What the network is to label: base spans, those that only fail a check that characters don't show, and secret tokens."""
     out = base_spans(text)
     taken = [(a, b) for _, a, b in out]
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
     more = [("ip", m.start(), m.end()) for m in _IP.finditer(text) if free(*m.span())]
     more += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if free(*m.span()) and 13 <= len(_DIGIT.findall(m.group())) <= 19]
-    return out + more
+    return out + more + [("secret", *m.span()) for m in _SECRET.finditer(text) if free(*m.span())]
 
 
 def made_examples(n: int, seed: int = 3) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Texts with labelled spans in spellings beyond the base patterns, and numbers that are none."""
+    """Texts with labelled spans in spellings beyond the base patterns, among words, and numbers that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    digits = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
-    letters = lambda k: "".join(pick("abcdefghijklmnopqrstuvwxyzéüñ") for _ in range(k))
-    word = lambda: letters(int(rng.integers(2, 9)))
-    name = lambda: "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(2, 9))))
+    draw = lambda chars, k: "".join(pick(chars) for _ in range(k))
+    size = lambda a, b: int(rng.integers(a, b))
+    digits = lambda k: draw("0123456789", k)
+    name = lambda: draw("abcdefghijklmnopqrstuvwxyz", size(2, 10))
+    word = lambda: pick(["at", "dot", "mail", "the", "tion", "der", "une", "los"]) if rng.random() < 0.15 else draw("aaeeiioourstnlmdcpghbéüñ", size(2, 11))
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c in "0123456789" else c for c in s)
 
     def card() -> str:
-        ds, k = digits(16), int(rng.integers(5))
-        return [ds, "-".join(ds[i : i + 4] for i in range(0, 16, 4)), " ".join(ds[i : i + 4] for i in range(0, 16, 4)), ".".join(ds[i : i + 4] for i in range(0, 16, 4)), "/".join(ds[i : i + 4] for i in range(0, 16, 4))][k]
+        ds, k = digits(16), pick(["", "-", " ", ".", "/", ""])
+        return k.join(ds[i : i + 4] for i in range(0, 16, 4))
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(11)}"])
+        out = pick([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(11)}"])
+        return wide(out) if rng.random() < 0.15 else out
 
     def ip() -> str:
-        p = [str(int(x)) for x in rng.integers(0, 256, 4)]
-        return pick([".".join(p), ".".join(p), "[.]".join(p), " . ".join(p)])
+        return pick([".", ".", ".", "[.]", " . "]).join(str(int(x)) for x in rng.integers(0, 256, 4))
 
     def email() -> str:
-        host = f"{name()}{pick(['', digits(1)])}.{pick(['example.com', 'com', 'org', 'de', 'co.uk', 'net'])}"
-        return f"{name()}{pick(['', '.', '_', '-'])}{pick(['', digits(2), name()])}{pick(['@', '@', ' @ ', '[@]', '(@)'])}{host}"
+        local = f"{name()}{pick(['', '.', '_', '-'])}{pick(['', digits(2), name(), name()])}"
+        parts = [name() + pick(["", "", digits(1), "-" + name()]), *[name() for _ in range(size(0, 2))], pick(["example.com", "com", "org", "de", "co.uk", "net", "edu", "es"])]
+        at, dot = pick([("@", "."), ("@", "."), (" @ ", "."), ("[@]", "."), ("(@)", "."), (" (@) ", "."), (" at ", " dot "), (" at ", " dot "), (" (at) ", "."), (" (at) ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" AT ", " DOT ")])
+        if at != "@" and rng.random() < 0.2:
+            local = f"{name()} dot {name()}" if "dot" in dot else local
+        return local + at + dot.join(".".join(parts).split("."))
+
+    def secret() -> str:
+        return pick([lambda: draw("0123456789abcdef", 40), lambda: draw("0123456789abcdef", pick([32, 64])), lambda: draw("0123456789ABCDEF", 40), lambda: pick(["AKIA", "ghp_", "sk-"]) + draw("ABCDEFGHJKLMNPQRSTUVWXYZ23456789abcdefghijkmnop", size(16, 37))])()
 
     def other() -> str:
-        return pick([digits(int(rng.integers(1, 7))), f"{digits(1)}.{digits(1)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"{digits(2)}:{digits(2)}", f"token = \"{''.join(pick('0123456789abcdef') for _ in range(40))}\"", f"{digits(1)}.{digits(1)}.{digits(2)}", f"${digits(3)},{digits(3)}", f"@{name()}", f"v{digits(1)}", ''.join(pick('0123456789abcdef') for _ in range(int(rng.integers(8, 33)))), f"{digits(3)}-{digits(4)}"])
+        return pick([digits(size(1, 8)), f"{digits(1)}.{digits(1)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"${digits(3)},{digits(3)}", f"@{name()}", f"v{digits(1)}", draw("0123456789abcdef", size(6, 17)), f"{digits(3)}-{digits(4)}", f"{word()} at {word()}", f"{word()} dot {word()}", f"look at the {word()} dot", "a@b", f"{word()} (at) {word()}", f"{digits(2)} {digits(2)} {digits(2)}", f"Version {digits(1)}.{digits(1)}", f"CC BY-NC {digits(1)}.0", f"{digits(4)}/{digits(2)}"])
 
-    make = {"email": email, "ip": ip, "card": card, "phone": phone, "": other}
+    make = {"email": email, "ip": ip, "card": card, "phone": phone, "secret": secret}
     out = []
     for _ in range(n):
-        kind = pick([*KINDS, "", ""])
-        body = make[kind]()
-        lead, tail = " ".join(word() for _ in range(int(rng.integers(0, 5)))), " ".join(word() for _ in range(int(rng.integers(0, 5))))
-        glue, end = pick([" ", " ", " ", "\n", ": ", "("]), pick([" ", " ", ". ", ", ", "\n", "***", "%% ", ") "])
-        start = len(lead) + len(glue)
-        out.append((lead + glue + body + end + tail, [(kind, start, start + len(body))] if kind else []))
+        text, spans = " ".join(word() for _ in range(size(0, 6))), []
+        for _ in range(pick([0, 1, 1, 1, 2])):
+            kind = pick([*ALL_KINDS, "email", "email", "", ""])
+            body = make[kind]() if kind else other()
+            lead = text[-1:] and pick([" ", " ", " ", " ", "\n", ": ", " (", "*** ", "| ", ', "'])
+            if kind == "secret":
+                lead = pick([' token = "', lead, " key=", lead])
+            text += lead
+            if kind:
+                spans.append((kind, len(text), len(text) + len(body)))
+            text += body + pick([" ", " ", " ", ". ", ", ", "\n", "*** ", "%% ", ") ", '" ', "!! "]) + " ".join(word() for _ in range(size(0, 6)))
+        if rng.random() < 0.1:
+            upper = text.upper()
+            text = upper if len(upper) == len(text) else text
+        out.append((text, spans))
     return out
 
 
+def _window(text: str, spans: list, low: int) -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.full(TRAIN_WINDOW, PAD, np.uint8), np.zeros(TRAIN_WINDOW, np.int64)
+    part = text[low : low + TRAIN_WINDOW]
+    x[: len(part)] = codes(part)
+    y[: len(part)] = tags_of(len(part), [(k, a - low, b - low) for k, a, b in spans if b > low and a < low + len(part)])
+    return x, y
+
+
+def training_windows(texts: list[str], made: int = MADE, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, tags) of windows: made examples, places with a digit or @ of each text, and one at random."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for text, spans in made_examples(made):
+        out.append(_window(text, spans, int(rng.integers(0, max(1, len(text) - TRAIN_WINDOW + 1)))))
+    for text in texts:
+        spans = shaped(text)
+        seeds = [m.start() for m in _SEED.finditer(text)]
+        for at in [*rng.choice(seeds, min(len(seeds), PER_TEXT - 1), replace=False).tolist()] * bool(seeds) + [int(rng.integers(0, len(text)))]:
+            out.append(_window(text, spans, int(np.clip(at - rng.integers(0, TRAIN_WINDOW), 0, max(0, len(text) - TRAIN_WINDOW)))))
+    return np.array([w[0] for w in out], np.uint8).reshape(-1, TRAIN_WINDOW), np.array([w[1] for w in out], np.int64).reshape(-1, TRAIN_WINDOW)
+
+
 def fit(docs: DataFrame, texts: int = TEXTS, made: int = MADE, epochs: int = EPOCHS) -> Network:
-    """Trained on windows of a bounded sample of (doc_id, text), labelled by the base patterns, and on made examples."""
-    usable = docs.where((F.length("text") <= MAX_CHARS) & F.col("text").rlike("[0-9@]"))
+    """Trained on windows of a bounded sample of (doc_id, text), labelled by `shaped`, and on made examples. Of rows that repeat an id the least text counts."""
+    usable = docs.where(F.length("text").between(1, MAX_CHARS) & F.col("doc_id").isNotNull())
+    parts = [usable.where(cond) for cond in (F.col("text").rlike("[0-9@]"), ~F.col("text").rlike("[0-9@]"))]
     # ids are chosen first: what tasks send to be sorted holds no texts
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts)
-    sample = usable.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "text").limit(2 * texts).collect()
-    found = made_examples(made)
-    rng = np.random.default_rng(2)
-    for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"])):
-        spans = shaped(r["text"])
-        for a, b in regions(r["text"])[:4]:
-            found.append((r["text"][a:b], [(k, max(0, x - a), min(b - a, y - a)) for k, x, y in spans if x < b and y > a]))
-    x = np.full((len(found), WINDOW), 129, np.int16)
-    y = np.zeros((len(found), WINDOW), np.int64)
-    for i, (text, spans) in enumerate(found):
-        low = 0
-        if len(text) > WINDOW:  # the window that holds the first span, at a random place
-            first = spans[0][1] if spans else 0
-            low = int(np.clip(first - rng.integers(0, WINDOW // 2), 0, len(text) - WINDOW))
-        part = text[low : low + WINDOW]
-        x[i, : len(part)] = codes(part)
-        y[i, : len(part)] = tags_of(len(part), [(k, a - low, b - low) for k, a, b in spans if b > low and a < low + len(part)])
+    ids = [p.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts) for p in parts]
+    chosen = F.broadcast(ids[0].unionByName(ids[1]).distinct())
+    sample = usable.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     net = Network()
-    net.train(x, y, epochs)
+    net.train(*training_windows([r["text"] for r in sorted(sample, key=lambda r: r["doc_id"])], made), epochs)
     return net
 
 
-def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
-    """An address's span with its whole local part and domain, and nothing else."""
-    at = _AT_SIGN.search(text, a, min(len(text), b + MARGIN))
-    if not at or at.start() > b:
-        return a, b
-    start = at.start()
-    while start > 0 and text[start - 1] in _LOCAL:
-        start -= 1
-    host = _HOST.match(text, at.end())
-    return (start, host.end()) if host and start < at.start() else (a, b)
-
-
-def as_signs(text: str) -> tuple[str, list[int], list[int]]:
-    """The text with spelled ats and, after them, dots as signs, and where each of its characters starts and ends in the text."""
-    found = []
-    for at in _SPELLED_AT.finditer(text):
-        host = _HOST.match(text, at.end())
-        found += [(*at.span(), "@")] + ([(*m.span(), ".") for m in _SPELLED_DOT.finditer(text, at.end(), host.end())] if host else [])
-    out, starts, ends, low = [], [], [], 0
-    for a, b, sign in [*found, (len(text), len(text), "")]:
-        out += [text[low:a], sign]
-        starts += [*range(low, a), *([a] if sign else [])]
-        ends += [*range(low + 1, a + 1), *([b] if sign else [])]
-        low = b
-    return "".join(out), starts, ends
+def whole(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """A span to the ends of what it cuts: an address's local part and domain, a number's digits, a token's letters and digits."""
+    inside = (lambda c: c.isalnum() or c in "_-") if kind == "secret" else (lambda c: c in _LOCAL) if kind == "email" else str.isdigit
+    first, last = a, b
+    while a > 0 and inside(text[a - 1]) and inside(text[first]):
+        a -= 1
+    if kind == "email":
+        at = _AT_SIGN.search(text, first, b)
+        host = _HOST.match(text, at.end()) if at else None
+        return a, max(b, host.end()) if host else b
+    while b < len(text) and inside(text[b]) and inside(text[last - 1]):
+        b += 1
+    return a, b
 
 
 def find_spans(texts: list[str], net: Network | None) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text; a span of the network stays if it is plausible and overlaps no base span."""
-    based = [base_spans(t) for t in texts]
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)] if net is not None else []
-    added: dict[int, list] = {}
-    for k in range(0, len(where), 4096):
-        part = where[k : k + 4096]
-        read = [as_signs(texts[i][a:b]) for i, a, b in part]
-        for (i, a, b), (_, starts, ends), scores in zip(part, read, net.region_scores([codes(t) for t, _, _ in read]), strict=True):
-            taken = [(x, y) for _, x, y in based[i] if x < b and y > a]
-            for kind, x, y, margin in net.decode(scores):
-                x, y = a + starts[x], a + ends[y - 1]
-                if kind == "email":
-                    x, y = whole_address(texts[i], x, y)
-                if margin >= MARGIN_SCORE and all(y <= p or x >= q for p, q in taken) and plausible(kind, texts[i][x:y]):
-                    added.setdefault(i, []).append((kind, x, y))
+    """(base spans, all spans) of each text. The network reads every text whole; a span of its own stays by its margin, if it overlaps no base span and its digits are not those of another thing."""
+    order = lambda s: (ALL_KINDS.index(s[0]), s[1], s[2])
+    out = []
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars + len(texts[end]) <= CHARS_AT_ONCE):
+            chars += len(texts[end])
+            end += 1
+        part = texts[at:end]
+        at = end
+        scores = net.scores([codes(t) for t in part]) if net is not None else [None] * len(part)
+        bounds = net.bounds() if net is not None else None
+        for text, e in zip(part, scores, strict=True):
+            base = base_spans(text)
+            taken = [(a, b) for _, a, b in base]
+            added = []
+            for kind, x, y, margin in net.decode(e, bounds) if net is not None else []:
+                if margin < MARGIN_SCORE:
+                    continue
+                x, y = whole(kind, text, x, y)
+                if all(y <= p or x >= q for p, q in taken) and holds(kind, text[x:y]):
+                    added.append((kind, x, y))
                     taken.append((x, y))
-    order = lambda s: (KINDS.index(s[0]), s[1], s[2])
-    return [(b, sorted([*b, *added.get(i, [])], key=order)) for i, b in enumerate(based)]
+            out.append((base, sorted([*base, *added], key=order)))
+    return out
 
 
 def redact(text: str, spans: list) -> str:
@@ -430,8 +541,10 @@ def _written(spans: list) -> str:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted, and the columns in `keep`; a row for each input row.
 
-    Places are code points. Null text counts as empty: no spans. A text is searched whole; a region longer than a window is
-    covered by overlapping windows and decoded as one. Rows never meet, so repeats need no rule.
+    Places are code points. Null text counts as empty: no spans. The n_ columns and base_sha256 are those of the base
+    patterns; spans has also what the network adds, secret tokens last. The network reads every character: a text is
+    covered by overlapping windows, whose emissions are merged and decoded as one sequence. A task holds the emissions of
+    CHARS_AT_ONCE characters, or of one text, if that is longer. Rows never meet, so repeats need no rule.
     """
     rows = take(docs, id_col, text_col, *keep)
     net = docs.sparkSession.sparkContext.broadcast(fit(rows))
