@@ -19,16 +19,16 @@ ALL_KINDS = (*KINDS, "secret")
 TAGS = ["O"] + [f"{p}-{k}" for k in ALL_KINDS for p in "BI"]
 
 #: Window of the network and how many characters neighbouring windows share.
-WINDOW, OVERLAP = 256, 32
+WINDOW, OVERLAP = 512, 48
 #: Windows that are run at once, and characters of the texts that are read together.
-AT_ONCE, CHARS_AT_ONCE = 1024, 400_000
+AT_ONCE, CHARS_AT_ONCE = 512, 400_000
 HIDDEN = 10
 #: The network is trained on windows of TRAIN_WINDOW characters: of at most TEXTS texts of up to MAX_CHARS characters, the first by
 #: a hash of the id, as many with a digit or @ as without, at most PER_TEXT windows of each; and of MADE made examples.
 TEXTS, MAX_CHARS, PER_TEXT, MADE, TRAIN_WINDOW = 600, 20_000, 3, 3000, 96
 EPOCHS, BATCH, RATE = 12, 96, 0.03
-#: A span is added only if the mean of its characters' margins over no span is at least this.
-MARGIN_SCORE = 1.0
+#: A span is added only if the path with it scores so much more than the path without it: the log of its odds.
+MARGIN_SCORE = 3.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,6 +41,8 @@ _DIGIT = re.compile(r"[0-9]")
 _AT_SIGN = re.compile(r"[ ]?[(\[{<]?[ ]?(?:@|\b[aA][tT]\b)[ ]?[)\]}>]?[ ]?")
 _DOT = r"[ ]?[(\[{<]?[ ]?\b[dD][oO][tT]\b[ ]?[)\]}>]?[ ]?"
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*")
+_DOT_SIGN = re.compile(rf"\.|{_DOT}")
+_DOT_BEFORE = re.compile(rf"[A-Za-z0-9_%+-]+{_DOT}$")
 
 
 def luhn(digits: str) -> bool:
@@ -54,7 +56,7 @@ def luhn(digits: str) -> bool:
 
 
 def holds(kind: str, text: str) -> bool:
-    """What makes a number one of its kind and characters don't show: a card's check digit, an address's parts up to 255, a phone's number of digits, an address's sign or word for it."""
+    """What makes a number one of its kind and characters don't show: a card's check digit, an address's parts up to 255, a phone's number of digits."""
     plain = unicodedata.normalize("NFKC", text)
     digits = "".join(_DIGIT.findall(plain))
     if kind == "ip":
@@ -64,8 +66,6 @@ def holds(kind: str, text: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
-    if kind == "email":
-        return bool(_AT_SIGN.search(plain))
     return True
 
 
@@ -261,8 +261,8 @@ class Network:
         e += self.p["c"]
         return e
 
-    def scores(self, parts: list[np.ndarray], window: int = WINDOW, overlap: int = OVERLAP) -> list[np.ndarray]:
-        """Emissions (characters, tags) of each text: those of overlapping windows, which give way to each other evenly where they overlap."""
+    def scores(self, parts: list[np.ndarray], window: int = WINDOW, overlap: int = OVERLAP) -> np.ndarray:
+        """Emissions (characters of all texts, tags): those of overlapping windows, which give way to each other evenly where they overlap."""
         at = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
         text = np.concatenate([*parts, np.full(window, PAD, np.uint8)]).astype(np.intp)
         stride = window - overlap
@@ -270,6 +270,7 @@ class Network:
         for a, x in zip(at[:-1].tolist(), parts, strict=True):
             k = max(1, -(-(len(x) - overlap) // stride)) if len(x) else 0
             cut += [(a + i * stride, min(window, len(x) - i * stride), i == 0, i == k - 1) for i in range(k)]
+        cut.sort(key=lambda c: -c[1])  # windows of like size run together
         out = np.zeros((at[-1], len(TAGS)), np.float32)
         rise = ((np.arange(1, overlap + 1, dtype=np.float32) - 0.5) / max(1, overlap))[:, None, None]
         steps = np.arange(window)[:, None]
@@ -284,7 +285,7 @@ class Network:
             e[stride:, ~ends] *= rise[::-1][: max(0, used - stride)]
             for j, (a, n, _, _) in enumerate(part):
                 out[a : a + n] += e[:n, j]
-        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
 
     def bounds(self) -> list[tuple[float, float, float]]:
         """For each kind the most that moves into a span, within it and out of it can gain over moves from O to O."""
@@ -297,66 +298,89 @@ class Network:
             found.append((max(0.0, into), inner, max(0.0, away)))
         return found
 
-    def candidates(self, e: np.ndarray, bounds: list[tuple[float, float, float]]) -> np.ndarray:
-        """(kinds, characters): where the best path of a text may be in a span of the kind; elsewhere it is surely not.
+    def candidates(self, e: np.ndarray, sizes: list[int], margin: float) -> np.ndarray:
+        """(kinds, characters of all texts): where a span of the kind may gain more than the margin; elsewhere surely none does.
 
         A span from a to b gains over none: its emissions less those of O, its inner moves less those from O to O, and at
-        most the best way in and out of it. One that gains nothing can be left out of any path. A character counts if some
-        span of the kind over it may gain.
+        most the best way in and out of it. A fall between texts keeps a span from reaching over it.
         """
-        out = np.zeros((len(bounds), len(e)), bool)
-        outside = np.ascontiguousarray(e[:, 0])
-        for k, (into, inner, away) in enumerate(bounds):
-            grown = np.cumsum(e[:, 2 + 2 * k] - outside + np.float32(inner), dtype=np.float64)
-            left = np.maximum.accumulate(e[:, 1 + 2 * k] - outside + into - grown)
-            right = np.maximum.accumulate(grown[::-1])[::-1]
-            np.greater(left + right, -away - 1e-3, out=out[k])
+        edges = np.cumsum(sizes)[:-1]
+        out = np.zeros((len(ALL_KINDS), len(e)), bool)
+        e = np.ascontiguousarray(e.T)
+        for k, (into, inner, away) in enumerate(self.bounds()):
+            grown = e[2 + 2 * k] - e[0]
+            grown += np.float32(inner)
+            grown = np.cumsum(grown, dtype=np.float64)
+            grown -= 1e5 * np.repeat(np.arange(len(sizes)), sizes) if len(edges) else 0.0
+            left = np.maximum.accumulate(e[1 + 2 * k] - e[0] + into - grown)
+            left += np.maximum.accumulate(grown[::-1])[::-1]
+            np.greater(left, margin - away - 1e-2, out=out[k])
         return out
 
-    def decode(self, e: np.ndarray, bounds: list[tuple[float, float, float]] | None = None) -> list[tuple[str, int, int, float]]:
-        """(kind, start, end, margin) of the spans on the best path through a whole text; of equal paths the one with fewer characters in spans."""
-        n, out = len(e), []
-        if not n:
-            return out
-        may = self.candidates(e, bounds or self.bounds())
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], may.any(0).view(np.int8), [0]))))
-        trans = (self.p["t"] + self.barred).tolist() if len(edges) else []
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+    def decode(self, e: np.ndarray, sizes: list[int], margin: float = MARGIN_SCORE) -> list[list[tuple[str, int, int, float]]]:
+        """(kind, start, end, gain) of the spans of each text on its best path through all of it, of those that gain at least the margin.
+
+        e: emissions of the texts one after another. Characters that no span of enough gain can cover are outside spans on
+        the path, so only stretches of others are walked; with margin 0 that is the best of all paths.
+        """
+        found: list[list[tuple[str, int, int, float]]] = [[] for _ in sizes]
+        may = self.candidates(e, sizes, margin)
+        firsts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        some = may.any(0).view(np.int8)
+        turn = np.concatenate(([0], np.diff(some), [0])) != 0
+        turn[0], turn[len(e)] = some[:1].any(), some[-1:].any()
+        turn[firsts[:-1][some[np.minimum(firsts[:-1], len(e) - 1)] > 0] if len(e) else []] = True
+        edges = np.append(np.flatnonzero(turn), len(e)).tolist()
+        trans = (self.p["t"] + self.barred).tolist()
+        texts = np.searchsorted(firsts, edges, side="right") - 1
+        for a, b, doc in zip(edges[:-1], edges[1:], texts.tolist(), strict=False):
+            if a == b or not some[a]:
+                continue
+            first, after = a == firsts[doc], b == firsts[doc + 1]
             kinds = np.flatnonzero(may[:, a:b].any(1)).tolist()
-            tags = [0, *[t for k in kinds for t in (1 + 2 * k, 2 + 2 * k)]]
-            # an inner tag follows its own kind only
-            before = {t: [0, *tags[1:]] if t == 0 or t % 2 else [t - 1, t] for t in tags}
-            best = {t: e[a, t] + (trans[0][t] if a else float(self.first[t])) for t in tags}
+            outer = [0, *[1 + 2 * k for k in kinds]]
+            tags = [*outer, *[2 + 2 * k for k in kinds]]
+            rows = e[a:b].tolist()
+            best = {t: rows[0][t] + (float(self.first[t]) if first else trans[0][t]) for t in tags}
             back: list[dict[int, int]] = []
-            for row in e[a + 1 : b].tolist():
+            for row in rows[1:]:
                 now, came = {}, {}
-                for t in tags:
+                for t in outer:
                     top, who = -1e30, 0
-                    for u in before[t]:
+                    for u in tags:
                         v = best[u] + trans[u][t]
                         if v > top:
                             top, who = v, u
                     now[t], came[t] = top + row[t], who
+                for t in tags[len(outer) :]:  # an inner tag follows its own kind only
+                    x, y = best[t - 1] + trans[t - 1][t], best[t] + trans[t][t]
+                    now[t], came[t] = (x + row[t], t - 1) if x >= y else (y + row[t], t)
                 best = now
                 back.append(came)
-            t = max(tags, key=lambda t: (best[t] + (trans[t][0] if b < n else 0.0), -t))
+            t = max(tags, key=lambda t: (best[t] + (0.0 if after else trans[t][0]), -t))
             path = [t]
             for came in reversed(back):
                 t = came[t]
                 path.append(t)
-            path.reverse()
+            path = [*([] if first else [0]), *reversed(path), *([] if after else [0])]
+            low = a if first else a - 1
             i = 0
-            while i < b - a:
+            while i < len(path):
                 if path[i] % 2 == 0:
                     i += 1
                     continue
-                first, inner = i, path[i] + 1
+                start, inner = i, path[i] + 1
                 i += 1
-                while i < b - a and path[i] == inner:
+                while i < len(path) and path[i] == inner:
                     i += 1
-                own = e[np.arange(a + first, a + i), path[first:i]]
-                out.append((ALL_KINDS[(inner - 2) // 2], a + first, a + i, float((own - e[a + first : a + i, 0]).mean())))
-        return out
+                gain = sum(rows[j + low - a][path[j]] - rows[j + low - a][0] for j in range(start, i))
+                chain = [*path[max(0, start - 1) : i + 1]]
+                gain += sum(trans[u][v] for u, v in zip(chain, chain[1:], strict=False))
+                chain = [0 if start <= j < i else path[j] for j in range(max(0, start - 1), min(len(path), i + 1))]
+                gain -= sum(trans[u][v] for u, v in zip(chain, chain[1:], strict=False))
+                if gain >= margin:
+                    found[doc].append((ALL_KINDS[(inner - 2) // 2], low + start - int(firsts[doc]), low + i - int(firsts[doc]), gain))
+        return found
 
 
 def tags_of(n: int, spans: list[tuple[str, int, int]], at: int = 0) -> np.ndarray:
@@ -475,23 +499,40 @@ def fit(docs: DataFrame, texts: int = TEXTS, made: int = MADE, epochs: int = EPO
     return net
 
 
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """The address in a span: about the first sign or word for @ that has a local part before it and, after it, names with a dot between them."""
+    for at in _AT_SIGN.finditer(text, a, b):
+        host = _HOST.match(text, at.end())
+        start = at.start()
+        while start > 0 and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < at.start() and (dot := _DOT_BEFORE.search(text, a, start)):
+            start = dot.start()
+        start += len(text[start : at.start()]) - len(text[start : at.start()].lstrip(".-"))
+        if start < at.start() and host and _DOT_SIGN.search(host.group()):
+            return start, host.end()
+    return a, a
+
+
 def whole(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
-    """A span to the ends of what it cuts: an address's local part and domain, a number's digits, a token's letters and digits."""
-    inside = (lambda c: c.isalnum() or c in "_-") if kind == "secret" else (lambda c: c in _LOCAL) if kind == "email" else str.isdigit
-    first, last = a, b
-    while a > 0 and inside(text[a - 1]) and inside(text[first]):
-        a -= 1
+    """A span to the ends of what it cuts, without marks around it: an address, a number's digits, a token's letters and digits; an empty one if nothing is left."""
     if kind == "email":
-        at = _AT_SIGN.search(text, first, b)
-        host = _HOST.match(text, at.end()) if at else None
-        return a, max(b, host.end()) if host else b
-    while b < len(text) and inside(text[b]) and inside(text[last - 1]):
+        return whole_address(text, a, b)
+    number = kind != "secret"
+    inside = str.isdigit if number else lambda c: c.isalnum() or c in "_-"
+    while a < b and not inside(text[b - 1]):
+        b -= 1
+    while a < b and not (inside(text[a]) or number and (text[a] == "+" or text[a] == "(" and ")" in text[a:b])):
+        a += 1
+    while a < b and a > 0 and inside(text[a - 1]) and inside(text[a]):
+        a -= 1
+    while a < b < len(text) and inside(text[b]):
         b += 1
     return a, b
 
 
-def find_spans(texts: list[str], net: Network | None) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text. The network reads every text whole; a span of its own stays by its margin, if it overlaps no base span and its digits are not those of another thing."""
+def find_spans(texts: list[str], net: Network | None, margin: float = MARGIN_SCORE) -> list[tuple[list, list]]:
+    """(base spans, all spans) of each text. The network reads every text whole; a span of its own stays by its gain, if it overlaps no base span and its digits are not those of another thing."""
     order = lambda s: (ALL_KINDS.index(s[0]), s[1], s[2])
     out = []
     at = 0
@@ -502,17 +543,14 @@ def find_spans(texts: list[str], net: Network | None) -> list[tuple[list, list]]
             end += 1
         part = texts[at:end]
         at = end
-        scores = net.scores([codes(t) for t in part]) if net is not None else [None] * len(part)
-        bounds = net.bounds() if net is not None else None
-        for text, e in zip(part, scores, strict=True):
+        seen = net.decode(net.scores([codes(t) for t in part]), [len(t) for t in part], margin) if net is not None else [[] for _ in part]
+        for text, spans in zip(part, seen, strict=True):
             base = base_spans(text)
             taken = [(a, b) for _, a, b in base]
             added = []
-            for kind, x, y, margin in net.decode(e, bounds) if net is not None else []:
-                if margin < MARGIN_SCORE:
-                    continue
+            for kind, x, y, _ in spans:
                 x, y = whole(kind, text, x, y)
-                if all(y <= p or x >= q for p, q in taken) and holds(kind, text[x:y]):
+                if x < y and all(y <= p or x >= q for p, q in taken) and holds(kind, text[x:y]):
                     added.append((kind, x, y))
                     taken.append((x, y))
             out.append((base, sorted([*base, *added], key=order)))
