@@ -26,8 +26,9 @@ END_ID = 0
 #: Pieces are dealt at random into blocks of about this many; each block is packed on its own.
 BLOCK = 4096
 ISLANDS, EPOCHS = 3, 2
-POPULATION, GENERATIONS = 5, 4
-#: Bins at least so full are passed on whole by the crossover.
+#: An island's people and children of a generation; generations without a better packing after which it stops, and those after which it stops anyway.
+POPULATION, CHILDREN, PATIENCE, GENERATIONS = 6, 3, 15, 150
+#: Bins at least so full are passed on whole by the crossover, and stay when what a round leaves is packed again.
 WELL_FILLED = 0.995
 
 
@@ -145,10 +146,14 @@ def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int
 
 
 def crossover(sizes: list[int], mine: list[list[int]], other: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Inject well-filled bins of `other` whole into `mine`, drop the bins of `mine` that hold duplicates, best-fit the displaced."""
+    """Inject well-filled bins of `other` whole into `mine`, drop the bins of `mine` that hold duplicates, best-fit the displaced.
+
+    Where `other` has no bin that is well filled, its fullest quarter is. Some of the poorly filled bins of `mine`, and now
+    and then a full one, are emptied too.
+    """
     fill = lambda b: sum(map(sizes.__getitem__, b))
-    good = [b for b in other if fill(b) >= WELL_FILLED * capacity]
-    passed = rng.sample(good, max(1, len(good) // 2)) if good else []
+    good = [b for b in other if fill(b) >= WELL_FILLED * capacity] or sorted(other, key=fill)[-max(1, len(other) // 4) :]
+    passed = rng.sample(good, rng.randint(1, max(1, len(good) // 2)))
     taken = {i for b in passed for i in b}
     child = Bins(sizes, capacity)
     displaced = []
@@ -156,13 +161,14 @@ def crossover(sizes: list[int], mine: list[list[int]], other: list[list[int]], c
         child.add_bin(b)
     for b in mine:
         if taken.isdisjoint(b):
-            if fill(b) >= 0.9 * capacity or rng.random() < 0.5:
+            if rng.random() < (0.98 if fill(b) >= 0.98 * capacity else 0.5):
                 child.add_bin(b)
-            else:  # mutation: a poorly filled bin is emptied
+            else:
                 displaced += b
         else:
             displaced += [i for i in b if i not in taken]
-    displaced.sort(key=lambda i: (-sizes[i], rng.random()))
+    noise = rng.choice((0.0, 0.1, 0.3))
+    displaced.sort(key=lambda i: -sizes[i] * rng.uniform(1 - noise, 1 + noise))
     for i in displaced:
         child.best_fit(i)
     return child.bins
@@ -177,23 +183,34 @@ def start(sizes: list[int], capacity: int, rng: random.Random, shuffled: bool) -
     return bins.bins
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]]) -> list[list[int]]:
-    """The best packing that one island finds in an epoch. It stops at the lower bound, where nothing is left to gain."""
+def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]]) -> tuple[list[list[int]], int]:
+    """(the best packing that one island finds in an epoch, crossovers made).
+
+    The population is the elites and best fits in noisy orders. At the lower bound no packing has fewer bins, so an island
+    there keeps to two people and one generation, in which children can still gather the free room in fewer bins; others
+    go on until PATIENCE generations bring nothing better. Of equally fit ones the older stays.
+    """
     rng = random.Random(seed)
+    if not sizes:
+        return [], 0
     bound = -(-sum(sizes) // capacity)
     people = [*elites]
     for k in range(POPULATION):
-        if people and len(max(people, key=lambda p: -len(p))) <= bound or len(people) >= POPULATION:
+        if len(people) >= POPULATION or len(people) >= 2 and min(map(len, people)) <= bound:
             break
         people.append(start(sizes, capacity, rng, k > 0 or bool(elites)))
     score = lambda p: fitness(sizes, p, capacity)
     people.sort(key=score, reverse=True)
+    made = idle = 0
     for _ in range(GENERATIONS):
-        if not people or len(people[0]) <= bound:
-            break
-        children = [crossover(sizes, *rng.sample(people, 2), capacity, rng) for _ in range(2) if len(people) > 1]
+        before = score(people[0])
+        children = [crossover(sizes, *rng.sample(people, 2), capacity, rng) for _ in range(CHILDREN)]
+        made += len(children)
         people = sorted(people + children, key=score, reverse=True)[:POPULATION]
-    return people[0] if people else []
+        idle = 0 if score(people[0]) > before else idle + 1
+        if len(people[0]) <= bound or idle >= PATIENCE:
+            break
+    return people[0], made
 
 
 def _bins(assign: list[int]) -> list[list[int]]:
@@ -203,38 +220,54 @@ def _bins(assign: list[int]) -> list[list[int]]:
     return list(out.values())
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """Adds sequence_id and offset to pieces (as `pieces` gives them; lengths from 1 to capacity).
+ITEM = "length:bigint,uid:bigint,doc_id:bigint,piece:int,start:bigint,ids_crc32:bigint"
+
 
-    Full pieces are sequences of their own, with negative ids. Others are dealt at random into blocks, so no key is hot; on
-    each block islands evolve in parallel, and between epochs the elite of each island moves to the next one by a join.
-    Equal lengths and repeated rows are distinct items: a row's number in the written table tells them apart. No rows: no rows.
+def islands(blocks: DataFrame, n_blocks: int, capacity: int) -> DataFrame:
+    """(block, assign, crossovers): the best island's bin of each item of a block, by the block's order of items.
+
+    On each block islands evolve in parallel, a row each, and between epochs the elite of each moves to the next one by a
+    join. Seeds come from the block, island and epoch, and of equally fit elites that of the last island stands, so a task
+    that runs again finds the same.
     """
-    rows = table(rows, "pieces").withColumn("uid", F.monotonically_increasing_id())
-    parts = table(rows.where(F.col("length") < capacity), "parts")
-    n_blocks = max(1, round(parts.count() / block))
-    inner = F.sort_array(F.collect_list(F.struct("length", "uid", "doc_id", "piece", "start", "ids_crc32")), asc=False)
-    blocks = table(parts.groupBy(F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).alias("block")).agg(inner.alias("items")), "blocks")
-    state = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.transform("items", lambda x: x["length"]).alias("sizes"), F.lit(None).cast("array<array<int>>").alias("elites"))
+    state = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.transform("items", lambda x: x["length"]).alias("sizes"), F.lit(None).cast("array<array<int>>").alias("elites"), F.lit(0).alias("crossovers"))
     for epoch in range(EPOCHS):
 
         def run(batch: pa.RecordBatch, epoch: int = epoch) -> dict:
             out = []
-            for b, i, sizes, elites in zip(*(batch.column(c).to_pylist() for c in ("block", "island", "sizes", "elites")), strict=True):
-                best = evolve(sizes, capacity, (b * ISLANDS + i) * EPOCHS + epoch, [_bins(e) for e in elites or []])
+            for b, i, sizes, elites, before in zip(*(batch.column(c).to_pylist() for c in ("block", "island", "sizes", "elites", "crossovers")), strict=True):
+                best, made = evolve(sizes, capacity, (b * ISLANDS + i) * EPOCHS + epoch, [_bins(e) for e in elites or []])
                 assign = [0] * len(sizes)
                 for k, items in enumerate(best):
                     for x in items:
                         assign[x] = k
-                out.append((assign, *fitness(sizes, best, capacity)))
-            return {"block": batch.column("block"), "island": batch.column("island"), "sizes": batch.column("sizes"), "assign": [x[0] for x in out], "bins": [x[1] for x in out], "fit": [x[2] for x in out]}
+                out.append((assign, *fitness(sizes, best, capacity), before + made))
+            return {"block": batch.column("block"), "island": batch.column("island"), "sizes": batch.column("sizes"), "assign": [x[0] for x in out], "bins": [x[1] for x in out], "fit": [x[2] for x in out], "crossovers": [x[3] for x in out]}
 
         # a row is a whole optimisation, so a few of them make a task
         spread = state.repartition(max(1, n_blocks), "block", "island")
-        state = table(each_batch(spread, run, "block long, island int, sizes array<long>, assign array<int>, bins int, fit double"), "islands")
+        state = table(each_batch(spread, run, "block long, island int, sizes array<long>, assign array<int>, bins int, fit double, crossovers int"), "islands")
         moved = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("assign").alias("guest"))
-        best = state.groupBy("block").agg(F.max_by("assign", F.struct("bins", "fit", "island")).alias("assign"))
-        state = state.join(moved, ["block", "island"]).select("block", "island", "sizes", F.array("assign", "guest").alias("elites"))
+        best = state.groupBy("block").agg(F.max_by("assign", F.struct("bins", "fit", "island")).alias("assign"), F.sum("crossovers").alias("crossovers"))
+        state = state.join(moved, ["block", "island"]).select("block", "island", "sizes", F.array("assign", "guest").alias("elites"), "crossovers")
+    return best
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+    """Adds sequence_id and offset to pieces (as `pieces` gives them; lengths from 1 to capacity).
+
+    Full pieces are sequences of their own, with negative ids. Others are dealt at random into blocks, so no key is hot,
+    and each block is packed by `islands`. What stands in bins that are not well filled is dealt and packed again, in
+    rounds of fewer and fewer blocks, until one block holds it (or most of a round's pieces would come back), so that not
+    every block leaves a sequence half empty. Equal lengths and repeated rows are distinct items: a row's number in the
+    written table tells them apart. No rows: no rows.
+    """
+    rows = table(rows, "pieces").withColumn("uid", F.monotonically_increasing_id())
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    packed = rows.where(F.col("length") >= capacity).select(*names, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    parts = table(rows.where(F.col("length") < capacity), "parts")
+    n = parts.count()
+    inner = F.sort_array(F.collect_list(F.struct("length", "uid", "doc_id", "piece", "start", "ids_crc32")), asc=False)
 
     def place(batch: pa.RecordBatch) -> dict:
         out = []
@@ -244,19 +277,26 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataF
             for x, b in zip(items, assign, strict=True):
                 offsets.append(used.get(b, 0))
                 used[b] = offsets[-1] + x["length"]
-            out.append([x | {"bin": b, "offset": o} for x, b, o in zip(items, assign, offsets, strict=True)])
+            out.append([x | {"bin": b, "offset": o, "filled": used[b]} for x, b, o in zip(items, assign, offsets, strict=True)])
         return {"block": batch.column("block"), "items": out}
 
-    item = "length:bigint,uid:bigint,doc_id:bigint,piece:int,start:bigint,ids_crc32:bigint,bin:bigint,offset:bigint"
-    placed = each_batch(blocks.join(best, "block"), place, f"block long, items array<struct<{item}>>").select("block", F.inline("items"))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    packed = placed.select(*names, (F.col("block") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
-    full = rows.where(F.col("length") >= capacity).select(*names, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(full)
+    level = 0
+    while n:
+        n_blocks = max(1, round(n / block))
+        blocks = table(parts.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(n_blocks)).alias("block")).agg(inner.alias("items")), "blocks")
+        best = islands(blocks, n_blocks, capacity)
+        placed = table(each_batch(blocks.join(best, "block"), place, f"block long, items array<struct<{ITEM},bin:bigint,offset:bigint,filled:bigint>>").select("block", F.inline("items")), "placed")
+        loose = F.col("filled") < WELL_FILLED * capacity
+        left = placed.where(loose).count() if n_blocks > 1 else 0
+        again = 0 < left < n / 2
+        done = placed.where(~loose) if again else placed
+        packed = packed.unionByName(done.select(*names, (F.lit(level) * (1 << 56) + F.col("block") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset"))
+        parts, n, level = placed.where(loose).select("length", "uid", "doc_id", "piece", "start", "ids_crc32"), left if again else 0, level + 1
+    return packed
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; null and empty texts are the end id alone."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; null and empty texts are the end id alone. Rows that repeat an id, and rows without one, are documents of their own, with pieces from 0 each."""
     return pack(pieces(docs, id_col, text_col, tokenizer, capacity), capacity)
 
 

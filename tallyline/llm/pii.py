@@ -448,7 +448,7 @@ def made_examples(n: int, seed: int = 3) -> list[tuple[str, list[tuple[str, int,
     for _ in range(n):
         text, spans = " ".join(word() for _ in range(size(0, 6))), []
         for _ in range(pick([0, 1, 1, 1, 2])):
-            kind = pick([*ALL_KINDS, "email", "email", "", ""])
+            kind = pick([*ALL_KINDS, "email", "email", "phone", "", ""])
             body = make[kind]() if kind else other()
             lead = text[-1:] and pick([" ", " ", " ", " ", "\n", ": ", " (", "*** ", "| ", ', "'])
             if kind == "secret":
@@ -528,6 +528,8 @@ def whole(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
         a -= 1
     while a < b < len(text) and inside(text[b]):
         b += 1
+    if number and a > 0 and text[a - 1] == "(" and ")" in text[a:b]:
+        a -= 1
     return a, b
 
 
