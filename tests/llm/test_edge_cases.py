@@ -94,3 +94,28 @@ def test_embeddings_odd_rows(spark):
     assert by[14] == (1, 14, True) and by[15] == (1, 14, False)
     assert all(by[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, 13))
     assert embedding_dedup.near_duplicates(df.where(F.lit(False))).collect() == []
+    # rows of one id, or of none, are vectors of their own
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.001]), (9, [-1.0, 0.002])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in got)) == [(0, 2, 9), (0, 2, 9), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (9, 2, 9)]
+    # just at the threshold, and just below
+    exact = [(1, [1.0, 0.0, 0.0]), (2, [93.0, 36.0, 7.0]), (3, [-1.0, 0.0, 0.0]), (4, [-92.0, 39.0, 3.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(*r, 1) for r in exact], "vec_id long, embedding array<double>, label int")).collect()
+    cos = 93.0 / (93.0**2 + 36.0**2 + 7.0**2) ** 0.5
+    assert {r["vec_id"]: r["n_links"] for r in got} == {1: int(cos >= 0.93), 2: int(cos >= 0.93), 3: 0, 4: 0}
+
+
+def test_repeated_ids_are_one_document_in_counts(spark):
+    """Six rows of one id are one page of a host and lose nothing; a seventh id makes no line common."""
+    line = "the same line on every page of the host"
+    rows = [(1, f"{line}\nown words number {k}", "h") for k in range(6)] + [(2, line, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r["n_dropped"] == 0 for r in line_dedup.dedup_lines(df).collect())
+    more = df.unionByName(spark.createDataFrame([(k, line, "h") for k in range(3, 7)], df.schema))
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(more).collect()) == [(1, 1)] * 6 + [(k, 1) for k in range(2, 7)]
+    body = " ".join(f"word{k}" for k in range(60))
+    many = spark.createDataFrame([(k // 2, f"{body}\nown {chr(97 + k)}", "h") for k in range(24)] + [(None, body, "h")], df.schema)
+    got = quality_rules.quality_rules(many).collect()
+    assert {r["n_left"] for r in got if r["doc_id"] is not None} == {2} and not any(r["kept"] for r in got)
+    few = spark.createDataFrame([(k // 3, f"{body}\nown {chr(97 + k)}", "h") for k in range(24)], df.schema)
+    assert {r["n_left"] for r in quality_rules.quality_rules(few).collect()} == {62}
