@@ -46,8 +46,21 @@ def query(url: Column) -> Column:
     return F.regexp_extract(_absolute(url), r"^[^?#]*\?([^#]*)", 1)
 
 
+def _decoded(part: Column) -> Column:
+    """A query's part without escapes; one that holds a broken escape stays as it is."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def _encoded(part: Column) -> Column:
+    """A query's part with escapes for all but letters, digits and _ . - ~, and + for a space."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def url_key(url: Column) -> Column:
-    """Canonical identity: site:item where a site's item ids are known, else site and path, without a closing slash, with the query that doesn't track, sorted. Null for a blank address."""
+    """Canonical identity: site:item where a site's item ids are known, else site and path, without a closing slash, with the query that doesn't track, sorted. Null for a blank address.
+
+    Of a query parameters without a value are left out; names and values are compared without their escapes.
+    """
     s, p, q = site(url), path(url), query(url)
     known = F.lit(None).cast("string")
     video = F.regexp_extract(q, r"(?:^|&)v=([A-Za-z0-9_-]{11})(?:&|$)", 1)
@@ -55,8 +68,10 @@ def url_key(url: Column) -> Column:
         item = F.regexp_extract(p, path_rx, 1)
         known = F.when(F.rlike(s, F.lit(host_rx)) & (item != ""), F.concat(F.lit(f"{name}:"), item)).otherwise(known)
     known = F.when(F.rlike(s, F.lit(ITEMS[0][0])) & (video != ""), F.concat(F.lit("youtube:"), video)).otherwise(known)
-    tracks = "^(utm_[^=]*|" + "|".join(TRACKING) + ")="
-    kept = F.array_sort(F.filter(F.split(q, "&"), lambda x: F.contains(x, F.lit("=")) & ~F.rlike(F.lower(x), F.lit(tracks))))
+    tracks = "^(utm_[^=]*|" + "|".join(TRACKING) + ")$"
+    name, value = (lambda x, k=k: _decoded(F.regexp_extract(x, "^([^=]*)=(.*)$", k)) for k in (1, 2))
+    pairs = F.transform(F.filter(F.split(q, "&"), lambda x: F.rlike(x, F.lit("^[^=]*=."))), lambda x: F.struct(name(x).alias("k"), value(x).alias("v")))
+    kept = F.transform(F.array_sort(F.filter(pairs, lambda x: ~F.rlike(F.lower(x["k"]), F.lit(tracks)))), lambda x: F.concat(_encoded(x["k"]), F.lit("="), _encoded(x["v"])))
     rest = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.when(F.trim(url) != "", F.coalesce(known, F.concat(s, F.regexp_replace(p, "/+$", ""), rest)))
 

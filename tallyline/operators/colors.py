@@ -1,7 +1,8 @@
-"""The dominant colour of a group: greedy clusters in the order of first sight."""
+"""The dominant colour of a group: greedy clusters in the order of arrival."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,32 +12,59 @@ from ..functions.scalars import rgb
 RADIUS = 28.0
 
 
+class Cluster:
+    """Colours as counts of each channel's values, so its size does not grow with its members."""
+
+    def __init__(self) -> None:
+        self.counts, self.n, self.center = np.zeros((3, 256), np.int64), 0, (0, 0, 0)
+
+    def add(self, color: tuple[int, int, int]) -> None:
+        for channel, v in enumerate(color):
+            self.counts[channel, v] += 1
+        self.n += 1
+        total = np.cumsum(self.counts, 1)
+        low, high = ((total > k).argmax(1) for k in ((self.n - 1) // 2, self.n // 2))
+        self.center = tuple(round((int(a) + int(b)) / 2) for a, b in zip(low, high, strict=True))
+
+
+def cluster(clusters: list[Cluster], color: tuple[int, int, int], radius: float) -> None:
+    """Add a colour to the first cluster whose median is within the radius, else to a new one."""
+    for c in clusters:
+        if sum((x - y) ** 2 for x, y in zip(color, c.center, strict=True)) <= radius * radius:
+            break
+    else:
+        clusters.append(c := Cluster())
+    c.add(color)
+
+
 def color_mode(rows: DataFrame, group: str, color: str, pos: str, radius: float = RADIUS) -> DataFrame:
-    """(group, color, n, share): the median of the largest cluster of each group's colours.
+    """(group, color, n, share): the largest cluster of each group's colours, as the median of each channel.
 
-    Colours are counted first, so a group is as large as its distinct colours. In the order of first sight a colour joins the
-    first cluster whose first colour is within the radius. Of equal clusters the one seen first wins. Unreadable colours are left out.
+    In the order of pos a colour joins the first cluster whose present median is within the radius (half a step is rounded
+    to the even number), so each depends on all before it: a group is read in one task, a row at a time, and what is held
+    are its clusters, not its rows. Of equal clusters the older one wins. Unreadable colours are left out.
     """
     r, g, b = rgb(F.col(color))
-    named = rows.select(F.col(group).alias("grp"), r.alias("r"), g.alias("g"), b.alias("b"), F.col(pos).alias("pos")).where("r IS NOT NULL")
-    counted = named.groupBy("grp", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first")
-        heads: list[tuple] = []
-        members: list[list[tuple]] = []
-        for row in pdf[["r", "g", "b", "n"]].itertuples(index=False):
-            for k, h in enumerate(heads):
-                if sum((x - y) ** 2 for x, y in zip(row[:3], h, strict=True)) <= radius * radius:
-                    members[k].append(row)
-                    break
-            else:
-                heads.append(row[:3])
-                members.append([row])
-        sizes = [sum(m[3] for m in ms) for ms in members]
-        best = members[sizes.index(max(sizes))]
-        channel = lambda c: int(pd.Series([m[c] for m in best]).repeat([m[3] for m in best]).median())
-        return pd.DataFrame([(pdf["grp"].iloc[0], "#%02X%02X%02X" % (channel(0), channel(1), channel(2)), max(sizes), max(sizes) / sum(sizes))], columns=["grp", "color", "n", "share"])
+    named = rows.select(F.col(group).alias("grp"), F.col(pos).alias("pos"), r.alias("r"), g.alias("g"), b.alias("b")).where("r IS NOT NULL")
+    ordered = named.repartition("grp").sortWithinPartitions("grp", "pos", "r", "g", "b")
+
+    def run(frames):
+        key, clusters, begun = None, [], False
+
+        def close() -> pd.DataFrame:
+            best = max(clusters, key=lambda c: c.n)  # of equal ones max() takes the first
+            return pd.DataFrame([(key, "#%02X%02X%02X" % best.center, best.n, best.n / sum(c.n for c in clusters))], columns=["grp", "color", "n", "share"])
+
+        for frame in frames:
+            names = frame["grp"].astype(object).where(frame["grp"].notna(), None)
+            for row in zip(names, frame["r"], frame["g"], frame["b"], strict=True):
+                if not begun or row[0] != key:
+                    if begun:
+                        yield close()
+                    key, clusters, begun = row[0], [], True
+                cluster(clusters, (int(row[1]), int(row[2]), int(row[3])), radius)
+        if begun:
+            yield close()
 
     kind = dict(rows.dtypes)[group]
-    return counted.groupBy("grp").applyInPandas(cluster, f"grp {kind}, color string, n long, share double").withColumnRenamed("grp", group)
+    return ordered.select("grp", "r", "g", "b").mapInPandas(run, f"grp {kind}, color string, n long, share double").withColumnRenamed("grp", group)

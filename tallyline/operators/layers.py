@@ -11,9 +11,22 @@ def manual_first(manual: DataFrame, auto: DataFrame, keys: list[str]) -> DataFra
     return manual.withColumn("origin", F.lit("manual")).unionByName(auto.join(manual.select(*keys).distinct(), keys, "left_anti").withColumn("origin", F.lit("auto")))
 
 
-def layered(rows: DataFrame, keys: list[str], priority: Column, value: str, tombstone: str | None = None) -> DataFrame:
-    """The value of each key from its layer of highest priority; a layer that says `tombstone` lets the next one speak."""
-    live = rows.where(~F.coalesce(F.col(tombstone), F.lit(False))) if tombstone else rows
+def layered(rows: DataFrame, keys: list[str], priority: Column, value: str, tombstone: str | None = None, base: Column | None = None) -> DataFrame:
+    """The value of each key from its layer of highest priority.
+
+    A row that says `tombstone` has no value of its own, and where its key is in the base layer (rows for which `base` holds)
+    it hides all layers below it but that: a key that is unmeasured for a group takes no measured value of a wider one.
+    Without a base row for the key the layers below speak. Layers above it speak as before.
+    """
+    live = rows
+    if tombstone:
+        gone = F.coalesce(F.col(tombstone), F.lit(False))
+        ground = F.coalesce(base, F.lit(False)) if base is not None else F.lit(False)
+        w = Window.partitionBy(*keys)
+        level = F.max(F.when(gone, priority)).over(w)
+        has_base = F.coalesce(F.bool_or(ground & ~gone).over(w), F.lit(False))
+        marked = rows.withColumn("_level", level).withColumn("_has", has_base).withColumn("_p", priority).withColumn("_ground", ground).where(~gone)
+        live = marked.where(F.col("_level").isNull() | (F.col("_p") > F.col("_level")) | F.col("_ground") | ~F.col("_has")).select(*rows.columns)
     return live.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), priority).alias("r")).select(*keys, f"r.{value}", F.col("r.layer").alias("layer"))
 
 

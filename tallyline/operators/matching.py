@@ -56,8 +56,9 @@ def shifted_similarity(left: DataFrame, right: DataFrame, id_: str, by: str, x:
                 if (keep := a != b).any():
                     yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(sim[keep])], names=["a", "b", "sim"])
 
-    b = blocks(right, id_, by, x).select(by, F.col("i").alias("j"), F.col("x").alias("y"))
-    met = blocks(left, id_, by, x).join(b, by).select("i", "x", "j", "y")
+    a, b = blocks(left, id_, by, x), blocks(right, id_, by, x).select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
+    heads = a.select(by, "p").join(b.select(by, "q"), by)
+    met = heads.join(a, [by, "p"]).join(b, [by, "q"]).repartition(F.xxhash64(by, "p", "q")).select("i", "x", "j", "y")
     return met.mapInArrow(compare, "a long, b long, sim double").select("a", "b", rounded("sim").alias("sim"))
 
 

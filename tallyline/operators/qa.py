@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gate(rows: DataFrame, rules: dict[str, str], row_id: str) -> DataFrame:
-    """For each rule (a name and the condition of a failing row): n_failing, passed, and the failing ids joined by commas. One pass over the rows."""
+def gate(rows: DataFrame, rules: dict[str, str], row_id: str, shown: int = 50) -> DataFrame:
+    """For each rule (a name and the condition of a failing row): n_failing, passed, and the first `shown` failing ids joined by commas. One pass over the rows."""
     failed = F.filter(F.array(*[F.when(F.expr(cond), name) for name, cond in rules.items()]), lambda r: r.isNotNull())
-    hits = rows.select(row_id, F.explode(failed).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(row_id)), lambda x: x.cast("string")), ",").alias("ids"))
+    each = rows.select(row_id, F.explode(failed).alias("rule"))
+    first = each.withColumn("p", F.row_number().over(Window.partitionBy("rule").orderBy(row_id))).where(F.col("p") <= shown)
+    ids = first.groupBy("rule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(row_id)), lambda x: x.cast("string")), ",").alias("ids"))
+    hits = each.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(ids, "rule")
     names = rows.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
     return names.join(hits, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n_failing"), F.col("n").isNull().alias("passed"), F.coalesce("ids", F.lit("")).alias("failing"))
 

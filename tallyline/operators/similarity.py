@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared
 from .stats import rounded
 
 
@@ -116,7 +117,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared(spark))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     now = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
     for _ in range(rounds):
@@ -145,7 +146,7 @@ def threshold_graph(vectors: DataFrame, id_: str, by: str, x: str, least: float,
     import numpy as np
     import pyarrow as pa
 
-    packed = blocks(vectors, id_, by, x, block)
+    packed = blocks(vectors, id_, by, x, block).where(F.col(by).isNotNull())
     other = packed.select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
 
     def compare(batches):
@@ -161,7 +162,10 @@ def threshold_graph(vectors: DataFrame, id_: str, by: str, x: str, least: float,
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], names=["a", "b", "sim"])
 
-    return packed.join(other, by).where("p <= q").select("p", "q", "i", "x", "j", "y").mapInArrow(compare, "a long, b long, sim double")
+    # pairs of blocks are made of their numbers alone and meet their vectors by group and number, so a large group is many keys
+    heads = packed.select(by, "p").join(packed.select(by, F.col("p").alias("q")), by).where("p <= q")
+    met = heads.join(packed, [by, "p"]).join(other, [by, "q"]).repartition(F.xxhash64(by, "p", "q"))
+    return met.select("p", "q", "i", "x", "j", "y").mapInArrow(compare, "a long, b long, sim double")
 
 
 def average_linkage(vectors: DataFrame, pairs: DataFrame, id_: str, x: str, least: float) -> DataFrame:

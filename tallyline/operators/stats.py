@@ -19,22 +19,60 @@ def rounded(value: str | Column, digits: int = 6) -> Column:
     return F.round(F.col(value) if isinstance(value, str) else value, digits)
 
 
-def _percentiles(value: Column) -> list[Column]:
-    return [rounded(F.percentile(value, p)).alias(name) for name, p in LEAVES.items()]
+def _percentiles(value: Column) -> Column:
+    """The percentiles of LEAVES from one buffer, as an array p."""
+    return F.percentile(value, F.array(*map(F.lit, LEAVES.values()))).alias("p")
+
+
+def _leaves() -> list[Column]:
+    return [rounded(F.get("p", F.lit(k))).alias(name) for k, name in enumerate(LEAVES)]
+
+
+#: The sketch that brackets a percentile errs by at most n / ACCURACY ranks.
+ACCURACY = 10_000
+
+
+def overall_percentiles(rows: DataFrame, value: str) -> DataFrame:
+    """One row: n and p, the exact percentiles of LEAVES over all measured values; no row if there is none.
+
+    A bounded sketch brackets each percentile by values a few ranks on either side; then what is below each bracket is
+    counted and only the values within it are gathered, so no task holds all values of the column.
+    """
+    v = rows.where(measured(value)).select(F.col(value).cast("double").alias("v"))
+    ends = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in LEAVES.values() for side in (-1, 1)]
+    bracket = v.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [0.0, *ends, 1.0], ACCURACY).alias("e")).where("n > 0")
+    few = F.col("n") <= 10 * ACCURACY  # ranks may lie closer than the sketch's steps, so all values are within
+    low = lambda k: F.get("e", F.when(few, 0).otherwise(1 + 2 * k))
+    high = lambda k: F.get("e", F.when(few, len(ends) + 1).otherwise(2 + 2 * k))
+    parts = [(F.count(F.when(F.col("v") < low(k), 1)), F.sort_array(F.collect_list(F.when(F.col("v").between(low(k), high(k)), F.col("v"))))) for k in range(len(LEAVES))]
+    held = v.crossJoin(F.broadcast(bracket)).groupBy("n").agg(*[c.alias(f"{name}{k}") for k, pair in enumerate(parts) for name, c in zip(("below", "held"), pair, strict=True)])
+
+    def at(k: int, p: float) -> Column:
+        place = F.lit(p) * (F.col("n") - 1)
+        first = F.floor(place)
+        value_at = lambda i: F.get(f"held{k}", (i - F.col(f"below{k}")).cast("int"))
+        a, b = value_at(first), value_at(F.least(first + 1, F.col("n") - 1))
+        return a + (b - a) * (place - first)
+
+    return held.select("n", F.array(*[at(k, p) for k, p in enumerate(LEAVES.values())]).alias("p"))
 
 
 def pstats(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """n, p10, p50, p90 of the measured values of each group; linear interpolation."""
     good = rows.where(measured(value))
-    return good.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *_percentiles(F.col(value).cast("double")))
+    return good.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _percentiles(F.col(value).cast("double"))).select(*by, "n", *_leaves())
 
 
 def pstats_by_group(rows: DataFrame, value: str, group: str, *by: str) -> DataFrame:
-    """pstats overall (grp null) and for each group in one pass. Rows without a group count overall only."""
+    """pstats overall (grp null) and for each group. Rows without a group count overall only."""
     flat = rows.where(measured(value)).select(*by, F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
+    if not by:
+        grouped = flat.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), _percentiles(F.col("v")))
+        whole = overall_percentiles(flat, "v").select(F.lit(None).cast(dict(rows.dtypes)[group]).alias("grp"), "n", "p")
+        return whole.unionByName(grouped).select("grp", "n", *_leaves())
     sets = flat.groupingSets([[*map(F.col, by)], [*map(F.col, by), F.col("grp")]], *by, "grp")
-    out = sets.agg(F.grouping("grp").alias("overall"), F.count(F.lit(1)).alias("n"), *_percentiles(F.col("v")))
-    return out.where("overall = 1 OR grp IS NOT NULL").select(*by, "grp", "n", *LEAVES)
+    out = sets.agg(F.grouping("grp").alias("overall"), F.count(F.lit(1)).alias("n"), _percentiles(F.col("v")))
+    return out.where("overall = 1 OR grp IS NOT NULL").select(*by, "grp", "n", *_leaves())
 
 
 def categorical(rows: DataFrame, value: str, pos: str, *by: str) -> DataFrame:

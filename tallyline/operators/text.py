@@ -25,10 +25,10 @@ def extract_credits(rows: DataFrame, id_: str, text: str) -> DataFrame:
     def hits(pattern: str, kind: str, at: int):
         """The pattern's groups in the text, each with its kind and its place among all patterns'."""
         tidy = lambda v: F.regexp_replace(v, r"[.,;:!)]+$", "") if kind != "mention" else F.concat(F.lit("@"), F.regexp_replace(v, r"\.+$", ""))
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v, i: F.struct(F.lit(kind).alias("kind"), tidy(v).alias("value"), (F.lit(at) + i).alias("pos")))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v, i: F.struct(F.lit(kind).alias("kind"), tidy(v).alias("value"), (F.lit(at).cast("long") + i).alias("pos")))
 
-    found = [hits(rx, kind, n * 10000) for n, (kind, rx) in enumerate(CREDITS)]
-    mention = hits(MENTION, "mention", 90000)
+    found = [hits(rx, kind, n << 40) for n, (kind, rx) in enumerate(CREDITS)]
+    mention = hits(MENTION, "mention", len(CREDITS) << 40)
     all_ = rows.select(id_, F.explode(F.concat(*found, mention)).alias("c")).select(id_, "c.*").where("value <> ''")
     first = all_.withColumn("r", F.row_number().over(Window.partitionBy(id_, "kind", F.lower("value")).orderBy("pos"))).where("r = 1").drop("r")
     first = first.withColumn("is_url", F.col("value").startswith("http")).withColumn("norm", normal_handle(F.col("value")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as X
 from ..operators import stats as S
 from .base import E, dist_sql, events, read
 
@@ -182,12 +183,14 @@ def a18(spark, d):
     return c.select("source", F.when(F.col("share") >= 0.6, F.col("mode")).otherwise("mixed").alias("class"), "share")
 
 
-@query("a19_quote_marks", r"""WITH q AS (SELECT source, doc_id, CASE WHEN starts_with(text, 'T') AND contains(text, '.') THEN 'T.' WHEN starts_with(text, 'E') THEN 'E' END AS pair, n_chars < 300 AS part FROM documents),
+@query("a19_quote_marks", r"""WITH t AS (SELECT *, trim(CASE WHEN doc_id % 3 = 0 THEN '«' || text || '»' WHEN doc_id % 7 < 3 THEN '"' || text || '"' ELSE text END) AS t FROM documents),
+q AS (SELECT source, doc_id, CASE WHEN t LIKE '«%»' THEN '«»' WHEN t LIKE '"%"' AND length(t) > 1 THEN '""' END AS pair, n_chars < 300 AS part FROM t),
 c AS (SELECT source, pair, count(*) AS k, min(doc_id) AS f FROM q WHERE NOT part AND pair IS NOT NULL GROUP BY 1, 2), m AS (SELECT source, arg_max(pair, {'k': k, 'f': -f}) AS mode FROM c GROUP BY 1),
 n AS (SELECT source, count(*) FILTER (part) AS excluded FROM q GROUP BY 1) SELECT n.source, mode, excluded FROM n LEFT JOIN m USING (source)""")
 def a19(spark, d):
-    text = F.col("text")
-    q = read(spark, d, "documents").withColumn("pair", F.when(text.startswith("T") & text.contains("."), "T.").when(text.startswith("E"), "E")).withColumn("part", F.col("n_chars") < 300)
+    text, k = F.col("text"), F.col("doc_id")
+    quoted = F.when(k % 3 == 0, F.concat(F.lit("«"), text, F.lit("»"))).when(k % 7 < 3, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+    q = read(spark, d, "documents").withColumn("pair", X.quote_pair(quoted, {'"': '"', "«": "»"})).withColumn("part", F.col("n_chars") < 300)
     return q.groupBy("source").agg(F.count(F.when(F.col("part"), 1)).alias("excluded")).join(S.entity_mode(q.where("NOT part"), "source", "pair", "doc_id"), "source", "left")
 
 
@@ -203,8 +206,8 @@ def a20(spark, d):
 
 
 @query("a21_group_table", """WITH m AS (SELECT doc_id, lang || '-' || quality AS s, toxic FROM labels JOIN documents USING (doc_id)),
-g AS (SELECT s, count(*) AS n, min(doc_id) AS f, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members, count(DISTINCT toxic) AS variants FROM m GROUP BY 1)
-SELECT 'F' || row_number() OVER (ORDER BY n DESC, s) AS format_id, s AS structure, n, round(n / sum(n) OVER (), 6) AS share, variants, md5(members) AS members,
+g AS (SELECT s, count(*) AS n, min(doc_id) AS f, sum(('0x' || left(md5(doc_id::VARCHAR), 15))::BIGINT::HUGEINT)::VARCHAR AS members, count(DISTINCT toxic) AS variants FROM m GROUP BY 1)
+SELECT 'F' || row_number() OVER (ORDER BY n DESC, s) AS format_id, s AS structure, n, round(n / sum(n) OVER (), 6) AS share, variants, members,
 (SELECT count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS n_unlabeled FROM g""")
 def a21(spark, d):
     from ..operators.catalog import group_table
@@ -307,7 +310,7 @@ def a29(spark, d):
 
 @query("a30_gate", f"""WITH {E}, {QA}, r AS (SELECT 'required_unmeasured' AS rule, row_id FROM q WHERE required AND status = 'unmeasured' UNION ALL SELECT 'different_unintended', row_id FROM q WHERE status = 'different' AND NOT intended
 UNION ALL SELECT 'intended_unchanged', row_id FROM q WHERE intended AND status = 'same' AND value > 95), n AS (SELECT unnest(['required_unmeasured', 'different_unintended', 'intended_unchanged', 'no_rows']) AS rule)
-SELECT n.rule, count(row_id) AS n_failing, count(row_id) = 0 AS passed, md5(coalesce(string_agg(row_id::VARCHAR, ',' ORDER BY row_id), '')) AS failing FROM n LEFT JOIN r USING (rule) GROUP BY 1""")
+SELECT n.rule, count(row_id) AS n_failing, count(row_id) = 0 AS passed, md5(coalesce(array_to_string(list_sort(list(row_id) FILTER (row_id IS NOT NULL))[1:50], ','), '')) AS failing FROM n LEFT JOIN r USING (rule) GROUP BY 1""")
 def a30(spark, d):
     from ..operators.qa import gate
 

@@ -136,22 +136,17 @@ def j11(spark, d):
 
 
 HASH = """v AS (SELECT vec_id, list_reduce(list_prepend(0::UBIGINT, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END)), lambda a, b: a | b) AS h FROM embeddings),
-r AS (SELECT vec_id AS ref, h FROM v WHERE vec_id % 10 = 0),
-k AS (SELECT ref + 1000000 * (f + 1) AS cand, xor(h, list_reduce(list_transform(range(0, 1 + ((ref + f * 3) % 15)), lambda i: 1::UBIGINT << ((i * 11 + ref + f) % 64)::UBIGINT), lambda a, b: a | b)) AS h, f FROM r CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS f))"""
+r AS (SELECT vec_id AS ref, h FROM v),
+k AS (SELECT ref + 1000000000000 * (f + 1) AS cand, xor(h, list_reduce(list_transform(range(0, 1 + ((ref + f * 3) % 15)), lambda i: 1::UBIGINT << ((i * 11 + ref + f) % 64)::UBIGINT), lambda a, b: a | b)) AS h, f FROM r CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS f))"""
 
 
 @query("j12_hamming", f"""WITH {HASH} SELECT cand, ref, bit_count(xor(k.h, r.h))::INT AS distance FROM k JOIN r ON bit_count(xor(k.h, r.h)) <= 10""")
 def j12(spark, d):
-    return near_hashes(read(spark, d, "embeddings").where("vec_id % 10 = 0"), 1000000)
+    return near_hashes(read(spark, d, "embeddings"))
 
 
-# all vectors: too many pairs of hashes for SQL; candidates are numbered beyond all ids
-@query("j12_hamming_whole", None)
-def j12_whole(spark, d):
-    return near_hashes(read(spark, d, "embeddings"), 10**12)
-
-
-def near_hashes(vectors, gap: int):
+def near_hashes(vectors, gap: int = 10**12):
+    """Planted candidates, numbered beyond all ids, within 10 bits of the vectors' hashes."""
     refs = vectors.select(F.col("vec_id").cast("long").alias("ref"), M.sign_bits(F.col("embedding")).alias("h"))
     f = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("f")
     planted = refs.select("ref", "h", f)
@@ -161,18 +156,10 @@ def near_hashes(vectors, gap: int):
     return M.hamming_join(cands, refs, "cand", "ref", "h").select("cand", "ref", "distance")
 
 
-@query("j12_same_recording", f"""WITH {HASH}, m AS (SELECT cand % 1000000 AS item, ref, min(bit_count(xor(k.h, r.h))) AS dist, f FROM k JOIN r ON bit_count(xor(k.h, r.h)) <= 10 GROUP BY 1, 2, f),
+@query("j12_same_recording", f"""WITH {HASH}, m AS (SELECT cand % 1000000000000 AS item, ref, min(bit_count(xor(k.h, r.h))) AS dist, f FROM k JOIN r ON bit_count(xor(k.h, r.h)) <= 10 GROUP BY 1, 2, f),
 g AS (SELECT item, ref, count(*) AS matched, min(dist)::INT AS best FROM m GROUP BY 1, 2) SELECT r.ref AS item, arg_max(g.ref, {{'m': matched, 'b': -best, 'r': -g.ref}}) AS best_ref, coalesce(max(matched), 0) >= 3 AS same FROM r LEFT JOIN g ON g.item = r.ref GROUP BY 1""")
 def j12b(spark, d):
-    return recordings(read(spark, d, "embeddings").where("vec_id % 10 = 0"), 1000000)
-
-
-@query("j12_same_recording_whole", None)
-def j12b_whole(spark, d):
-    return recordings(read(spark, d, "embeddings"), 10**12)
-
-
-def recordings(vectors, gap: int):
+    vectors, gap = read(spark, d, "embeddings"), 10**12
     hits = near_hashes(vectors, gap).select((F.col("cand") % gap).alias("item"), (F.floor(F.col("cand") / gap) - 1).alias("f"), "ref", "distance")
     items = vectors.select(F.col("vec_id").alias("item"))
     return M.same_recording(hits, items, "item", "f", "ref", "distance")
@@ -217,24 +204,13 @@ def j16(spark, d):
 
 
 @query("j17_best_match", """WITH c AS (SELECT label, list_transform(range(1, 65), lambda i: avg(embedding[i])) AS x FROM embeddings GROUP BY 1),
-s AS (SELECT a.vec_id, b.vec_id AS lib, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id % 25 = 1 AND a.vec_id % 20 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id, b.vec_id AS lib, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, lib) AS p FROM s) SELECT vec_id, CASE WHEN max(sim) FILTER (p = 1) >= 0.8 THEN max(lib) FILTER (p = 1) END AS best, round(max(sim) FILTER (p = 1), 6) AS sim,
 string_agg(lib::VARCHAR, ',' ORDER BY p) FILTER (p BETWEEN 2 AND 4) AS others FROM r WHERE p <= 4 GROUP BY 1""".replace("c AS (SELECT label, list_transform(range(1, 65), lambda i: avg(embedding[i])) AS x FROM embeddings GROUP BY 1),\n", ""))
 def j17(spark, d):
     v = read(spark, d, "embeddings")
-    return closest(v, v.where("vec_id % 25 = 1"))
-
-
-# the same items against all vectors
-@query("j17_best_match_whole", None)
-def j17_whole(spark, d):
-    v = read(spark, d, "embeddings")
-    return closest(v, v)
-
-
-def closest(v, among):
     items = v.where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").alias("x"))
-    library = among.select(F.col("vec_id").alias("lib"), "label", F.col("embedding").alias("y"))
+    library = v.select(F.col("vec_id").alias("lib"), "label", F.col("embedding").alias("y"))
     return M.best_match(items, library, "vec_id", "lib", "label", 0.8)
 
 
@@ -260,9 +236,10 @@ def layers(spark, d):
     return base.unionByName(measured).unionByName(own)
 
 
-@query("j19_layered_settings", f"""WITH {LAYERS} SELECT key, format_id, arg_max(value, p) AS value, arg_max(layer, p) AS layer FROM l WHERE NOT gone GROUP BY 1, 2""")
+@query("j19_layered_settings", f"""WITH {LAYERS}, u AS (SELECT key, format_id, max(p) FILTER (gone) AS g, bool_or(p = 0 AND NOT gone) AS has_base FROM l GROUP BY 1, 2)
+SELECT key, format_id, arg_max(value, p) AS value, arg_max(layer, p) AS layer FROM l JOIN u USING (key, format_id) WHERE NOT gone AND (g IS NULL OR p > g OR p = 0 OR NOT has_base) GROUP BY 1, 2""")
 def j19(spark, d):
-    return L.layered(layers(spark, d), ["key", "format_id"], F.col("p"), "value", "gone")
+    return L.layered(layers(spark, d), ["key", "format_id"], F.col("p"), "value", "gone", base=F.col("p") == 0)
 
 
 @query("j20_item_resolution", """WITH i AS (SELECT o_custkey AS key, CASE WHEN o_orderkey % 6 = 0 THEN 'measured' ELSE 'unmeasured' END AS status, o_totalprice AS value, o_orderkey AS pos FROM orders WHERE o_orderstatus <> 'P')

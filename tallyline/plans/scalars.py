@@ -22,7 +22,7 @@ def query(name: str, sql: str | None):
     return add
 
 
-@query("p1_common_record", """SELECT 'p' || o_orderkey AS platform_id, coalesce(nullif(CASE WHEN o_orderkey % 3 = 0 THEN c_name END, ''), o_orderpriority) AS uploader, left(c_mktsegment || ' ' || c_name, 12) AS title,
+@query("p1_common_record", """SELECT 'p' || o_orderkey AS platform_id, coalesce(nullif(CASE WHEN o_orderkey % 3 = 0 THEN c_name END, ''), o_orderpriority) AS uploader, left(c_mktsegment || ' ' || c_name, 300) AS title,
 CASE WHEN o_orderkey % 4 <> 0 THEN floor(o_totalprice)::BIGINT END AS views, CASE WHEN o_orderkey % 4 <> 0 THEN 'platform_metadata' ELSE 'unavailable' END AS views_source, array_to_string(string_split(o_orderpriority, '-')[1:30], ',') AS tags FROM orders JOIN customer ON o_custkey = c_custkey""")
 def p1(spark, d):
     j = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -30,7 +30,7 @@ def p1(spark, d):
     views = F.when(k % 4 != 0, F.floor("o_totalprice").cast("long"))
     return j.select(
         F.concat(F.lit("p"), k.cast("string")).alias("platform_id"), F.coalesce(F.nullif(F.when(k % 3 == 0, F.col("c_name")), F.lit("")), F.col("o_orderpriority")).alias("uploader"),
-        F.left(F.concat_ws(" ", "c_mktsegment", "c_name"), F.lit(12)).alias("title"), views.alias("views"), F.when(views.isNotNull(), "platform_metadata").otherwise("unavailable").alias("views_source"),
+        F.left(F.concat_ws(" ", "c_mktsegment", "c_name"), F.lit(300)).alias("title"), views.alias("views"), F.when(views.isNotNull(), "platform_metadata").otherwise("unavailable").alias("views_source"),
         F.array_join(F.slice(F.split("o_orderpriority", "-"), 1, 30), ",").alias("tags"),
     )
 
@@ -52,14 +52,16 @@ def p3(spark, d):
     return read(spark, d, "events").select("event_id", F.unix_micros(at.cast("timestamp")).alias("at_us"), source.alias("source"))
 
 
-@query("p4_best_element", """SELECT vec_id, list_position(list_transform(embedding[1:16], lambda x: abs(x)), list_max(list_transform(embedding[1:16], lambda x: abs(x)))) AS place, round(embedding[list_position(list_transform(embedding[1:16], lambda x: abs(x)), list_max(list_transform(embedding[1:16], lambda x: abs(x))))]::DOUBLE, 6) AS best FROM embeddings""")
+@query("p4_best_element", """WITH a AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: abs(x)) AS size FROM embeddings) SELECT vec_id, list_position(size, list_max(size)) AS place, round(embedding[list_position(size, list_max(size))]::DOUBLE, 6) AS best FROM a""")
 def p4(spark, d):
-    items = F.transform(F.slice("embedding", 1, 16), lambda x, i: F.struct((i + 1).alias("place"), x.alias("v")))
+    items = F.transform("embedding", lambda x, i: F.struct((i + 1).alias("place"), x.alias("v")))
     best = X.best_by(items, lambda r: F.abs(r["v"]))
     return read(spark, d, "embeddings").select("vec_id", best.alias("b")).select("vec_id", F.col("b.place").alias("place"), S.rounded(F.col("b.v").cast("double")).alias("best"))
 
 
-@query("p5_iso_duration", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id * 3600 + 61 WHEN 1 THEN event_id WHEN 2 THEN 86400 + event_id * 60 END AS seconds FROM events""")
+@query("p5_iso_duration", r"""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PT' || event_id || 'H1M1S' WHEN 1 THEN 'PT' || event_id || 'S' WHEN 2 THEN 'P1DT' || event_id || 'M' ELSE 'P' || event_id END AS s FROM events),
+p AS (SELECT event_id, regexp_extract(s, '^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$', ['d', 'h', 'm', 's']) AS x, regexp_full_match(s, 'P(\d+D)?(T(\d+H)?(\d+M)?(\d+S)?)?') AS ok FROM t)
+SELECT event_id, CASE WHEN ok THEN coalesce(try_cast(x.d AS BIGINT), 0) * 86400 + coalesce(try_cast(x.h AS BIGINT), 0) * 3600 + coalesce(try_cast(x.m AS BIGINT), 0) * 60 + coalesce(try_cast(x.s AS BIGINT), 0) END AS seconds FROM p""")
 def p5(spark, d):
     e, k = F.col("event_id"), F.col("event_id").cast("string")
     text = F.when(e % 4 == 0, F.concat(F.lit("PT"), k, F.lit("H1M1S"))).when(e % 4 == 1, F.concat(F.lit("PT"), k, F.lit("S"))).when(e % 4 == 2, F.concat(F.lit("P1DT"), k, F.lit("M"))).otherwise(F.concat(F.lit("P"), k))
@@ -172,10 +174,10 @@ def p16(spark, d):
     return read(spark, d, "documents").select("doc_id", S.rounded(X.script_share(F.col("text"), "éèêàçñóíáúäöüß")).alias("share"))
 
 
-@query("p17_quote_pair", """WITH q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '"' || left(text, 5) || '"' WHEN 1 THEN '«' || left(text, 5) || '»' WHEN 2 THEN '"' || left(text, 5) ELSE left(text, 5) END AS t FROM documents)
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '""' WHEN 1 THEN '«»' END AS pair FROM q""")
+@query("p17_quote_pair", """WITH q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '"' || text || '"' WHEN 1 THEN '«' || text || '»' WHEN 2 THEN '"' || text ELSE text END AS t FROM documents)
+SELECT doc_id, nullif(regexp_extract(trim(t), '(?s)^(["«“]).*(["»”])$', 1) || regexp_extract(trim(t), '(?s)^(["«“]).*(["»”])$', 2), '') AS pair FROM q""")
 def p17(spark, d):
-    k, head = F.col("doc_id") % 4, F.left("text", F.lit(5))
+    k, head = F.col("doc_id") % 4, F.col("text")
     t = F.when(k == 0, F.concat(F.lit('"'), head, F.lit('"'))).when(k == 1, F.concat(F.lit("«"), head, F.lit("»"))).when(k == 2, F.concat(F.lit('"'), head)).otherwise(head)
     return read(spark, d, "documents").select("doc_id", X.quote_pair(t, {'"': '"', "«": "»", "“": "”"}).alias("pair"))
 
@@ -213,16 +215,19 @@ def p22(spark, d):
     return e.select("event_id", F.explode(leaves).alias("x")).select("event_id", "x.key", "x.value")
 
 
-@query("p23_error_class", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'login_required' WHEN 1 THEN 'blocked' WHEN 2 THEN 'error' END AS class FROM documents""")
+@query("p23_error_class", r"""WITH m AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN chr(27) || '[31mSign in to confirm' || chr(27) || '[0m HTTP Error 403 ' || lang WHEN 1 THEN 'x: HTTP Error 403 ' || lang WHEN 2 THEN 'timeout ' || lang WHEN 3 THEN 'login required ' || lang WHEN 4 THEN '403 for ' || lang || ': Forbidden' END AS t FROM documents)
+SELECT doc_id, CASE WHEN t IS NULL THEN NULL WHEN contains(lower(t), 'sign in to confirm') OR contains(t, 'login required') THEN 'login_required' WHEN contains(t, '403') THEN 'blocked' ELSE 'error' END AS class FROM m""")
 def p23(spark, d):
-    k = F.col("doc_id") % 4
-    m = F.when(k == 0, F.concat(F.lit("Sign in to confirm HTTP Error 403 "), F.col("lang"))).when(k == 1, F.concat(F.lit("x: HTTP Error 403 "), F.col("lang"))).when(k == 2, F.concat(F.lit("timeout "), F.col("lang")))
+    k, lang = F.col("doc_id") % 6, F.col("lang")
+    m = F.when(k == 0, F.concat(F.lit("\x1b[31mSign in to confirm\x1b[0m HTTP Error 403 "), lang)).when(k == 1, F.concat(F.lit("x: HTTP Error 403 "), lang)).when(k == 2, F.concat(F.lit("timeout "), lang))
+    m = m.when(k == 3, F.concat(F.lit("login required "), lang)).when(k == 4, F.concat(F.lit("403 for "), lang, F.lit(": Forbidden")))
     return read(spark, d, "documents").select("doc_id", X.error_class(m).alias("class"))
 
 
-@query("p24_scrub", """SELECT doc_id, 'at ~/x' || doc_id || ' and <tmp> ' || lang AS scrubbed FROM documents""")
+@query("p24_scrub", r"""WITH t AS (SELECT 'at /home/me/x' || doc_id || ' and /tmp/a/b' || doc_id || ' ' || lang || ' C:\Users\me\y ' || text AS t, doc_id FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(replace(t, 'C:\Users\me', '~'), '/home/[a-z]+', '~', 'g'), '/tmp/[^ ]*', '<tmp>', 'g') AS scrubbed FROM t""")
 def p24(spark, d):
-    t = F.concat(F.lit("at /home/me/x"), F.col("doc_id").cast("string"), F.lit(" and /tmp/a/b"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"))
+    t = F.concat(F.lit("at /home/me/x"), F.col("doc_id").cast("string"), F.lit(" and /tmp/a/b"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"), F.lit(" C:\\Users\\me\\y "), F.col("text"))
     return read(spark, d, "documents").select("doc_id", X.scrub(t).alias("scrubbed"))
 
 

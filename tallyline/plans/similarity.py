@@ -42,21 +42,12 @@ def c1(spark, d):
     return M.average_linkage(v, M.threshold_graph(v, "vec_id", "label", "x", 0.3), "vec_id", "x", 0.3)
 
 
-@query("c2_components", """WITH RECURSIVE l AS (SELECT DISTINCT c_custkey AS a, 1000000 + c_nationkey AS b FROM customer WHERE c_custkey % 40 = 0 AND c_nationkey % 5 < 3 UNION SELECT DISTINCT s_suppkey + 2000000, 1000000 + s_nationkey FROM supplier WHERE s_nationkey % 5 < 3),
-p AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS x, a AS y FROM p UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a) SELECT x AS node, min(y) AS component FROM r GROUP BY 1""")
+@query("c2_components", """WITH l AS (SELECT DISTINCT c_custkey AS a, 1000000000000 + c_nationkey AS b FROM customer UNION SELECT DISTINCT s_suppkey + 2000000000000, 1000000000000 + s_nationkey FROM supplier),
+m AS (SELECT b, least(min(a), b) AS component FROM l GROUP BY 1) SELECT a AS node, component FROM l JOIN m USING (b) UNION SELECT b, component FROM m""")
 def c2(spark, d):
-    return nation_components(read(spark, d, "customer").where("c_custkey % 40 = 0 AND c_nationkey % 5 < 3"), read(spark, d, "supplier").where("s_nationkey % 5 < 3"), 1000000)
-
-
-# whole tables, whose closure of pairs is too large for SQL; ids of nations and suppliers lie beyond those of all customers
-@query("c2_components_whole", None)
-def c2_whole(spark, d):
-    return nation_components(read(spark, d, "customer"), read(spark, d, "supplier"), 10**12)
-
-
-def nation_components(customers, suppliers, gap: int):
-    c = customers.select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey") + F.lit(gap)).cast("long").alias("b"))
-    s = suppliers.select((F.col("s_suppkey") + F.lit(2 * gap)).cast("long").alias("a"), (F.col("s_nationkey") + F.lit(gap)).cast("long").alias("b"))
+    gap = 10**12  # ids of nations and suppliers lie beyond those of all customers
+    c = read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey") + F.lit(gap)).cast("long").alias("b"))
+    s = read(spark, d, "supplier").select((F.col("s_suppkey") + F.lit(2 * gap)).cast("long").alias("a"), (F.col("s_nationkey") + F.lit(gap)).cast("long").alias("b"))
     return M.components(c.unionByName(s).distinct())
 
 
@@ -140,18 +131,9 @@ def m6(spark, d):
     return H.stable_ids(center(v.where("vec_id % 2 = 1"), "new_id"), old, "new_id", "old_id", "x", least=0.2, prefix="T")
 
 
-@query("w15_chain_merge", f"""WITH RECURSIVE {E}, a AS (SELECT * FROM e WHERE video_id % 10 = 0), l AS (SELECT x.event_id AS a, y.event_id AS b FROM a x JOIN a y ON x.video_id = y.video_id AND x.type = y.type AND x.event_id < y.event_id AND abs(y.t - x."end") <= 6 AND abs(x.value - y.value) <= 15),
+@query("w15_chain_merge", f"""WITH RECURSIVE {E}, a AS (SELECT * FROM e), l AS (SELECT x.event_id AS a, y.event_id AS b FROM a x JOIN a y ON x.video_id = y.video_id AND x.type = y.type AND x.event_id < y.event_id AND abs(y.t - x."end") <= 6 AND abs(x.value - y.value) <= 15),
 p AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT event_id AS x, event_id AS y FROM a UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a), c AS (SELECT x AS event_id, min(y) AS track FROM r GROUP BY 1)
 SELECT track, count(*) AS n, round(min(t), 6) AS start, round(max("end"), 6) AS "end" FROM c JOIN a USING (event_id) GROUP BY 1""")
 def w15(spark, d):
-    return tracks(events(spark, d).where("video_id % 10 = 0"))
-
-
-@query("w15_chain_merge_whole", None)
-def w15_whole(spark, d):
-    return tracks(events(spark, d))
-
-
-def tracks(rows):
-    e = rows.select("video_id", "type", F.col("event_id").alias("id"), F.col("t").alias("start"), "end", "value")
+    e = events(spark, d).select("video_id", "type", F.col("event_id").alias("id"), F.col("t").alias("start"), "end", "value")
     return H.chain_merge(e, ["video_id", "type"], gap=6.0, alike=F.abs(F.col("value") - F.col("b_value")) <= 15)

@@ -28,17 +28,9 @@ def s1(spark, d):
     return I.read_jsonl(spark, path, "event_id long, event_type string, value double").select("event_id", "event_type", "value")
 
 
-@query("s2_entity_documents", "SELECT doc_id, lang, l.quality, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS n_chars FROM documents LEFT JOIN labels l USING (doc_id) WHERE doc_id % 10 = 0 OR doc_id < 50")
+@query("s2_entity_documents", "SELECT doc_id, lang, l.quality, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS n_chars FROM documents LEFT JOIN labels l USING (doc_id)")
 def s2(spark, d):
-    return through_entities(spark, d, read(spark, d, "documents").where("doc_id % 10 = 0 OR doc_id < 50"))
-
-
-@query("s2_entity_documents_whole", "SELECT doc_id, lang, l.quality, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS n_chars FROM documents LEFT JOIN labels l USING (doc_id)")
-def s2_whole(spark, d):
-    return through_entities(spark, d, read(spark, d, "documents"))
-
-
-def through_entities(spark, d, docs):
+    docs = read(spark, d, "documents")
     root = I.scratch(spark, "entities")
     kinds = {"layout": docs.select("doc_id", "lang"), "shots": docs.where("doc_id % 3 = 0").select("doc_id", "n_chars"), "labels": read(spark, d, "labels").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality")}
     for kind, df in kinds.items():

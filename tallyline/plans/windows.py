@@ -86,10 +86,10 @@ def w8(spark, d):
     return W.too_close(events(spark, d), ["video_id", "type"], "t", 5.0).select("video_id", "type", "event_id", S.rounded("since").alias("since"))
 
 
-@query("w9_repetition", r"""SELECT conv_id, role, turn, v AS word FROM (SELECT *, lag(v) OVER (PARTITION BY conv_id, role ORDER BY turn) AS b FROM (SELECT conv_id, role, turn, lower(left(regexp_replace(trim(text), '\s+', ' ', 'g'), 1)) AS v FROM conversations)) WHERE v = b""")
+@query("w9_repetition", r"""SELECT conv_id, role, turn, v AS endings FROM (SELECT *, lag(v) OVER (PARTITION BY conv_id, role ORDER BY turn) AS b FROM (SELECT conv_id, role, turn, regexp_replace(text, '[^.!?\n]', '', 'g') AS v FROM conversations)) WHERE v = b""")
 def w9(spark, d):
-    first = F.lower(F.left(F.regexp_replace(F.trim("text"), r"\s+", " "), F.lit(1)))
-    return W.repeats(read(spark, d, "conversations"), ["conv_id", "role"], "turn", first).select("conv_id", "role", "turn", F.col("v").alias("word"))
+    shape = F.regexp_replace("text", r"[^.!?\n]", "")  # the ends of all its sentences and lines
+    return W.repeats(read(spark, d, "conversations"), ["conv_id", "role"], "turn", shape).select("conv_id", "role", "turn", F.col("v").alias("endings"))
 
 
 @query("w10_transition_twice", f"""WITH {E} SELECT video_id, event_id, type FROM (SELECT *, lag(type) OVER (PARTITION BY video_id ORDER BY event_id) AS b FROM e) WHERE type = b AND type <> 'view'""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import time
 import uuid
 
@@ -10,9 +12,18 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that the cluster shares; tests, which set none, get one of their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tallyline-{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares."""
+    return f"{shared(spark)}/tallyline-{tag}-{uuid.uuid4().hex}"
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master, as in tests, may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return base.rstrip("/")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -27,26 +27,34 @@ def latest_by_key(rows: DataFrame, key: str, pos: str) -> DataFrame:
     return _plain(_fold(_lift(rows, key, pos), key), key, pos)
 
 
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the batches whose state stands whole in the folder, from any file system that the session reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found)
+
+
 def stream_upserts(spark: SparkSession, path: str, schema: str, key: str, pos: str, files_per_batch: int = 1, state: str | None = None) -> DataFrame:
     """Read JSON files as a stream, fold each batch into the next version of the state, and return the last version.
 
-    The version of a batch is written under its id, so a batch that runs again after a failure writes the same state over
-    its own version and nothing is counted twice.
+    All that lasts is in the state folder: the stream's progress, and a version of the state for each batch under its
+    number. A batch starts from the newest whole version before it, so a run after a stop or a failure goes on where the
+    last one ended, and a batch that runs again writes the same state over its own version: nothing is lost or counted
+    twice. Without a new file the last version is returned; without any file an empty one.
     """
     root = state or scratch(spark, "stream")
-    last: list[str] = []
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        target = f"{root}/batch={batch_id}"
-        before = [v for v in last if v != target]
-        lifted = _lift(batch, key, pos)
-        rows = lifted if not before else lifted.unionByName(spark.read.schema(lifted.schema).parquet(before[-1]))
-        _fold(rows, key).write.mode("overwrite").parquet(target)
-        last[:] = [*before, target]
+        before = [v for v in _versions(spark, root) if v < batch_id]
+        rows = _lift(batch, key, pos)
+        if before:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{root}/batch={before[-1]}"))
+        _fold(rows, key).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
     run = source.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    if not last:
-        return spark.createDataFrame([], schema)
-    return _plain(spark.read.parquet(last[-1]), key, pos)
+    empty = spark.createDataFrame([], schema)
+    if not (versions := _versions(spark, root)):
+        return empty
+    return _plain(spark.read.schema(_lift(empty, key, pos).schema).parquet(f"{root}/batch={versions[-1]}"), key, pos)

@@ -53,7 +53,7 @@ def test_components_of_all_customers_and_suppliers(spark):
     for a, k in [*zip(c.c_custkey, c.c_nationkey), *zip(s.s_suppkey + 2 * gap, s.s_nationkey)]:
         first[k] = min(first.get(k, a), a, k + gap)
     want = {a: first[k] for a, k in [*zip(c.c_custkey, c.c_nationkey), *zip(s.s_suppkey + 2 * gap, s.s_nationkey), *((k + gap, k) for k in first)]}
-    have = got(spark, "c2_components_whole")
+    have = got(spark, "c2_components")
     assert dict(zip(have.node, have.component)) == want
 
 
@@ -61,7 +61,7 @@ def test_best_match_among_all_vectors(spark):
     v = load("embeddings")
     x = np.array(v.embedding.tolist(), float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    have = {r.vec_id: r for r in got(spark, "j17_best_match_whole").itertuples()}
+    have = {r.vec_id: r for r in got(spark, "j17_best_match").itertuples()}
     for i in np.flatnonzero(v.vec_id % 20 == 0):
         sims = sorted(((-x[i] @ x[j], v.vec_id[j]) for j in np.flatnonzero(v.label == v.label[i]) if j != i))
         assert not sims or abs(have[v.vec_id[i]].sim + sims[0][0]) < 2e-6
@@ -73,9 +73,9 @@ def test_hashes_of_all_vectors(spark):
     h = {int(i): sum(1 << k for k, c in enumerate(e[:64]) if c > 0) for i, e in zip(v.vec_id, v.embedding)}
     cand = {i + 10**12 * (f + 1): x ^ sum({1 << ((k * 11 + i + f) % 64) for k in range(1 + (i + f * 3) % 15)}) for i, x in h.items() for f in range(4)}
     want = {(c, i, (x ^ y).bit_count()) for c, x in cand.items() for i, y in h.items() if (x ^ y).bit_count() <= 10}
-    assert set(got(spark, "j12_hamming_whole").itertuples(index=False, name=None)) == want
-    assert set(got(spark, "j12_same_recording_whole").item) == set(h)
+    assert set(got(spark, "j12_hamming").itertuples(index=False, name=None)) == want
+    assert set(got(spark, "j12_same_recording").item) == set(h)
 
 
 def test_tracks_hold_every_event(spark):
-    assert got(spark, "w15_chain_merge_whole").n.sum() == len(load("events"))
+    assert got(spark, "w15_chain_merge").n.sum() == len(load("events"))
