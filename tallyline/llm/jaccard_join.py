@@ -18,7 +18,9 @@ PERCENT = 80
 #: Counters of the frequency sketch; their number is all that reaches the driver and the tasks (4 MB), whatever the corpus.
 SKETCH = 1 << 20
 RANGES = 64
-#: A shingle of more documents than this has its posting list split over tasks, by a hash of the document.
+#: A shingle of more documents than this has its posting list split over tasks, by a hash of the document. Its count is taken
+#: above the counters' median, which is what chance puts on a counter where shingles far outnumber counters, so a large corpus
+#: does not make every shingle a frequent one.
 HOT = 50_000
 #: Rounds in which a posting list is compared with so many of its members, before the pairs that are left.
 LEADERS = (1, 8, 32)
@@ -81,7 +83,7 @@ def summaries(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def sketch(parts: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counters: for each, in how many documents a shingle of it stands (never less than the true frequency of any)."""
+    """Sum of the tasks' counters, in two levels: for each, in how many documents a shingle of it stands (never less than the true frequency of any)."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -90,12 +92,14 @@ def sketch(parts: DataFrame) -> np.ndarray:
                 x = np.frombuffer(zlib.decompress(c), np.uint32)
                 sums[i] = sums[i] + x if i in sums else x.astype(np.uint32)
         if sums:
-            yield {"part": list(sums), "counts": [x.tobytes() for x in sums.values()]}
+            yield {"part": list(sums), "counts": [zlib.compress(x.tobytes(), 1) for x in sums.values()]}
 
     out = np.zeros(SKETCH, np.uint32)
     size = SKETCH // RANGES
-    for r in map_batches(parts.repartition(min(RANGES, 16), "part"), add, "part int, counts binary").collect():
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], np.uint32)
+    # first within pieces of a range, so that no task sums the counters of all others
+    some = map_batches(parts.repartition("part", F.xxhash64("counts") % 16), add, "part int, counts binary")
+    for r in map_batches(some.repartition(RANGES, "part"), add, "part int, counts binary").collect():
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return out
 
 
@@ -106,7 +110,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 def prefixes(docs: DataFrame, frequency: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, keys, parts: each set's prefix, by rising frequency, ties by hash, so in one order for all documents; parts says over how many tasks to split each key, null if over one."""
-    shared, hot = docs.sparkSession.sparkContext.broadcast(frequency), HOT
+    shared, hot = docs.sparkSession.sparkContext.broadcast(frequency), HOT + int(np.median(frequency))
 
     def run(batches):
         f = shared.value
@@ -186,11 +190,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = prefixes(rows, frequency, words, percent).join(reps, "doc_id", "left_semi")
     postings = keys.select("doc_id", "n", "parts", F.posexplode("keys").alias("pos", "key"))
     split = F.coalesce(F.try_element_at("parts", F.col("pos") + 1), F.lit(1))
-    postings = postings.select("doc_id", "n", "pos", "key", F.when(split > 1, F.pmod(F.xxhash64("doc_id"), split)).cast("int").alias("part"))
+    postings = postings.select("doc_id", "n", "pos", "key", split.alias("parts"), F.when(split > 1, F.pmod(F.xxhash64("doc_id"), split)).otherwise(0).cast("int").alias("part"))
     # lists of one document hold no pair; those that are split have more
     w = Window.partitionBy("key", "part").orderBy("n", "doc_id")
     listed = postings.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("doc_id").over(w))
-    shared = table(listed.where("rank > 1 OR next IS NOT NULL OR part IS NOT NULL").drop("rank", "next", "part"), "postings")
+    shared = table(listed.where("rank > 1 OR next IS NOT NULL OR parts > 1").drop("rank", "next"), "postings")
+    # what a list is compared with goes to each of its parts
+    to_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     involved = shared.select("doc_id").distinct()
     texts = table(rows.join(involved, "doc_id", "left_semi"), "texts")
 
@@ -201,8 +207,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # members at random, so that a straggler meets others of its group without meeting them all
         order = [F.col("n"), F.col("doc_id")] if star == 0 else [F.xxhash64("key", "doc_id", F.lit(star)), F.col("doc_id")]
         ranked = state.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= leaders)
-        lead = ranked.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos", "comp")])
-        near = state.join(lead, "key").where("comp <> comp_b").where(_may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
+        lead = ranked.select("key", to_parts, *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos", "comp")])
+        near = state.join(lead, ["key", "part"]).where("comp <> comp_b").where(_may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
         pairs = near.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")).distinct()
         pairs = table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.unionByName(pairs)
@@ -216,8 +222,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if state.limit(1).count() == 0:
             break
     else:
-        other = state.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos", "comp")])
-        near = state.join(other, "key").where("doc_id < doc_id_b AND comp <> comp_b").where(_may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
+        other = state.select("key", to_parts, *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos", "comp")])
+        near = state.join(other, ["key", "part"]).where("doc_id < doc_id_b AND comp <> comp_b").where(_may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
         pairs = table(near.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         edges = edges.unionByName(table(_verified(pairs, texts, words, percent), "found"))
         comp = table(components(edges).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "components")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, each_batch, in_fold, labelled, labels, take
+from .common import documents, each_batch, in_fold, labelled, labels, table, take
 
 FOLDS, HELD_OUT = 5, 0
 #: Bounds of what the classifier is fitted on: labelled documents of each class, the first by a hash of the id, with texts of 1 to MAX_CHARS characters.
@@ -132,22 +133,25 @@ class Model:
     classes, so that of the thousands of words that texts share by chance few decide which example is near.
     """
 
-    def __init__(self, rows: list[tuple[int, int, dict[str, int]]], prior: float, k: int = NEIGHBOURS):
-        """rows: (doc_id, label, counts of terms) of the examples."""
+    def __init__(self, rows: Iterable[tuple[int, int, dict[str, int]]], prior: float, k: int = NEIGHBOURS):
+        """rows: (doc_id, label, counts of terms) of the examples; read once, and kept as arrays of numbers."""
         self.k, self.prior = k, prior
-        self.doc_ids = [r[0] for r in rows]
-        self.labels = [r[1] for r in rows]
-        n, n1 = len(rows), sum(self.labels)
+        self.vocabulary: dict[str, int] = {}
+        self.doc_ids, self.labels, kept = [], [], []
+        for doc, label, counts in rows:
+            self.doc_ids.append(doc)
+            self.labels.append(label)
+            at = np.fromiter((self.vocabulary.setdefault(t, len(self.vocabulary)) for t in counts), np.int32, len(counts))
+            kept.append((at, np.fromiter(counts.values(), np.int32, len(counts))))
+        n, n1 = len(kept), sum(self.labels)
         n0 = n - n1
-        self.vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in r[2]}))}
         a, b = np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary))
-        for _, label, counts in rows:
-            at = np.fromiter((self.vocabulary[t] for t in counts), np.int64, len(counts))
+        for label, (at, _) in zip(self.labels, kept, strict=True):
             (a if label else b)[at] += 1
         chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1.0, (a + b) * (n - a - b) * n1 * n0)
         contrast = np.maximum(LEAST, np.sqrt(chi)) if n1 and n0 else 1.0
         self.weights = (np.log((1 + n) / (1 + a + b)) + 1) * contrast
-        vectors = [self.vector(r[2]) for r in rows]
+        vectors = [self.weighed(at, counts) for at, counts in kept]
         self.index = BlockMaxIndex(vectors, len(self.vocabulary))
         # the classes are sampled apart: a vote counts as much as its class has rows among all labelled ones
         self.weight = {1: prior / max(1, n1), 0: (1 - prior) / max(1, n0)}
@@ -165,9 +169,12 @@ class Model:
         """(terms, weights) of unit length, by rising term; terms that no example has are left out."""
         at = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
         n = np.fromiter(counts.values(), float, len(counts))
-        n, at = n[at >= 0], at[at >= 0]
+        return self.weighed(at[at >= 0], n[at >= 0])
+
+    def weighed(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of terms by number, each n times."""
         order = np.argsort(at)
-        ts = at[order]
+        ts = at[order].astype(np.int64)
         ws = (1 + np.log(n[order])) * self.weights[ts]
         return ts, ws / math.sqrt(float(ws @ ws)) if len(ws) else ws
 
@@ -219,8 +226,8 @@ def fit(docs: DataFrame, marks: DataFrame, label: str = "toxic", folds: int = FO
         counts = [terms(t) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
 
-    rows = each_batch(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, terms array<string>, counts array<int>").collect()
-    return Model([(r["doc_id"], r["label"], dict(zip(r["terms"], r["counts"], strict=True))) for r in sorted(rows, key=lambda r: r["doc_id"])], prior)
+    rows = table(each_batch(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, terms array<string>, counts array<int>"), "examples").orderBy("doc_id")
+    return Model(((r["doc_id"], r["label"], dict(zip(r["terms"], r["counts"], strict=True))) for r in rows.toLocalIterator()), prior)
 
 
 def score_toxicity(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
