@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, line dedup, near duplicates, personal data, packing. Each stage reads what the last one wrote."""
+"""The corpus pipeline: quality, line dedup, near duplicates, personal data, packing. Each stage reads what the last one wrote.
+
+Rows that repeat an id, and rows without one, are documents of their own from the first stage to the last: only their
+texts decide whether they stay. Null texts count as empty; the quality stage rejects or keeps them like others.
+"""
 
 from __future__ import annotations
 
@@ -31,9 +35,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id."""
-    first = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return _documents(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group stays: the one of the smallest id, of equal ids the one written first; rows without an id come last.
+
+    Groups are those of the rows, by their place in a written table, so texts of one id that are not alike stay apart.
+    """
+    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    placed = rows.select("_row", "doc_id").join(groups, "_row")
+    first = placed.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    return _documents(rows.join(first, "_row", "left_semi"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
