@@ -19,11 +19,109 @@ def gate(rows: DataFrame, rules: dict[str, str], row_id: str, shown: int = 50) -
     return names.join(hits, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n_failing"), F.col("n").isNull().alias("passed"), F.coalesce("ids", F.lit("")).alias("failing"))
 
 
-def count_range_verdict(counts: DataFrame, observed: DataFrame, kind: str, n: str) -> DataFrame:
-    """in_range (floor p10 to ceil p90 of the observed counts), observed (that very count was seen), outside, or unmeasured."""
-    limits = observed.groupBy(kind).agg(F.floor(F.percentile(n, 0.1)).alias("low"), F.ceil(F.percentile(n, 0.9)).alias("high"), F.collect_set(n).alias("seen"))
-    verdict = F.when(F.col("low").isNull(), "unmeasured").when(F.col(n).between(F.col("low"), F.col("high")), "in_range").when(F.array_contains("seen", F.col(n)), "observed").otherwise("outside")
-    return counts.join(limits, kind, "left").withColumn("verdict", verdict).drop("low", "high", "seen")
+#: Ids of checks that have rules of their own.
+SOUND, NO_EVENT, OFFSET, STYLE = "audio.", "audio.sfx.no_event", "audio.sfx.offset", "style_vs_reference"
+
+
+def quality_gate(
+    rows: DataFrame,
+    production: bool,
+    output: tuple[str | None, str | None] = ("", ""),
+    files: tuple[str | None, str | None] = (None, None),
+    inputs: DataFrame | None = None,
+    inputs_measured: bool = True,
+    reference_problems: list[str] | None = None,
+    approval_problems: list[str] | None = None,
+    changed_since_approval: bool = False,
+    unmeasured_keys: DataFrame | None = None,
+    test_output: bool | None = None,
+    categories: tuple[str, ...] = (),
+    shown: int = 50,
+) -> DataFrame:
+    """(rule, severity, n, failing): the rules that do not hold, as fail or warn, with how many rows break them and the first `shown` ids.
+
+    rows: (row_id, check_id, category, kind, status, required, intended_change, covered_by); status is same, different or
+    unmeasured. G1 a difference that was not intended; G2 a required row unmeasured; G3 sounds without an event, or sound rows
+    without that check; G4 sounds away from their event; G5 the output is missing, changed, or not the file that was measured
+    (output: digests when measured and now; files: their names); G6 inputs (name, measured, now) changed, or were not recorded;
+    R1 problems of the reference, A1 of the approval, A2 changes after it; P1 unmeasured keys, P2 style rows unmeasured,
+    P3 output of a test, P4 other rows unmeasured that no measured row covers; W1 categories without a row, if there are more
+    than five rows. P rules and R1 fail in production and warn else. An empty result has passed.
+    """
+    spark = rows.sparkSession
+    r = rows.select("row_id", "check_id", "category", "kind", "status", F.coalesce("required", F.lit(False)).alias("required"), F.coalesce("intended_change", F.lit(False)).alias("intended"), "covered_by")
+    by = r.select(F.col("row_id").alias("covered_by"), (F.col("status") != "unmeasured").alias("covers")).dropDuplicates(["covered_by"])
+    r = r.join(by, "covered_by", "left")
+    open_ = F.col("status") == "unmeasured"
+    style = F.coalesce(F.col("kind") == STYLE, F.lit(False))
+    rules = {
+        "G1": (F.col("status") == "different") & ~F.col("intended"),
+        "G2": open_ & F.col("required"),
+        "G3": (F.col("check_id") == NO_EVENT) & (F.col("status") != "same"),
+        "G4": (F.col("check_id") == OFFSET) & (F.col("status") != "same"),
+        "P2": open_ & style,
+        "P4": open_ & ~style & ~F.col("required") & ~F.coalesce(F.col("covers"), F.lit(False)),
+    }
+    hits = gate_rows(r, rules, "row_id", shown)
+    whole = r.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("check_id").startswith(SOUND), 1)).alias("sound"), F.count(F.when(F.col("check_id") == NO_EVENT, 1)).alias("no_event"), F.array_sort(F.collect_set("category")).alias("seen"))
+    there = whole.select(F.when((F.col("sound") > 0) & (F.col("no_event") == 0), "G3").alias("rule"), F.lit(0).cast("long").alias("n"), F.lit("").alias("failing")).where("rule IS NOT NULL")
+    missing = F.array_except(F.array(*map(F.lit, sorted(categories))) if categories else F.array().cast("array<string>"), "seen")
+    gaps = whole.where((F.size(missing) > 0) & (F.col("rows") > 5)).select(F.lit("W1").alias("rule"), F.size(missing).cast("long").alias("n"), F.array_join(missing, ",").alias("failing"))
+    found = [hits, there, gaps]
+    facts = []
+    if files[0] and files[1] and files[0] != files[1] or output[1] is None or output[0] and output[0] != output[1]:
+        facts.append(("G5", 0, ""))
+    if inputs is None or not inputs_measured:
+        facts += [("G6", 0, "")] if not inputs_measured else []
+    else:
+        changed = inputs.where(~F.col("measured").eqNullSafe(F.col("now"))).select(F.lit("x").alias("k"), F.col("name").alias("row_id"))
+        found.append(gate_rows(changed, {"G6": F.col("k") == "x"}, "row_id", shown))
+    facts += [("R1", len(reference_problems), "; ".join(reference_problems))] if reference_problems else []
+    facts += [("A1", len(approval_problems), "; ".join(approval_problems))] if approval_problems else []
+    facts += [("A2", 0, "")] if changed_since_approval else []
+    facts += [("P3", 0, "")] if (not production if test_output is None else test_output) else []
+    if unmeasured_keys is not None:
+        found.append(gate_rows(unmeasured_keys.select(F.col(unmeasured_keys.columns[0]).alias("row_id"), F.lit("x").alias("k")), {"P1": F.col("k") == "x"}, "row_id", shown))
+    found.append(spark.createDataFrame(facts, "rule string, n long, failing string"))
+    both = reduce(lambda a, b: a.unionByName(b), found).groupBy("rule").agg(F.sum("n").alias("n"), F.max("failing").alias("failing"))
+    severity = F.when(F.col("rule").isin("A2", "W1"), "warn").when(F.lit(production) | F.col("rule").isin("G1", "G2", "G3", "G4", "G5", "G6", "A1"), "fail").otherwise("warn")
+    return both.select("rule", severity.alias("severity"), "n", "failing")
+
+
+def gate_verdict(gated: DataFrame) -> DataFrame:
+    """One row: passed (no rule fails), complete (nor does a P rule warn), and the rules that fail and warn, joined by commas."""
+    of = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("severity") == s, F.col("rule")))), ",")
+    out = gated.agg(of("fail").alias("failing"), of("warn").alias("warning"), F.count(F.when(F.col("rule").startswith("P"), 1)).alias("p"))
+    return out.select((F.col("failing") == "").alias("passed"), ((F.col("failing") == "") & (F.col("p") == 0)).alias("complete"), "failing", "warning")
+
+
+def gate_rows(rows: DataFrame, rules: dict, row_id: str, shown: int) -> DataFrame:
+    """(rule, n, failing) of the rules (conditions) that some row breaks: how many, and the first `shown` ids joined by commas. One pass over the rows."""
+    broken = F.filter(F.array(*[F.when(cond, name) for name, cond in rules.items()]), lambda x: x.isNotNull())
+    each = rows.select(row_id, F.explode(broken).alias("rule"))
+    first = each.withColumn("p", F.row_number().over(Window.partitionBy("rule").orderBy(row_id))).where(F.col("p") <= shown)
+    ids = first.groupBy("rule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(row_id)), lambda x: x.cast("string")), ",").alias("failing"))
+    return each.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(ids, "rule").select("rule", "n", "failing")
+
+
+def count_range_verdict(counts: DataFrame, observed: DataFrame, kind: str, n: str, lower_bound: str | None = None) -> DataFrame:
+    """in_range (floor p10 to ceil p90 of the observed counts), observed (that very count was seen), outside, or unmeasured.
+
+    lower_bound: a flag of observed counts that are lower bounds only; a count seen only there is lower_bound, a warning.
+    """
+    exact = ~F.coalesce(F.col(lower_bound), F.lit(False)) if lower_bound else F.lit(True)
+    limits = observed.groupBy(kind).agg(
+        F.floor(F.percentile(n, 0.1) + 1e-9).alias("low"), F.ceil(F.percentile(n, 0.9) - 1e-9).alias("high"),
+        F.collect_set(F.when(exact, F.col(n))).alias("seen"), F.collect_set(n).alias("any"),
+    )
+    verdict = (
+        F.when(F.col("low").isNull(), "unmeasured")
+        .when(F.col(n).between(F.col("low"), F.col("high")), "in_range")
+        .when(F.array_contains("seen", F.col(n)), "observed")
+        .when(F.array_contains("any", F.col(n)), "lower_bound")
+        .otherwise("outside")
+    )
+    return counts.join(limits, kind, "left").withColumn("verdict", verdict).drop("low", "high", "seen", "any")
 
 
 def reconcile(fresh: DataFrame, stored: DataFrame, tolerance: float = 1e-3) -> DataFrame:

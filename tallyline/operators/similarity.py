@@ -223,3 +223,45 @@ def medoid(features: DataFrame, entity: str, by: str, names: list[str], tie: str
     d = F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(diff), F.lit(0)))
     mean = z.join(other, by).where(F.col(entity) != F.col("o")).withColumn("d", d).groupBy(by, entity, tie).agg(rounded(F.avg("d")).alias("mean"))
     return mean.groupBy(by).agg(F.min(F.struct("mean", (-F.col(tie)).alias("t"), entity)).alias("r")).select(by, F.col(f"r.{entity}").alias("medoid"), F.col("r.mean").alias("mean_distance"))
+
+
+def similarity_medoid(vectors: DataFrame, id_: str, by: str, x: str) -> DataFrame:
+    """(by, medoid): the vector of each group that is most similar to all, by the sum of cosines; of one or two, and of equal ones, the smallest id.
+
+    The sum of a vector's cosines to all is its product with the sum of the unit vectors, so a group is summed, never paired.
+    """
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    unit = vectors.where(F.col(by).isNotNull() & F.col(x).isNotNull()).select(id_, by, F.transform(F.col(x), lambda v: v.cast("double")).alias(x)).withColumn("u", F.transform(x, lambda v: v / norm)).where(norm > 0)
+    total = unit.select(by, F.posexplode("u").alias("i", "v")).groupBy(by, "i").agg(F.sum("v").alias("v")).groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("total"))
+    size = unit.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
+    near = F.aggregate(F.zip_with("u", "total", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scored = unit.join(total, by).join(size, by).withColumn("near", F.when(F.col("size") > 2, F.round(near, 9)).otherwise(0.0))
+    return scored.groupBy(by).agg(F.min_by(id_, F.struct(-F.col("near"), id_)).alias("medoid"))
+
+
+def listed_term(rows: DataFrame, id_: str, text: str, terms: list[str], ratio: float = 0.8) -> DataFrame:
+    """(id, term): the first listed term that a text shows, or null: within it (three characters or more), else as a stretch of its
+    own length, one less or one more, with a sequence ratio of at least `ratio` (four characters or more). Letters and digits count, case does not.
+    """
+    known = [(t, k) for t in terms if (k := "".join(c for c in t.lower() if c in "0123456789abcdefghijklmnopqrstuvwxyz" or "가" <= c <= "힣"))]
+
+    @F.pandas_udf("string")
+    def match(texts: pd.Series) -> pd.Series:
+        def first(text: str) -> str | None:
+            for term, k in known:
+                if len(k) >= 3 and k in text:
+                    return term
+            for term, k in known:
+                if len(k) < 4 or len(text) < len(k) - 1:
+                    continue
+                for n in (len(k) - 1, len(k), len(k) + 1):
+                    for i in range(max(1, len(text) - n + 1)):
+                        piece = text[i : i + n]
+                        if difflib.SequenceMatcher(None, k, piece).ratio() >= ratio:
+                            return term
+            return None
+
+        return texts.map(lambda t: first(t) if t else None)
+
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^0-9a-z가-힣]", "")
+    return rows.select(id_, match(plain).alias("term"))

@@ -115,16 +115,20 @@ def presence_summary(rows: DataFrame, state: str, group: str) -> DataFrame:
 
 
 def numeric_item(rows: DataFrame, key: str, value: str, group: str, entity: str, pos: str, rule: str = "p50", basis: int | None = None) -> DataFrame:
-    """A measurement item: distribution overall and by group, the value by a rule (p10, p50, p90, min, max), status, blocker, and evidence.
+    """A measurement item: distribution overall and by group, the value by a rule (p10, p50, p90, min, max, mode), status, blocker, and evidence.
 
-    Evidence are up to five rows of different entities, first by pos. Without a measured value: status unmeasured and a blocker.
+    The mode is the most frequent value, rounded to six digits; of equal ones the first by pos. Evidence are up to five rows of different entities, first by pos. Without a measured value: status unmeasured and a blocker.
     """
     dist = pstats_by_group(rows, value, group)
     good = rows.where(measured(value))
     ends = good.select(F.col(group).alias("grp"), value).rollup("grp").agg(F.grouping("grp").alias("overall"), F.min(value).alias("low"), F.max(value).alias("high")).where("overall = 1 OR grp IS NOT NULL").drop("overall")
+    if rule == "mode":
+        near = good.withColumn("_v", rounded(F.col(value).cast("double")))
+        modes = categorical_by_group(near, "_v", pos, group).select("grp", F.col("mode").alias("top"))
+        ends = ends.withColumn("_g", F.col("grp").cast("string")).join(modes.withColumnRenamed("grp", "_m"), F.col("_g").eqNullSafe(F.col("_m")), "left").drop("_g", "_m")
     proof = evidence(good, entity, pos, value)
     spine = rows.select(F.col(group).alias("grp")).where("grp IS NOT NULL").distinct().unionByName(rows.sparkSession.range(1).select(F.lit(None).cast(dict(rows.dtypes)[group]).alias("grp")))
-    pick = {"min": F.col("low"), "max": F.col("high")}.get(rule, F.col(rule) if rule in LEAVES else None)
+    pick = {"min": F.col("low"), "max": F.col("high"), "mode": F.col("top") if rule == "mode" else None}.get(rule, F.col(rule) if rule in LEAVES else None)
     joined = spine.join(dist, spine["grp"].eqNullSafe(dist["grp"]), "left").drop(dist["grp"]).join(ends, spine["grp"].eqNullSafe(ends["grp"]), "left").drop(ends["grp"])
     return joined.crossJoin(F.broadcast(proof)).select(
         F.lit(key).alias("key"), "grp", F.coalesce("n", F.lit(0)).alias("n"), *LEAVES, pick.cast("double").alias("value"),
@@ -133,6 +137,32 @@ def numeric_item(rows: DataFrame, key: str, value: str, group: str, entity: str,
     )
 
 
+def native_stats(rows: DataFrame, native: str, resolution: str) -> DataFrame:
+    """(resolution, n, p10, p50, p90) of lengths in each entity's own pixels, for each resolution they were taken at; rows without either are left out."""
+    return pstats(rows.where(F.col(resolution).isNotNull()), native, resolution)
+
+
+def presence_evidence(rows: DataFrame, entity: str, pos: str, state: str, k: int = 5) -> DataFrame:
+    """(entity, state): up to k rows that show presence, or, if none does, absence; those that come first by pos."""
+    seen = rows.where(F.col(state).isin("present", "absent"))
+    best = seen.agg(F.max(state).alias("best"))  # present comes after absent
+    return seen.join(F.broadcast(best), F.col(state) == F.col("best")).orderBy(pos, entity).limit(k).select(entity, state)
+
+
+def type_examples(rows: DataFrame, kind: str, entity: str, at: str, k: int = 3) -> DataFrame:
+    """(kind, entity, at, place): for each kind the first event of each of the first k entities."""
+    first = rows.groupBy(kind, entity).agg(F.min(at).alias(at))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(kind).orderBy(entity))).where(F.col("place") <= k)
+
+
+def category_column(rows: DataFrame, kind: str, value: str, pos: str) -> DataFrame:
+    """(kind, n, mode, share, n_events, n_missing, status): a category of each kind's events; partial if some have none, unmeasured if all do."""
+    missing = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n_events"), F.count(F.when(F.col(value).isNull(), 1)).alias("n_missing"))
+    out = missing.join(categorical(rows, value, pos, kind).drop("counts"), kind, "left")
+    status = F.when(F.col("n_missing") == F.col("n_events"), "unmeasured").when(F.col("n_missing") > 0, "partial").otherwise("measured")
+    return out.select(kind, F.coalesce("n", F.lit(0)).alias("n"), "mode", "share", "n_events", "n_missing", status.alias("status"))
+
+
 def evidence(rows: DataFrame, entity: str, pos: str, value: str, k: int = 5) -> DataFrame:
     """One row: up to k (entity, value) of different entities, those that come first by pos."""
     firsts = rows.groupBy(entity).agg(F.min(F.struct(pos, value)).alias("r")).select(F.col(f"r.{pos}").alias("pos"), entity, F.col(f"r.{value}").alias("value"))

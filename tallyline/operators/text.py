@@ -36,19 +36,27 @@ def extract_credits(rows: DataFrame, id_: str, text: str) -> DataFrame:
     return first.withColumn("named", named).where("kind <> 'mention' OR named IS NULL").select(id_, "kind", "value", "is_url", "pos")
 
 
-def authorship(items: DataFrame, credits: DataFrame, id_: str, uploader: str) -> DataFrame:
-    """(id, author, basis, reposter): the first named credit, else the only mention of someone else, else the uploader."""
+def authorship(items: DataFrame, credits: DataFrame, id_: str, uploader: str, uploader_id: str | None = None, hint: str | None = None, hint_basis: str | None = None, original_url: str | None = None) -> DataFrame:
+    """(id, author, basis, original_url, reposter): the first named credit, else the hint of the metadata, else the only mention of
+    someone else, else nobody if an original address is known, else the uploader.
+
+    Someone else is neither the uploader's name nor its id. hint, hint_basis (metadata, if null), original_url: columns of items, if they have them.
+    """
     c = credits.groupBy(id_).agg(
         F.min(F.when((F.col("kind") != "mention") & ~F.col("is_url"), F.struct("pos", "value"))).alias("named"),
         F.min(F.when((F.col("kind") != "mention") & F.col("is_url"), F.struct("pos", "value"))).alias("address"),
         F.collect_set(F.when(F.col("kind") == "mention", F.col("value"))).alias("mentions"),
     )
     j = items.join(c, id_, "left")
-    up = normal_handle(F.col(uploader))
-    differs = lambda name: (normal_handle(name) != "") & ~normal_handle(name).eqNullSafe(up)
+    own = [normal_handle(F.col(c)) for c in (uploader, uploader_id) if c]
+    differs = lambda name: (normal_handle(name) != "") & ~F.coalesce(F.array_contains(F.array(*[F.coalesce(u, F.lit("")) for u in own]), normal_handle(name)), F.lit(False))
+    none = F.lit(None).cast("string")
+    hinted, link = F.nullif(F.col(hint), F.lit("")) if hint else none, F.nullif(F.col(original_url), F.lit("")) if original_url else none
     only = F.when(F.size("mentions") == 1, F.try_element_at("mentions", F.lit(1)))
-    author = F.when(F.col("named").isNotNull(), F.col("named.value")).when(only.isNotNull() & differs(only), only).otherwise(F.col(uploader))
-    basis = F.when(F.col("named").isNotNull(), "description_credit").when(only.isNotNull() & differs(only), "description_mention").when(F.col(uploader).isNotNull(), "uploader").otherwise("unknown")
+    mentioned = only.isNotNull() & differs(only)
+    author = F.when(F.col("named").isNotNull(), F.col("named.value")).when(hinted.isNotNull(), hinted).when(mentioned, only).when(link.isNotNull(), none).otherwise(F.col(uploader))
+    because = F.coalesce(F.nullif(F.col(hint_basis), F.lit("")) if hint_basis else none, F.lit("metadata"))
+    basis = F.when(F.col("named").isNotNull(), "description_credit").when(hinted.isNotNull(), because).when(mentioned, "description_mention").when(link.isNotNull(), "external_link").when(F.col(uploader).isNotNull(), "uploader").otherwise("unknown")
     out = j.withColumn("author", author).withColumn("basis", basis)
     reposter = F.when(F.col(uploader).isNotNull() & (F.col("author").isNull() | differs(F.col("author"))), F.col(uploader))
-    return out.select(id_, "author", "basis", F.col("address.value").alias("original_url"), reposter.alias("reposter"))
+    return out.select(id_, "author", "basis", F.coalesce(link, F.col("address.value")).alias("original_url"), reposter.alias("reposter"))
