@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rescale
+from .stats import small
 
 
 def manual_first(manual: DataFrame, auto: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,7 +73,7 @@ def apply_measurements(items: DataFrame, by_group: DataFrame, canvas: tuple[floa
 
 def moot(keys: DataFrame, rules: DataFrame, given: DataFrame, key: str) -> DataFrame:
     """Whether a key is moot: a rule's pattern matches it, and the key that the rule names ({role} is the pattern's first group) is given. rules: a small table (pattern, given)."""
-    hit = keys.join(F.broadcast(rules), F.expr(f"{key} rlike pattern"), "left")
+    hit = keys.join(small(rules), F.expr(f"{key} rlike pattern"), "left")
     wanted = F.expr(f"replace(given, '{{role}}', regexp_extract({key}, pattern, 1))")
     named = hit.withColumn("wanted", wanted).join(given.select(F.col(key).alias("wanted"), F.lit(True).alias("there")), "wanted", "left")
     rest = [c for c in keys.columns if c != key]
@@ -83,5 +84,5 @@ def most_specific(keys: DataFrame, rules: DataFrame, id_: str, key: str) -> Data
     """The text of the most specific pattern (* stands for anything) that a key matches: an exact one, then most literals, then longest. rules: a small table."""
     regex = F.concat(F.lit("^"), F.replace(F.replace("pattern", F.lit("."), F.lit("\\.")), F.lit("*"), F.lit(".*")), F.lit("$"))
     r = rules.select("pattern", "text", regex.alias("rx"), F.length(F.regexp_replace("pattern", r"\*", "")).alias("literals"), F.length("pattern").alias("len"))
-    hit = keys.join(F.broadcast(r), F.expr(f"{key} rlike rx"))
+    hit = keys.join(small(r), F.expr(f"{key} rlike rx"))
     return hit.groupBy(id_).agg(F.max_by("text", F.struct(F.col("pattern") == F.col(key), "literals", "len")).alias("text"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared
 from .intervals import bucket
-from .similarity import blocks, components, cosine
+from .similarity import blocks, components
 from .stats import rounded
 
 
@@ -19,17 +20,19 @@ def total_order(rows: DataFrame, entity: str, pos: str, item: str) -> DataFrame:
     b = first.select(entity, F.col(item).alias("y"), F.col("p").alias("q"))
     won = first.join(b, entity).where("p < q").select(F.col(item).alias("x"), "y").distinct()
     back = won.select(F.col("x").alias("y"), F.col("y").alias("x"))
-    closure = won.join(back, ["x", "y"], "left_anti").persist()
+    if not rows.sparkSession.sparkContext.getCheckpointDir():
+        rows.sparkSession.sparkContext.setCheckpointDir(shared(rows.sparkSession))
+    closure = won.join(back, ["x", "y"], "left_anti").checkpoint()
     n = -1
     while (m := closure.count()) != n:
         n = m
         step = closure.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        closure = closure.unionByName(closure.join(step, "y").select("x", F.col("z").alias("y"))).distinct().persist()
+        closure = closure.unionByName(closure.join(step, "y").select("x", F.col("z").alias("y"))).distinct().checkpoint()
     after = closure.groupBy(F.col("x").alias(item)).agg(F.count(F.when(F.col("x") != F.col("y"), 1)).alias("n_after"), F.bool_or(F.col("x") == F.col("y")).alias("in_cycle"))
     return rows.select(item).distinct().join(after, item, "left").select(item, F.coalesce("n_after", F.lit(0)).alias("n_after"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
 
 
-def shifted_similarity(left: DataFrame, right: DataFrame, id_: str, by: str, x: str, bands: int, shifts: int, least: float) -> DataFrame:
+def shifted_similarity(left: DataFrame, right: DataFrame, id_: str, by: str, x: str, bands: int, shifts: int, least: float, digits: int | None = 6) -> DataFrame:
     """(a, b, sim): the largest mean of per-band cosines over shifts in time, for pairs of equal `by`. A vector is bands of equal length.
 
     Ids are distinct whole numbers. Blocks of vectors meet, as in `threshold_graph`; only pairs of at least `least` leave a task.
@@ -59,7 +62,7 @@ def shifted_similarity(left: DataFrame, right: DataFrame, id_: str, by: str, x:
     a, b = blocks(left, id_, by, x), blocks(right, id_, by, x).select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
     heads = a.select(by, "p").join(b.select(by, "q"), by)
     met = heads.join(a, [by, "p"]).join(b, [by, "q"]).repartition(F.xxhash64(by, "p", "q")).select("i", "x", "j", "y")
-    return met.mapInArrow(compare, "a long, b long, sim double").select("a", "b", rounded("sim").alias("sim"))
+    return met.mapInArrow(compare, "a long, b long, sim double").select("a", "b", (rounded("sim", digits) if digits is not None else F.col("sim")).alias("sim"))
 
 
 def place_groups(boxes: DataFrame, entity: str, id_: str, iou: float, least: int, share: float, cell: float = 40.0) -> DataFrame:
@@ -98,18 +101,30 @@ def chain_merge(rows: DataFrame, by: list[str], gap: float, alike: Column) -> Da
 def stable_ids(new: DataFrame, old: DataFrame, new_id: str, old_id: str, x: str, least: float, prefix: str) -> DataFrame:
     """(new_id, type_id, sim): ids of a rebuilt catalog. Pairs of the best similarity are matched one to one, in rounds in which mutual best pairs are taken; the rest get the next free numbers.
 
-    Both sides are the entries of a catalog, not its items, so all pairs of them are few.
+    Both sides are the entries of a catalog, not its items: their numbers are given out in one task. Pairs are found in blocks,
+    and only those of at least `least` leave a task. Rounds are checkpoints, so none carries the work of those before it.
     """
-    pairs = new.select(new_id, F.col(x).alias("p")).crossJoin(F.broadcast(old.select(old_id, F.col(x).alias("q")))).select(new_id, old_id, cosine(F.col("p"), F.col("q")).alias("sim")).where(F.col("sim") >= least).persist()
+    spark = new.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared(spark))
+    numbered = lambda df, c: df.select(c, x).withColumn("n", F.row_number().over(Window.orderBy(c)).cast("long")).checkpoint()
+    p, q = numbered(new, new_id), numbered(old, old_id)
+    size = p.select(F.size(x)).head()
+    pairs = new.select(new_id).crossJoin(old.select(old_id).limit(0)).withColumn("sim", F.lit(0.0)).limit(0)
+    if size and q.limit(1).count():
+        sides = [s.select((F.col("n") * 2 + k).alias("n"), F.lit(1).alias("all"), x) for k, s in enumerate((p, q))]
+        near = shifted_similarity(*sides, "n", "all", x, bands=1, shifts=0, least=least, digits=None)
+        pairs = near.join(p.select(new_id, (F.col("n") * 2).alias("a")), "a").join(q.select(old_id, (F.col("n") * 2 + 1).alias("b")), "b").select(new_id, old_id, "sim")
+    pairs = pairs.checkpoint()
     taken = None
     while True:
         free = pairs if taken is None else pairs.join(taken, new_id, "left_anti").join(taken, old_id, "left_anti")
         mine = F.row_number().over(Window.partitionBy(new_id).orderBy(F.desc("sim"), old_id))
         theirs = F.row_number().over(Window.partitionBy(old_id).orderBy(F.desc("sim"), new_id))
-        won = free.withColumn("m", mine).withColumn("t", theirs).where("m = 1 AND t = 1").select(new_id, old_id, "sim").persist()
+        won = free.withColumn("m", mine).withColumn("t", theirs).where("m = 1 AND t = 1").select(new_id, old_id, "sim").checkpoint()
         if won.limit(1).count() == 0:
             break
-        taken = won if taken is None else taken.unionByName(won).persist()
+        taken = won if taken is None else taken.unionByName(won).checkpoint()
     number = lambda c: F.coalesce(F.regexp_extract(c, "([0-9]+)$", 1).try_cast("long"), F.lit(0))
     last = old.agg(F.coalesce(F.max(number(F.col(old_id))), F.lit(0)).alias("last"))
     named = taken if taken is not None else pairs.limit(0)

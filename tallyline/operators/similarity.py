@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import shared
+from ..sources.files import scratch, shared
 from .stats import rounded
 
 
@@ -168,37 +168,68 @@ def threshold_graph(vectors: DataFrame, id_: str, by: str, x: str, least: float,
     return met.select("p", "q", "i", "x", "j", "y").mapInArrow(compare, "a long, b long, sim double")
 
 
-def average_linkage(vectors: DataFrame, pairs: DataFrame, id_: str, x: str, least: float) -> DataFrame:
-    """(id, cluster): average-linkage clusters cut at a similarity. Clusters never cross components of the threshold graph, so each component is clustered by itself."""
+def _nearest(clusters: DataFrame, by: str, least: float, block: int) -> DataFrame:
+    """(i, j, sim): for each cluster the other one of equal `by` with the largest product of means, if that is at least `least`; of equal ones the smaller number."""
     import numpy as np
+    import pyarrow as pa
+
+    packed = blocks(clusters, "cluster", by, "mean", block)
+    other = packed.select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
+    heads = packed.select(by, "p").join(packed.select(by, F.col("p").alias("q")), by)
+    met = heads.join(packed, [by, "p"]).join(other, [by, "q"]).repartition(F.xxhash64(by, "p", "q"))
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, xs, others, ys = (batch.column(c)[k].as_py() for c in ("i", "x", "j", "y"))
+                ids, others = np.array(ids), np.array(others)
+                order = np.argsort(others)  # the first of equal ones is the smallest
+                sim = np.round(np.array(xs) @ np.array(ys)[order].T, 12)
+                sim[ids[:, None] == others[order][None]] = -np.inf
+                best = sim.argmax(1)
+                top = sim[np.arange(len(ids)), best]
+                if (keep := top >= least).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(others[order][best][keep]), pa.array(top[keep])], names=["i", "j", "sim"])
+
+    found = met.select("i", "x", "j", "y").mapInArrow(compare, "i long, j long, sim double")
+    return found.groupBy("i").agg(F.max(F.struct("sim", (-F.col("j")).alias("j"))).alias("r")).select("i", (-F.col("r.j")).alias("j"), F.col("r.sim").alias("sim"))
+
+
+def average_linkage(vectors: DataFrame, id_: str, by: str, x: str, least: float, block: int = 512, rounds: int = 200) -> DataFrame:
+    """(id, cluster): average-linkage clusters of equal `by`, cut at a mean cosine of `least`; a cluster has the number of its smallest id.
+
+    The mean cosine of two clusters is the product of their mean unit vectors, so a cluster is a sum and a count, whatever its
+    size. In each round all pairs of clusters that are each other's nearest merge, which for this linkage gives the clusters
+    of merging one best pair at a time (equal similarities, to twelve digits, go to smaller numbers). Clusters are compared in
+    blocks, and a block leaves only its best partners; rounds are written tables. Ids are distinct whole numbers.
+    """
+    spark = vectors.sparkSession
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
+    rows = vectors.where(F.col(by).isNotNull() & F.col(x).isNotNull()).select(F.col(id_).cast("long").alias("cluster"), F.col(by), F.transform(F.col(x), lambda c: c.cast("double")).alias("v"))
+
+    def written(df: DataFrame, tag: str) -> DataFrame:
+        path = scratch(spark, tag)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-    comp = components(pairs).withColumnRenamed("node", id_)
-    rows = vectors.select(id_, x).join(comp, id_, "left").withColumn("component", F.coalesce("component", id_))
-    single = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_)
-        v = np.array(pdf[x].tolist(), float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        sim = v @ v.T
-        np.fill_diagonal(sim, -np.inf)
-        groups = {i: [i] for i in range(len(v))}
-        while len(groups) > 1:
-            i, j = divmod(int(sim.argmax()), len(v))
-            if sim[i, j] < least:
-                break
-            i, j = min(i, j), max(i, j)
-            n, m = len(groups[i]), len(groups[j])
-            merged = (n * sim[i] + m * sim[j]) / (n + m)
-            sim[i], sim[:, i] = merged, merged
-            sim[j], sim[:, j] = -np.inf, -np.inf
-            sim[i, i] = -np.inf
-            groups[i] += groups.pop(j)
-        ids = pdf[id_].tolist()
-        return pd.DataFrame([(ids[k], min(ids[m] for m in g)) for g in groups.values() for k in g], columns=[id_, "cluster"])
-
-    many = rows.join(single.where("size > 1"), "component", "left_semi").groupBy("component").applyInPandas(cluster, f"{id_} long, cluster long")
-    return many.unionByName(rows.join(single.where("size = 1"), "component", "left_semi").select(id_, F.col(id_).alias("cluster")))
+    now = written(rows.where(norm > 0).select("cluster", by, F.transform("v", lambda c: c / norm).alias("sum"), F.lit(1).cast("long").alias("n")), "clusters")
+    members = now.select(F.col("cluster").alias("member"), "cluster")
+    for _ in range(rounds):
+        mean = now.select("cluster", by, F.transform("sum", lambda c: c / F.col("n")).alias("mean"))
+        near = written(_nearest(mean, by, least, block), "nearest")
+        back = near.select(F.col("i").alias("j"), F.col("j").alias("i"))
+        merged = written(near.join(back, ["i", "j"]).where("i < j").select(F.col("i").alias("into"), F.col("j").alias("cluster")), "merged")
+        if merged.limit(1).count() == 0:
+            break
+        gone = now.join(merged, "cluster").select(F.col("into").alias("cluster"), F.col("sum").alias("more"), F.col("n").alias("m"))
+        rest = now.join(merged.select("cluster"), "cluster", "left_anti").join(gone, "cluster", "left")
+        total = F.when(F.col("m").isNull(), F.col("sum")).otherwise(F.zip_with("sum", F.coalesce("more", "sum"), lambda p, q: p + q))
+        now = written(rest.select("cluster", by, total.alias("sum"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "clusters")
+        members = written(members.join(merged, "cluster", "left").select("member", F.coalesce("into", "cluster").alias("cluster")), "members")
+    else:
+        raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+    named = members.select(F.col("member").alias(id_), "cluster")
+    return vectors.select(F.col(id_).cast("long").alias(id_)).join(named, id_, "left").select(id_, F.coalesce("cluster", id_).alias("cluster"))
 
 
 def precedence(rows: DataFrame, entity: str, pos: str, item: str) -> DataFrame:
@@ -210,18 +241,37 @@ def precedence(rows: DataFrame, entity: str, pos: str, item: str) -> DataFrame:
     return pair.withColumn("order", order)
 
 
-def medoid(features: DataFrame, entity: str, by: str, names: list[str], tie: str) -> DataFrame:
+def medoid(features: DataFrame, entity: str, by: str, names: list[str], tie: str, block: int = 512) -> DataFrame:
     """For each group the entity with the smallest mean distance to the others.
 
     Features are z-scores over all entities (those without spread are left out); a distance is the root mean square over the
-    features both have. Ties to the larger `tie`, then the smaller entity.
+    features both have, and pairs without one count nowhere. Ties to the larger `tie`, then the smaller entity. All distances
+    of a group are needed; blocks of entities meet, and only sums leave a task. Entities are distinct whole numbers.
     """
+    import numpy as np
+    import pyarrow as pa
+
     stats = features.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
-    z = features.crossJoin(F.broadcast(stats)).select(entity, by, tie, F.array(*[F.when(F.col(f"s_{n}") > 1e-9, (F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")) for n in names]).alias("z"))
-    other = z.select(F.col(entity).alias("o"), by, F.col("z").alias("zo"))
-    diff = F.filter(F.zip_with("z", "zo", lambda p, q: (p - q) * (p - q)), lambda v: v.isNotNull())
-    d = F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(diff), F.lit(0)))
-    mean = z.join(other, by).where(F.col(entity) != F.col("o")).withColumn("d", d).groupBy(by, entity, tie).agg(rounded(F.avg("d")).alias("mean"))
+    score = [F.coalesce(F.when(F.col(f"s_{n}") > 1e-9, (F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")), F.lit(float("nan"))) for n in names]
+    z = features.where(F.col(by).isNotNull()).crossJoin(F.broadcast(stats)).select(F.col(entity).cast("long").alias(entity), by, tie, F.array(*score).alias("z"))
+    packed = blocks(z, entity, by, "z", block)
+    other = packed.select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
+    heads = packed.select(by, "p").join(packed.select(by, F.col("p").alias("q")), by)
+    met = heads.join(packed, [by, "p"]).join(other, [by, "q"]).repartition(F.xxhash64(by, "p", "q"))
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, xs, others, ys = (batch.column(c)[k].as_py() for c in ("i", "x", "j", "y"))
+                gap = np.array(xs)[:, None, :] - np.array(ys)[None, :, :]
+                both = ~np.isnan(gap)
+                n = both.sum(2)
+                d = np.sqrt(np.where(both, gap * gap, 0).sum(2) / np.maximum(n, 1))
+                good = (n > 0) & (np.array(ids)[:, None] != np.array(others)[None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.where(good, d, 0).sum(1)), pa.array(good.sum(1))], names=["i", "d", "k"])
+
+    sums = met.select("i", "x", "j", "y").mapInArrow(compare, "i long, d double, k long").groupBy(F.col("i").alias(entity)).agg((F.sum("d") / F.nullif(F.sum("k"), F.lit(0))).alias("mean"))
+    mean = z.join(sums, entity).where("mean IS NOT NULL").select(by, entity, tie, rounded("mean").alias("mean"))
     return mean.groupBy(by).agg(F.min(F.struct("mean", (-F.col(tie)).alias("t"), entity)).alias("r")).select(by, F.col(f"r.{entity}").alias("medoid"), F.col("r.mean").alias("mean_distance"))
 
 

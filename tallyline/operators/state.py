@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import small
+
 
 def changed_keys(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys and change (added, removed, changed) of rows that differ between two versions."""
@@ -69,7 +71,7 @@ def lifecycle(state: DataFrame, run: DataFrame, key: str) -> DataFrame:
 
 def guarded(rows: DataFrame, status: str, wanted: str, allowed: DataFrame, more: list[tuple[Column, str]] = ()) -> DataFrame:
     """Status changes that the table of allowed ones (from, to) has and no further rule forbids; others keep their status, with the reason."""
-    j = rows.join(F.broadcast(allowed.select(F.col("from").alias(status), F.col("to").alias(wanted), F.lit(True).alias("listed"))), [status, wanted], "left")
+    j = rows.join(small(allowed.select(F.col("from").alias(status), F.col("to").alias(wanted), F.lit(True).alias("listed"))), [status, wanted], "left")
     reason = reduce(lambda acc, r: acc.when(r[0], r[1]), more, F.when(F.col("listed").isNull(), F.concat(F.col(status), F.lit(" to "), F.col(wanted), F.lit(" is not allowed"))))
     return j.withColumn("reason", reason).drop("listed").withColumn("after", F.when(F.col("reason").isNull(), F.col(wanted)).otherwise(F.col(status)))
 

@@ -101,6 +101,11 @@ def categorical_by_group(rows: DataFrame, value: str, pos: str, group: str) -> D
     )
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a hint to broadcast it, if it is counted to have no more rows than that; else as it is, for a join that shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def tri_state(flag: Column) -> Column:
     """present if any, absent if all are false, else unmeasured (no flag known)."""
     return F.when(F.bool_or(flag), "present").when(F.bool_or(flag).isNull(), "unmeasured").otherwise("absent")
@@ -198,7 +203,7 @@ def majority(rows: DataFrame, flag: str, group: str) -> DataFrame:
 
 def with_zeros(counts: DataFrame, entities: DataFrame, kinds: DataFrame, entity: str, kind: str, n: str) -> DataFrame:
     """Counts of each kind for every entity, 0 where it has none. kinds: a small closed vocabulary."""
-    return entities.select(entity).distinct().crossJoin(F.broadcast(kinds.select(kind).distinct())).join(counts, [entity, kind], "left").withColumn(n, F.coalesce(n, F.lit(0)))
+    return entities.select(entity).distinct().crossJoin(small(kinds.select(kind).distinct())).join(counts, [entity, kind], "left").withColumn(n, F.coalesce(n, F.lit(0)))
 
 
 def longest_run(rows: DataFrame, entity: str, pos: str, flag: str) -> DataFrame:

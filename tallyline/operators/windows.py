@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import small
+
 
 def rank_known_first(rows: DataFrame, by: str, value: str, recent: str, first_seen: str, id_: str) -> DataFrame:
     """rank within `by`: known values, the largest first, ties to the more recent, then the id. Unknown ones come after, unranked."""
@@ -64,7 +66,7 @@ def collapsed_sequence(rows: DataFrame, entity: str, pos: str, value: str) -> Da
 
 def follows_order(rows: DataFrame, entity: str, pos: str, value: str, order: DataFrame) -> DataFrame:
     """Whether an entity's known values never step back in the reference order (value, idx); unknown values are counted."""
-    j = rows.join(F.broadcast(order), value, "left")
+    j = rows.join(small(order), value, "left")
     known = j.where("idx IS NOT NULL").withColumn("back", F.lag("idx").over(Window.partitionBy(entity).orderBy(pos)) > F.col("idx"))
     return j.groupBy(entity).agg(F.count(F.when(F.col("idx").isNull(), 1)).alias("n_unknown")).join(known.groupBy(entity).agg(F.bool_or(F.coalesce("back", F.lit(False))).alias("b")), entity, "left").select(entity, "n_unknown", (~F.coalesce("b", F.lit(False))).alias("in_order"))
 

@@ -38,8 +38,7 @@ def a7(spark, d):
 
 @query("c1_clusters", None)
 def c1(spark, d):
-    v = vectors(spark, d)
-    return M.average_linkage(v, M.threshold_graph(v, "vec_id", "label", "x", 0.3), "vec_id", "x", 0.3)
+    return M.average_linkage(vectors(spark, d), "vec_id", "label", "x", 0.3)
 
 
 @query("c2_components", """WITH l AS (SELECT DISTINCT c_custkey AS a, 1000000000000 + c_nationkey AS b FROM customer UNION SELECT DISTINCT s_suppkey + 2000000000000, 1000000000000 + s_nationkey FROM supplier),

@@ -324,3 +324,49 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
     assert run() == {1: (2, "a", "y"), 2: (1, "b", None)}
     put("3.json", [{"k": 1, "at": 0, "v": "late"}])
     assert run() == {1: (2, "a", "y"), 2: (1, "b", None)}
+
+
+def plain_linkage(x, groups, least):
+    """One best pair at a time, over a list of clusters."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    clusters = [[i] for i in range(len(x))]
+    while True:
+        best = None
+        for a in range(len(clusters)):
+            for b in range(a + 1, len(clusters)):
+                if groups[clusters[a][0]] == groups[clusters[b][0]]:
+                    s = np.mean([u[i] @ u[j] for i in clusters[a] for j in clusters[b]])
+                    if s >= least and (best is None or s > best[0]):
+                        best = (s, a, b)
+        if best is None:
+            return {i: min(c) for c in clusters for i in c}
+        clusters[best[1]] += clusters.pop(best[2])
+
+
+def test_average_linkage_equals_merging_one_pair_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(6, 5))
+    x = np.array([centers[i % 6] + rng.normal(size=5) * 0.8 for i in range(48)])
+    rows = [(i, i % 2, [float(v) for v in x[i]]) for i in range(48)]
+    df = table(spark, [*rows, (90, None, [1.0] * 5), (91, 1, [0.0] * 5), (92, 1, None)], "id long, g int, x array<double>")
+    got = {r["id"]: r["cluster"] for r in similarity.average_linkage(df, "id", "g", "x", 0.3, block=8).collect()}
+    assert got == plain_linkage(x, [i % 2 for i in range(48)], 0.3) | {90: 90, 91: 91, 92: 92}
+    assert 2 < len(set(got.values())) < 40
+
+
+def test_medoid_equals_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3, float(rng.normal()), float(rng.normal()) if i % 4 else None, 5.0, float(i % 7)) for i in range(50)]
+    got = {r["g"]: (r["medoid"], r["mean_distance"]) for r in similarity.medoid(table(spark, rows, "id long, g int, a double, b double, c double, views double"), "id", "g", ["a", "b", "c"], "views", block=8).collect()}
+    z = np.array([[np.nan if v is None else v for v in r[2:5]] for r in rows])
+    z = (z - np.nanmean(z, 0)) / np.where(np.nanstd(z, 0) > 1e-9, np.nanstd(z, 0), np.nan)
+    for g in range(3):
+        ids = [i for i in range(50) if i % 3 == g]
+        means = [(round(np.mean([np.sqrt(np.nanmean((z[i] - z[j]) ** 2)) for j in ids if j != i]), 6), -rows[i][5], i) for i in ids]
+        assert got[g][0] == min(means)[2] and abs(got[g][1] - min(means)[0]) < 2e-6
+
+
+def test_large_sides_are_not_broadcast(spark):
+    df = spark.range(100)
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(stats.small(df, 100)) and not hinted(stats.small(df, 99))
