@@ -12,31 +12,6 @@ from ..functions.scalars import rgb
 RADIUS = 28.0
 
 
-class Cluster:
-    """Colours as counts of each channel's values, so its size does not grow with its members."""
-
-    def __init__(self) -> None:
-        self.counts, self.n, self.center = np.zeros((3, 256), np.int64), 0, (0, 0, 0)
-
-    def add(self, color: tuple[int, int, int]) -> None:
-        for channel, v in enumerate(color):
-            self.counts[channel, v] += 1
-        self.n += 1
-        total = np.cumsum(self.counts, 1)
-        low, high = ((total > k).argmax(1) for k in ((self.n - 1) // 2, self.n // 2))
-        self.center = tuple(round((int(a) + int(b)) / 2) for a, b in zip(low, high, strict=True))
-
-
-def cluster(clusters: list[Cluster], color: tuple[int, int, int], radius: float) -> None:
-    """Add a colour to the first cluster whose median is within the radius, else to a new one."""
-    for c in clusters:
-        if sum((x - y) ** 2 for x, y in zip(color, c.center, strict=True)) <= radius * radius:
-            break
-    else:
-        clusters.append(c := Cluster())
-    c.add(color)
-
-
 def color_mode(rows: DataFrame, group: str, color: str, pos: str, radius: float = RADIUS) -> DataFrame:
     """(group, color, n, share): the largest cluster of each group's colours, as the median of each channel.
 
@@ -48,6 +23,30 @@ def color_mode(rows: DataFrame, group: str, color: str, pos: str, radius: float
     named = rows.select(F.col(group).alias("grp"), F.col(pos).alias("pos"), r.alias("r"), g.alias("g"), b.alias("b")).where("r IS NOT NULL")
     ordered = named.repartition("grp").sortWithinPartitions("grp", "pos", "r", "g", "b")
 
+    # what tasks call is defined here, so that it travels with them
+    class Cluster:
+        """Colours as counts of each channel's values, so its size does not grow with its members."""
+
+        def __init__(self) -> None:
+            self.counts, self.n, self.center = np.zeros((3, 256), np.int64), 0, (0, 0, 0)
+
+        def add(self, color: tuple[int, int, int]) -> None:
+            for channel, v in enumerate(color):
+                self.counts[channel, v] += 1
+            self.n += 1
+            total = np.cumsum(self.counts, 1)
+            low, high = ((total > k).argmax(1) for k in ((self.n - 1) // 2, self.n // 2))
+            self.center = tuple(round((int(a) + int(b)) / 2) for a, b in zip(low, high, strict=True))
+
+    def cluster(clusters: list[Cluster], color: tuple[int, int, int]) -> None:
+        """Add a colour to the first cluster whose median is within the radius, else to a new one."""
+        for c in clusters:
+            if sum((x - y) ** 2 for x, y in zip(color, c.center, strict=True)) <= radius * radius:
+                break
+        else:
+            clusters.append(c := Cluster())
+        c.add(color)
+
     def run(frames):
         key, clusters, begun = None, [], False
 
@@ -62,7 +61,7 @@ def color_mode(rows: DataFrame, group: str, color: str, pos: str, radius: float
                     if begun:
                         yield close()
                     key, clusters, begun = row[0], [], True
-                cluster(clusters, (int(row[1]), int(row[2]), int(row[3])), radius)
+                cluster(clusters, (int(row[1]), int(row[2]), int(row[3])))
         if begun:
             yield close()
 

@@ -61,9 +61,14 @@ def is_nominal(word: Column, before: Column) -> Column:
 
 def ending_class(text: Column) -> Column:
     """Struct (register, word) of a line: its register by its last word, and that word; null for a line without words."""
+    # bound to names by transform, so the text is split once
     words = F.split(F.regexp_replace(F.trim(text), TAIL, ""), "\\s+")
-    word = F.element_at(words, -1)
-    before = F.when(F.size(words) >= 2, F.element_at(words, F.greatest(F.size(words) - 1, F.lit(1))))
+    last_two = F.transform(F.array(words), lambda w: F.struct(F.element_at(w, -1).alias("word"), F.when(F.size(w) >= 2, F.element_at(w, F.greatest(F.size(w) - 1, F.lit(1)))).alias("before")))
+    return F.get(F.transform(last_two, lambda x: _class_of(x["word"], x["before"])), F.lit(0))
+
+
+def _class_of(word: Column, before: Column) -> Column:
+    """ending_class of a line's last word and the one before it."""
     rules = dict(ENDINGS)
     register = (
         F.when(~F.rlike(word, F.lit("[가-힣]$")), NEUTRAL)
