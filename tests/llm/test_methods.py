@@ -15,7 +15,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyline.llm import bpe, common, components, embedding_dedup, jaccard_join, license_scan, packing, pii, quality_crf, toxicity
+from tallyline.llm import bpe, common, components, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, quality_crf, toxicity
 from tallyline.llm import queries as registered
 from tallyline.llm.automaton import SuffixAutomaton
 
@@ -142,6 +142,33 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p, want) and np.isclose(z, total) and np.allclose(moves, pairs)
 
 
+def test_quality_scores_equal_plain_loops(spark):
+    """Each document's score from the fitted weights: forward and backward line by line, the mean by length, the calibration."""
+    docs, marks = common.documents(spark, SMALL), common.labels(spark, SMALL)
+    rows = common.take(docs, "doc_id", "text")
+    model = quality_crf.fit(rows, marks)
+    got = {r["doc_id"]: r["score"] for r in quality_crf.score_quality(docs, marks).collect()}
+    n = quality_crf.N
+    for r in rows.collect()[:60]:
+        x, lengths = quality_crf.line_features(r["text"])
+        z = (x - model.mean) / model.scale
+        pad = np.zeros(n)
+        emit = [float(np.concatenate([z[i], z[i - 1] if i else pad, z[i + 1] if i + 1 < len(z) else pad, [1.0]]) @ model.weights) for i in range(len(z))]
+        w = np.exp(model.trans)
+        forward, backward = [], [np.ones(2)]
+        for i, e in enumerate(emit):
+            f = np.array([1.0, math.exp(e)]) * (forward[-1] @ w if i else 1.0)
+            forward.append(f / f.sum())
+        for e in reversed(emit[1:]):
+            b = w @ (np.array([1.0, math.exp(e)]) * backward[-1])
+            backward.append(b / b.sum())
+        good = [(f * b)[1] / (f * b).sum() for f, b in zip(forward, reversed(backward), strict=True)]
+        q = float(np.dot(good, lengths) / lengths.sum()) if lengths.sum() else 0.0
+        q = min(max(q, 1e-4), 1 - 1e-4)
+        want = 1 / (1 + math.exp(-(model.slope * math.log(q / (1 - q)) + model.shift)))
+        assert abs(got[r["doc_id"]] - want) < 1e-5
+
+
 # ---------------------------------------------------------------- BPE
 
 
@@ -651,3 +678,50 @@ def test_pipeline_stages(spark):
     assert not any(pii.base_spans(t) for t in tables[3].values())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert {r["doc_id"] for r in packed} == set(tables[3])
+
+
+def test_pipeline_keeps_documents_of_repeated_and_missing_ids(spark):
+    """Near duplicates go by row: texts of one id that differ both stay, copies give way to the smallest id, rows without an id come last."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, words(1)), (1, words(2)), (None, words(3)), (None, words(4)), (5, words(4)), (7, words(1)), (2, words(5)), (2, words(5)), (8, None), (9, None), (10, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, df, SMALL).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in got), key=str) == sorted([(1, words(1)), (1, words(2)), (0, words(3)), (5, words(4)), (2, words(5)), (8, None), (9, None), (10, "")], key=str)
+
+
+def test_pipeline_run_equals_its_stages(spark, tmp_path):
+    """run() on a folder of its own: odd rows beside whole documents; what is packed are the tokens of what each stage left, done here by plain Python."""
+    source = pq.read_table(f"{SMALL}/documents.parquet").to_pylist()
+    odd = [{"doc_id": None, "text": source[0]["text"] + " one more", "lang": None, "source": None, "n_chars": None}, {"doc_id": source[1]["doc_id"], "text": source[2]["text"] + " and more", "lang": "en", "source": "s", "n_chars": 3}, {"doc_id": 10**9, "text": None, "lang": "en", "source": "s", "n_chars": None}, {"doc_id": 10**9, "text": "", "lang": "en", "source": "s", "n_chars": 0}]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in source + odd], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    common.labels(spark, SMALL).write.parquet(f"{tmp_path}/labels.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = common.documents(spark, str(tmp_path))
+    good = quality_crf.score_quality(docs, common.labels(spark, str(tmp_path)), keep=("text", "lang", "source")).where("predicted = 1").collect()
+    pages, hosts = collections.defaultdict(set), collections.defaultdict(set)
+    for r in good:
+        if r["source"] is not None and r["doc_id"] is not None:
+            hosts[r["source"]].add(r["doc_id"])
+            for line in (r["text"] or "").split("\n"):
+                pages[r["source"], line.strip(" ")].add(r["doc_id"])
+    bad = {k for k, ids in pages.items() if k[1] and len(ids) >= line_dedup.MIN_PAGES and len(ids) > line_dedup.RATIO * len(hosts[k[0]])}
+    kept = [(r["doc_id"], None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in bad)) for r in good]
+    kept.sort(key=lambda k: (k[0] is None, k[0] or 0))
+    first = {c: k for k, c in reversed([(k, c) for k, (_, c) in brute_components([t for _, t in kept]).items()])}
+    left = [kept[k] for k in first.values()]
+    net = pii.fit(spark.createDataFrame(left, "doc_id long, text string"))
+    t = tokenizers.Tokenizer.from_file(packing.TOKENIZER)
+    texts_ = [pii.redact(x or "", pii.find_spans([x or ""], net)[0][1]) for _, x in left]
+    want = collections.Counter(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in texts_)
+    total = 0
+    by = collections.defaultdict(list)
+    for r in packed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+        total += r["length"]
+    assert total == sum(n * k for n, k in want.items()) and len({r["doc_id"] for r in packed}) == len({i for i, _ in left})
+    assert sum(r["piece"] == 0 for r in packed) == len(left)
+    for held in by.values():
+        held.sort()
+        assert all(o == sum(n for _, n in held[:i]) for i, (o, _) in enumerate(held)) and sum(n for _, n in held) <= 2048
+    assert len(by) <= -(-total // 2048) + 1
