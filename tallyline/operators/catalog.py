@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import rounded
+from .colors import color_mode
+from .stats import categorical, pstats_by_group, rounded
 
 
 def group_table(members: DataFrame, entity: str, structure: str, variant: str, prefix: str = "F") -> DataFrame:
@@ -35,3 +36,69 @@ def named_set(parts: list[DataFrame], without: DataFrame, key: str, limit: int)
         part = part.select(key, F.lit(p).alias("p"))
         both = part if both is None else both.unionByName(part)
     return both.groupBy(key).agg(F.min("p").alias("p")).join(without.select(key), key, "left_anti").orderBy("p", key).limit(limit)
+
+
+def checked_labels(labels: DataFrame, members: DataFrame, entity: str) -> DataFrame:
+    """The labels with a reason: null for one that counts; not signed if it is not watched by someone with a name, outside if its entity is no member. Rows without an entity, and rows without any label, are left out.
+
+    labels: (entity, structure, intro, watched, labeled_by); members: a table of entities.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = labels.where((F.coalesce(F.trim(F.col(entity).cast("string")), F.lit("")) != "") & ((text("structure") != "") | (text("intro") != "")))
+    signed = (F.lower(text("watched")) == "yes") & (text("labeled_by") != "") & (text("structure") != "")
+    known = members.select(entity).distinct().withColumn("_in", F.lit(True))
+    reason = F.when(~signed, "not signed").when(F.col("_in").isNull(), "outside")
+    return rows.join(known, entity, "left").withColumn("reason", reason).drop("_in")
+
+
+def kept_ids(groups: DataFrame, old: DataFrame, structure: str, n: str, prefix: str = "F") -> DataFrame:
+    """(structure, format_id): the id that an earlier table gave a structure; new ones, by falling size, then name, take the lowest numbers that are free.
+
+    A catalog of structures: its numbers are given out in one task. old: (structure, format_id).
+    """
+    named = groups.select(structure, n).join(old.select(structure, "format_id"), structure, "left")
+    number = F.regexp_extract("format_id", f"^{prefix}([0-9]+)$", 1).try_cast("long")
+    used = old.select(number.alias("k")).where("k IS NOT NULL").distinct()
+    fresh = named.where("format_id IS NULL").withColumn("r", F.row_number().over(Window.orderBy(F.desc(n), structure)))
+    size = groups.agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(used.agg(F.count(F.lit(1)).alias("u"))))
+    numbers = size.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("c") + F.col("u") + 1)).alias("k"))
+    free = numbers.join(used, "k", "left_anti").withColumn("r", F.row_number().over(Window.orderBy("k")))
+    given = fresh.join(free, "r").select(structure, F.concat(F.lit(prefix), F.col("k").cast("string")).alias("format_id"))
+    return named.where("format_id IS NOT NULL").select(structure, "format_id").unionByName(given)
+
+
+def registry_audit(entries: DataFrame, production: bool = True) -> DataFrame:
+    """One row: ok, and how many keys are unmeasured, without code that reads them, without a check, and not applicable.
+
+    entries: (key, category, status, apply_pending, n_readers, n_checks). Keys of the categories meta and infra are not looked
+    at, rules need no check. Unmeasured keys stand in the way in production only.
+    """
+    e = entries.where(~F.coalesce(F.col("category").isin("meta", "infra"), F.lit(False)))
+    count = lambda c: F.count(F.when(c, 1))
+    out = e.agg(
+        count((F.col("status") == "unmeasured") | F.coalesce("apply_pending", F.lit(False))).alias("unmeasured"), count(F.coalesce("n_readers", F.lit(0)) == 0).alias("no_code"),
+        count((F.coalesce("n_checks", F.lit(0)) == 0) & ~F.coalesce(F.col("category") == "rule", F.lit(False))).alias("no_check"), count(F.col("status") == "not_applicable_given").alias("not_applicable"),
+    )
+    ok = (F.col("no_code") == 0) & (F.col("no_check") == 0) & (F.lit(not production) | (F.col("unmeasured") == 0))
+    return out.select(ok.alias("ok"), "unmeasured", "no_code", "no_check", "not_applicable")
+
+
+def typed_items(rows: DataFrame, entity: str, pos: str) -> DataFrame:
+    """(key, type, grp, n, value): items of declared types from observations, overall (grp null) and for each group.
+
+    rows: (key, type, grp, value as text, and the entity and pos). Numbers (px, ratio, hz) are the median of the entities'
+    medians, bools and categories the mode of the entities' modes, colours the largest cluster. Texts that are no number are left out.
+    """
+    r = rows.where("value IS NOT NULL")
+    numbers = r.where(F.col("type").isin("px", "ratio", "hz")).withColumn("_value", F.col("value").try_cast("double"))
+    per = numbers.groupBy("key", "type", "grp", entity).agg(F.median("_value").alias("_value"))
+    numeric = pstats_by_group(per, "_value", "grp", "key", "type").select("key", "type", "grp", "n", rounded("p50").cast("string").alias("value"))
+    named = r.where(~F.col("type").isin("px", "ratio", "hz", "color"))
+    counted = named.groupBy("key", "type", "grp", entity, "value").agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_first"))
+    both = counted.groupBy("key", "type", "grp", entity).agg(F.max_by("value", F.struct("_n", -F.col("_first"))).alias("value"), F.min("_first").alias("_pos"))
+    groups = categorical(both.where("grp IS NOT NULL"), "value", "_pos", "key", "type", "grp").select("key", "type", "grp", "n", F.col("mode").alias("value"))
+    whole = categorical(both, "value", "_pos", "key", "type").select("key", "type", F.lit(None).cast(dict(rows.dtypes)["grp"]).alias("grp"), "n", F.col("mode").alias("value"))
+    colours = r.where("type = 'color'").withColumn("_k", F.struct("key", "type", "grp"))
+    tone = color_mode(colours.where("grp IS NOT NULL"), "_k", "value", pos).select("_k.key", "_k.type", "_k.grp", "n", F.col("color").alias("value"))
+    all_ = color_mode(colours.withColumn("_k", F.struct("key", "type", F.lit(None).cast(dict(rows.dtypes)["grp"]).alias("grp"))), "_k", "value", pos).select("_k.key", "_k.type", "_k.grp", "n", F.col("color").alias("value"))
+    return numeric.unionByName(groups).unionByName(whole).unionByName(tone).unionByName(all_)

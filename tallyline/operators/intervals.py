@@ -99,3 +99,19 @@ def rectangle_coverage(overlays: DataFrame, ops: DataFrame, entity: str, width:
     j = overlays.join(volume, overlays["id"] == volume["a_id"], "left")
     share = F.coalesce("v", F.lit(0.0)) / F.nullif((F.col("end") - F.col("start")) * F.col("w") * F.col("h"), F.lit(0.0))
     return j.select("id", (share >= 1 - 1e-9).alias("covered"), F.round(share, 6).alias("share"))
+
+
+def repeats_of_source(clips: DataFrame, cell: float = 24.0, least: float = 0.05, near: float = 0.5) -> DataFrame:
+    """(first, again, overlap, verdict): clips of one source that show the same stretch of it twice.
+
+    clips: (id, source, planned_start, planned_end, start, end, repeat_of, reason); start and end are null where the stretch was
+    not measured. A measured overlap above `least` is marked, if the later clip (by id) names the first one and a reason, else
+    unmarked; a pair with a clip that was not measured is unmeasured, if the plan brings the two within `near` of each other.
+    """
+    known = clips.where("start IS NOT NULL AND end IS NOT NULL").select("source", "start", "end", "id", "repeat_of", "reason")
+    marked = F.coalesce((F.col("b_repeat_of") == F.col("a_id")) & (F.trim("b_reason") != ""), F.lit(False))
+    pairs = overlaps(known, known, "source", cell, F.col("a_id") < F.col("b_id")).where(F.col("overlap") > least)
+    seen = pairs.select(F.col("a_id").alias("first"), F.col("b_id").alias("again"), "overlap", F.when(marked, "marked").otherwise("unmarked").alias("verdict"))
+    planned = clips.select("source", (F.col("planned_start") - near / 2).alias("start"), (F.col("planned_end") + near / 2).alias("end"), "id", (F.col("start").isNull() | F.col("end").isNull()).alias("blind"))
+    blind = overlaps(planned, planned, "source", cell, (F.col("a_id") < F.col("b_id")) & (F.col("a_blind") | F.col("b_blind")))
+    return seen.unionByName(blind.select(F.col("a_id").alias("first"), F.col("b_id").alias("again"), F.lit(None).cast("double").alias("overlap"), F.lit("unmeasured").alias("verdict")))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from .stats import small
 
@@ -19,6 +20,33 @@ def changed_keys(old: DataFrame, new: DataFrame, keys: list[str], values: list[s
     return j.select(*keys, change.alias("change")).where("change IS NOT NULL")
 
 
+def leaves(value: Column, kind: DataType, path: Column | None = None) -> Column:
+    """Array of (section, path, leaf) of a document: fields by name, map values by key, array elements by their id, if they are structs with one, else by place; leaves as text. The section is the name at the top."""
+    here = F.lit("") if path is None else path
+    below = lambda name: F.concat(here, F.lit(".") if path is not None else F.lit(""), name)
+    none = F.array().cast("array<struct<section:string,path:string,leaf:string>>")
+    if isinstance(kind, StructType):
+        parts = [leaves(value[f.name], f.dataType, below(F.lit(f.name))) for f in kind]
+        return F.concat(none, *parts)
+    if isinstance(kind, MapType):
+        entries = F.coalesce(F.map_entries(value), F.array().cast(f"array<struct<key:{kind.keyType.simpleString()},value:{kind.valueType.simpleString()}>>"))
+        return F.flatten(F.transform(entries, lambda e: leaves(e["value"], kind.valueType, below(e["key"].cast("string")))))
+    if isinstance(kind, ArrayType):
+        items = F.coalesce(value, F.array().cast(kind.simpleString()))
+        named = isinstance(kind.elementType, StructType) and "id" in kind.elementType.names
+        return F.flatten(F.transform(items, lambda x, i: leaves(x, kind.elementType, below(x["id"].cast("string") if named else i.cast("string")))))
+    leaf = F.struct(F.split_part(here, F.lit("."), F.lit(1)).alias("section"), here.alias("path"), value.cast("string").alias("leaf"))
+    return F.when(value.isNotNull(), F.array(leaf)).otherwise(none)
+
+
+def section_diff(old: DataFrame, new: DataFrame, id_: str, document: str) -> DataFrame:
+    """(id, section, n_added, n_removed, n_changed): sections at the top of two versions of a document that differ, by their leaves. A null leaf is none."""
+    flat = lambda df: df.select(id_, F.explode(leaves(F.col(document), df.schema[document].dataType)).alias("x")).select(id_, "x.*")
+    diff = changed_keys(flat(old), flat(new), [id_, "section", "path"], ["leaf"])
+    count = lambda c: F.count(F.when(F.col("change") == c, 1)).alias(f"n_{c}")
+    return diff.groupBy(id_, "section").agg(count("added"), count("removed"), count("changed"))
+
+
 def append_new(old: DataFrame, new: DataFrame, key: str, pos: str) -> DataFrame:
     """The old rows and, for keys they lack, the first new row by pos; applying it twice changes nothing."""
     cols = [c for c in old.columns if c not in (key, pos)]

@@ -184,3 +184,41 @@ def j15(spark, d):
     k = F.col("s_suppkey") % 3
     shown = F.when(k == 0, F.concat("s_name", F.lit(" THE-LISTD shop "), "s_name")).when(k == 1, F.concat(F.lit("my Other Name, "), "s_name")).otherwise(F.col("s_name"))
     return M.listed_term(read(spark, d, "supplier").select("s_suppkey", shown.alias("t")), "s_suppkey", "t", ["The Listed Shop", "other name"])
+
+
+@query("u4_nested_diff", """WITH o AS (SELECT doc_id, lang, doc_id % 5 = 0 AS gone, lang = 'fr' AS more, doc_id % 2 = 0 AS cut FROM documents),
+r AS (SELECT doc_id, 'title' AS section, 0 AS n_added, 1 AS n_removed, 0 AS n_changed FROM o WHERE gone UNION ALL SELECT doc_id, 'meta', 0, 2, 0 FROM o WHERE gone UNION ALL SELECT doc_id, 'meta', 0, cut::INT, more::INT FROM o WHERE NOT gone AND (cut OR more)) SELECT * FROM r""")
+def u4(spark, d):
+    from ..operators.state import section_diff
+
+    docs = read(spark, d, "documents")
+    document = lambda n, s: F.struct(F.col("lang").alias("title"), F.struct(n.alias("n"), s.alias("s")).alias("meta")).alias("d")
+    old = docs.select("doc_id", document(F.col("n_chars"), F.col("source")))
+    new = docs.where("doc_id % 5 <> 0").select("doc_id", document(F.when(F.col("lang") == "fr", F.col("n_chars") + 1).otherwise(F.col("n_chars")), F.when(F.col("doc_id") % 2 != 0, F.col("source"))))
+    return section_diff(old, new, "doc_id", "d")
+
+
+@query("j8_source_repeats", f"""WITH {E}, c AS (SELECT event_id AS id, video_id || '/' || type AS source, t AS ps, "end" AS pe, CASE WHEN event_id % 5 <> 0 THEN t + 0.1 END AS s, CASE WHEN event_id % 5 <> 0 THEN "end" END AS e FROM e),
+p AS (SELECT a.id AS first, b.id AS again, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM c a JOIN c b ON a.source = b.source AND a.id < b.id AND a.s < b.e AND a.e > b.s)
+SELECT first, again, round(overlap, 6) AS overlap, CASE WHEN again % 2 = 0 THEN 'marked' ELSE 'unmarked' END AS verdict FROM p WHERE overlap > 0.05
+UNION ALL SELECT a.id, b.id, NULL, 'unmeasured' FROM c a JOIN c b ON a.source = b.source AND a.id < b.id AND (a.s IS NULL OR b.s IS NULL) AND a.ps - 0.25 < b.pe + 0.25 AND a.pe + 0.25 > b.ps - 0.25""")
+def j8(spark, d):
+    from ..operators.intervals import repeats_of_source
+
+    e, k = events(spark, d), F.col("event_id")
+    measured = k % 5 != 0
+    clips = e.select(k.alias("id"), F.concat_ws("/", "video_id", "type").alias("source"), F.col("t").alias("planned_start"), F.col("end").alias("planned_end"), F.when(measured, F.col("t") + 0.1).alias("start"), F.when(measured, F.col("end")).alias("end"), F.lit(None).cast("long").alias("repeat_of"), F.lit("").alias("reason"))
+    found = repeats_of_source(clips)
+    # clips with an even id are meant to repeat
+    verdict = F.when((F.col("verdict") == "unmarked") & (F.col("again") % 2 == 0), "marked").otherwise(F.col("verdict"))
+    return found.select("first", "again", S.rounded("overlap").alias("overlap"), verdict.alias("verdict"))
+
+
+@query("a31_audit", """WITH e AS (SELECT *, CASE p_size % 5 WHEN 0 THEN 'meta' WHEN 1 THEN 'rule' ELSE 'style' END AS c, p_size > 45 AS un, p_partkey % 3 AS readers, p_partkey % 2 AS checks FROM part WHERE p_size % 5 <> 0)
+SELECT count(*) FILTER (readers = 0) = 0 AND count(*) FILTER (checks = 0 AND c <> 'rule') = 0 AND count(*) FILTER (un) = 0 AS ok, count(*) FILTER (un) AS unmeasured, count(*) FILTER (readers = 0) AS no_code, count(*) FILTER (checks = 0 AND c <> 'rule') AS no_check, 0 AS not_applicable FROM e""")
+def a31(spark, d):
+    from ..operators.catalog import registry_audit
+
+    c = F.when(F.col("p_size") % 5 == 0, "meta").when(F.col("p_size") % 5 == 1, "rule").otherwise("style")
+    status = F.when(F.col("p_size") > 45, "unmeasured").otherwise("measured")
+    return registry_audit(read(spark, d, "part").select(F.col("p_partkey").alias("key"), c.alias("category"), status.alias("status"), F.lit(False).alias("apply_pending"), (F.col("p_partkey") % 3).alias("n_readers"), (F.col("p_partkey") % 2).alias("n_checks")))

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tallyline.functions import scalars as X
 from tallyline.functions import urls as U
-from tallyline.operators import colors, endings, features, labels, layers, matching, qa, similarity, stats, text
+from tallyline.operators import catalog, colors, endings, features, intervals, labels, layers, matching, qa, similarity, state, stats, text
 from tallyline.streaming.upserts import stream_upserts
 
 
@@ -370,3 +370,48 @@ def test_large_sides_are_not_broadcast(spark):
     df = spark.range(100)
     hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
     assert hinted(stats.small(df, 100)) and not hinted(stats.small(df, 99))
+
+
+# ---------------------------------------------------------------- documents, sources, catalogs
+
+
+def test_section_diff_of_nested_documents(spark):
+    schema = "k int, d struct<title: string, clips: array<struct<id: string, t: double>>, tags: array<string>, more: map<string,int>>"
+    old = table(spark, [(1, ("a", [("x", 1.0), ("y", 2.0)], ["p", "q"], {"m": 1})), (2, ("same", None, None, None)), (3, None)], schema)
+    new = table(spark, [(1, ("b", [("y", 2.0), ("z", 3.0), ("x", 1.5)], ["p"], {"m": 1, "n": 2})), (2, ("same", [], None, None)), (3, ("new", None, None, None))], schema)
+    got = {(r["k"], r["section"]): (r["n_added"], r["n_removed"], r["n_changed"]) for r in state.section_diff(old, new, "k", "d").collect()}
+    assert got == {(1, "title"): (0, 0, 1), (1, "clips"): (2, 0, 1), (1, "tags"): (0, 1, 0), (1, "more"): (1, 0, 0), (3, "title"): (1, 0, 0)}
+
+
+def test_repeats_of_a_source(spark):
+    rows = [(1, "s", 0.0, 5.0, 0.1, 5.1, None, None), (2, "s", 4.0, 8.0, 4.1, 8.0, None, None), (3, "s", 0.0, 2.0, 0.2, 2.0, 1, "joke"), (4, "s", 8.2, 9.0, None, None, None, None), (5, "t", 0.0, 9.0, 0.0, 9.0, None, None), (6, "s", 30.0, 31.0, None, None, None, None), (7, "s", 0.0, 1.0, 2.0, 2.02, 1, " ")]
+    df = table(spark, rows, "id int, source string, planned_start double, planned_end double, start double, end double, repeat_of int, reason string")
+    got = {(r["first"], r["again"]): (r["verdict"], r["overlap"] and round(r["overlap"], 3)) for r in intervals.repeats_of_source(df).collect()}
+    assert got == {(1, 2): ("unmarked", 1.0), (1, 3): ("marked", 1.8), (2, 4): ("unmeasured", None)}
+
+
+def test_labels_that_count_and_ids_that_stay(spark):
+    rows = [("a", "x", "", "yes", "me"), ("b", "x", "i", "YES", "me"), ("c", "y", "", "no", "me"), ("d", "y", "", "yes", " "), ("z", "x", "", "yes", "me"), ("e", "", "", "yes", "me"), ("f", "", "i", "yes", "me"), (None, "x", "", "yes", "me")]
+    labels_ = table(spark, rows, "v string, structure string, intro string, watched string, labeled_by string")
+    got = {r["v"]: r["reason"] for r in catalog.checked_labels(labels_, table(spark, [("a",), ("b",), ("c",), ("d",), ("f",)], "v string"), "v").collect()}
+    assert got == {"a": None, "b": None, "c": "not signed", "d": "not signed", "z": "outside", "f": "not signed"}
+    groups = table(spark, [("p", 5), ("q", 9), ("r", 9), ("s", 1)], "structure string, n int")
+    old = table(spark, [("p", "F2"), ("gone", "F1")], "structure string, format_id string")
+    assert {r["structure"]: r["format_id"] for r in catalog.kept_ids(groups, old, "structure", "n").collect()} == {"p": "F2", "q": "F3", "r": "F4", "s": "F5"}
+    assert {r["structure"]: r["format_id"] for r in catalog.kept_ids(groups, old.limit(0), "structure", "n").collect()} == {"q": "F1", "r": "F2", "p": "F3", "s": "F4"}
+
+
+def test_registry_audit(spark):
+    schema = "key string, category string, status string, apply_pending boolean, n_readers int, n_checks int"
+    audit = lambda rows, **k: tuple(catalog.registry_audit(table(spark, rows, schema), **k).head())
+    good = [("a", "style", "measured", None, 1, 1), ("b", "rule", "measured", False, 2, 0), ("m", "meta", "unmeasured", None, 0, 0), ("n", "style", "not_applicable_given", None, 1, 1)]
+    assert audit(good) == (True, 0, 0, 0, 1)
+    assert audit([*good, ("u", "style", "unmeasured", None, 1, 1)]) == (False, 1, 0, 0, 1) and audit([*good, ("u", "style", "unmeasured", None, 1, 1)], production=False)[0]
+    assert audit([*good, ("p", "style", "measured", True, 0, None)], production=False) == (False, 1, 1, 1, 1)
+    assert audit([]) == (True, 0, 0, 0, 0)
+
+
+def test_items_of_declared_types(spark):
+    rows = [("size", "px", "F1", "10", "a", 1), ("size", "px", "F1", "30", "a", 2), ("size", "px", "F2", "40", "b", 3), ("size", "px", "F2", "bad", "b", 4), ("tone", "category", "F1", "warm", "a", 1), ("tone", "category", "F2", "cold", "b", 2), ("tone", "category", "F2", "cold", "c", 3), ("ink", "color", "F1", "#FFFFFF", "a", 1), ("ink", "color", None, "#FEFEFE", "b", 2), ("ink", "color", "F1", "#000000", "c", 3), ("on", "bool", "F1", None, "a", 1)]
+    got = {(r["key"], r["grp"]): (r["n"], r["value"]) for r in catalog.typed_items(table(spark, rows, "key string, type string, grp string, value string, v string, pos int"), "v", "pos").collect()}
+    assert got == {("size", None): (2, "30.0"), ("size", "F1"): (1, "20.0"), ("size", "F2"): (1, "40.0"), ("tone", None): (3, "cold"), ("tone", "F1"): (1, "warm"), ("tone", "F2"): (2, "cold"), ("ink", None): (2, "#FEFEFE"), ("ink", "F1"): (1, "#FFFFFF")}
