@@ -31,10 +31,21 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 def table(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs a read."""
+    return written(df, tag)[0]
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As `table`, with the path, for `remove` once nothing reads it any more."""
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def take(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, quality_crf, quality_rules, toxicity
+from . import bpe, centroids, embedding_dedup, importance, jaccard_join, license_scan, line_dedup, packing, pii, quality_crf, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_importance_resampling": importance.op11_importance_resampling,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_secret_scan": secret_scan.op13_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL, "op8_embedding_dedup": embedding_dedup.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {
+        "op2_quality_rules": quality_rules.OP2_SQL,
+        "op6_jaccard_join": jaccard_join.OP6_SQL,
+        "op8_embedding_dedup": embedding_dedup.OP8_SQL,
+        "op9_line_dedup": line_dedup.OP9_SQL,
+        "op11_importance_resampling": importance.OP11_SQL,
+        "op12_centroids": centroids.OP12_SQL,
+    }

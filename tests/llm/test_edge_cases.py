@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, quality_crf, quality_rules, toxicity
+from tallyline.llm import bpe, embedding_dedup, importance, jaccard_join, license_scan, line_dedup, packing, pii, quality_crf, quality_rules, secret_scan, toxicity
 
 SCHEMA = "doc_id long, text string, source string, score double, n long, key string, label int, host string, comp long"
 LONG = "word " * 60_000 + "1.2.3.4 end"
@@ -35,6 +35,8 @@ OPERATORS = {
     "op7": lambda s, d, m: pii.find_pii(d),
     "op9": lambda s, d, m: line_dedup.dedup_lines(d),
     "op10": lambda s, d, m: license_scan.scan_licenses(d),
+    "op11": lambda s, d, m: importance.resample(d.drop("score"), d),
+    "op13": lambda s, d, m: secret_scan.find_secrets(d),
 }
 
 
