@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import table
+
 #: Leaf names of a distribution, in the order of its percentiles.
 LEAVES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 
@@ -19,60 +24,67 @@ def rounded(value: str | Column, digits: int = 6) -> Column:
     return F.round(F.col(value) if isinstance(value, str) else value, digits)
 
 
-def _percentiles(value: Column) -> Column:
-    """The percentiles of LEAVES from one buffer, as an array p."""
-    return F.percentile(value, F.array(*map(F.lit, LEAVES.values()))).alias("p")
-
-
 def _leaves() -> list[Column]:
     return [rounded(F.get("p", F.lit(k))).alias(name) for k, name in enumerate(LEAVES)]
 
 
-#: The sketch that brackets a percentile errs by at most n / ACCURACY ranks.
+#: The sketch that brackets a percentile errs by at most n / ACCURACY ranks; a bracket reaches twice as far to either side.
 ACCURACY = 10_000
+#: Brackets of up to so many groups go to every task; beyond, rows meet them in a join, each group's in SALTS parts.
+GROUPS, SALTS = 100_000, 32
 
 
-def overall_percentiles(rows: DataFrame, value: str) -> DataFrame:
-    """One row: n and p, the exact percentiles of LEAVES over all measured values; no row if there is none.
+def percentiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, n, p): the exact percentiles of LEAVES of the measured values of each group, linear interpolation; no row for a group without any.
 
-    A bounded sketch brackets each percentile by values a few ranks on either side; then what is below each bracket is
-    counted and only the values within it are gathered, so no task holds all values of the column.
+    A bounded sketch of each group brackets its percentiles. Then values are counted: one that lies in a bracket as itself,
+    any other as the bracket's end before it (or, before all, the first one's start), which moves no rank that is asked
+    for. So equal values are one row, a task leaves a group's few values within brackets (about 12 / ACCURACY of the distinct ones), and only
+    those are put in order, as a stream. A group of up to 10 ACCURACY values is counted whole. The two columns are written once, so the input is computed once.
     """
-    v = rows.where(measured(value)).select(F.col(value).cast("double").alias("v"))
+    flat = table(rows.where(measured(value)).select(*by, F.col(value).cast("double").alias("_v")), "values")
     ends = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in LEAVES.values() for side in (-1, 1)]
-    bracket = v.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [0.0, *ends, 1.0], ACCURACY).alias("e")).where("n > 0")
-    few = F.col("n") <= 10 * ACCURACY  # ranks may lie closer than the sketch's steps, so all values are within
-    low = lambda k: F.get("e", F.when(few, 0).otherwise(1 + 2 * k))
-    high = lambda k: F.get("e", F.when(few, len(ends) + 1).otherwise(2 + 2 * k))
-    parts = [(F.count(F.when(F.col("v") < low(k), 1)), F.sort_array(F.collect_list(F.when(F.col("v").between(low(k), high(k)), F.col("v"))))) for k in range(len(LEAVES))]
-    held = v.crossJoin(F.broadcast(bracket)).groupBy("n").agg(*[c.alias(f"{name}{k}") for k, pair in enumerate(parts) for name, c in zip(("below", "held"), pair, strict=True)])
-
-    def at(k: int, p: float) -> Column:
-        place = F.lit(p) * (F.col("n") - 1)
-        first = F.floor(place)
-        value_at = lambda i: F.get(f"held{k}", (i - F.col(f"below{k}")).cast("int"))
-        a, b = value_at(first), value_at(F.least(first + 1, F.col("n") - 1))
-        return a + (b - a) * (place - first)
-
-    return held.select("n", F.array(*[at(k, p) for k, p in enumerate(LEAVES.values())]).alias("p"))
+    bracket = table(flat.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e")).where("_n > 0"), "brackets")
+    whole = F.col("_n") <= 10 * ACCURACY  # ranks may lie closer than the sketch's steps
+    if bracket.limit(GROUPS + 1).count() <= GROUPS:
+        met = _meet(flat, F.broadcast(bracket), by)
+    else:
+        parts = bracket.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = _meet(flat.withColumn("_s", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")), parts, (*by, "_s"))
+    low, high = ([F.get("_e", F.lit(2 * k + side)) for k in range(len(LEAVES))] for side in (0, 1))
+    inside = reduce(or_, [F.col("_v").between(a, b) for a, b in zip(low, high, strict=True)], whole)
+    before = F.greatest(*[F.when(b < F.col("_v"), b) for b in high])
+    # side: 0 in a bracket, 1 after the end it counts as, -1 before the first start
+    place = F.when(inside, F.struct(F.col("_v").alias("v"), F.lit(0).alias("side"))).otherwise(F.struct(F.coalesce(before, low[0]).alias("v"), F.when(before.isNull(), -1).otherwise(1).alias("side")))
+    counted = met.select(*by, "_n", place.alias("_at")).groupBy(*by, "_n", "_at").agg(F.count(F.lit(1)).alias("_c"))
+    upto = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_n").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rank = [F.lit(p) * (F.col("_n") - 1) for p in LEAVES.values()]
+    asked = [k for r in rank for k in (F.floor(r), F.least(F.floor(r) + 1, F.col("_n") - 1))]
+    found = upto.groupBy(*by, "_n").agg(*[F.min(F.when(F.col("_upto") > r, F.col("_at"))).alias(f"_{k}") for k, r in enumerate(asked)])
+    at = lambda k: F.when(F.col(f"_{k}.side") == 0, F.col(f"_{k}.v")).otherwise(F.raise_error(F.lit("a percentile lies outside the bracket of its sketch")).cast("double"))
+    between = [at(2 * k) + (at(2 * k + 1) - at(2 * k)) * (r - F.floor(r)) for k, r in enumerate(rank)]
+    return found.select(*by, F.col("_n").alias("n"), F.array(*between).alias("p"))
+
+
+def _meet(rows: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rows with the columns of their group; null is a group."""
+    if not by:
+        return rows.crossJoin(groups)
+    named = groups.select(*[F.col(b).alias(f"_g{k}") for k, b in enumerate(by)], *[c for c in groups.columns if c not in by])
+    return rows.join(named, reduce(and_, [F.col(b).eqNullSafe(F.col(f"_g{k}")) for k, b in enumerate(by)]))
 
 
 def pstats(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """n, p10, p50, p90 of the measured values of each group; linear interpolation."""
-    good = rows.where(measured(value))
-    return good.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _percentiles(F.col(value).cast("double"))).select(*by, "n", *_leaves())
+    return percentiles(rows, value, *by).select(*by, "n", *_leaves())
 
 
 def pstats_by_group(rows: DataFrame, value: str, group: str, *by: str) -> DataFrame:
     """pstats overall (grp null) and for each group. Rows without a group count overall only."""
-    flat = rows.where(measured(value)).select(*by, F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
-    if not by:
-        grouped = flat.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), _percentiles(F.col("v")))
-        whole = overall_percentiles(flat, "v").select(F.lit(None).cast(dict(rows.dtypes)[group]).alias("grp"), "n", "p")
-        return whole.unionByName(grouped).select("grp", "n", *_leaves())
-    sets = flat.groupingSets([[*map(F.col, by)], [*map(F.col, by), F.col("grp")]], *by, "grp")
-    out = sets.agg(F.grouping("grp").alias("overall"), F.count(F.lit(1)).alias("n"), _percentiles(F.col("v")))
-    return out.where("overall = 1 OR grp IS NOT NULL").select(*by, "grp", "n", *_leaves())
+    kind = dict(rows.dtypes)[group]
+    sides = F.array(F.struct(F.lit(True).alias("overall"), F.lit(None).cast(kind).alias("grp")), F.struct(F.lit(False).alias("overall"), F.col(group).alias("grp")))
+    both = rows.where(measured(value)).select(*by, F.col(value).cast("double").alias("v"), F.explode(F.when(F.col(group).isNull(), F.slice(sides, 1, 1)).otherwise(sides)).alias("g")).select(*by, "g.*", "v")
+    return percentiles(both, "v", *by, "overall", "grp").select(*by, "grp", "n", *_leaves())
 
 
 def categorical(rows: DataFrame, value: str, pos: str, *by: str) -> DataFrame:

@@ -16,6 +16,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared(spark)}/tallyline-{tag}-{uuid.uuid4().hex}"
 
 
+def table(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back: it is computed once, and a lost executor costs a read."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only a local master, as in tests, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -107,14 +107,32 @@ def test_colour_clusters_equal_plain_lists(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 5000])
-def test_overall_percentiles(spark, n, monkeypatch):
+@pytest.mark.parametrize("groups", [100, 0])
+def test_percentiles(spark, n, groups, monkeypatch):
+    """Overall and for groups, of which null is one, by brackets that are broadcast or joined, against numpy."""
     monkeypatch.setattr(stats, "ACCURACY", 200)
+    monkeypatch.setattr(stats, "GROUPS", groups)
     rng = np.random.default_rng(n)
-    values = np.concatenate([rng.normal(size=n // 2) * 10, rng.integers(0, 3, n - n // 2)])
-    df = table(spark, [(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
-    r = stats.overall_percentiles(df, "v").head()
-    assert r["n"] == n and np.allclose(r["p"], np.percentile(values, [10, 50, 90]))
-    assert stats.overall_percentiles(df.where("v > 1e9"), "v").collect() == []
+    values = {g: np.concatenate([rng.normal(size=n // 2) * 10, rng.integers(0, 3, n - n // 2)]) for g in ("a", None, "b")}
+    df = table(spark, [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("c", float("nan"))], "g string, v double").repartition(5)
+    r = stats.percentiles(df, "v").head()
+    assert r["n"] == 3 * n and np.allclose(r["p"], np.percentile(np.concatenate(list(values.values())), [10, 50, 90]))
+    got = {r["g"]: r for r in stats.percentiles(df, "v", "g").collect()}
+    assert got.keys() == values.keys() and all(got[g]["n"] == n and np.allclose(got[g]["p"], np.percentile(v, [10, 50, 90])) for g, v in values.items())
+    assert stats.percentiles(df.where("v > 1e9"), "v").collect() == [] == stats.percentiles(df.where("v > 1e9"), "v", "g").collect()
+
+
+def test_percentiles_of_tied_and_large_groups(spark):
+    """One value two million times, few values, and many: what is put in order is a small part of the values."""
+    n = 1_500_000
+    df = spark.range(3 * n).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 3 == 1, (F.col("id") % 1000).cast("double")).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double")).alias("v"))
+    out = stats.percentiles(df, "v", "g")
+    got = {r["g"]: r["p"] for r in out.collect()}
+    for g in range(3):
+        v = np.array([r["v"] for r in df.where(f"g = {g}").select("v").toArrow().to_pylist()])
+        assert np.allclose(got[g], np.percentile(v, [10, 50, 90]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CollectList" not in plan and "Percentile(" not in plan
 
 
 def test_value_rules_native_sizes_and_evidence(spark):
