@@ -1,4 +1,4 @@
-"""Matching and grouping through graphs of pairs: orders, places, tracks, ids that outlive a rebuild."""
+"""Matching and grouping through graphs of pairs: orders, tracks, ids that outlive a rebuild."""
 
 from __future__ import annotations
 
@@ -65,37 +65,22 @@ def shifted_similarity(left: DataFrame, right: DataFrame, id_: str, by: str, x:
     return met.mapInArrow(compare, "a long, b long, sim double").select("a", "b", (rounded("sim", digits) if digits is not None else F.col("sim")).alias("sim"))
 
 
-def place_groups(boxes: DataFrame, entity: str, id_: str, iou: float, least: int, share: float, cell: float = 40.0) -> DataFrame:
-    """(place, n, n_entities, recurs): rectangles x, y, w, h in the same place over entities.
+def chain_merge(rows: DataFrame, by: list[str], gap: float, alike: Column) -> DataFrame:
+    """(track, n, start, end): intervals (id, start, end) of equal `by` of which one starts at the other's end or up to `gap` after it, and that are alike, chained; the order of rows and ids doesn't matter.
 
-    Two rectangles meet if their centres lie in the same or neighbouring cells, link if their intersection over union is at
-    least `iou`, and places are the components. Equal rectangles are one node, so a common place is no large group of pairs.
-    recurs: at least `least` entities and that share of all entities.
+    alike compares a row's columns with those of the row that follows in time, which start with b_.
     """
-    shapes = boxes.groupBy("x", "y", "w", "h").agg(F.min(id_).alias("node"), F.count(F.lit(1)).alias("k"))
-    cx, cy = bucket(F.col("x") + F.col("w") / 2, cell), bucket(F.col("y") + F.col("h") / 2, cell)
-    a = shapes.withColumn("cx", F.explode(F.array(*[cx + k for k in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cy + k for k in (-1, 0, 1)])))
-    b = shapes.select(*[F.col(c).alias(f"{c}_b") for c in ("x", "y", "w", "h", "node")], cx.alias("cx"), cy.alias("cy"))
-    side = lambda p, s: F.greatest(F.lit(0.0), F.least(F.col(p) + F.col(s), F.col(f"{p}_b") + F.col(f"{s}_b")) - F.greatest(F.col(p), F.col(f"{p}_b")))
-    both = side("x", "w") * side("y", "h")
-    ratio = both / (F.col("w") * F.col("h") + F.col("w_b") * F.col("h_b") - both)
-    links = a.join(b, ["cx", "cy"]).where("node < node_b").where(ratio >= iou).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    comp = shapes.select("x", "y", "w", "h", "node").join(components(links), "node", "left").withColumn("place", F.coalesce("component", "node"))
-    total = boxes.agg(F.count_distinct(entity).alias("total"))
-    g = boxes.join(comp, ["x", "y", "w", "h"]).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(entity).alias("n_entities")).crossJoin(F.broadcast(total))
-    return g.select("place", "n", "n_entities", ((F.col("n_entities") >= least) & (F.col("n_entities") >= share * F.col("total"))).alias("recurs"))
-
+    comp = chained(rows, by, gap, alike)
+    return rows.join(comp, "id").groupBy("track").agg(F.count(F.lit(1)).alias("n"), rounded(F.min("start")).alias("start"), rounded(F.max("end")).alias("end"))
 
-def chain_merge(rows: DataFrame, by: list[str], gap: float, alike: Column) -> DataFrame:
-    """(track, n, start, end): intervals (id, start, end) of equal `by` of which one starts within `gap` of the other's end, and that are alike, chained; the order of rows doesn't matter.
 
-    alike compares a row's columns with those of the later row, which start with b_.
-    """
-    a = rows.withColumn("at", F.explode(F.array(*[bucket(F.col("end"), gap) + k for k in (-1, 0, 1)])))
+def chained(rows: DataFrame, by: list[str], gap: float, alike: Column) -> DataFrame:
+    """(id, track): the chains of `chain_merge`; a track is the smallest id of its chain."""
+    a = rows.withColumn("at", F.explode(F.array(*[bucket(F.col("end"), gap) + k for k in (0, 1)])))
     b = rows.select(*by, *[F.col(c).alias(f"b_{c}") for c in rows.columns if c not in by], bucket(F.col("start"), gap).alias("at"))
-    links = a.join(b, [*by, "at"]).where((F.col("id") < F.col("b_id")) & (F.abs(F.col("b_start") - F.col("end")) <= gap) & alike).select(F.col("id").alias("a"), F.col("b_id").alias("b"))
+    links = a.join(b, [*by, "at"]).where((F.col("id") != F.col("b_id")) & (F.col("b_start") - F.col("end")).between(0, gap) & alike).select(F.col("id").alias("a"), F.col("b_id").alias("b"))
     comp = components(links)
-    return rows.join(comp, rows["id"] == comp["node"], "left").groupBy(F.coalesce("component", "id").alias("track")).agg(F.count(F.lit(1)).alias("n"), rounded(F.min("start")).alias("start"), rounded(F.max("end")).alias("end"))
+    return rows.join(comp, rows["id"] == comp["node"], "left").select("id", F.coalesce("component", "id").alias("track"))
 
 
 def stable_ids(new: DataFrame, old: DataFrame, new_id: str, old_id: str, x: str, least: float, prefix: str) -> DataFrame:

@@ -280,7 +280,12 @@ def j23(spark, d):
     return L.most_specific(k, rules, "p_partkey", "key").select("p_partkey", F.col("text").alias("impact"))
 
 
-@query("j24_coverage", None)
+@query("j24_coverage", f"""WITH {E}, b AS (SELECT video_id, t AS start, "end", event_id AS id, event_id % 40 AS x, event_id % 25 AS y, value % 30 + 5 AS w, value % 20 + 5 AS h, type FROM e),
+h AS (SELECT a.id, greatest(o.start, a.start) AS t1, least(o."end", a."end") AS t2, greatest(o.x, a.x) AS x1, least(o.x + o.w, a.x + a.w) AS x2, greatest(o.y, a.y) AS y1, least(o.y + o.h, a.y + a.h) AS y2
+FROM b a JOIN b o ON a.video_id = o.video_id AND a.type = 'view' AND o.type <> 'view' AND a.start < o."end" AND a."end" > o.start AND a.x < o.x + o.w AND o.x < a.x + a.w AND a.y < o.y + o.h AND o.y < a.y + a.h),
+""" + ", ".join(f"{c}e AS (SELECT DISTINCT id, unnest([{c}1, {c}2]) AS p FROM h), {c}s AS (SELECT id, p, lead(p) OVER (PARTITION BY id ORDER BY p) AS q FROM {c}e)" for c in "txy") + """,
+v AS (SELECT id, sum((t.q - t.p) * (x.q - x.p) * (y.q - y.p)) AS v FROM ts t JOIN xs x USING (id) JOIN ys y USING (id) WHERE EXISTS (SELECT 1 FROM h WHERE h.id = t.id AND t1 <= t.p AND t2 >= t.q AND x1 <= x.p AND x2 >= x.q AND y1 <= y.p AND y2 >= y.q) GROUP BY 1)
+SELECT id, coalesce(v, 0) / nullif(("end" - start) * w * h, 0) >= 1 - 1e-9 AS covered, round(coalesce(v, 0) / nullif(("end" - start) * w * h, 0), 6) AS share FROM b LEFT JOIN v USING (id) WHERE type = 'view'""")
 def j24(spark, d):
     e = events(spark, d).select("video_id", F.col("t").alias("start"), "end", F.col("event_id").alias("id"), (F.col("event_id") % 40).cast("double").alias("x"), (F.col("event_id") % 25).cast("double").alias("y"), (F.col("value") % 30 + 5).alias("w"), (F.col("value") % 20 + 5).alias("h"), "type")
     return I.rectangle_coverage(e.where("type = 'view'").drop("type"), e.where("type <> 'view'").drop("type"), "video_id")

@@ -270,19 +270,32 @@ def p29(spark, d):
     return e.join(e.groupBy("video_id").agg(F.max("t").alias("dur")), "video_id").groupBy("video_id", "type").agg((F.max(share) >= 0.02).alias("persists"))
 
 
-@query("p30_roles", f"""WITH {E}, m AS (SELECT video_id, median("end" - t) AS med, max("end" - t) AS longest FROM e GROUP BY 1), v AS (SELECT a.event_id, sum(least(a."end", b."end") - greatest(a.t, b.t)) AS lap FROM e a JOIN e b ON a.video_id = b.video_id AND b.type = 'view' AND a.t < b."end" AND a."end" > b.t WHERE a.type <> 'view' GROUP BY 1)
-SELECT e.event_id, CASE WHEN type = 'signup' THEN 'identity' WHEN "end" - t = longest THEN 'title' WHEN coalesce(lap, 0) >= 0.5 * ("end" - t) THEN 'speech' WHEN "end" - t > 2 * med THEN 'banner' ELSE 'caption' END AS role FROM e JOIN m USING (video_id) LEFT JOIN v USING (event_id) WHERE type <> 'view'""")
+ROLES = """i AS (SELECT video_id, event_id AS id, t AS s, CASE WHEN type = 'purchase' THEN t ELSE "end" END AS e, (event_id % 300)::DOUBLE AS x, (event_id * 37 % 1000)::DOUBLE AS y, (100 + event_id % 200)::DOUBLE AS w, (20 + event_id % 5 * 10)::DOUBLE AS h,
+CASE WHEN event_id % 11 > 0 THEN (10 + event_id % 30)::DOUBLE END AS ink_h, event_id % 4 = 0 AS boxed, CASE WHEN type = 'purchase' THEN '#E02010' END AS color,
+CASE WHEN event_id % 10 = 0 THEN 'The Channel!' WHEN type = 'click' AND event_id % 3 = 0 THEN '“quoted words”' WHEN event_id % 3 = 1 THEN 'wow!' ELSE 'some caption text' END AS text FROM e WHERE type <> 'view'),
+f AS (SELECT video_id, max("end" - t) AS duration FROM e GROUP BY 1)"""
+
+
+@query("p30_roles", f"""WITH {E}, {ROLES}, a AS (SELECT *, e - s >= 0.6 * duration AS long, (y + h / 2) / 1000 AS mid, text LIKE '%Channel%' AS mark FROM i JOIN f USING (video_id)),
+t AS (SELECT video_id, arg_min(struct_pack(id := id, s := s, x := x, y := y, w := w, h := h, ink := coalesce(ink_h, 0)), struct_pack(a := -coalesce(ink_h, 0), b := y, c := id)) AS t FROM a WHERE NOT mark AND long AND mid < 0.4 GROUP BY 1),
+b AS (SELECT a.*, CASE WHEN mark THEN 'identity_mark' WHEN id = t.t.id THEN 'title' WHEN y - (t.t.y + t.t.h) BETWEEN -0.2 * t.t.h AND 2.5 * t.t.h AND least(t.t.x + t.t.w, x + w) > greatest(t.t.x, x) AND coalesce(ink_h, 1e9) < t.t.ink AND (long OR s <= t.t.s + 2) THEN 'description' END AS r FROM a LEFT JOIN t USING (video_id)),
+m AS (SELECT video_id, median(ink_h) AS med FROM b WHERE r IS NULL GROUP BY 1), k AS (SELECT *, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS chars FROM b LEFT JOIN m USING (video_id)),
+c AS (SELECT *, CASE WHEN r IS NOT NULL THEN r WHEN boxed AND (ink_h <= 0.85 * med OR med IS NULL) AND chars BETWEEN 1 AND 10 THEN 'speaker' WHEN ink_h >= 1.15 * med AND chars BETWEEN 1 AND 6 AND color IS NOT NULL THEN 'reaction' END AS q FROM k),
+n AS (SELECT video_id, mid, count(*) OVER (PARTITION BY video_id ORDER BY mid RANGE BETWEEN 0.06 PRECEDING AND 0.06 FOLLOWING) AS near FROM c WHERE q IS NULL), z AS (SELECT video_id, arg_min(mid, struct_pack(a := -near, b := mid)) AS band FROM n GROUP BY 1),
+l AS (SELECT c.id, sum(least(c.e, o."end") - greatest(c.s, o.t)) AS lap FROM c JOIN e o ON c.video_id = o.video_id AND o.type = 'view' AND c.s < o."end" AND c.e > o.t GROUP BY 1)
+SELECT c.id, coalesce(q, CASE WHEN mid BETWEEN band - 0.06 AND band + 0.06 THEN CASE WHEN text LIKE '“%' OR coalesce(lap, 0) >= 0.5 * greatest(1e-6, e - s) THEN 'dialogue' ELSE 'situation' END END, 'unknown') AS role FROM c LEFT JOIN z USING (video_id) LEFT JOIN l USING (id)""")
 def p30(spark, d):
-    from ..operators import intervals as I
+    from ..operators import captions as C
 
-    e = events(spark, d)
-    size = F.col("end") - F.col("t")
-    m = e.groupBy("video_id").agg(F.median(size).alias("med"), F.max(size).alias("longest"))
-    own = lambda df: df.select("video_id", F.col("t").alias("start"), "end", F.col("event_id").alias("id"))
-    lap = I.overlaps(own(e.where("type <> 'view'")), own(e.where("type = 'view'")), "video_id", 24.0).groupBy(F.col("a_id").alias("event_id")).agg(F.sum("overlap").alias("lap"))
-    j = e.where("type <> 'view'").join(m, "video_id").join(lap, "event_id", "left")
-    role = F.when(F.col("type") == "signup", "identity").when(size == F.col("longest"), "title").when(F.coalesce("lap", F.lit(0.0)) >= 0.5 * size, "speech").when(size > 2 * F.col("med"), "banner").otherwise("caption")
-    return j.select("event_id", role.alias("role"))
+    e, k = events(spark, d), F.col("event_id")
+    text = F.when(k % 10 == 0, "The Channel!").when((F.col("type") == "click") & (k % 3 == 0), "“quoted words”").when(k % 3 == 1, "wow!").otherwise("some caption text")
+    items = e.where("type <> 'view'").select(
+        "video_id", k.alias("id"), F.col("t").alias("start"), F.when(F.col("type") == "purchase", F.col("t")).otherwise(F.col("end")).alias("end"), (k % 300).alias("x"), (k * 37 % 1000).alias("y"), (100 + k % 200).alias("w"), (20 + k % 5 * 10).alias("h"),
+        F.when(k % 11 > 0, 10 + k % 30).alias("ink_h"), (k % 4 == 0).alias("boxed"), F.when(F.col("type") == "purchase", "#E02010").alias("color"), text.alias("text"),
+    )
+    frames = e.groupBy("video_id").agg(F.max(F.col("end") - F.col("t")).alias("duration")).withColumn("height", F.lit(1000.0))
+    speech = e.where("type = 'view'").select("video_id", k.alias("id"), F.col("t").alias("start"), "end")
+    return C.assign_roles(items, frames, speech, "video_id", ["The Channel", "it"])
 
 
 @query("p31_drop_known_old", """SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderdate < TIMESTAMP '2001-01-01' END IS NOT TRUE""")

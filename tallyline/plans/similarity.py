@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import colors as K
 from ..operators import intervals as I
 from ..operators import matching as H
+from ..operators import places as P
 from ..operators import similarity as M
 from ..operators import stats as S
 from .base import E, events, read
@@ -98,11 +99,51 @@ def c6(spark, d):
     return M.medoid(f, "video_id", "format_id", ["n", "m", "x"], "n")
 
 
-@query("c7_place_groups", None)
-def c7(spark, d):
+def boxes(spark, d):
+    """Rectangles of sides from 10 to 2,500, some shifted by parts of their size, in two aspects."""
     k = F.col("event_id")
-    boxes = events(spark, d).where("value > 20").select("video_id", k.alias("id"), (k % 9 * 40).cast("double").alias("x"), (k % 5 * 60).cast("double").alias("y"), (60 + k % 7).cast("double").alias("w"), (50 + k % 3).cast("double").alias("h"))
-    return H.place_groups(boxes, "video_id", "id", iou=0.5, least=2, share=0.2)
+    grow = F.element_at(F.array(*map(F.lit, (10, 40, 160, 640, 2000))), (k % 5 + 1).cast("int"))
+    return events(spark, d).select(
+        "video_id", k.alias("id"), (k % 3 * grow * 2 + k % 7 * grow / 8).cast("double").alias("x"), (k % 2 * grow * 2 + k % 11 * grow / 16).cast("double").alias("y"),
+        (grow * (1 + k % 13 / 52)).cast("double").alias("w"), (grow * (1 + k % 4 / 8) / 2).cast("double").alias("h"), (k % 2).alias("aspect"), "t", "end",
+    )
+
+
+BOXES = f"""{E}, g AS (SELECT *, [10, 40, 160, 640, 2000][event_id % 5 + 1] AS s FROM e), b AS (SELECT video_id, event_id AS id, (event_id % 3 * s * 2 + event_id % 7 * s / 8)::DOUBLE AS x, (event_id % 2 * s * 2 + event_id % 11 * s / 16)::DOUBLE AS y,
+(s * (1 + event_id % 13 / 52))::DOUBLE AS w, (s * (1 + event_id % 4 / 8) / 2)::DOUBLE AS h, event_id % 2 AS aspect, t, "end" FROM g)"""
+RATIO = """(greatest(0, least(a.x + a.w, {b}.x + {b}.w) - greatest(a.x, {b}.x)) * greatest(0, least(a.y + a.h, {b}.y + {b}.h) - greatest(a.y, {b}.y)) >= 0.5 *
+(a.w * a.h + {b}.w * {b}.h - greatest(0, least(a.x + a.w, {b}.x + {b}.w) - greatest(a.x, {b}.x)) * greatest(0, least(a.y + a.h, {b}.y + {b}.h) - greatest(a.y, {b}.y))))"""
+
+
+@query("c7_place_groups", f"""WITH RECURSIVE {BOXES}, u AS (SELECT aspect, x, y, w, h, min(id) AS id FROM b GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM u),
+r AS (SELECT 0::BIGINT AS i, []::STRUCT(aspect BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, id BIGINT)[] AS firsts, NULL::BIGINT AS place UNION ALL
+SELECT a.i, CASE WHEN f IS NULL THEN list_append(firsts, {{'aspect': a.aspect, 'x': a.x, 'y': a.y, 'w': a.w, 'h': a.h, 'id': a.id}}) ELSE firsts END, coalesce(f, a.id)
+FROM (SELECT a.*, r.firsts, list_filter(r.firsts, lambda o: o.aspect = a.aspect AND {RATIO.format(b="o")})[1].id AS f FROM r JOIN n a ON a.i = r.i + 1) a),
+p AS (SELECT b.video_id, b.id, r.place FROM b JOIN n USING (aspect, x, y, w, h) JOIN r USING (i))
+SELECT place, count(*) AS n, count(DISTINCT video_id) AS n_entities, round(count(DISTINCT video_id) / t, 6) AS share, count(DISTINCT video_id) >= 2 AND count(DISTINCT video_id) >= 0.2 * t AS recurs
+FROM p, (SELECT count(DISTINCT video_id) AS t FROM e) GROUP BY place, t""")
+def c7(spark, d):
+    return P.place_groups(boxes(spark, d), "video_id", "id", by=["aspect"])
+
+
+@query("c7_recurrence_doubt", f"""WITH {BOXES}, m AS (SELECT video_id, id, id - id % 5 AS place, x / 20000 AS x, y / 9000 AS y, w / 20000 AS w, h / 9000 AS h, CASE WHEN id % 4 > 0 THEN t END AS start, CASE WHEN id % 6 > 0 THEN "end" END AS "end" FROM b WHERE id % 10 < 5),
+c AS (SELECT video_id, id, x / 20000 AS x, y / 9000 AS y, w / 20000 AS w, h / 9000 AS h, t AS start, "end" FROM b WHERE id % 50 = 7),
+o AS (SELECT DISTINCT place FROM m a JOIN c o USING (video_id) WHERE coalesce(a.start, 0) < o."end" AND coalesce(a."end", 1e9) > o.start AND greatest(0, least(a.x + a.w, o.x + o.w) - greatest(a.x, o.x)) * greatest(0, least(a.y + a.h, o.y + o.h) - greatest(a.y, o.y)) / greatest(1e-9, a.w * a.h) > 0.3),
+n AS (SELECT DISTINCT place FROM m WHERE video_id % 5 = 0)
+SELECT place, CASE WHEN place IN (FROM o) THEN 'caption' WHEN place IN (FROM n) THEN 'no captions' WHEN NOT ((x + w / 2 < 0.3 OR x + w / 2 > 0.7) AND (y + h / 2 < 0.2 OR y + h / 2 > 0.8) AND w * h <= 0.02) THEN 'position' END AS doubt FROM m WHERE id = place""")
+def c7_doubt(spark, d):
+    b = boxes(spark, d).select("video_id", "id", (F.col("x") / 20000).alias("x"), (F.col("y") / 9000).alias("y"), (F.col("w") / 20000).alias("w"), (F.col("h") / 9000).alias("h"), "t", "end")
+    m = b.where("id % 10 < 5").select("video_id", "id", (F.col("id") - F.col("id") % 5).alias("place"), "x", "y", "w", "h", F.when(F.col("id") % 4 > 0, F.col("t")).alias("start"), F.when(F.col("id") % 6 > 0, F.col("end")).alias("end"))
+    return P.recurrence_doubt(m, b.where("id % 50 = 7").withColumnRenamed("t", "start"), b.where("video_id % 5 <> 0"), "video_id")
+
+
+@query("c7_kept_decisions", f"""WITH {BOXES}, o AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'accept' ELSE 'reject' END AS decision, 's' || id % 9 AS signer FROM b WHERE id % 100 = 8),
+m AS (SELECT a.id, max({{'t': o.t, 'd': o.decision, 's': o.signer}}) AS r FROM b a JOIN o ON a.aspect = o.aspect AND {RATIO.format(b="o")} GROUP BY 1) SELECT b.id AS place, r.d AS decision, r.s AS signer FROM b LEFT JOIN m USING (id)""")
+def c7_decisions(spark, d):
+    b = boxes(spark, d).withColumnRenamed("id", "place")
+    k = F.col("place")
+    made = b.where("place % 100 = 8").select("aspect", "x", "y", "w", "h", F.col("t").alias("at"), F.when(k % 4 == 0, "accept").otherwise("reject").alias("decision"), F.concat(F.lit("s"), (k % 9).cast("string")).alias("signer"))
+    return P.kept_decisions(b, made, ["aspect"])
 
 
 @query("c8_acoustic_label", """SELECT l_suppkey, round(a, 6) AS dur_p50, round(b, 6) AS gain_p50, CASE WHEN a < 23 THEN 'short' WHEN a < 27 THEN 'medium' ELSE 'long' END || ' ' || CASE WHEN b < 0.04 THEN 'soft' ELSE 'loud' END AS label FROM (SELECT l_suppkey, median(l_quantity) AS a, median(l_tax) AS b FROM lineitem GROUP BY 1)""")
@@ -130,9 +171,37 @@ def m6(spark, d):
     return H.stable_ids(center(v.where("vec_id % 2 = 1"), "new_id"), old, "new_id", "old_id", "x", least=0.2, prefix="T")
 
 
-@query("w15_chain_merge", f"""WITH RECURSIVE {E}, a AS (SELECT * FROM e), l AS (SELECT x.event_id AS a, y.event_id AS b FROM a x JOIN a y ON x.video_id = y.video_id AND x.type = y.type AND x.event_id < y.event_id AND abs(y.t - x."end") <= 6 AND abs(x.value - y.value) <= 15),
+@query("w15_chain_merge", f"""WITH RECURSIVE {E}, a AS (SELECT * FROM e), l AS (SELECT x.event_id AS a, y.event_id AS b FROM a x JOIN a y ON x.video_id = y.video_id AND x.type = y.type AND x.event_id <> y.event_id AND y.t - x."end" BETWEEN 0 AND 6 AND abs(x.value - y.value) <= 15),
 p AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT event_id AS x, event_id AS y FROM a UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a), c AS (SELECT x AS event_id, min(y) AS track FROM r GROUP BY 1)
 SELECT track, count(*) AS n, round(min(t), 6) AS start, round(max("end"), 6) AS "end" FROM c JOIN a USING (event_id) GROUP BY 1""")
 def w15(spark, d):
     e = events(spark, d).select("video_id", "type", F.col("event_id").alias("id"), F.col("t").alias("start"), "end", "value")
     return H.chain_merge(e, ["video_id", "type"], gap=6.0, alike=F.abs(F.col("value") - F.col("b_value")) <= 15)
+
+
+@query("w15_split_lines", f"""WITH RECURSIVE {E}, a AS (SELECT video_id, event_id AS id, floor(t) AS s, floor(t) + 1 + event_id % 3 AS e, event_id % 20 AS x, event_id * 7 % 30 AS y, 40 + event_id % 9 AS w, 20 + event_id % 4 AS h, substr('ABCDEFGH', 1, (2 + event_id % 6)::INT) || '!' AS text,
+10 + event_id % 3 AS ink_h, 16 * (event_id % 5) AS red, 1 + event_id % 4 AS n_samples FROM e),
+l AS (SELECT p.id AS a, q.id AS b FROM a p JOIN a q ON p.video_id = q.video_id AND p.id <> q.id AND q.s - p.e BETWEEN 0 AND 1.500001 AND least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y) >= 0.7 * least(p.h, q.h)
+AND least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x) >= 0.5 * least(p.w, q.w) AND greatest(p.ink_h, q.ink_h) <= 1.2 * least(p.ink_h, q.ink_h) AND abs(p.red - q.red) <= 40),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT id AS x, id AS y FROM a UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a), c AS (SELECT x AS id, min(y) AS track FROM r GROUP BY 1),
+g AS (SELECT video_id, track, arg_min(struct_pack(id := id, text := text, ink_h := ink_h, red := red), struct_pack(n := -len(text), s := s, id := id)) AS k, count(*) AS n_tracks, sum(n_samples)::BIGINT AS n_samples, min(s) AS start, max(e) AS "end", min(x)::BIGINT AS x, min(y)::BIGINT AS y, (max(x + w) - min(x))::BIGINT AS w, (max(y + h) - min(y))::BIGINT AS h
+FROM a JOIN c USING (id) GROUP BY 1, 2) SELECT video_id, k.id AS id, n_tracks, n_samples, start, "end", x, y, w, h, k.text AS text, k.ink_h AS ink_h, printf('#%02X0000', k.red) AS color FROM g""")
+def w15_lines(spark, d):
+    from ..operators import captions as C
+
+    k = F.col("event_id")
+    start = F.floor("t").cast("double")
+    lines = events(spark, d).select(
+        "video_id", k.alias("id"), start.alias("start"), (start + 1 + k % 3).alias("end"), (k % 20).alias("x"), (k * 7 % 30).alias("y"), (40 + k % 9).alias("w"), (20 + k % 4).alias("h"), F.concat(F.substr(F.lit("ABCDEFGH"), F.lit(1), (2 + k % 6).cast("int")), F.lit("!")).alias("text"),
+        (10 + k % 3).alias("ink_h"), F.concat(F.lit("#"), F.lpad(F.hex(16 * (k % 5)), 2, "0"), F.lit("0000")).alias("color"), (1 + k % 4).alias("n_samples"),
+    )
+    return C.merge_split_lines(lines, ["video_id"], 1.0)
+
+
+@query("w15_group_items", None)
+def w15_items(spark, d):
+    from ..operators import captions as C
+
+    k = F.col("event_id")
+    lines = events(spark, d).select("video_id", k.alias("id"), (F.floor(F.col("t") / 24) * 24 + k % 3).alias("start"), (F.floor(F.col("t") / 24) * 24 + 20 + k % 4).alias("end"), (k % 50).alias("x"), (k * 13 % 120).alias("y"), (60 + k % 5).alias("w"), (10 + k % 4 * 3).alias("h"))
+    return C.group_items(lines, "video_id", 1.0)
