@@ -141,30 +141,34 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
-#: Up to so many lines go to every executor (8 bytes each); more are joined by host, with salted rows.
+#: Up to so many lines go to every executor (8 bytes each, and an array for every four or fewer); more are joined by host, with salted rows.
 BROADCAST_LINES = 500_000
 SALTS = 32
 
 
+def line_sets(bad: DataFrame) -> DataFrame:
+    """(host, bad): each host's keys dealt into buckets by their last bits, as many as that host needs to have eight to a bucket at the mean. All hosts together have at most a bucket for every four lines, and one more each.
+
+    Lines that are on more than a share of a host's pages are at most the mean number of lines of its pages over that share, so a host's row is bounded.
+    """
+    sized = bad.join(bad.groupBy("host").agg(F.greatest(F.lit(0.0), F.ceil(F.log2(F.count(F.lit(1)) / 8))).alias("bits")), "host").withColumn("buckets", F.pow(F.lit(2.0), F.col("bits")).cast("int"))
+    full = sized.groupBy("host", F.pmod("key", F.col("buckets")).cast("int").alias("slot")).agg(F.collect_list("key").alias("keys"))
+    empty = sized.select("host", "buckets").distinct().select("host", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("slot"), F.array().cast("array<bigint>").alias("keys"))
+    dense = full.unionByName(empty).groupBy("host", "slot").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    return dense.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "keys"))), lambda x: x["keys"]).alias("bad"))
+
+
 def with_bad_lines(rows: DataFrame, bad: DataFrame, broadcast_lines: int = BROADCAST_LINES) -> tuple[DataFrame, Callable[[F.Column], F.Column]]:
     """(rows with the column bad, a function that says whether a line's key is among those of the row's host).
 
-    rows have a host, bad is a written table (host, key). A host's keys are dealt into buckets by their last bits, eight to
-    a bucket at the mean, so looking a line up reads one bucket, however many lines a host has. The sets are broadcast if
-    they are counted small; else rows meet their host's set in a join, salted so that a large host fills no task.
+    rows have a host, bad is a written table (host, key). The sets of `line_sets` are broadcast if their lines, which bound
+    their buckets too, are counted few; else rows meet their host's set in a join, salted so that a large host fills no
+    task. Looking a line up reads one bucket.
     """
-    n, most = bad.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).head()
-    buckets = 1
-    while buckets * 8 < most:
-        buckets *= 2
-    slot = lambda key: F.pmod(key, F.lit(buckets)).cast("int")
-    full = bad.groupBy("host", slot(F.col("key")).alias("slot")).agg(F.collect_list("key").alias("keys"))
-    empty = bad.select("host").distinct().select("host", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("slot"), F.array().cast("array<bigint>").alias("keys"))
-    dense = full.unionByName(empty).groupBy("host", "slot").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    sets = dense.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "keys"))), lambda x: x["keys"]).alias("bad"))
-    if n <= broadcast_lines:
+    sets = line_sets(bad)
+    if bad.limit(broadcast_lines + 1).count() <= broadcast_lines:
         joined = rows.join(F.broadcast(sets), "host", "left")
     else:
         salted = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", (F.rand(7) * SALTS).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
-    return joined, lambda key: F.coalesce(F.array_contains(F.get("bad", slot(key)), key), F.lit(False))
+    return joined, lambda key: F.coalesce(F.array_contains(F.get("bad", F.pmod(key, F.size("bad")).cast("int")), key), F.lit(False))

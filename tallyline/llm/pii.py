@@ -579,10 +579,10 @@ def _written(spans: list) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted, and the columns in `keep`; a row for each input row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, secrets, redacted, and the columns in `keep`; a row for each input row.
 
     Places are code points. Null text counts as empty: no spans. The n_ columns and base_sha256 are those of the base
-    patterns; spans has also what the network adds, secret tokens last. The network reads every character: a text is
+    patterns; spans has also what the network adds of these four kinds, secrets the access tokens that it finds; redacted is without both. The network reads every character: a text is
     covered by overlapping windows, whose emissions are merged and decoded as one sequence. A task holds the emissions of
     CHARS_AT_ONCE characters, or of one text, if that is longer. Rows never meet, so repeats need no rule.
     """
@@ -597,9 +597,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         for k in KINDS:
             out[f"n_{k}"] = [sum(s[0] == k for s in base) for base, _ in found]
         written = [_written(base) for base, _ in found]
-        return out | {"base_sha256": [hashlib.sha256(w.encode()).hexdigest() for w in written], "spans": [_written(s) for _, s in found], "redacted": [redact(t, s) for t, (_, s) in zip(texts, found, strict=True)]}
+        out["spans"], out["secrets"] = ([_written([x for x in s if (x[0] in KINDS) == own]) for _, s in found] for own in (True, False))
+        return out | {"base_sha256": [hashlib.sha256(w.encode()).hexdigest() for w in written], "redacted": [redact(t, s) for t, (_, s) in zip(texts, found, strict=True)]}
 
-    return each_batch(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string" + more)
+    return each_batch(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, secrets string, redacted string" + more)
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
