@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import scratch, shared
+from ..sources.files import shared, table
 from .stats import rounded
 
 
@@ -168,14 +168,14 @@ def threshold_graph(vectors: DataFrame, id_: str, by: str, x: str, least: float,
     return met.select("p", "q", "i", "x", "j", "y").mapInArrow(compare, "a long, b long, sim double")
 
 
-def _nearest(clusters: DataFrame, by: str, least: float, block: int) -> DataFrame:
-    """(i, j, sim): for each cluster the other one of equal `by` with the largest product of means, if that is at least `least`; of equal ones the smaller number."""
+def _nearest(clusters: DataFrame, others: DataFrame, by: str, least: float, block: int) -> DataFrame:
+    """(i, j, sim): for each cluster that one of the others, of equal `by`, with the largest product of means, if that is at least `least`; of equal ones the smaller number."""
     import numpy as np
     import pyarrow as pa
 
     packed = blocks(clusters, "cluster", by, "mean", block)
-    other = packed.select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
-    heads = packed.select(by, "p").join(packed.select(by, F.col("p").alias("q")), by)
+    other = blocks(others, "cluster", by, "mean", block).select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
+    heads = packed.select(by, "p").join(other.select(by, "q"), by)
     met = heads.join(packed, [by, "p"]).join(other, [by, "q"]).repartition(F.xxhash64(by, "p", "q"))
 
     def compare(batches):
@@ -191,43 +191,97 @@ def _nearest(clusters: DataFrame, by: str, least: float, block: int) -> DataFram
                 if (keep := top >= least).any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(others[order][best][keep]), pa.array(top[keep])], names=["i", "j", "sim"])
 
-    found = met.select("i", "x", "j", "y").mapInArrow(compare, "i long, j long, sim double")
-    return found.groupBy("i").agg(F.max(F.struct("sim", (-F.col("j")).alias("j"))).alias("r")).select("i", (-F.col("r.j")).alias("j"), F.col("r.sim").alias("sim"))
+    return _best(met.select("i", "x", "j", "y").mapInArrow(compare, "i long, j long, sim double"))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("i").agg(F.max(F.struct("sim", (-F.col("j")).alias("j"))).alias("r")).select("i", (-F.col("r.j")).alias("j"), F.col("r.sim").alias("sim"))
+
+
+#: Groups of up to so many clusters are ended in one task, which holds the square of that in similarities.
+FEW_CLUSTERS = 2000
 
 
-def average_linkage(vectors: DataFrame, id_: str, by: str, x: str, least: float, block: int = 512, rounds: int = 200) -> DataFrame:
+def _linked(least: float):
+    """A function of pandas rows (cluster, sum, n) of one group: (cluster, into), all mutual nearest pairs merged until none is left."""
+    import numpy as np
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cluster")
+        ids, total, n = rows["cluster"].to_numpy(), np.array(rows["sum"].tolist(), float), rows["n"].to_numpy().astype(float)
+        into, each = np.arange(len(ids)), np.arange(len(ids))
+        mean = total / n[:, None]
+        sim = np.round(mean @ mean.T, 12)
+        sim[each, each] = -np.inf
+        alive = np.ones(len(ids), bool)
+        while True:
+            best = sim.argmax(1)  # the first of equal ones is the smallest
+            pair = np.flatnonzero((best[best] == each) & (sim[each, best] >= least) & (each < best))
+            if not len(pair):
+                return pd.DataFrame({"cluster": ids, "into": ids[into]})
+            gone = best[pair]
+            total[pair] += total[gone]
+            n[pair] += n[gone]
+            joined = each.copy()
+            joined[gone] = pair
+            into = joined[into]
+            mean[pair] = total[pair] / n[pair, None]
+            part = np.round(mean[pair] @ mean.T, 12)
+            alive[gone] = False
+            part[:, ~alive] = -np.inf
+            sim[pair], sim[:, pair] = part, part.T
+            sim[gone], sim[:, gone] = -np.inf, -np.inf
+            sim[each, each] = -np.inf
+
+    return run
+
+
+def average_linkage(vectors: DataFrame, id_: str, by: str, x: str, least: float, block: int = 512) -> DataFrame:
     """(id, cluster): average-linkage clusters of equal `by`, cut at a mean cosine of `least`; a cluster has the number of its smallest id.
 
     The mean cosine of two clusters is the product of their mean unit vectors, so a cluster is a sum and a count, whatever its
     size. In each round all pairs of clusters that are each other's nearest merge, which for this linkage gives the clusters
-    of merging one best pair at a time (equal similarities, to twelve digits, go to smaller numbers). Clusters are compared in
-    blocks, and a block leaves only its best partners; rounds are written tables. Ids are distinct whole numbers.
+    of merging one best pair at a time (equal similarities, to twelve digits, go to smaller numbers). A cluster keeps its nearest one until
+    that merges; then it, and what was merged, is compared with all others again, and the rest with the merged ones alone, in blocks of
+    which only the best partners are left. One that is near no other is done. A group of few clusters is ended in one task, so a hub whose satellites
+    join it one by one takes no rounds. Rounds are written tables, as many as it takes. Ids are distinct whole numbers.
     """
-    spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
     rows = vectors.where(F.col(by).isNotNull() & F.col(x).isNotNull()).select(F.col(id_).cast("long").alias("cluster"), F.col(by), F.transform(F.col(x), lambda c: c.cast("double")).alias("v"))
-
-    def written(df: DataFrame, tag: str) -> DataFrame:
-        path = scratch(spark, tag)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    now = written(rows.where(norm > 0).select("cluster", by, F.transform("v", lambda c: c / norm).alias("sum"), F.lit(1).cast("long").alias("n")), "clusters")
+    now = table(rows.where(norm > 0).select("cluster", by, F.transform("v", lambda c: c / norm).alias("sum"), F.lit(1).cast("long").alias("n")), "clusters")
     members = now.select(F.col("cluster").alias("member"), "cluster")
-    for _ in range(rounds):
-        mean = now.select("cluster", by, F.transform("sum", lambda c: c / F.col("n")).alias("mean"))
-        near = written(_nearest(mean, by, least, block), "nearest")
+    renamed = lambda merged: table(members.join(merged, "cluster", "left").select("member", F.coalesce("into", "cluster").alias("cluster")), "members")
+    mean = lambda df: df.select("cluster", by, F.transform("sum", lambda c: c / F.col("n")).alias("mean"))
+    near = merged = None
+    while True:
+        size = table(now.groupBy(by).agg((F.count(F.lit(1)) <= FEW_CLUSTERS).alias("few")), "sizes")
+        if size.where("few").limit(1).count():
+            ended = now.join(size.where("few").select(by), by).groupBy(by).applyInPandas(_linked(least), "cluster long, into long")
+            members = renamed(table(ended.where("cluster <> into"), "ended"))
+            now = table(now.join(size.where("NOT few").select(by), by), "clusters")
+        if now.limit(1).count() == 0:
+            break
+        if near is None:
+            near = table(_nearest(mean(now), mean(now), by, least, block), "nearest")
+        else:
+            fresh = merged.select(F.col("into").alias("i")).distinct()
+            lost = merged.select(F.col("into").alias("j")).unionByName(merged.select(F.col("cluster").alias("j")))
+            kept = near.join(now.select(F.col("cluster").alias("i")), "i", "left_semi").join(fresh, "i", "left_anti").join(lost, "j", "left_anti")
+            again = now.join(kept.select(F.col("i").alias("cluster")), "cluster", "left_anti")
+            added = now.join(fresh.withColumnRenamed("i", "cluster"), "cluster", "left_semi")
+            rest = now.join(kept.select(F.col("i").alias("cluster")), "cluster", "left_semi")
+            found = _nearest(mean(again), mean(now), by, least, block).unionByName(kept.select("i", "j", "sim")).unionByName(_nearest(mean(rest), mean(added), by, least, block))
+            near = table(_best(found), "nearest")
         back = near.select(F.col("i").alias("j"), F.col("j").alias("i"))
-        merged = written(near.join(back, ["i", "j"]).where("i < j").select(F.col("i").alias("into"), F.col("j").alias("cluster")), "merged")
+        merged = table(near.join(back, ["i", "j"]).where("i < j").select(F.col("i").alias("into"), F.col("j").alias("cluster")), "merged")
         if merged.limit(1).count() == 0:
             break
+        now = now.join(near.select(F.col("i").alias("cluster")), "cluster", "left_semi")
         gone = now.join(merged, "cluster").select(F.col("into").alias("cluster"), F.col("sum").alias("more"), F.col("n").alias("m"))
-        rest = now.join(merged.select("cluster"), "cluster", "left_anti").join(gone, "cluster", "left")
+        still = now.join(merged.select("cluster"), "cluster", "left_anti").join(gone, "cluster", "left")
         total = F.when(F.col("m").isNull(), F.col("sum")).otherwise(F.zip_with("sum", F.coalesce("more", "sum"), lambda p, q: p + q))
-        now = written(rest.select("cluster", by, total.alias("sum"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "clusters")
-        members = written(members.join(merged, "cluster", "left").select("member", F.coalesce("into", "cluster").alias("cluster")), "members")
-    else:
-        raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+        now = table(still.select("cluster", by, total.alias("sum"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "clusters")
+        members = renamed(merged)
     named = members.select(F.col("member").alias(id_), "cluster")
     return vectors.select(F.col(id_).cast("long").alias(id_)).join(named, id_, "left").select(id_, F.coalesce("cluster", id_).alias("cluster"))
 

@@ -361,7 +361,10 @@ def plain_linkage(x, groups, least):
         clusters[best[1]] += clusters.pop(best[2])
 
 
-def test_average_linkage_equals_merging_one_pair_at_a_time(spark):
+@pytest.mark.parametrize("few", [10, 2000])
+def test_average_linkage_equals_merging_one_pair_at_a_time(spark, monkeypatch, few):
+    """By rounds until a group is small, and in one task."""
+    monkeypatch.setattr(similarity, "FEW_CLUSTERS", few)
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(6, 5))
     x = np.array([centers[i % 6] + rng.normal(size=5) * 0.8 for i in range(48)])
@@ -372,6 +375,24 @@ def test_average_linkage_equals_merging_one_pair_at_a_time(spark):
     assert 2 < len(set(got.values())) < 40
 
 
+def test_average_linkage_of_a_hub_with_a_thousand_satellites(spark):
+    """Most satellites join the hub one by one."""
+    rng = np.random.default_rng(9)
+    side = rng.normal(size=(1000, 63))
+    cos = np.linspace(0.95, 0.85, 1000)
+    x = np.vstack([np.eye(1, 64), np.hstack([cos[:, None], side / np.linalg.norm(side, axis=1, keepdims=True) * np.sqrt(1 - cos**2)[:, None]])])
+    mean, n, name = x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(1001), np.arange(1001)
+    sim = mean @ mean.T - 10 * np.eye(1001)
+    while sim.max() >= 0.6:
+        a, b = sorted(np.unravel_index(sim.argmax(), sim.shape))
+        mean[a], n[a] = (mean[a] * n[a] + mean[b] * n[b]) / (n[a] + n[b]), n[a] + n[b]
+        name[name == b] = a
+        sim[a] = sim[:, a] = mean @ mean[a] - 10 * (n == 0)
+        n[b], sim[b], sim[:, b], sim[a, a] = 0, -10, -10, -10
+    df = table(spark, [(i, 1, v.tolist()) for i, v in enumerate(x)], "id long, g int, x array<double>")
+    assert {r["id"]: r["cluster"] for r in similarity.average_linkage(df, "id", "g", "x", 0.6).collect()} == dict(enumerate(name.tolist()))
+
+
 def test_medoid_equals_all_pairs(spark):
     rng = np.random.default_rng(1)
     rows = [(i, i % 3, float(rng.normal()), float(rng.normal()) if i % 4 else None, 5.0, float(i % 7)) for i in range(50)]
