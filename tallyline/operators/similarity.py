@@ -24,8 +24,10 @@ def hamming_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     """All pairs of 64-bit hashes at most `limit` (up to 11) bits apart, with the distance.
 
     Of four bands of 16 bits one differs by at most limit // 4 bits, so the right side is listed under every band value
-    within that radius and the left side under its own: an equi-join that misses nothing. `right` is the smaller side.
+    within that radius and the left side under its own: an equi-join that misses nothing. Sides are counted, and the smaller one takes the place of the right.
     """
+    if right.count() > left.count():
+        return hamming_join(right, left, right_id, left_id, h, limit).select(left_id, right_id, "distance")
     radius = limit // 4
     masks = [0] + [sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in combinations(range(16), r)]
     band = lambda c: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(c, 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(4)])).alias("band")

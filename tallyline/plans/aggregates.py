@@ -218,10 +218,10 @@ def a21(spark, d):
     return group_table(m, "doc_id", "structure", "toxic").crossJoin(F.broadcast(rest))
 
 
-@query("a22_complete_groups", """SELECT source, count(*) AS n_members, count(quality) AS n_labeled, CASE WHEN count(*) = count(quality) THEN round(avg(quality), 6) END AS value,
-CASE WHEN count(*) <> count(quality) AND count(quality) > 0 THEN round(avg(quality), 6) END AS partial_value FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 4 = 0 OR quality IS NOT NULL GROUP BY 1""")
+@query("a22_complete_groups", """SELECT source || '/' || doc_id % 100 AS source, count(*) AS n_members, count(quality) AS n_labeled, CASE WHEN count(*) = count(quality) THEN round(avg(quality), 6) END AS value,
+CASE WHEN count(*) <> count(quality) AND count(quality) > 0 THEN round(avg(quality), 6) END AS partial_value FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def a22(spark, d):
-    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left").where("doc_id % 4 = 0 OR quality IS NOT NULL")
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left").withColumn("source", F.concat_ws("/", "source", (F.col("doc_id") % 100).cast("string")))
     whole, mean = F.count(F.lit(1)) == F.count("quality"), S.rounded(F.avg("quality"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_members"), F.count("quality").alias("n_labeled"), F.when(whole, mean).alias("value"), F.when(~whole & (F.count("quality") > 0), mean).alias("partial_value"))
 
@@ -333,7 +333,7 @@ def a32(spark, d):
     x = read(spark, d, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("g"), F.col("l_quantity").alias("v"))
     t = S.pstats_by_group(x, "v", "g")
     overall = t.where("grp IS NULL").select(F.col("p50").alias("all50"))
-    c = x.join(F.broadcast(t.where("grp IS NOT NULL").select(F.col("grp").alias("g"), "p50")), "g", "left").crossJoin(F.broadcast(overall))
+    c = x.join(S.small(t.where("grp IS NOT NULL").select(F.col("grp").alias("g"), "p50")), "g", "left").crossJoin(F.broadcast(overall))
     return S.pstats_by_group(c.withColumn("w", F.col("v") - F.coalesce("p50", "all50", F.lit(0.0))), "w", "g")
 
 

@@ -245,7 +245,7 @@ SELECT l.l_orderkey, l.l_linenumber, CASE WHEN lo IS NOT NULL THEN l_quantity BE
 def p26(spark, d):
     li = read(spark, d, "lineitem")
     o = S.pstats(li.where("l_returnflag <> 'N'"), "l_quantity", "l_returnflag")
-    return li.join(F.broadcast(o), "l_returnflag", "left").select("l_orderkey", "l_linenumber", X.within(F.col("l_quantity"), F.col("p10"), F.col("p90")).alias("inside"))
+    return li.join(S.small(o), "l_returnflag", "left").select("l_orderkey", "l_linenumber", X.within(F.col("l_quantity"), F.col("p10"), F.col("p90")).alias("inside"))
 
 
 @query("p27_three_valued_and", """SELECT event_id, CASE WHEN value < 1 THEN NULL ELSE value > 5 END AND CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type <> 'error' END AS holds FROM events""")
