@@ -16,7 +16,7 @@ from .license_scan import words
 #: Features are runs of up to LONGEST words, hashed to BUCKETS.
 LONGEST = 1
 BUCKETS = 10_000
-#: Frequent words, and as many frequent pairs, whose hashes are broadcast: up to so many, of up to so many bytes a word.
+#: Words, and pairs, that are at least one in HEAD of all are frequent, so there are at most HEAD of either; longer ones than WORD_BYTES a word are not. Their hashes are broadcast.
 HEAD = 1 << 15
 WORD_BYTES = 64
 #: Distinct features that a task counts before it hands them on.
@@ -61,10 +61,11 @@ class Hasher:
         return out
 
 
-def head(texts: DataFrame, longest: int = LONGEST, most: int = HEAD, entries: int = ENTRIES) -> tuple[list[bytes], list[bytes]]:
-    """(the most frequent words, the most frequent pairs) of all texts, counted exactly; of equal counts the smaller bytes. Pairs are empty if features are single words.
+def head(texts: DataFrame, longest: int = LONGEST, one_in: int = HEAD, entries: int = ENTRIES) -> tuple[list[bytes], list[bytes]]:
+    """(words that are one in `one_in` of all or more, such pairs), by exact counts over all texts. Pairs are empty if features are single words.
 
-    A task sums what it reads before the shuffle, so a word that is everywhere is a few rows. Words over WORD_BYTES are never taken, so what reaches the driver is bounded.
+    A task sums what it reads before the shuffle, so a word that is everywhere is a few rows. By their share there are at most `one_in` of either,
+    whatever the corpus, and words over WORD_BYTES are none, so what reaches the driver is bounded.
     """
 
     def count(batches):
@@ -84,13 +85,15 @@ def head(texts: DataFrame, longest: int = LONGEST, most: int = HEAD, entries: in
     def out(held: Counter) -> dict:
         return {"feature": [f for f, _ in held], "k": [k for _, k in held], "n": list(held.values())}
 
-    totals = map_batches(texts.select("text"), count, "feature binary, k int, n long").groupBy("feature", "k").agg(F.sum("n").alias("n"))
+    sums = map_batches(texts.select("text"), count, "feature binary, k int, n long").groupBy("feature", "k").agg(F.sum("n").alias("n"))
+    counted, path = written(sums, "words")
+    whole = {r["k"]: r["n"] for r in counted.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a row for each length
     found = []
     for k in (1, 2):
-        if k <= longest:
-            short = totals.where((F.col("k") == k) & (F.octet_length("feature") <= k * WORD_BYTES + k - 1))
-            found.append([bytes(r["feature"]) for r in short.orderBy(F.desc("n"), "feature").limit(most).select("feature").collect()])
-    return found[0], found[1] if len(found) > 1 else []
+        often = counted.where((F.col("k") == k) & (F.col("n") * one_in >= whole.get(k, 0)) & (F.octet_length("feature") <= k * WORD_BYTES + k - 1))
+        found.append(sorted(bytes(r["feature"]) for r in often.select("feature").collect()) if k <= longest else [])
+    remove(texts.sparkSession, path)
+    return found[0], found[1]
 
 
 def features(rows: DataFrame, hasher: Hasher, *keep: str) -> DataFrame:
@@ -149,7 +152,7 @@ def ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
 
 def resample(
     docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS,
-    least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: str = SEED, most: int = HEAD,
+    least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: str = SEED, one_in: int = HEAD,
 ) -> DataFrame:
     """doc_id, n_words, n_features, weight, score, rank: a row for each input row; rank is null where a document is not drawn.
 
@@ -161,7 +164,7 @@ def resample(
     """
     text = lambda df, c: F.coalesce(df[c], F.lit("")).alias("text")
     rows, goal = docs.select(docs[id_col].cast("long").alias("doc_id"), text(docs, text_col)), target.select(text(target, target_text))
-    hasher = Hasher(*head(rows, longest, most), longest, buckets)
+    hasher = Hasher(*head(rows, longest, one_in), longest, buckets)
     counted, path = written(features(rows, hasher, "doc_id"), "features")
     gain, _ = written(gains(totals(counted), totals(features(goal, hasher)), buckets), "gains")
     weight = F.aggregate(F.arrays_zip("buckets", "counts"), F.lit(0).cast("long"), lambda a, x: a + F.get("gains", x["buckets"]) * x["counts"])

@@ -43,17 +43,18 @@ def test_resample_equals_plain_python(spark):
     text = lambda n: rng.choice([" ", "-", "\n"]).join(rng.choices(words, weights=[200 // (k + 1) + 1 for k in range(len(words))], k=n))
     docs = [(k, text(rng.randrange(0, 40))) for k in range(120)] + [(7, text(30)), (None, text(30)), (500, None), (501, ""), (502, "word " * 30_000)]
     target = [text(25) for _ in range(10)] + [None, ""]
-    for longest, head in ((1, 5), (2, 7), (3, 0), (2, 10_000)):
+    for longest, one_in in ((1, 20), (2, 50), (3, 1), (2, 10**6)):
         d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in target], "text string")
-        got = importance.resample(d, t, longest=longest, buckets=97, least_words=10, percent=30, seed="s", most=head).drop("n_words")
+        got = importance.resample(d, t, longest=longest, buckets=97, least_words=10, percent=30, seed="s", one_in=one_in).drop("n_words")
         assert sorted(map(tuple, got.collect()), key=str) == plain_resample(docs, target, longest, 97, 10, 30, "s")
         assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
 
 
 def test_head_holds_exact_counts_whatever_a_task_holds(spark):
     texts = spark.createDataFrame([("a b a",), ("b a c",), ("x" * 100 + " c",), ("",)], "text string").repartition(3)
-    assert importance.head(texts, 2, 2, entries=1) == ([b"a", b"b"], [b"b a", b"a b"])
-    assert importance.head(texts, 1, 10) == ([b"a", b"b", b"c"], [])
+    assert importance.head(texts, 2, 4, entries=1) == ([b"a", b"b", b"c"], [b"b a"])  # of 8 words and 5 pairs
+    assert importance.head(texts, 1, 3) == ([b"a"], [])
+    assert importance.head(texts.where("text = ''"), 2) == ([], [])
 
 
 @settings(max_examples=60, deadline=None)
@@ -166,3 +167,30 @@ def test_secret_rows_equal_the_scanner(spark):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for k, *_ in base) for x in secret_scan.KINDS)
         assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest() and r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     assert sum("secret" in r["spans"] for r in got) > 30
+
+
+def test_sets_of_lines_are_as_large_as_their_hosts(spark):
+    """Three thousand hosts of one line each beside one with 40,000: buckets follow each host's own lines."""
+    from pyspark.sql import functions as F
+
+    from tallyline.llm.common import line_sets, table, with_bad_lines
+
+    bad = table(spark.range(43_000).select(F.when(F.col("id") < 40_000, "large").otherwise(F.concat(F.lit("h"), F.col("id").cast("string"))).alias("host"), F.xxhash64("id").alias("key")), "bad")
+    sizes = line_sets(bad).select("host", F.size("bad").alias("n"), F.aggregate(F.transform("bad", F.size), F.lit(0), lambda a, b: a + b).alias("keys")).collect()
+    assert {(r["n"], r["keys"]) for r in sizes if r["host"] != "large"} == {(1, 1)} and [(r["n"], r["keys"]) for r in sizes if r["host"] == "large"] == [(8192, 40_000)]
+    rows = spark.createDataFrame([("large", 7), ("large", 39_999), ("large", 40_001), ("h40001", 40_001), ("h40001", 7), ("none", 7)], "host string, id long")
+    for few in (500_000, 10):
+        joined, is_bad = with_bad_lines(rows, bad, few)
+        assert {(r["host"], r["id"]) for r in joined.where(is_bad(F.xxhash64("id"))).collect()} == {("large", 7), ("large", 39_999), ("h40001", 40_001)}
+
+
+def test_clauses_of_several_licences_name_none():
+    from tallyline.llm.license_scan import Scanner
+
+    s = Scanner()
+    clause = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    assert s.scan(clause)["labels"] == "" and s.scan(clause)["score"] > 0.5
+    assert s.scan(f"Artistic License 2.0. {clause}")["labels"] in ("", "artistic")
+    assert s.scan("It is made available under the terms of the Eclipse Public License v2.0 today.")["labels"] == "epl"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    assert "gpl" in s.scan(f"{gpl}. {clause}")["labels"].split(",")
