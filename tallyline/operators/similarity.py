@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -54,10 +55,49 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def top_matches(items: DataFrame, library: DataFrame, item: str, lib: str, by: str, k: int, block: int = 2048) -> DataFrame:
+    """(item, lib, sim, p): for each item the k library entries of equal `by` with the largest cosine, p from 1; equal ones (to twelve digits) go to the smaller lib.
+
+    Vectors are x of the items and y of the library, equally long within a group; an entry of the item's own number is not
+    its match. Vectors that are null, zero, or hold a null or non-finite component match nothing, and neither do null groups;
+    an item without a match has no row. Both sides are dealt into blocks by group, so a hot group is many keys. Of a pair of
+    blocks only the k best of each item leave the task; they are cut again before they are shuffled. Ids are distinct whole numbers.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def units(df: DataFrame, id_: str, x: str) -> DataFrame:
+        norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, c: s + c * c))
+        rows = df.where(F.col(by).isNotNull()).select(F.col(id_).alias("_id"), by, F.transform(F.col(x), lambda c: c.cast("double")).alias("_v")).withColumn("_n", norm)
+        return blocks(rows.where((F.col("_n") > 0) & (F.col("_n") < float("inf"))).withColumn("_u", F.transform("_v", lambda c: c / F.col("_n"))), "_id", by, "_u", block)
+
+    left = units(items, item, "x")
+    right = units(library, lib, "y").select(by, F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
+    # pairs of blocks are made of their numbers alone
+    heads = left.select(by, "p").join(right.select(by, "q"), by)
+    met = heads.join(left, [by, "p"]).join(right, [by, "q"]).repartition(F.xxhash64(by, "p", "q"))
+
+    def compare(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, xs, others, ys = (batch.column(c)[r].as_py() for c in ("i", "x", "j", "y"))
+                ids, order = np.array(ids), np.argsort(others)
+                others = np.array(others)[order]  # the first of equal ones is the smallest
+                sim = np.round(np.array(xs) @ np.array(ys)[order].T, 12)
+                sim[ids[:, None] == others[None]] = -np.inf
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(sim, best, 1)
+                good = np.isfinite(top)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[good]), pa.array(others[best][good]), pa.array(top[good])], names=["i", "j", "sim"])
+
+    found = met.select("i", "x", "j", "y").mapInArrow(compare, "i long, j long, sim double")
+    ranked = found.withColumn("p", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))).where(F.col("p") <= k)
+    return ranked.select(F.col("i").alias(item), F.col("j").alias(lib), "sim", "p")
+
+
 def best_match(items: DataFrame, library: DataFrame, item: str, lib: str, by: str, least: float, others: int = 3) -> DataFrame:
-    """The most similar library entry with the same `by` (null below `least`), the similarity, and the next ones. Vectors: x and y. Only pairs of equal `by` meet."""
-    pairs = items.join(library, by).where(F.col(item) != F.col(lib)).withColumn("sim", cosine(F.col("x"), F.col("y"))).select(item, lib, "sim")
-    r = pairs.withColumn("p", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("sim"), lib))).where(F.col("p") <= 1 + others)
+    """The most similar library entry with the same `by` (null below `least`), the similarity, and the next ones. Vectors: x and y. Only pairs of equal `by` meet, in blocks (`top_matches`)."""
+    r = top_matches(items, library, item, lib, by, 1 + others)
     top = F.max(F.when(F.col("p") == 1, F.col("sim")))
     rest = F.sort_array(F.collect_list(F.when(F.col("p") > 1, F.struct("p", F.col(lib).cast("string").alias("l")))))
     return r.groupBy(item).agg(F.when(top >= least, F.max(F.when(F.col("p") == 1, F.col(lib)))).alias("best"), rounded(top).alias("sim"), F.nullif(F.array_join(F.transform(rest, lambda s: s["l"]), ","), F.lit("")).alias("others"))
@@ -345,29 +385,97 @@ def similarity_medoid(vectors: DataFrame, id_: str, by: str, x: str) -> DataFram
     return scored.groupBy(by).agg(F.min_by(id_, F.struct(-F.col("near"), id_)).alias("medoid"))
 
 
+#: Texts are read in stretches of so many characters, which overlap by the longest term.
+STRETCH = 4096
+
+
+def _term_index(known: list[str], ratio: float):
+    """A function of a text: the smallest number of a term that it holds or shows alike, or None. The rule is that of `listed_term`.
+
+    Terms within a text are looked up by their first three characters. A stretch of p characters whose ratio to a term of n
+    reaches the limit has m = ratio (n + p) / 2 characters or more in common blocks; at most n + p - 2m + 1 blocks, so both share
+    at least 3m - n - p - 1 pairs of neighbours. Only stretches with as many pairs of the term are compared with it; where
+    that number is not positive (ratios under 2/3, or so), all stretches are.
+    """
+    import math
+    from collections import defaultdict
+
+    import numpy as np
+
+    heads, pairs = defaultdict(list), defaultdict(list)
+    for t, k in enumerate(known):
+        if len(k) >= 3:
+            heads[k[:3]].append(t)
+        if len(k) >= 4:
+            for g in {k[i : i + 2] for i in range(len(k) - 1)}:
+                pairs[g].append(t)
+    pairs = {g: np.array(ts) for g, ts in pairs.items()}
+    shared = lambda n, p: 3 * math.ceil(ratio * (n + p) / 2 - 1e-9) - n - p - 1
+    needed = np.array([min(shared(len(k), p) for p in (len(k) - 1, len(k), len(k) + 1)) if len(k) >= 4 else np.iinfo(np.int64).max for k in known], dtype=np.int64)
+    always = np.flatnonzero(needed <= 0)
+    longest = max(map(len, known), default=0) + 1
+
+    def within(text: str) -> int | None:
+        found = None
+        for i in range(len(text) - 2):
+            for t in heads.get(text[i : i + 3], ()):
+                if found is not None and t >= found:
+                    break
+                if text.startswith(known[t], i):
+                    found = t
+        return found
+
+    def alike(text: str, before: int) -> int | None:
+        """The smallest term under `before` that a stretch of the text is alike."""
+        met = [(i, pairs[g]) for i in range(len(text) - 1) if (g := text[i : i + 2]) in pairs]
+        terms = np.concatenate([ts for _, ts in met]) if met else np.zeros(0, np.int64)
+        at = np.repeat([i for i, _ in met], [len(ts) for _, ts in met]) if met else terms
+        enough = np.bincount(terms, minlength=len(known)) >= needed
+        enough[always] = True
+        order = np.argsort(terms, kind="stable")
+        terms, at = terms[order], at[order]
+        for t in np.flatnonzero(enough[:before]):
+            k = known[t]
+            lo, hi = np.searchsorted(terms, [t, t + 1])
+            upto = np.zeros(len(text) + 1, np.int64)
+            upto[at[lo:hi] + 1] = 1
+            upto = np.cumsum(upto)
+            for p in (len(k) - 1, len(k), len(k) + 1):
+                if p > len(text):
+                    continue
+                starts = np.arange(len(text) - p + 1)
+                for i in starts[upto[starts + p - 1] - upto[starts] >= shared(len(k), p)]:
+                    m = difflib.SequenceMatcher(None, k, text[i : i + p])
+                    if m.quick_ratio() >= ratio and m.ratio() >= ratio:
+                        return int(t)
+        return None
+
+    def first(text: str) -> int | None:
+        if (found := within(text)) is not None:
+            return found
+        for i in range(0, max(1, len(text)), STRETCH):
+            near = alike(text[i : i + STRETCH + longest], len(known) if found is None else found)
+            found = found if near is None else near
+        return found
+
+    return first
+
+
 def listed_term(rows: DataFrame, id_: str, text: str, terms: list[str], ratio: float = 0.8) -> DataFrame:
     """(id, term): the first listed term that a text shows, or null: within it (three characters or more), else as a stretch of its
     own length, one less or one more, with a sequence ratio of at least `ratio` (four characters or more). Letters and digits count, case does not.
+
+    Every task has an index of the terms, whose number is the caller's; a text is compared only with terms that it shares enough pairs of neighbours with.
     """
-    known = [(t, k) for t in terms if (k := "".join(c for c in t.lower() if c in "0123456789abcdefghijklmnopqrstuvwxyz" or "가" <= c <= "힣"))]
+    plain = lambda t: "".join(c for c in t.lower() if c in "0123456789abcdefghijklmnopqrstuvwxyz" or "가" <= c <= "힣")
+    known = [(t, k) for t in terms if (k := plain(t))]
 
     @F.pandas_udf("string")
-    def match(texts: pd.Series) -> pd.Series:
-        def first(text: str) -> str | None:
-            for term, k in known:
-                if len(k) >= 3 and k in text:
-                    return term
-            for term, k in known:
-                if len(k) < 4 or len(text) < len(k) - 1:
-                    continue
-                for n in (len(k) - 1, len(k), len(k) + 1):
-                    for i in range(max(1, len(text) - n + 1)):
-                        piece = text[i : i + n]
-                        if difflib.SequenceMatcher(None, k, piece).ratio() >= ratio:
-                            return term
-            return None
-
-        return texts.map(lambda t: first(t) if t else None)
-
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^0-9a-z가-힣]", "")
-    return rows.select(id_, match(plain).alias("term"))
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        first = _term_index([k for _, k in known], ratio)
+        for texts in batches:
+            found = [first(t) if t else None for t in texts]
+            yield pd.Series([None if t is None else known[t][0] for t in found], dtype=object)
+
+    bare = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^0-9a-z가-힣]", "")
+    return rows.select(id_, match(bare).alias("term"))
