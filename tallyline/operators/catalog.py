@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .colors import color_mode
@@ -67,6 +67,45 @@ def kept_ids(groups: DataFrame, old: DataFrame, structure: str, n: str, prefix:
     return named.where("format_id IS NOT NULL").select(structure, "format_id").unionByName(given)
 
 
+def glob_pattern(glob: Column) -> Column:
+    """A regular expression for a pattern of names: * any characters, ? one, [...] one of these, [!...] one of no such."""
+    plain = F.regexp_replace(glob, r"[.^$+(){}|\\]", r"\\$0")
+    return F.concat(F.lit("^(?s:"), F.replace(F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("[!"), F.lit("[^")), F.lit(r")\z"))
+
+
+def named_checks(keys: DataFrame, checks: DataFrame) -> DataFrame:
+    """(key, n_checks): how many distinct checks name a key, by itself or by a pattern; keys without one are left out.
+
+    checks: (check, pattern). A key lists its beginnings, and a pattern meets it by the letters before its first sign, so only those are tried.
+    """
+    head = F.regexp_extract("pattern", r"^[^*?\[]*", 0)
+    tried = keys.select("key").distinct().withColumn("_head", F.explode(F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.substr(F.col("key"), F.lit(1), n))))
+    asked = checks.where("pattern IS NOT NULL").select("check", "pattern", head.alias("_head"), glob_pattern(F.col("pattern")).alias("_rx")).distinct()
+    met = tried.join(asked, "_head").where((F.col("key") == F.col("pattern")) | F.rlike("key", F.col("_rx")))
+    return met.groupBy("key").agg(F.count_distinct("check").alias("n_checks"))
+
+
+def registry_sync(keys: DataFrame, items: DataFrame, links: DataFrame, checks: DataFrame, old: DataFrame) -> DataFrame:
+    """(key, category, status, apply_pending, n_readers, n_checks, evidence, note): the registry of the settings as they stand, one row for each key.
+
+    keys: (key, category, origin, not_given), category null for a key that is to be measured, not_given if other values make it
+    idle; items: (key, status, evidence) of measurements; links: (key, reader, current), readers whose code has changed
+    since do not count; checks: (check, pattern); old: the registry before, of which evidence stays where a measurement
+    has none, and notes always. A change that was asked for goes before a measurement, that before the category. A measured
+    key whose value comes from elsewhere is pending. Keys are distinct, and so are those of items and old; those of no key are dropped.
+    """
+    readers = links.where("current").groupBy("key").agg(F.count_distinct("reader").alias("n_readers"))
+    all_ = keys.join(items.select("key", F.col("status").alias("_found"), F.col("evidence").alias("_evidence")), "key", "left").join(readers, "key", "left").join(named_checks(keys, checks), "key", "left")
+    all_ = all_.join(old.select("key", F.col("evidence").alias("_before"), "note"), "key", "left")
+    origin = F.coalesce("origin", F.lit(""))
+    status = (
+        F.when(origin == "requested_change", "requested_change").when(F.col("_found") == "measured", "measured").when(F.col("category").isin("meta", "infra"), "not_applicable")
+        .when(F.col("category") == "rule", "fixed_by_rule").when(F.col("category").isNull() & F.col("not_given"), "not_applicable_given").otherwise("unmeasured")
+    )
+    done = all_.withColumn("status", status)
+    return done.select("key", F.coalesce("category", F.lit("style")).alias("category"), "status", ((F.col("status") == "measured") & (origin != "measured")).alias("apply_pending"), F.coalesce("n_readers", F.lit(0)).alias("n_readers"), F.coalesce("n_checks", F.lit(0)).alias("n_checks"), F.coalesce(F.nullif("_evidence", F.lit("")), "_before").alias("evidence"), "note")
+
+
 def registry_audit(entries: DataFrame, production: bool = True) -> DataFrame:
     """One row: ok, and how many keys are unmeasured, without code that reads them, without a check, and not applicable.
 

@@ -222,3 +222,47 @@ def a31(spark, d):
     c = F.when(F.col("p_size") % 5 == 0, "meta").when(F.col("p_size") % 5 == 1, "rule").otherwise("style")
     status = F.when(F.col("p_size") > 45, "unmeasured").otherwise("measured")
     return registry_audit(read(spark, d, "part").select(F.col("p_partkey").alias("key"), c.alias("category"), status.alias("status"), F.lit(False).alias("apply_pending"), (F.col("p_partkey") % 3).alias("n_readers"), (F.col("p_partkey") % 2).alias("n_checks")))
+
+
+@query("a31_registry_sync", """WITH k AS (SELECT 'part.' || p_size || '.' || p_partkey AS key, p_partkey AS id, CASE p_size % 7 WHEN 0 THEN 'meta' WHEN 1 THEN 'rule' END AS category, CASE p_partkey % 5 WHEN 0 THEN 'requested_change' WHEN 1 THEN 'measured' ELSE 'base' END AS origin, p_size % 11 = 3 AS not_given FROM part),
+i AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'measured' ELSE 'refused' END AS status, CASE WHEN id % 2 = 0 THEN 'e' || id ELSE '' END AS evidence FROM k WHERE id % 4 < 3),
+l AS (SELECT ps_partkey AS id, count(DISTINCT ps_suppkey % 10) AS n FROM (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, l_linenumber FROM lineitem) WHERE l_linenumber < 3 GROUP BY 1),
+c AS (SELECT 'c' || s_suppkey AS c, CASE s_suppkey % 4 WHEN 0 THEN 'part.' || (s_suppkey % 50) || '.*' WHEN 1 THEN 'part.?.' || s_suppkey || '*' WHEN 2 THEN 'part.[1-3]?.*' || (s_suppkey % 1000) ELSE 'part.1.' || s_suppkey END AS g FROM supplier),
+n AS (SELECT key, count(DISTINCT c) AS n FROM k JOIN c ON key GLOB g GROUP BY 1),
+s AS (SELECT k.*, i.evidence AS ev, CASE WHEN origin = 'requested_change' THEN 'requested_change' WHEN i.status = 'measured' THEN 'measured' WHEN category = 'meta' THEN 'not_applicable' WHEN category = 'rule' THEN 'fixed_by_rule' WHEN category IS NULL AND not_given THEN 'not_applicable_given' ELSE 'unmeasured' END AS status FROM k LEFT JOIN i USING (id))
+SELECT key, coalesce(category, 'style') AS category, status, status = 'measured' AND origin <> 'measured' AS apply_pending, coalesce(l.n, 0) AS n_readers, coalesce(n.n, 0) AS n_checks, coalesce(nullif(ev, ''), CASE WHEN id % 6 = 1 THEN 'old' END) AS evidence, CASE WHEN id % 6 = 1 THEN 'note' || id END AS note
+FROM s LEFT JOIN l USING (id) LEFT JOIN n USING (key)""")
+def a31_sync(spark, d):
+    from ..operators.catalog import registry_sync
+
+    number = lambda size, k: F.concat(F.lit("part."), F.col(size).cast("string"), F.lit("."), F.col(k).cast("string")).alias("key")
+    part, id_ = read(spark, d, "part"), F.col("p_partkey")
+    category = F.when(F.col("p_size") % 7 == 0, "meta").when(F.col("p_size") % 7 == 1, "rule").alias("category")
+    origin = F.when(id_ % 5 == 0, "requested_change").when(id_ % 5 == 1, "measured").otherwise("base").alias("origin")
+    keys = part.select(number("p_size", "p_partkey"), category, origin, (F.col("p_size") % 11 == 3).alias("not_given"))
+    items = part.where("p_partkey % 4 < 3").select(number("p_size", "p_partkey"), F.when(id_ % 3 == 0, "measured").otherwise("refused").alias("status"), F.when(id_ % 2 == 0, F.concat(F.lit("e"), id_.cast("string"))).otherwise("").alias("evidence"))
+    links = read(spark, d, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey").select(number("p_size", "l_partkey"), (F.col("l_suppkey") % 10).alias("reader"), (F.col("l_linenumber") < 3).alias("current"))
+    k = F.col("s_suppkey")
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    glob = F.when(k % 4 == 0, of("part.", k % 50, ".*")).when(k % 4 == 1, of("part.?.", k, "*")).when(k % 4 == 2, of("part.[1-3]?.*", k % 1000)).otherwise(of("part.1.", k))
+    checks = read(spark, d, "supplier").select(of("c", k).alias("check"), glob.alias("pattern"))
+    old = part.where("p_partkey % 6 = 1").select(number("p_size", "p_partkey"), F.lit("old").alias("evidence"), of("note", id_).alias("note"))
+    return registry_sync(keys, items, links, checks, old)
+
+
+@query("j11_account_keys", r"""WITH l AS (SELECT s_suppkey AS ref, CASE s_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS platform, s_suppkey % 4 = 0 AS by_id, s_suppkey % 4 = 1 AS by_page, s_suppkey % 4 < 3 AS by_handle, lpad(s_suppkey::VARCHAR, 6, '0') AS k FROM supplier),
+c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS platform, c_custkey % 5 AS f, lpad((c_custkey % 997)::VARCHAR, 6, '0') AS k FROM customer),
+m AS (SELECT id, ref, CASE WHEN by_id AND f IN (0, 3) THEN 0 WHEN by_page AND f = 1 THEN 1 WHEN by_handle AND f IN (2, 3) THEN 2 END AS p, c.platform AS cp, l.platform AS lp FROM c JOIN l USING (k))
+SELECT id, arg_min(ref, ref) AS ref, arg_min(CASE p WHEN 0 THEN 'id' WHEN 1 THEN 'page' ELSE 'handle' END, ref) AS reason, arg_min(p = 2 AND lp IS NOT NULL AND lp <> cp, ref) AS other_platform FROM m WHERE p IS NOT NULL GROUP BY 1""")
+def j11_keys(spark, d):
+    from ..operators.exclusions import excluded_accounts
+
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    of = lambda before, key, after="": F.concat(F.lit(before), F.lpad(key.cast("string"), 6, "0"), F.lit(after))
+    listed = read(spark, d, "supplier").select(
+        s.alias("ref"), F.when(s % 3 == 0, "a").when(s % 3 == 1, "b").alias("platform"), F.when(s % 4 < 3, of("@Maker-", s)).alias("handle"),
+        F.when(s % 4 == 1, of("http://m.clips.example/User/", s, "/")).alias("page"), F.array(F.when(s % 4 == 0, of("UC", s, "x"))).alias("ids"),
+    )
+    k = c % 997
+    fields = F.array(F.when((c % 5).isin(0, 3), of("https://clips.example/c/UC", k, "x/about")), F.when(c % 5 == 1, of("https://www.Clips.example/user/", k, "?tab=1")), F.when((c % 5).isin(2, 3), of("maker_", k)))
+    return excluded_accounts(read(spark, d, "customer").select(c.alias("id"), F.when(c % 2 == 0, "a").otherwise("b").alias("platform"), fields.alias("fields")), listed)
