@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, joins, measurement, scalars, similarity, sources, state, windows
+from . import aggregates, joins, measurement, records, scalars, similarity, sources, state, windows
 
-MODULES = [sources, aggregates, windows, joins, scalars, state, similarity, measurement]
+MODULES = [sources, aggregates, windows, joins, scalars, state, similarity, measurement, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
