@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import rollups as U
 from ..operators import stats as S
 from .base import E, dist_sql, events, read
 
@@ -114,20 +114,14 @@ def a12(spark, d):
 round(a, 6) AS sd_start, round(b, 6) AS sd_center, round(c, 6) AS sd_end
 FROM (SELECT l_suppkey, stddev_pop(l_quantity) AS a, stddev_pop(l_quantity + l_tax * 100) AS b, stddev_pop(l_quantity + l_tax * 200) AS c FROM lineitem GROUP BY 1)""")
 def a13(spark, d):
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    low, high = F.least(a, b, c), F.greatest(a, b, c)
-    out = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.stddev_pop("l_quantity").alias("a"), F.stddev_pop(F.col("l_quantity") + F.col("l_tax") * 100).alias("b"), F.stddev_pop(F.col("l_quantity") + F.col("l_tax") * 200).alias("c"))
-    edge = F.when(low * 1.02 >= a + b + c - low - high, "undecided").when(a == low, "start").when(b == low, "center").otherwise("end")
-    return out.select("l_suppkey", edge.alias("alignment"), *[S.rounded(x).alias(n) for x, n in ((a, "sd_start"), (b, "sd_center"), (c, "sd_end"))])
+    x, step = F.col("l_quantity"), F.col("l_tax") * 100
+    return U.fixed_alignment(read(spark, d, "lineitem"), "l_suppkey", {"start": x, "center": x + step, "end": x + step * 2})
 
 
 @query("a14_safe_margins", """SELECT l_returnflag, min({'v': l_extendedprice, 'k': l_orderkey, 'n': l_linenumber}).v AS low, min({'v': l_extendedprice, 'k': l_orderkey, 'n': l_linenumber}).k AS low_at,
 max({'v': l_extendedprice, 'k': -l_orderkey, 'n': -l_linenumber}).v AS high, -max({'v': l_extendedprice, 'k': -l_orderkey, 'n': -l_linenumber}).k AS high_at FROM lineitem GROUP BY 1""")
 def a14(spark, d):
-    low = F.min(F.struct(F.col("l_extendedprice").alias("v"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")))
-    high = F.max(F.struct(F.col("l_extendedprice").alias("v"), (-F.col("l_orderkey")).alias("k"), (-F.col("l_linenumber")).alias("n")))
-    out = read(spark, d, "lineitem").groupBy("l_returnflag").agg(low.alias("a"), high.alias("b"))
-    return out.select("l_returnflag", F.col("a.v").alias("low"), F.col("a.k").alias("low_at"), F.col("b.v").alias("high"), (-F.col("b.k")).alias("high_at"))
+    return U.extremes(read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber")
 
 
 def cut_structure(spark, d):
@@ -230,25 +224,14 @@ def a22(spark, d):
 SELECT host, count(DISTINCT page_id) AS n_entities, count(*) AS n_mentions, bool_or(safe) AS verified, array_to_string(list_sort(list(page_id))[1:20], ',') AS evidence FROM a GROUP BY 1""")
 def a23(spark, d):
     a = read(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.col("url").startswith("https").alias("safe"))
-    g = a.groupBy("host").agg(F.count_distinct("page_id").alias("n_entities"), F.count(F.lit(1)).alias("n_mentions"), F.bool_or("safe").alias("verified"))
-    proof = first_ids(a, "host", "page_id", 20, "evidence")
-    return g.join(proof, g["host"].eqNullSafe(proof["host"]), "left").select(g["host"], "n_entities", "n_mentions", "verified", F.coalesce("evidence", F.lit("")).alias("evidence"))
-
-
-def first_ids(rows, by: str, id_: str, limit: int, name: str):
-    """(by, name): the smallest ids of each group, in order; no more than `limit` of a group are gathered."""
-    few = rows.where(F.col(id_).isNotNull()).select(by, id_).withColumn("p", F.row_number().over(Window.partitionBy(by).orderBy(id_))).where(F.col("p") <= limit)
-    return few.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(id_)), lambda x: x.cast("string")), ",").alias(name))
+    return U.account_rollup(a, "host", "page_id", F.col("safe"))
 
 
 @query("a24_top_words", r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations),
 c AS (SELECT conv_id, word, count(*) AS n, min(turn) AS first_turn FROM w WHERE length(word) >= 3 AND word NOT IN ('the', 'and', 'que', 'der', 'die', 'les', 'des') GROUP BY 1, 2)
 SELECT conv_id, word, n, first_turn, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first_turn, word) AS r FROM c) WHERE r <= 5""")
 def a24(spark, d):
-    stop = spark.createDataFrame([(w,) for w in ("the", "and", "que", "der", "die", "les", "des")], "word string")
-    words = read(spark, d, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).where(F.length("word") >= 3)
-    c = words.join(F.broadcast(stop), "word", "left_anti").groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first_turn"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "first_turn", "word"))).where("rank <= 5")
+    return U.top_words(read(spark, d, "conversations"), "conv_id", "turn", "text", ["the", "and", "que", "der", "die", "les", "des"], 5)
 
 
 @query("a25_coverage_matrix", """WITH t AS (SELECT DISTINCT o_custkey FROM orders), k AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS channel),
@@ -260,7 +243,7 @@ def a25(spark, d):
     kinds = spark.createDataFrame([(c,) for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")], "channel string")
     x = S.with_zeros(got, o, kinds, "o_custkey", "channel", "k")
     g = x.groupBy("channel").agg(F.count(F.lit(1)).alias("n_targets"), F.count(F.when(F.col("k") > 0, 1)).alias("n_covered"))
-    return g.join(first_ids(x.where("k = 0"), "channel", "o_custkey", 50, "missing"), "channel", "left")
+    return g.join(U.first_ids(x.where("k = 0"), "channel", "o_custkey", 50, "missing"), "channel", "left")
 
 
 @query("a26_step_coverage", """WITH t AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderkey % 3 = 0 AS snap, o_orderpriority FROM orders WHERE o_totalprice >= 450000)
@@ -431,6 +414,4 @@ SELECT u.video_id, u.type, u.used, p.present, CASE WHEN u.used AND NOT p.present
 def a42(spark, d):
     e = events(spark, d)
     policy = e.groupBy("type").agg((F.max("value") > 340).alias("present"))
-    used = e.groupBy("video_id", "type").agg(F.bool_or(F.col("value") > 200).alias("used"))
-    verdict = F.when(F.col("used") & ~F.col("present"), "not allowed").when(~F.col("used") & F.col("present"), "unused").otherwise("ok")
-    return used.join(F.broadcast(policy), "type").withColumn("verdict", verdict)
+    return U.use_verdict(e.groupBy("video_id", "type").agg(F.bool_or(F.col("value") > 200).alias("used")), policy, "type")
\ No newline at end of file

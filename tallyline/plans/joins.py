@@ -8,6 +8,7 @@ from ..operators import intervals as I
 from ..operators import layers as L
 from ..operators import qa as Q
 from ..operators import similarity as M
+from ..operators import rollups as U
 from ..operators import stats as S
 from .base import E, events, read
 
@@ -167,17 +168,14 @@ def j12b(spark, d):
 
 @query("j13_freshest", """WITH u AS (SELECT o_custkey AS k, o_totalprice AS v, o_orderdate AS dt, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS l, o_orderkey AS o FROM orders) SELECT k, arg_max(v, {'a': dt, 'l': -l, 'o': -o}) AS v FROM u GROUP BY 1""")
 def j13(spark, d):
-    o = read(spark, d, "orders")
-    part = lambda s, n: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderdate").alias("at"), F.lit(n).alias("l"), "o_orderkey")
-    return part("F", 0).unionByName(part("O", 1)).unionByName(part("P", 2)).groupBy("k").agg(F.max_by("v", F.struct("at", -F.col("l"), -F.col("o_orderkey"))).alias("v"))
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderdate", "o_orderstatus", "o_orderkey")
+    return U.freshest([o.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")], "k", "v", "o_orderdate", "o_orderkey")
 
 
 @query("j14_keyword_before", r"""WITH k AS (SELECT conv_id, max(turn) AS reveal, lower(any_value(regexp_extract(text, '[A-Za-z]{4,}', 0) ORDER BY turn DESC)) AS x FROM conversations GROUP BY 1), f AS (SELECT conv_id, reveal, (SELECT lower(regexp_extract(c.text, '[A-Za-z]{3,}', 0)) FROM conversations c WHERE c.conv_id = k.conv_id AND c.turn = k.reveal) AS word FROM k)
 SELECT c.conv_id, c.turn FROM conversations c JOIN f USING (conv_id) WHERE c.turn < reveal AND word <> '' AND contains(lower(c.text), word)""")
 def j14(spark, d):
-    c = read(spark, d, "conversations")
-    last = c.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("r")).select("conv_id", F.col("r.turn").alias("reveal"), F.lower(F.regexp_extract("r.text", "[A-Za-z]{3,}", 0)).alias("word"))
-    return c.join(last, "conv_id").where((F.col("turn") < F.col("reveal")) & (F.col("word") != "") & F.contains(F.lower("text"), F.col("word"))).select("conv_id", "turn")
+    return U.said_before(read(spark, d, "conversations"), "conv_id", "turn", "text", "[A-Za-z]{3,}")
 
 
 @query("j15_fuzzy_identity", None)
@@ -315,4 +313,4 @@ def j26(spark, d):
 @query("j27_observed_vocabulary", f"""WITH {E}, k AS (SELECT DISTINCT type, floor(value / 5)::BIGINT AS v FROM e WHERE video_id % 2 = 0 AND type <> 'error') SELECT event_id, type FROM e WHERE video_id % 2 = 1 AND type <> 'error' AND NOT EXISTS (SELECT 1 FROM k WHERE k.type = e.type AND k.v = floor(e.value / 5))""")
 def j27(spark, d):
     e = events(spark, d).where("type <> 'error'").withColumn("v", F.floor(F.col("value") / 5))
-    return e.where("video_id % 2 = 1").join(e.where("video_id % 2 = 0").select("type", "v").distinct(), ["type", "v"], "left_anti").select("event_id", "type")
+    return U.unobserved(e.where("video_id % 2 = 1"), e.where("video_id % 2 = 0"), "type", "v").select("event_id", "type")
\ No newline at end of file

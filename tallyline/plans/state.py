@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import scoring as C
 from ..operators import state as M
+from ..operators import rollups as U
 from ..operators import stats as S
 from .base import E, events, read, timestamp
 
@@ -99,10 +100,8 @@ def m7(spark, d):
 @query("m8_staleness", """WITH n AS (SELECT o_custkey AS k, sha256(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS now, sha256(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) FILTER (o_orderkey % 17 <> 0)) AS then_ FROM orders GROUP BY 1)
 SELECT k, CASE WHEN then_ IS NULL THEN 'never approved' WHEN now = then_ THEN 'approved' ELSE 'stale' END AS state FROM n""")
 def m8(spark, d):
-    o = read(spark, d, "orders")
-    sign = lambda df: df.groupBy(F.col("o_custkey").alias("k")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda s: F.concat(s["o_orderkey"].cast("string"), F.lit(":"), s["o_orderstatus"])), ","), 256).alias("sign"))
-    now, then = sign(o), sign(o.where("o_orderkey % 17 <> 0")).withColumnRenamed("sign", "then")
-    return now.join(then, "k", "left").select("k", F.when(F.col("then").isNull(), "never approved").when(F.col("then") == F.col("sign"), "approved").otherwise("stale").alias("state"))
+    o = read(spark, d, "orders").withColumnRenamed("o_custkey", "k")
+    return U.staleness(o, o.where("o_orderkey % 17 <> 0"), "k", lambda rows: U.signature(rows, "k", "o_orderkey", "o_orderstatus"))
 
 
 @query("m9_pair_links", """WITH l AS (SELECT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_linenumber = 1), p AS (SELECT a, b FROM l UNION SELECT b, a FROM l) SELECT a, b FROM p WHERE a <> b AND a NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 500) AND b NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 500)""")
@@ -142,9 +141,9 @@ def x2(spark, d):
 SELECT doc_id, regexp_replace(lower(handle), '[^0-9a-z]', '', 'g') AS account, string_agg(DISTINCT origin, ',' ORDER BY origin) AS sources, count(*) AS n FROM u GROUP BY 1, 2""")
 def x3(spark, d):
     docs = read(spark, d, "documents")
-    part = lambda m, origin, handle: docs.where(F.col("doc_id") % m == 0).select("doc_id", F.lit(origin).alias("origin"), F.concat(F.lit("@"), handle).alias("handle"))
-    u = part(2, "ocr", F.col("source")).unionByName(part(3, "overlay", F.concat(F.upper("source"), F.lit(".")))).unionByName(part(5, "review", F.concat(F.lit("r"), (F.col("doc_id") % 7).cast("string"))))
-    return u.groupBy("doc_id", F.regexp_replace(F.lower("handle"), "[^0-9a-z]", "").alias("account")).agg(F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("sources"), F.count(F.lit(1)).alias("n"))
+    account = lambda handle: F.regexp_replace(F.lower(handle), "[^0-9a-z]", "").alias("account")
+    part = lambda m, handle: docs.where(F.col("doc_id") % m == 0).select("doc_id", account(F.concat(F.lit("@"), handle)))
+    return U.with_origins({"ocr": part(2, F.col("source")), "overlay": part(3, F.concat(F.upper("source"), F.lit("."))), "review": part(5, F.concat(F.lit("r"), (F.col("doc_id") % 7).cast("string")))}, "doc_id", "account", name="sources")
 
 
 @query("x4_effective_metric", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal WHEN c_custkey % 5 = 0 THEN c_custkey * 1.0::DOUBLE END AS views, CASE WHEN c_custkey % 3 = 0 THEN 'platform_metadata' WHEN c_custkey % 5 = 0 THEN 'manual_observation' END AS source FROM customer""")
@@ -202,6 +201,4 @@ def x9(spark, d):
 @query("x10_query_table", """WITH q AS (SELECT p_name AS query, 'traced' AS origin FROM part WHERE p_size < 4 UNION ALL SELECT lower(p_type), 'account' FROM part UNION ALL SELECT p_name, 'user' FROM part WHERE p_size = 50) SELECT query, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, count(*) AS n FROM q GROUP BY 1""")
 def x10(spark, d):
     p = read(spark, d, "part")
-    one = lambda df, q, o: df.select(q.alias("query"), F.lit(o).alias("origin"))
-    q = one(p.where("p_size < 4"), F.col("p_name"), "traced").unionByName(one(p, F.lower("p_type"), "account")).unionByName(one(p.where("p_size = 50"), F.col("p_name"), "user"))
-    return q.groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"), F.count(F.lit(1)).alias("n"))
+    return U.with_origins({"traced": p.where("p_size < 4").select(F.col("p_name").alias("query")), "account": p.select(F.lower("p_type").alias("query")), "user": p.where("p_size = 50").select(F.col("p_name").alias("query"))}, "query")
\ No newline at end of file

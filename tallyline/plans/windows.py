@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
+from ..operators import rollups as U
 from ..operators import stats as S
 from ..operators import windows as W
 from .base import E, events, read
@@ -118,19 +119,13 @@ def w13(spark, d):
 @query("w14_trim_tail", f"""WITH {E}, s AS (SELECT video_id, max(t) AS stop FROM e GROUP BY 1), m AS (SELECT e.video_id, max(least("end", stop)) AS mark FROM e JOIN s USING (video_id) WHERE type IN ('click', 'purchase') GROUP BY 1)
 SELECT video_id, round(CASE WHEN mark IS NULL THEN stop ELSE stop - mark END, 6) AS tail, mark IS NULL AS no_mark FROM s LEFT JOIN m USING (video_id)""")
 def w14(spark, d):
-    e = events(spark, d)
-    s = e.groupBy("video_id").agg(F.max("t").alias("stop"))
-    m = e.where("type IN ('click', 'purchase')").join(s, "video_id").groupBy("video_id").agg(F.max(F.least("end", "stop")).alias("mark"))
-    return s.join(m, "video_id", "left").select("video_id", S.rounded(F.col("stop") - F.coalesce("mark", F.lit(0.0))).alias("tail"), F.col("mark").isNull().alias("no_mark"))
+    return U.tail_after_marks(events(spark, d), "video_id", "t", "end", F.col("type").isin("click", "purchase"))
 
 
 @query("w16_first_timed", f"""WITH {E}, f AS (SELECT video_id, min(t) AS t0 FROM e WHERE type = 'click' GROUP BY 1), u AS (SELECT DISTINCT e.video_id FROM e JOIN f USING (video_id) WHERE e.type = 'error' AND e.t < f.t0 - 2)
 SELECT video_id, CASE WHEN u.video_id IS NULL THEN round(t0, 6) END AS first_t FROM f LEFT JOIN u USING (video_id)""")
 def w16(spark, d):
-    e = events(spark, d)
-    f = e.where("type = 'click'").groupBy("video_id").agg(F.min("t").alias("t0"))
-    early = e.where("type = 'error'").groupBy("video_id").agg(F.min("t").alias("unknown"))
-    return f.join(early, "video_id", "left").select("video_id", F.when(~F.coalesce(F.col("unknown") < F.col("t0") - 2, F.lit(False)), S.rounded("t0")).alias("first_t"))
+    return U.first_known_time(events(spark, d), "video_id", "t", F.col("type") == "click", F.col("type") == "error", 2.0)
 
 
 @query("t1_final_ranking", """SELECT id, total, row_number() OVER (ORDER BY total DESC NULLS LAST, id) AS place FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS total FROM customer WHERE c_mktsegment <> 'BUILDING') ORDER BY 3 LIMIT 200""")
@@ -155,9 +150,7 @@ def t3(spark, d):
 
 @query("t4_longest_intervals", f"""WITH {E} SELECT video_id, event_id, row_number() OVER (PARTITION BY video_id ORDER BY t) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY value DESC, event_id) AS r FROM e) WHERE r <= 4""")
 def t4(spark, d):
-    e = events(spark, d)
-    top = e.withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("value"), "event_id"))).where("r <= 4")
-    return top.select("video_id", "event_id", F.row_number().over(Window.partitionBy("video_id").orderBy("t")).alias("pos"))
+    return U.longest_in_order(events(spark, d), "video_id", "event_id", "value", "t", 4)
 
 
 @query("u1_named_sets", """WITH s AS (SELECT o_custkey AS k, 0 AS p FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_nationkey < 5)
