@@ -201,8 +201,14 @@ def kept_decisions(groups: DataFrame, decisions: DataFrame, by: list[str], iou:
     """(place, decision, signer): the latest decision about a group of equal `by` in the same place, null without one.
 
     groups: (place, x, y, w, h and `by`); decisions: (at, decision, signer, x, y, w, h and `by`); of one time the larger decision and signer.
+    Equal rectangles meet as one, and a decision is a number in their order, so pairs are folded by a hash aggregation as they come.
     """
-    a = groups.where("w > 0 AND h > 0").withColumn("home", F.explode(reach(iou)))
-    b = decisions.where("w > 0 AND h > 0").select(*by, home().alias("home"), *[F.col(c).alias(f"f_{c}") for c in ("x", "y", "w", "h", "at", "decision", "signer")])
-    last = a.join(b, [*by, "home"]).where(overlap_ratio("", "f_") >= iou).groupBy("place").agg(F.max(F.struct("f_at", "f_decision", "f_signer")).alias("d"))
-    return groups.select("place").join(last, "place", "left").select("place", F.col("d.f_decision").alias("decision"), F.col("d.f_signer").alias("signer"))
+    box = ["x", "y", "w", "h"]
+    sized = lambda df, *more: df.where("w > 0 AND h > 0").select(*by, *[F.col(c).cast("double").alias(c) for c in box], *more)
+    shapes = sized(groups).distinct().withColumn("home", home())
+    newest = sized(decisions, F.struct("at", "decision", "signer").alias("d")).groupBy(*by, *box).agg(F.max("d").alias("d"))
+    made = table(newest.orderBy("d").withColumn("rank", F.monotonically_increasing_id()), "decisions")
+    b = made.select(*by, F.explode(reach(iou)).alias("home"), *[F.col(c).alias(f"f_{c}") for c in box], "rank")
+    last = shapes.join(b, [*by, "home"]).where(overlap_ratio("", "f_") >= iou).groupBy(*by, *box).agg(F.max("rank").alias("rank"))
+    known = last.join(made.select("rank", "d"), "rank").select(*[F.col(c).alias(f"n_{c}") for c in (*by, *box)], "d")
+    return groups.join(known, [F.col(c) == F.col(f"n_{c}") for c in (*by, *box)], "left").select("place", F.col("d.decision").alias("decision"), F.col("d.signer").alias("signer"))

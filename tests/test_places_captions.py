@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -92,6 +93,17 @@ def test_doubt_and_decisions(spark):
     assert kept == {1: ("reject", "b"), 3: (None, None), 4: ("reject", "b"), 5: ("reject", "b")}
 
 
+def test_decisions_in_a_place_of_many_copies(spark):
+    """20,000 groups and 20,000 decisions of three rectangles meet as three; nulls of `by` and in a decision count as before."""
+    k, box = F.col("id"), lambda x: [x.cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(90.0).alias("w"), F.lit(20.0).alias("h")]
+    groups = spark.range(20_000).select(k.alias("place"), F.when(k != 7, k % 2).alias("aspect"), *box(k % 3 * 10))
+    made = spark.range(20_000).select((k % 5000).alias("at"), F.when(k % 5000 != 4998, F.concat(F.lit("d"), k.cast("string"))).alias("decision"), F.lit("s").alias("signer"), (k % 2).alias("aspect"), *box(k % 3 * 10))
+    begun = time.monotonic()
+    kept = places.kept_decisions(groups, made, ["aspect"])
+    got = {(r["aspect"], r["decision"], r["signer"]): r["n"] for r in groups.join(kept, "place").groupBy("aspect", "decision", "signer").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(0, None, "s"): 10_000, (1, "d9999", "s"): 9_999, (None, None, None): 1} and time.monotonic() - begun < 60
+
+
 def test_tracks_chain_whatever_their_ids(spark):
     """Tracks touch from end to start in time; those that overlap don't touch."""
     rows = [(2, "v", 0.0, 1.0), (1, "v", 1.05, 2.0), (5, "v", 1.9, 3.0), (4, "v", 3.0, 3.0), (3, "w", 1.0, 1.05)]
