@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import table
 from .colors import color_mode
-from .stats import categorical, pstats_by_group, rounded
+from .stats import categorical, pstats_by_group, rounded, small
 
 
 def group_table(members: DataFrame, entity: str, structure: str, variant: str, prefix: str = "F") -> DataFrame:
@@ -76,13 +77,32 @@ def glob_pattern(glob: Column) -> Column:
 def named_checks(keys: DataFrame, checks: DataFrame) -> DataFrame:
     """(key, n_checks): how many distinct checks name a key, by itself or by a pattern; keys without one are left out.
 
-    checks: (check, pattern). A key lists its beginnings, and a pattern meets it by the letters before its first sign, so only those are tried.
+    checks: (check, pattern). Checks of equal sets of patterns are counted once, as one. A pattern's letters before its first * or [, and those after its
+    last, stand at known places from the beginning and the end; a key lists its own letters at the places of each such form that
+    occurs, so only patterns with these letters are tried. Forms are few: a row for each key and form is made.
     """
-    head = F.regexp_extract("pattern", r"^[^*?\[]*", 0)
-    tried = keys.select("key").distinct().withColumn("_head", F.explode(F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.substr(F.col("key"), F.lit(1), n))))
-    asked = checks.where("pattern IS NOT NULL").select("check", "pattern", head.alias("_head"), glob_pattern(F.col("pattern")).alias("_rx")).distinct()
-    met = tried.join(asked, "_head").where((F.col("key") == F.col("pattern")) | F.rlike("key", F.col("_rx")))
-    return met.groupBy("key").agg(F.count_distinct("check").alias("n_checks"))
+    sets = checks.where("check IS NOT NULL AND pattern IS NOT NULL").groupBy("check").agg(F.sort_array(F.collect_set("pattern")).alias("patterns"))
+    asked = sets.groupBy("patterns").agg(F.min("check").alias("_class"), F.count(F.lit(1)).alias("_n")).withColumn("pattern", F.explode("patterns"))
+    plain = ~F.rlike("pattern", F.lit(r"[*?\[]"))
+    head = F.when(plain, F.col("pattern")).otherwise(F.regexp_extract("pattern", r"(?s)^([^*\[]*?)\?*(?:[*\[].*)?\z", 1))
+    tail = F.when(plain, F.lit("")).otherwise(F.regexp_extract("pattern", r"(?:\A|[*\[\]?])([^*\[\]?][^*\[\]]*)\z", 1))
+    form = lambda c: F.regexp_replace(c, r"(?s)[^?]", "L")
+    asked = asked.select("_class", "_n", "pattern", glob_pattern(F.col("pattern")).alias("_rx"), plain.alias("_plain"), head.alias("_head"), tail.alias("_tail"))
+    asked = table(asked.withColumn("_hf", F.when(~F.col("_plain"), form("_head"))).withColumn("_tf", F.when(~F.col("_plain"), form("_tail"))), "asked")
+
+    def letters(part: Column, mask: Column) -> Column:
+        one = lambda i: F.when(F.substr(mask, i, F.lit(1)) == "L", F.substr(part, i, F.lit(1))).otherwise("?")
+        return F.when(F.contains(mask, F.lit("?")), F.array_join(F.transform(F.sequence(F.lit(1), F.length(mask)), one), "")).otherwise(part)
+
+    hf, tf, key = F.col("_hf"), F.col("_tf"), F.col("key")
+    distinct = keys.select("key").where("key IS NOT NULL").distinct()
+    long = F.length(key) >= F.greatest(F.length(hf), F.length(tf))
+    tried = distinct.crossJoin(small(asked.where("NOT _plain").select("_hf", "_tf").distinct())).where(long)
+    tried = tried.select("key", "_hf", "_tf", letters(F.substr(key, F.lit(1), F.length(hf)), hf).alias("_head"), letters(F.substr(key, F.length(key) - F.length(tf) + 1, F.length(tf)), tf).alias("_tail"))
+    some = tried.join(asked.where("NOT _plain"), ["_hf", "_tf", "_head", "_tail"]).where((key == F.col("pattern")) | F.rlike("key", F.col("_rx")))
+    same = distinct.join(asked.where("_plain").withColumnRenamed("pattern", "key"), "key")
+    met = some.select("key", "_class", "_n").unionByName(same.select("key", "_class", "_n")).distinct()
+    return met.groupBy("key").agg(F.sum("_n").alias("n_checks"))
 
 
 def registry_sync(keys: DataFrame, items: DataFrame, links: DataFrame, checks: DataFrame, old: DataFrame) -> DataFrame:

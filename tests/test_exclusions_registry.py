@@ -1,6 +1,8 @@
 """Listed accounts by all three keys, and the registry of settings, with the values that they must give."""
 
 import fnmatch
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,25 @@ def test_named_checks_equal_fnmatch(spark):
     assert got == {k: n for k in keys if (n := sum(fnmatch.fnmatchcase(k, g) for g in globs))}
 
 
+def test_named_checks_equal_fnmatch_at_any_place(spark):
+    """Letters before and after the signs, signs at both ends, and checks with several patterns."""
+    rng = random.Random(3)
+    keys = sorted({"".join(rng.choice("ab.?") for _ in range(rng.randint(0, 6))) for _ in range(150)})
+    globs = sorted({"".join(rng.choice(["a", "b", ".", "*", "?", "[ab]", "[!.]", "a", "b"]) for _ in range(rng.randint(0, 6))) for _ in range(150)})
+    checks = [(f"c{i % 40}", g) for i, g in enumerate(globs)] + [(f"d{i % 3}", "a*") for i in range(9)] + [(None, "*")]
+    got = {r["key"]: r["n_checks"] for r in catalog.named_checks(table(spark, [(k,) for k in keys], "key string"), table(spark, checks, "check string, pattern string")).collect()}
+    assert got == {k: n for k in keys if (n := len({c for c, g in checks if c and fnmatch.fnmatchcase(k, g)}))}
+
+
+def test_named_checks_try_few_patterns(spark):
+    """20,000 patterns that begin with a sign meet 20,000 keys by the letters after it, not all of them."""
+    keys = spark.range(20_000).select(F.concat(F.lit("k."), (F.col("id") % 7).cast("string"), F.lit("."), F.lpad(F.col("id").cast("string"), 5, "0")).alias("key"))
+    checks = spark.range(20_000).select(F.col("id").cast("string").alias("check"), F.concat(F.lit("k.?."), F.lpad(F.col("id").cast("string"), 5, "0"), F.lit("*")).alias("pattern"))
+    begun = time.monotonic()
+    got = catalog.named_checks(keys, checks.unionByName(checks.select(F.concat("check", F.lit("x")).alias("check"), F.lit("k.*").alias("pattern")))).agg(F.count("*"), F.min("n_checks"), F.max("n_checks")).head()
+    assert tuple(got) == (20_000, 20_001, 20_001) and time.monotonic() - begun < 60
+
+
 def test_registry_sync(spark):
     keys = table(spark, [("asked", None, "requested_change", False), ("found", None, "base", True), ("applied", "rule", "measured", False), ("meta", "meta", "base", False), ("rule", "rule", "base", False), ("idle", None, "base", True), ("open", None, None, None)], "key string, category string, origin string, not_given boolean")
     items = table(spark, [("asked", "measured", "v1"), ("found", "measured", ""), ("applied", "measured", "v3"), ("open", "unmeasured", None), ("gone", "measured", "v")], "key string, status string, evidence string")
