@@ -40,12 +40,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.select("r.*")
 
 
-def read_documents(spark: SparkSession, paths: dict[str, str], schemas: dict[str, str], id_pattern: str) -> dict[str, DataFrame]:
-    """Per-entity JSON files of several kinds; the entity is the first group of id_pattern in the file's path."""
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Documents (path, document) as lines of archives: the path that each would have as a file of its own, and its text."""
+    docs.select("path", "document").write.json(path)
+
+
+def read_documents(spark: SparkSession, paths: dict[str, str], schemas: dict[str, str], id_pattern: str, archived: bool = False) -> dict[str, DataFrame]:
+    """Per-entity JSON documents of several kinds; the entity is the first group of id_pattern in the document's path.
+
+    They are files of their own, each of which is listed and opened, or archived by `write_documents`, where files grow with bytes and not with entities.
+    """
     out = {}
     for kind, path in paths.items():
-        df = spark.read.schema(schemas[kind]).option("multiLine", True).json(path)
-        out[kind] = df.withColumn("entity", F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1))
+        if archived:
+            lines = spark.read.schema("path string, document string").json(path)
+            parsed = lines.select(F.from_json("document", schemas[kind]).alias("r"), "path")
+            out[kind] = parsed.select("r.*", F.regexp_extract("path", id_pattern, 1).alias("entity"))
+        else:
+            df = spark.read.schema(schemas[kind]).option("multiLine", True).json(path)
+            out[kind] = df.withColumn("entity", F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1))
     return out
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 
 from tallyline.operators import intervals
 from tallyline.plans import registry
+from tallyline.sources import files
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = registry.queries()
@@ -79,3 +80,22 @@ def test_hashes_of_all_vectors(spark):
 
 def test_tracks_hold_every_event(spark):
     assert got(spark, "w15_chain_merge").n.sum() == len(load("events"))
+
+
+def test_documents_of_entities_take_few_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(files, "shared", lambda _: str(tmp_path))
+    docs, labels = load("documents"), load("labels")
+    quality = dict(zip(labels.doc_id, labels.quality))
+    have = {r.doc_id: (r.lang, None if pd.isna(r.quality) else r.quality, None if pd.isna(r.n_chars) else r.n_chars) for r in got(spark, "s2_entity_documents").itertuples()}
+    assert have == {i: (lang, quality.get(i), n if i % 3 == 0 else None) for i, lang, n in zip(docs.doc_id, docs.lang, docs.n_chars)}
+    assert sum(1 for f in tmp_path.rglob("part-*")) < len(docs) / 2
+
+
+def test_archived_documents_are_read_as_files_are(spark, tmp_path):
+    texts = {"7": '{\n "a": 1,\n "other": [2]\n}', "8": '{"b": "x\\ny"}', "9": "not json"}
+    for k, text in texts.items():
+        (tmp_path / "loose" / f"video={k}").mkdir(parents=True)
+        (tmp_path / "loose" / f"video={k}" / "d.json").write_text(text)
+    files.write_documents(spark.createDataFrame([(f"loose/video={k}/d.json", t) for k, t in texts.items()], "path string, document string"), str(tmp_path / "packed"))
+    read = lambda where, archived: files.read_documents(spark, {"k": str(tmp_path / where)}, {"k": "a long, b string"}, "video=([0-9]+)", archived)["k"].select("entity", "a", "b").orderBy("entity").collect()
+    assert [tuple(r) for r in read("packed", True)] == [tuple(r) for r in read("loose", False)] == [("7", 1, None), ("8", None, "x\ny"), ("9", None, None)]
