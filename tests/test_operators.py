@@ -257,3 +257,12 @@ def test_fuzzy_links_are_those_of_the_pairs(spark):
         linked = [k for k, v in s.items() if v >= 0.8 or f"customer{k % 400:07d}" in p]
         best = min(linked, key=lambda k: (-s[k], k))
         assert got[i] == (i % 3000, len(linked), best, round(s[best], 6))
+
+
+def test_colors_of_many_small_groups(spark):
+    """40,000 groups do not cost a frame each, and do not meet in one task."""
+    k = F.col("id")
+    rows = spark.range(80_000).select((k % 40_000).alias("g"), F.when(k < 40_000, "#102030").otherwise("#122232").alias("c"), k.alias("p"))
+    begun = time.monotonic()
+    got = {tuple(r) for r in colors.color_mode(rows, "g", "c", "p").groupBy("color", "n", "share").count().collect()}
+    assert got == {("#112131", 2, 1.0, 40_000)} and time.monotonic() - begun < 40
