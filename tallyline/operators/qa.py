@@ -50,19 +50,22 @@ def quality_gate(
     """
     spark = rows.sparkSession
     r = rows.select("row_id", "check_id", "category", "kind", "status", F.coalesce("required", F.lit(False)).alias("required"), F.coalesce("intended_change", F.lit(False)).alias("intended"), "covered_by")
-    by = r.select(F.col("row_id").alias("covered_by"), (F.col("status") != "unmeasured").alias("covers")).dropDuplicates(["covered_by"])
-    r = r.join(by, "covered_by", "left")
     open_ = F.col("status") == "unmeasured"
     style = F.coalesce(F.col("kind") == STYLE, F.lit(False))
+    other = open_ & ~style & ~F.col("required")
     rules = {
         "G1": (F.col("status") == "different") & ~F.col("intended"),
         "G2": open_ & F.col("required"),
         "G3": (F.col("check_id") == NO_EVENT) & (F.col("status") != "same"),
         "G4": (F.col("check_id") == OFFSET) & (F.col("status") != "same"),
         "P2": open_ & style,
-        "P4": open_ & ~style & ~F.col("required") & ~F.coalesce(F.col("covers"), F.lit(False)),
+        "P4": other & F.col("covered_by").isNull(),
     }
-    hits = gate_rows(r, rules, "row_id", shown)
+    # only open rows that name a row look for it: all that name none would meet in one task
+    named = r.where(other & F.col("covered_by").isNotNull()).select("row_id", "covered_by")
+    measured = r.where(F.col("status") != "unmeasured").select(F.col("row_id").alias("covered_by"))
+    bare = named.join(measured, "covered_by", "left_anti").select("row_id", F.lit("P4").alias("rule"))
+    hits = first_rows(broken_rows(r, rules, "row_id").unionByName(bare), "row_id", shown)
     whole = r.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("check_id").startswith(SOUND), 1)).alias("sound"), F.count(F.when(F.col("check_id") == NO_EVENT, 1)).alias("no_event"), F.array_sort(F.collect_set("category")).alias("seen"))
     there = whole.select(F.when((F.col("sound") > 0) & (F.col("no_event") == 0), "G3").alias("rule"), F.lit(0).cast("long").alias("n"), F.lit("").alias("failing")).where("rule IS NOT NULL")
     missing = F.array_except(F.array(*map(F.lit, sorted(categories))) if categories else F.array().cast("array<string>"), "seen")
@@ -95,15 +98,24 @@ def gate_verdict(gated: DataFrame) -> DataFrame:
     return out.select((F.col("failing") == "").alias("passed"), ((F.col("failing") == "") & (F.col("p") == 0)).alias("complete"), "failing", "warning")
 
 
-def gate_rows(rows: DataFrame, rules: dict, row_id: str, shown: int) -> DataFrame:
-    """(rule, n, failing) of the rules (conditions) that some row breaks: how many, and the first `shown` ids joined by commas. One pass over the rows."""
+def broken_rows(rows: DataFrame, rules: dict, row_id: str) -> DataFrame:
+    """(row_id, rule): the rules (conditions) that each row breaks."""
     broken = F.filter(F.array(*[F.when(cond, name) for name, cond in rules.items()]), lambda x: x.isNotNull())
-    each = rows.select(row_id, F.explode(broken).alias("rule"))
+    return rows.select(row_id, F.explode(broken).alias("rule"))
+
+
+def first_rows(each: DataFrame, row_id: str, shown: int) -> DataFrame:
+    """(rule, n, failing) of (row_id, rule): how many rows, and the first `shown` ids joined by commas."""
     first = each.withColumn("p", F.row_number().over(Window.partitionBy("rule").orderBy(row_id))).where(F.col("p") <= shown)
     ids = first.groupBy("rule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(row_id)), lambda x: x.cast("string")), ",").alias("failing"))
     return each.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(ids, "rule").select("rule", "n", "failing")
 
 
+def gate_rows(rows: DataFrame, rules: dict, row_id: str, shown: int) -> DataFrame:
+    """(rule, n, failing) of the rules (conditions) that some row breaks: how many, and the first `shown` ids joined by commas."""
+    return first_rows(broken_rows(rows, rules, row_id), row_id, shown)
+
+
 def count_range_verdict(counts: DataFrame, observed: DataFrame, kind: str, n: str, lower_bound: str | None = None) -> DataFrame:
     """in_range (floor p10 to ceil p90 of the observed counts), observed (that very count was seen), outside, or unmeasured.
 

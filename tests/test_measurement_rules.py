@@ -272,6 +272,17 @@ def test_gate_rules(spark):
     assert gate(spark, good, output=("h", None))["G5"] and gate(spark, good, files=("a", "b"))["G5"] and gate(spark, good, inputs_measured=False)["G6"]
 
 
+def test_rows_that_name_no_row_meet_none(spark):
+    """Null keys would meet in one task; a row is covered if any row of that id is measured."""
+    rows = [(f"r{i:02}", "text.a", "text", "self", "unmeasured", False, None, None) for i in range(60)]
+    rows += [("x", "text.b", "text", "self", "unmeasured", False, None, "y"), ("z", "text.b", "text", "self", "unmeasured", False, None, "none")]
+    rows += [("y", "text.c", "text", "self", status, True, None, None) for status in ("unmeasured",) * 20 + ("same",)]
+    got = gate(spark, rows)
+    assert got["P4"] == ("fail", 61, ",".join(f"r{i:02}" for i in range(50))) and got["G2"][1] == 20
+    plan = qa.quality_gate(table(spark, rows, ROW), True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan and "isnotnull(covered_by" in plan
+
+
 def test_gate_verdicts(spark):
     verdict = lambda rows: tuple(qa.gate_verdict(table(spark, rows, "rule string, severity string, n long, failing string")).head())
     assert verdict([]) == (True, True, "", "")
