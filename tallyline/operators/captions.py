@@ -121,15 +121,16 @@ def assign_roles(items: DataFrame, frames: DataFrame, speech: DataFrame, entity:
     rows = items.select(entity, "id", *[F.col(c).cast("double").alias(c) for c in ("start", "end", "x", "y", "w", "h", "ink_h")], "text", "color", F.coalesce("boxed", F.lit(False)).alias("boxed")).join(frames.select(entity, "duration", "height"), entity)
     rows = rows.withColumn("long", F.col("end") - F.col("start") >= 0.6 * F.col("duration")).withColumn("mid", (F.col("y") + F.col("h") / 2) / F.col("height")).withColumn("mark", marked)
     ink = F.coalesce("ink_h", F.lit(0.0))
-    top = rows.where("NOT mark AND long AND mid < 0.4").groupBy(entity).agg(F.min(F.struct((-ink).alias("ink"), F.col("y"), "id", "start", "x", "w", "h")).alias("t"))
-    rows = rows.join(top, entity, "left")
+    # what an entity's items are compared with is found where they lie, in one sort, not by joins of the items with themselves
+    own = Window.partitionBy(entity)
+    upper = F.expr("NOT mark AND long AND mid < 0.4")
+    rows = rows.withColumn("t", F.min(F.when(upper, F.struct((-ink).alias("ink"), F.col("y"), "id", "start", "x", "w", "h"))).over(own))
     below = F.col("y") - (F.col("t.y") + F.col("t.h"))
     beside = F.least(F.col("t.x") + F.col("t.w"), F.col("x") + F.col("w")) - F.greatest("t.x", "x")
     smaller = F.coalesce(F.nullif("ink_h", F.lit(0.0)), F.lit(1e9)) < -F.col("t.ink")
     describes = F.coalesce(below.between(-0.2 * F.col("t.h"), 2.5 * F.col("t.h")) & (beside > 0) & smaller & (F.col("long") | (F.col("start") <= F.col("t.start") + 2.0)), F.lit(False))
     rows = rows.withColumn("role", F.when(F.col("mark"), "identity_mark").when(F.col("id") == F.col("t.id"), "title").when(describes, "description")).drop("t")
-    middle = rows.where("role IS NULL AND ink_h <> 0").groupBy(entity).agg(F.median("ink_h").alias("med"))
-    rows = rows.join(middle, entity, "left")
+    rows = rows.withColumn("med", F.median(F.when(F.expr("role IS NULL AND ink_h <> 0"), F.col("ink_h"))).over(own))
     chars = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)[\s\W_]", ""))
     size = F.coalesce(F.nullif("ink_h", F.lit(0.0)) / F.col("med"), F.lit(1.0))
     speaker = F.col("boxed") & ((size <= 0.85) | F.col("med").isNull()) & chars.between(1, 10)

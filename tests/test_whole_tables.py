@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from tallyline.operators import intervals, matching
+from tallyline.operators import captions, intervals, matching
 from tallyline.plans import registry
 from tallyline.sources import files
 
@@ -109,3 +109,11 @@ def test_archived_documents_are_read_as_files_are(spark, tmp_path):
     files.write_documents(spark.createDataFrame([(f"loose/video={k}/d.json", t) for k, t in texts.items()], "path string, document string"), str(tmp_path / "packed"))
     read = lambda where, archived: files.read_documents(spark, {"k": str(tmp_path / where)}, {"k": "a long, b string"}, "video=([0-9]+)", archived)["k"].select("entity", "a", "b").orderBy("entity").collect()
     assert [tuple(r) for r in read("packed", True)] == [tuple(r) for r in read("loose", False)] == [("7", 1, None), ("8", None, "x\ny"), ("9", None, None)]
+
+
+def test_items_of_roles_meet_their_entities_once(spark, monkeypatch):
+    """Titles and median heights are found where an entity's items lie: the one join of items is that with the frames."""
+    written, plain = {}, captions.table
+    monkeypatch.setattr(captions, "table", lambda df, tag: (written.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString()), plain(df, tag))[1])
+    assert got(spark, "p30_roles").role.notna().all()
+    assert written["roles"].count("Join ") == 1 and "user_id" not in written["roles"]
