@@ -111,6 +111,11 @@ def test_archived_documents_are_read_as_files_are(spark, tmp_path):
     assert [tuple(r) for r in read("packed", True)] == [tuple(r) for r in read("loose", False)] == [("7", 1, None), ("8", None, "x\ny"), ("9", None, None)]
 
 
+def test_features_of_entities_make_events_once(spark):
+    """Five sources come of one table, so the join that makes the events is not in the plan of the features."""
+    assert "user_id" not in QUERIES["a20_entity_features"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_items_of_roles_meet_their_entities_once(spark, monkeypatch):
     """Titles and median heights are found where an entity's items lie: the one join of items is that with the frames."""
     written, plain = {}, captions.table
